@@ -49,6 +49,11 @@ def json_list(text: Column) -> Column:
     return F.from_json(text, "array<string>")
 
 
+def percent(rate: Column) -> Column:
+    """Rate of six decimals as a percentage of two, rounded half up in decimals."""
+    return F.round(rate.cast("decimal(12,6)") * 100, 2).cast("double")
+
+
 def iso_text(ts: Column) -> Column:
     """ISO-8601 text ending in Z, empty for NULL."""
     return F.coalesce(F.date_format(ts, ISO_FORMAT), F.lit(""))

@@ -5,17 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftspark import config as C
 from liftspark.functions import scores
 
 
-def sku_signal(bridge: DataFrame, latest: DataFrame) -> DataFrame:
+SCORE_UNIT = 1_000_000
+
+
+def _mean_score() -> Column:
+    """Mean score, summed in whole millionths: the same in whatever order tasks finish."""
+    units = F.round(F.col("engagement_score") * SCORE_UNIT).cast("bigint")
+    return F.sum(units) / F.count(units) / SCORE_UNIT
+
+
+def sku_signal(bridge: DataFrame, latest: DataFrame, lifts: bool = False) -> DataFrame:
     """Signal of the videos that tag a SKU, from their latest snapshots.
 
     The distinct count spreads a SKU by video before it is summed up, and the other
     aggregates combine on the map side, so a SKU tagged everywhere stays cheap.
+    With ``lifts`` the highest predicted lifts come out of the same pass.
     """
+    predicted = C.LIFT_COLUMNS if lifts else ()
     shown = latest.select(
-        "video_id", "view_count", "engagement_score", "sku_viral_sensitivity", "is_viral"
+        "video_id",
+        "view_count",
+        "engagement_score",
+        "sku_viral_sensitivity",
+        "is_viral",
+        *predicted,
     )
     return (
         bridge.select("video_id", "sku_id")
@@ -25,17 +42,25 @@ def sku_signal(bridge: DataFrame, latest: DataFrame) -> DataFrame:
             F.count_distinct("video_id").alias("active_video_count"),
             F.max("view_count").alias("max_view_count"),
             F.max("engagement_score").alias("max_engagement_score"),
-            F.avg("engagement_score").alias("avg_engagement_score"),
+            _mean_score().alias("avg_engagement_score"),
             F.max(scores.demand_pressure()).alias("demand_pressure_proxy"),
             F.bool_or("is_viral").alias("has_viral_video"),
+            *[F.max(c).alias(c) for c in predicted],
         )
     )
 
 
 def sku_inventory(
-    skus: DataFrame, bridge: DataFrame, latest: DataFrame, as_of: Column | None = None
+    skus: DataFrame,
+    bridge: DataFrame,
+    latest: DataFrame,
+    as_of: Column | None = None,
+    lifts: bool = False,
 ) -> DataFrame:
-    """Staged SKUs with their demand signal and urgency; no video means zeros."""
+    """Staged SKUs with their demand signal and urgency; no video means zeros.
+
+    With ``lifts`` the highest lifts of the SKU's videos are carried along, NULL without any.
+    """
     zero = {
         "active_video_count": F.lit(0).cast("bigint"),
         "max_view_count": F.lit(0),
@@ -44,7 +69,8 @@ def sku_inventory(
         "demand_pressure_proxy": F.lit(0.0),
         "has_viral_video": F.lit(False),
     }
-    joined = skus.drop("created_at").join(sku_signal(bridge, latest), "sku_id", "left")
+    signal = sku_signal(bridge, latest, lifts)
+    joined = skus.drop("created_at").join(signal, "sku_id", "left")
     filled = joined.withColumns({c: F.coalesce(c, value) for c, value in zero.items()})
     return filled.withColumns(
         {

@@ -26,7 +26,7 @@ def trending(videos: DataFrame, k: int = C.TRENDING_SIZE) -> DataFrame:
         "sku_ids_json",
         F.col("view_count").alias("total_views"),
         *[
-            F.round(F.col(rate) * 100, 2).alias(f"{rate}_pct")
+            encode.percent(F.col(rate)).alias(f"{rate}_pct")
             for rate in ("save_rate", "share_rate", "click_rate", "cart_rate")
         ],
         F.round("engagement_score", 4).alias("engagement_score"),

@@ -79,9 +79,12 @@ def ml_risk(df: DataFrame, cfg: C.RiskConfig = C.RiskConfig()) -> DataFrame:
 
 
 def attach_sku_risk(
-    skus: DataFrame, lifts: DataFrame, cfg: C.RiskConfig = C.RiskConfig()
+    skus: DataFrame, lifts: DataFrame | None = None, cfg: C.RiskConfig = C.RiskConfig()
 ) -> DataFrame:
-    """Lifts and tier per SKU; a SKU without scored videos stays at baseline demand."""
-    joined = skus.drop(*C.LIFT_COLUMNS).join(lifts, "sku_id", "left")
+    """Lifts and tier per SKU; a SKU without scored videos stays at baseline demand.
+
+    Without ``lifts`` the lift columns of ``skus`` are taken as they are.
+    """
+    joined = skus if lifts is None else skus.drop(*C.LIFT_COLUMNS).join(lifts, "sku_id", "left")
     filled = joined.withColumns({c: F.coalesce(c, F.lit(1.0)) for c in C.LIFT_COLUMNS})
     return ml_risk(filled, cfg)

@@ -91,9 +91,8 @@ def run_hourly(
     history = tables.ensure_alerts(spark, root)
     staged_skus = staging.stg_skus(tables.read_table(spark, root, "sku_catalog"))
     bridge = tables.read_table(spark, root, "video_sku_bridge")
-    inventory_rows = marts.inventory_mart(staged_skus, bridge, scored, as_of)
     risk_path = tables.table_path(root, "mart_sku_risk")
-    risk_plan = marts.sku_risk_mart(inventory_rows, scoring.sku_lift(scored), history, cfg)
+    risk_plan = marts.risk_from_videos(staged_skus, bridge, scored, history, as_of, cfg)
     tables.overwrite(risk_plan, risk_path)
     risk = spark.read.parquet(risk_path)
 

@@ -105,17 +105,21 @@ def sku_risk_base(inventory_rows: DataFrame) -> DataFrame:
 
 def sku_risk_mart(
     inventory_rows: DataFrame,
-    lifts: DataFrame,
+    lifts: DataFrame | None = None,
     alerts: DataFrame | None = None,
     cfg: C.RiskConfig = C.RiskConfig(),
 ) -> DataFrame:
-    """SKU mart with lifts, tier, projected days and the state of the latest alert."""
-    base = sku_risk_base(inventory_rows)
-    scored = scoring.attach_sku_risk(base, lifts, cfg)
-    if alerts is not None:
-        state = ("latest_alert_id", "alert_status")
-        scored = scored.drop(*state).join(A.latest_alert(alerts), "sku_id", "left")
-    return scored.select(*base.columns)
+    """SKU mart with lifts, tier, projected days and the state of the latest alert.
+
+    Without ``lifts`` the inventory rows must carry them.
+    """
+    scored = scoring.attach_sku_risk(inventory_rows, lifts, cfg)
+    if alerts is None:
+        state = {c: encode.null_as(_SKU_PENDING[c]) for c in ("latest_alert_id", "alert_status")}
+        scored = scored.withColumns(state)
+    else:
+        scored = scored.join(A.latest_alert(alerts), "sku_id", "left")
+    return scored.select(*sku_risk_base(inventory_rows).columns)
 
 
 def alert_queue(alerts: DataFrame, risk: DataFrame) -> DataFrame:
@@ -158,8 +162,14 @@ def video_mart(
     return scored_videos(FT.latest_features(events, bridge, skus), as_of)
 
 
-def inventory_mart(
-    staged_skus: DataFrame, bridge: DataFrame, videos: DataFrame, as_of: Column | None = None
+def risk_from_videos(
+    staged_skus: DataFrame,
+    bridge: DataFrame,
+    scored: DataFrame,
+    alerts: DataFrame | None = None,
+    as_of: Column | None = None,
+    cfg: C.RiskConfig = C.RiskConfig(),
 ) -> DataFrame:
-    """SKU inventory from the video mart, whose rows already are the latest snapshots."""
-    return inventory.sku_inventory(staged_skus, bridge, videos, as_of)
+    """SKU mart from the scored video mart: signal and lifts in one pass over the tags."""
+    rows = inventory.sku_inventory(staged_skus, bridge, scored, as_of, lifts=True)
+    return sku_risk_mart(rows, None, alerts, cfg)

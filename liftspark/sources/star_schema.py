@@ -158,13 +158,12 @@ class StarSchema:
 
     @cached_property
     def events(self) -> DataFrame:
-        """``engagement_events``: rates are plain ratios, not clipped."""
+        """``engagement_events``: rates are plain ratios to the views, or to one without any."""
         user, views = F.col("user_id"), F.col("view_count")
         context = video_attributes(user)
 
         def ratio(part: str, whole: Column) -> Column:
-            share = F.try_divide(F.col(part).cast("double"), whole.cast("double"))
-            return F.round(F.coalesce(share, F.lit(0.0)), 6)
+            return F.round(F.col(part) / F.greatest(whole, F.lit(1)), 6)
 
         tagged = self.timeline.join(self.tag_lists, "user_id", "left")
         video = video_key(user)
@@ -194,7 +193,9 @@ class StarSchema:
             F.col("views").alias("views_delta_1h"),
             F.col("saves").alias("saves_delta_1h"),
             F.col("shares").alias("shares_delta_1h"),
-            ratio("saves", F.col("views")).alias("save_velocity"),
+            F.when(F.col("views") > 0, ratio("saves", F.col("views")))
+            .otherwise(0.0)
+            .alias("save_velocity"),
             *[context[c].alias(c) for c in ("is_on_foryou", "trending_rank", "region_codes_json")],
             "demand_lift_24h",
             (views >= VIRAL_VIEWS).alias("is_viral"),
@@ -246,7 +247,7 @@ class StarSchema:
                 .cast("int")
                 .alias("reorder_point"),
                 # Eighths, so that sums are exact in any order.
-                (0.5 + (part % 37) / 8.0).alias("viral_sensitivity"),
+                (0.5 + (part % 41) / 8.0).alias("viral_sensitivity"),
                 F.lit("2024-01-01").cast("timestamp").alias("created_at"),
             )
         )

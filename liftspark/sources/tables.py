@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftspark import schemas
+from liftspark.session import scratch_path
 
 
 def table_path(root: str, name: str) -> str:
@@ -34,6 +35,16 @@ def overwrite(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> Non
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write a result that is read more than once to the shared folder, and read it back.
+
+    Later steps then depend on files, not on the executors that computed them.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_view(df: DataFrame, name: str) -> DataFrame:
     """Register a result that is recomputed at each read."""
     df.createOrReplaceTempView(name)

@@ -21,9 +21,12 @@ from liftspark.operators import ingest, inventory, maintenance, quality, ranking
 from liftspark.operators import quantile as Q
 from liftspark.operators import serving, staging
 from liftspark.plans import marts
-from liftspark.session import tune
+from liftspark.session import scratch_path, tune
 from liftspark.sources import tables, upsert
-from liftspark.sources.star_schema import StarSchema
+from liftspark.sources.star_schema import StarSchema, sku_key, video_key
+from liftspark.streaming import cooldown as cooldown_stream
+from liftspark.streaming import ingest as stream_tables
+from liftspark.streaming import sinks, windows
 
 AS_OF = "2024-02-01 00:00:00"
 CUTOFF = "2024-01-30 00:00:00"
@@ -483,6 +486,71 @@ def quantile_fit_predict(w: Workbench) -> DataFrame:
     )
 
 
+# ---- streams ----------------------------------------------------------------------
+def _activity_stream(w: Workbench) -> DataFrame:
+    schema = w.raw.table("events").schema
+    arriving = sinks.file_stream(w.spark, w.raw.sf_dir, schema, "events.parquet")
+    part = F.get_json_object("props", "$.k").cast("bigint") + 100 * (F.col("user_id") % 20)
+    return arriving.select(
+        video_key(F.col("user_id")).alias("video_id"),
+        sku_key(part).alias("sku_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        "event_type",
+        "value",
+    )
+
+
+def _windowed_changes(w: Workbench, windowed: DataFrame) -> DataFrame:
+    out = scratch_path(w.spark, "changes")
+    sinks.write_changes(windowed, out, scratch_path(w.spark, "progress"))
+    return sinks.read_changes(w.spark, out, windowed.schema, ["video_id", "hour"])
+
+
+def stream_hourly(w: Workbench) -> DataFrame:
+    return _windowed_changes(w, windows.stream_hourly(_activity_stream(w)))
+
+
+def stream_velocity(w: Workbench) -> DataFrame:
+    return _windowed_changes(w, windows.stream_velocity(_activity_stream(w)))
+
+
+def _arriving_snapshots(w: Workbench) -> tuple[str, str]:
+    """Folder of snapshot files to stream, and a root with the catalog tables."""
+    folder, root = scratch_path(w.spark, "arriving"), scratch_path(w.spark, "root")
+    w.raw.events.write.parquet(folder)
+    tables.overwrite(w.raw.bridge, tables.table_path(root, "video_sku_bridge"))
+    tables.overwrite(w.raw.skus, tables.table_path(root, "sku_catalog"))
+    return folder, root
+
+
+def stream_ingest(w: Workbench) -> DataFrame:
+    folder, root = scratch_path(w.spark, "arriving"), scratch_path(w.spark, "root")
+    w.raw.events.write.parquet(folder)
+    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"))
+    return tables.read_table(w.spark, root, "engagement_events")
+
+
+def stream_refresh(w: Workbench) -> DataFrame:
+    folder, root = _arriving_snapshots(w)
+    stream_tables.stream_refresh(
+        w.spark, folder, root, scratch_path(w.spark, "progress"), w.as_of
+    )
+    return w.spark.read.parquet(tables.table_path(root, "mart_videos")).drop("posted_date")
+
+
+def stream_cooldown(w: Workbench) -> DataFrame:
+    """Purchases as demand candidates of their SKU, thinned to one alert per pause."""
+    candidates = (
+        _activity_stream(w)
+        .filter("event_type = 'purchase'")
+        .select("sku_id", F.col("ts").alias("created_at"), F.col("value").alias("p90_demand_lift"))
+    )
+    passed = cooldown_stream.stream_cooldown(candidates)
+    out = scratch_path(w.spark, "changes")
+    sinks.write_changes(passed, out, scratch_path(w.spark, "progress"), "append")
+    return sinks.read_appended(w.spark, out, passed.schema)
+
+
 QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     stg_events,
     stg_skus,
@@ -541,4 +609,9 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     lift_label,
     eval_metrics,
     quantile_fit_predict,
+    stream_hourly,
+    stream_velocity,
+    stream_ingest,
+    stream_refresh,
+    stream_cooldown,
 )

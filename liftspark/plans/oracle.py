@@ -719,6 +719,20 @@ SELECTS = {
                  p90_demand_lift AS p90 FROM lifted WHERE demand_lift_24h IS NOT NULL)""",
 }
 
+SELECTS["stream_hourly"] = f"""
+    SELECT {VIDEO} AS video_id, hour, CAST(views AS BIGINT) AS views,
+           CAST(saves AS BIGINT) AS saves, CAST(shares AS BIGINT) AS shares,
+           CAST(clicks AS BIGINT) AS clicks, CAST(carts AS BIGINT) AS carts
+    FROM hourly"""
+SELECTS["stream_velocity"] = f"""
+    SELECT {VIDEO} AS video_id, hour + to_hours(later) AS hour,
+           CAST(sum(views) AS BIGINT) AS views_velocity_3h,
+           CAST(sum(saves) AS BIGINT) AS saves_velocity_3h,
+           CAST(sum(shares) AS BIGINT) AS shares_velocity_3h
+    FROM (SELECT *, unnest([0, 1, 2]) AS later FROM hourly) GROUP BY ALL"""
+SELECTS["stream_ingest"] = "SELECT * FROM raw_events"
+SELECTS["stream_refresh"] = SELECTS["scored_videos"]
+
 
 def _with_steps(select: str) -> str:
     """Prefix the SELECT with the steps it reaches, in order of definition."""

@@ -17,8 +17,12 @@ def table_path(root: str, name: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A raw table under its declared schema; filters and columns reach the scan."""
-    return spark.read.schema(schemas.RAW[name]).parquet(table_path(root, name))
+    """A raw table under its declared schema; filters and columns reach the scan.
+
+    Partition columns of the folder can still be filtered on, but are not part of the rows.
+    """
+    schema = schemas.RAW[name]
+    return spark.read.schema(schema).parquet(table_path(root, name)).select(*schema.names)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -31,7 +35,14 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
-    """Full refresh of a table that ``df`` does not itself read."""
+    """Full refresh of a table that ``df`` does not itself read.
+
+    Partitioned output is rebalanced first: one writer per partition where it is small,
+    several where one partition holds much of the data.
+    """
+    partition_by = list(partition_by)
+    if partition_by:
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 

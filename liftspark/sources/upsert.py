@@ -59,6 +59,8 @@ def upsert_table(
         base = base.join(touched, partition_by, "left_semi")
     tables.overwrite(upsert(base, new.select(*base.columns), keys, order), stage, parts)
     merged = spark.read.schema(base.schema).parquet(stage)
+    if parts:
+        merged = merged.hint("rebalance", *parts)
     writer = merged.write.mode("overwrite").partitionBy(*parts)
     if partition_by:
         writer = writer.option("partitionOverwriteMode", "dynamic")

@@ -189,7 +189,7 @@ def _encoded(rows: DataFrame, sensitivity: DataFrame) -> DataFrame:
 
 
 def _windowed(events: DataFrame) -> DataFrame:
-    return events.select(*FEATURE_ROW).withColumns(
+    return events.selectExpr(*FEATURE_ROW).withColumns(
         {**velocity_columns(), "views_acceleration": acceleration("value")}
     )
 
@@ -220,5 +220,5 @@ def latest_features(events: DataFrame, bridge: DataFrame, skus: DataFrame) -> Da
     rank filter keeps those per task before the exchange, so with files clustered by video
     48 hourly rows shrink to three on the map side.
     """
-    tail = _newest(events.select(*FEATURE_ROW), max(C.VELOCITY_ROWS, 2))
+    tail = _newest(events.selectExpr(*FEATURE_ROW), max(C.VELOCITY_ROWS, 2))
     return _encoded(latest_snapshot(_windowed(tail)), sku_sensitivity(bridge, skus))

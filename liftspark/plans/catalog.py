@@ -83,16 +83,26 @@ class Workbench:
         )
 
     @cached_property
-    def stored_risk(self) -> DataFrame:
-        return tables.stage(self.risk_mart(self.stored_videos), "sku_risk")
+    def risk(self) -> DataFrame:
+        return self.risk_mart(self.stored_videos)
+
+    def triage(self, risk: DataFrame) -> DataFrame:
+        return A.triage(A.at_risk(risk, self.stored_videos))
 
     @cached_property
     def triaged(self) -> DataFrame:
-        return A.triage(A.at_risk(self.stored_risk, self.stored_videos))
+        return self.triage(self.risk)
+
+    @cached_property
+    def stored_triaged(self) -> DataFrame:
+        return tables.stage(self.triaged, "triaged")
+
+    def alerts_of(self, triaged: DataFrame) -> DataFrame:
+        return A.build_alerts(A.escalated(triaged), self.as_of)
 
     @cached_property
     def alerts(self) -> DataFrame:
-        return tables.stage(A.build_alerts(A.escalated(self.triaged), self.as_of), "alerts")
+        return tables.stage(self.alerts_of(self.stored_triaged), "alerts")
 
     @cached_property
     def decisions(self) -> DataFrame:
@@ -114,7 +124,7 @@ class Workbench:
         first = decide(alerts, "d1", F.when(critical, "approve").otherwise("dismiss"), hour)
         again = alerts.filter(critical & (F.col("p90_demand_lift") >= 4.0))
         second = decide(again, "d2", F.lit("dismiss"), hour * 2)
-        absent = self.triaged.filter("risk_tier = 'WATCH'").select(
+        absent = self.stored_triaged.filter("risk_tier = 'WATCH'").select(
             "sku_id", F.concat(F.lit("alert_none_"), F.col("sku_id")).alias("alert_id")
         )
         third = decide(absent, "d3", F.lit("approve"), hour * 3)
@@ -128,7 +138,7 @@ class Workbench:
     def timed_candidates(self) -> DataFrame:
         """Escalated SKUs spread over the hours of a morning by lead time."""
         delay = F.make_dt_interval(hours=F.col("supplier_lead_time_days") % 6)
-        return A.escalated(self.triaged).select(
+        return A.escalated(self.stored_triaged).select(
             "sku_id",
             "risk_tier",
             "p90_demand_lift",
@@ -140,7 +150,7 @@ class Workbench:
         """Earlier alerts of every at-risk SKU, at ages that follow from stock and lead."""
         age = F.make_dt_interval(hours=F.col("current_stock") % 7)
         older = F.make_dt_interval(hours=F.col("supplier_lead_time_days") % 11)
-        rows = self.triaged
+        rows = self.stored_triaged
         return rows.select("sku_id", (self.as_of - age).alias("created_at")).unionByName(
             rows.select("sku_id", (self.as_of - older).alias("created_at"))
         )
@@ -282,7 +292,7 @@ def top_videos_per_sku(w: Workbench) -> DataFrame:
 
 
 def at_risk(w: Workbench) -> DataFrame:
-    return _joined_list(A.at_risk(w.risk_mart(w.stored_videos), w.stored_videos), "top_video_ids")
+    return _joined_list(A.at_risk(w.risk, w.stored_videos), "top_video_ids")
 
 
 def triage(w: Workbench) -> DataFrame:
@@ -320,16 +330,17 @@ def drafts(w: Workbench) -> DataFrame:
 
 
 def alerts_new(w: Workbench) -> DataFrame:
-    return w.alerts
+    return w.alerts_of(w.triaged)
 
 
 def alert_queue(w: Workbench) -> DataFrame:
-    return marts.alert_queue(w.alerts, w.stored_risk)
+    risk = tables.stage(w.risk, "sku_risk")
+    return marts.alert_queue(w.alerts_of(w.triage(risk)), risk)
 
 
 def alert_list(w: Workbench) -> DataFrame:
     """Dismissed warnings as the review screen reads them."""
-    queue = marts.alert_queue(w.reviewed, w.stored_risk)
+    queue = marts.alert_queue(w.reviewed, w.risk)
     return serving.to_response(serving.list_alerts(queue, "dismissed", "warning"))
 
 
@@ -490,11 +501,11 @@ def quantile_fit_predict(w: Workbench) -> DataFrame:
 def _activity_stream(w: Workbench) -> DataFrame:
     schema = w.raw.table("events").schema
     arriving = sinks.file_stream(w.spark, w.raw.sf_dir, schema, "events.parquet")
-    part = F.get_json_object("props", "$.k").cast("bigint") + 100 * (F.col("user_id") % 20)
-    return arriving.select(
-        video_key(F.col("user_id")).alias("video_id"),
-        sku_key(part).alias("sku_id"),
-        F.col("ts").cast("timestamp").alias("ts"),
+    part = "CAST(get_json_object(props, '$.k') AS BIGINT) + 100 * (user_id % 20)"
+    return arriving.selectExpr(
+        f"{video_key()} AS video_id",
+        f"{sku_key(part)} AS sku_id",
+        "CAST(ts AS TIMESTAMP) AS ts",
         "event_type",
         "value",
     )

@@ -26,13 +26,13 @@ _SKU_PENDING = {
 
 def scored_videos(latest: DataFrame, as_of: Column | None = None) -> DataFrame:
     """Video mart from latest feature rows; predictions are still NULL."""
-    return latest.select(
+    return latest.selectExpr(
         "video_id",
-        F.col("event_id").alias("latest_event_id"),
+        "event_id AS latest_event_id",
         "posted_at",
-        F.col("snapshot_at").alias("last_snapshot_at"),
+        "snapshot_at AS last_snapshot_at",
         "hours_since_post",
-        F.col("hours_since_post").alias("hours_observed"),
+        "hours_since_post AS hours_observed",
         "view_count",
         "platform",
         "creator_id",
@@ -41,7 +41,7 @@ def scored_videos(latest: DataFrame, as_of: Column | None = None) -> DataFrame:
         "platform_encoded",
         "creator_tier_encoded",
         "video_duration_s",
-        F.col("has_link_in_bio_int").alias("has_link_in_bio"),
+        "has_link_in_bio_int AS has_link_in_bio",
         "save_rate",
         "share_rate",
         "click_rate",
@@ -56,8 +56,8 @@ def scored_videos(latest: DataFrame, as_of: Column | None = None) -> DataFrame:
         "shares_delta_1h",
         "save_velocity",
         "engagement_score",
-        F.col("is_on_foryou_int").alias("is_on_foryou"),
-        F.coalesce("trending_rank", F.lit(-1)).alias("trending_rank"),
+        "is_on_foryou_int AS is_on_foryou",
+        "coalesce(trending_rank, -1) AS trending_rank",
         "sku_viral_sensitivity",
         "sku_viral_sensitivity_max",
         "posted_hour_of_day",
@@ -66,19 +66,18 @@ def scored_videos(latest: DataFrame, as_of: Column | None = None) -> DataFrame:
         "snapshot_day_of_week",
         "demand_lift_24h",
         "is_viral",
-        *[encode.null_as(t).alias(c) for c, t in _VIDEO_PENDING.items()],
-        (F.current_timestamp() if as_of is None else as_of).alias("mart_refreshed_at"),
-    )
+        *[f"CAST(NULL AS {t}) AS {c}" for c, t in _VIDEO_PENDING.items()],
+    ).withColumn("mart_refreshed_at", F.current_timestamp() if as_of is None else as_of)
 
 
 def rule_scored(videos: DataFrame) -> DataFrame:
     """Video mart with the lifts and tier of the rule filled in."""
-    return scoring.with_video_tier(scoring.rule_based_lift(videos)).select(*videos.columns)
+    return scoring.with_video_tier(scoring.rule_based_lift(videos)).selectExpr(*videos.columns)
 
 
 def sku_risk_base(inventory_rows: DataFrame) -> DataFrame:
     """SKU mart before scoring: predictions and alert state are NULL."""
-    return inventory_rows.select(
+    return inventory_rows.selectExpr(
         "sku_id",
         "sku_name",
         "category",
@@ -98,7 +97,7 @@ def sku_risk_base(inventory_rows: DataFrame) -> DataFrame:
         "demand_pressure_proxy",
         "has_viral_video",
         "urgency_score",
-        *[encode.null_as(t).alias(c) for c, t in _SKU_PENDING.items()],
+        *[f"CAST(NULL AS {t}) AS {c}" for c, t in _SKU_PENDING.items()],
         "refreshed_at",
     )
 
@@ -119,7 +118,7 @@ def sku_risk_mart(
         scored = scored.withColumns(state)
     else:
         scored = scored.join(A.latest_alert(alerts), "sku_id", "left")
-    return scored.select(*sku_risk_base(inventory_rows).columns)
+    return scored.selectExpr(*sku_risk_base(inventory_rows).columns)
 
 
 def alert_queue(alerts: DataFrame, risk: DataFrame) -> DataFrame:

@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .appName("liftspark")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        # Plans are built from many small columns; recording a call site for each is slow.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )

@@ -11,41 +11,58 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftspark import config as C
-from liftspark.functions import encode
 
 VIRAL_VIEWS = 8_000
 LABEL_HOURS = 24
+_SO_FAR = "OVER (PARTITION BY video_id ORDER BY hour ROWS UNBOUNDED PRECEDING)"
+_WHOLE = "OVER (PARTITION BY video_id)"
 
 
-def _label_at(index: Column, labels: tuple[str, ...]) -> Column:
-    return F.element_at(F.array(*[F.lit(x) for x in labels]), (index + 1).cast("int"))
+def _label_at(index: str, labels: tuple[str, ...]) -> str:
+    listed = ", ".join(f"'{x}'" for x in labels)
+    return f"element_at(array({listed}), CAST({index} + 1 AS INT))"
 
 
-def video_key(user: Column) -> Column:
-    return F.format_string("vid_%06d", user)
+def video_key(user: str = "user_id") -> str:
+    return f"format_string('vid_%06d', {user})"
 
 
-def sku_key(part: Column) -> Column:
-    return F.format_string("SKU-%06d", part)
+def sku_key(part: str = "p_partkey") -> str:
+    return f"format_string('SKU-%06d', {part})"
 
 
-def video_attributes(user: Column) -> dict[str, Column]:
-    """Static context of a video."""
-    tier = F.floor(user / 7) % len(C.CREATOR_TIERS)
-    return {
-        "platform": _label_at(user % len(C.PLATFORMS), C.PLATFORMS),
-        "creator_id": F.concat(F.lit("cr_"), (user % 50).cast("string")),
-        "creator_tier": _label_at(tier, C.CREATOR_TIERS),
-        "video_duration_s": (10 + user % 171).cast("int"),
-        "has_link_in_bio": user % 10 < 6,
-        "is_on_foryou": user % 5 == 0,
-        "trending_rank": F.when(user % 7 == 0, 1 + user % 50).cast("int"),
-        "region_codes_json": F.when(user % 2 == 0, '["US"]').otherwise('["US","GB"]'),
-    }
+def _ratio(part: str) -> str:
+    """Share of the views, or the plain count while there are none."""
+    return f"round({part} / greatest(view_count, 1), 6)"
+
+
+# Columns read from the source files, declared so that no job infers them.
+SOURCES = {
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,"
+    " value DOUBLE, props STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_size INT, p_retailprice DOUBLE",
+    "lineitem": "l_partkey BIGINT, l_quantity DOUBLE",
+}
+
+# Static context of a video, all from the user number.
+CONTEXT = {
+    "platform": _label_at("user_id % 3", C.PLATFORMS),
+    "creator_id": "concat('cr_', user_id % 50)",
+    "creator_tier": _label_at("(user_id div 7) % 5", C.CREATOR_TIERS),
+    "video_duration_s": "CAST(10 + user_id % 171 AS INT)",
+    "has_link_in_bio": "user_id % 10 < 6",
+    "is_on_foryou": "user_id % 5 = 0",
+    "trending_rank": "CASE WHEN user_id % 7 = 0 THEN CAST(1 + user_id % 50 AS INT) END",
+    "region_codes_json": "CASE WHEN user_id % 2 = 0 THEN '[\"US\"]' ELSE '[\"US\",\"GB\"]' END",
+}
+
+
+def _context(*names: str) -> list[str]:
+    return [f"{CONTEXT[name]} AS {name}" for name in names]
 
 
 @dataclass(frozen=True)
@@ -56,47 +73,46 @@ class StarSchema:
     sf_dir: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+        path = f"{self.sf_dir.rstrip('/')}/{name}.parquet"
+        return self.spark.read.schema(SOURCES[name]).parquet(path)
 
     @cached_property
     def activity(self) -> DataFrame:
         """Events with the hour as a timestamp and the value in cents."""
-        return self.table("events").select(
+        return self.table("events").selectExpr(
             "user_id",
-            F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour"),
+            "date_trunc('HOUR', CAST(ts AS TIMESTAMP)) AS hour",
             "event_type",
             "value",
-            F.round(F.col("value") * 100).cast("bigint").alias("cents"),
-            F.get_json_object("props", "$.k").cast("bigint").alias("k"),
+            "CAST(round(value * 100) AS BIGINT) AS cents",
+            "CAST(get_json_object(props, '$.k') AS BIGINT) AS k",
         )
 
     @cached_property
     def hourly(self) -> DataFrame:
         """Increments per (video, hour); one partial and one final aggregation."""
-        kind, value = F.col("event_type"), F.col("value")
-
-        def count(condition: Column) -> Column:
-            return F.count_if(condition).cast("int")
-
-        return self.activity.groupBy("user_id", "hour").agg(
-            F.sum(F.when(kind == "view", F.floor("value") * 10).otherwise(0))
-            .cast("int")
-            .alias("views"),
-            count(kind == "signup").alias("saves"),
-            count(kind == "error").alias("shares"),
-            count(kind == "click").alias("clicks"),
-            count(kind == "purchase").alias("carts"),
-            count(value > 50).alias("likes"),
-            count(value > 100).alias("comments"),
-            F.sum(F.when(kind == "purchase", F.col("cents")).otherwise(0)).alias("cents"),
+        counts = {
+            "saves": "event_type = 'signup'",
+            "shares": "event_type = 'error'",
+            "clicks": "event_type = 'click'",
+            "carts": "event_type = 'purchase'",
+            "likes": "value > 50",
+            "comments": "value > 100",
+        }
+        increments = self.activity.groupBy("user_id", "hour").agg(
+            F.expr(
+                "CAST(sum(CASE WHEN event_type = 'view' THEN floor(value) * 10 ELSE 0 END) AS INT)"
+                " AS views"
+            ),
+            *[F.expr(f"CAST(count_if({cond}) AS INT) AS {n}") for n, cond in counts.items()],
+            F.expr("sum(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) AS cents"),
         )
+        # The text key is made once per hour, not per event, and keys all later shuffles.
+        return increments.selectExpr(f"{video_key()} AS video_id", "*")
 
     @cached_property
     def timeline(self) -> DataFrame:
         """Hourly rows with running counts, post time and label; one shuffle by video."""
-        video = Window.partitionBy("user_id")
-        so_far = video.orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-        posted = F.first("hour").over(so_far)
         running = {
             "view_count": "views",
             "like_count": "likes",
@@ -106,23 +122,19 @@ class StarSchema:
             "click_to_product": "clicks",
             "add_to_cart": "carts",
         }
-        timed = self.hourly.select(
+        timed = self.hourly.selectExpr(
             "*",
-            posted.alias("posted_at"),
-            *[F.sum(c).over(so_far).cast("int").alias(n) for n, c in running.items()],
-        ).withColumn(
-            "hours_since_post",
-            F.expr("timestampdiff(HOUR, posted_at, hour)").cast("int"),
+            f"first(hour) {_SO_FAR} AS posted_at",
+            *[f"CAST(sum({c}) {_SO_FAR} AS INT) AS {name}" for name, c in running.items()],
+        ).selectExpr(
+            "*", "CAST(timestampdiff(HOUR, posted_at, hour) AS INT) AS hours_since_post"
         )
-        age = F.col("hours_since_post")
-        whole = video.orderBy("hour").rowsBetween(
-            Window.unboundedPreceding, Window.unboundedFollowing
+        early = f"sum(CASE WHEN hours_since_post < {LABEL_HOURS} THEN cents ELSE 0 END) {_WHOLE}"
+        days = f"(max(hours_since_post) {_WHOLE} div {LABEL_HOURS} + 1)"
+        return timed.selectExpr(
+            "*",
+            f"round(try_divide({early} * {days}, sum(cents) {_WHOLE}), 4) AS demand_lift_24h",
         )
-        first_day = F.sum(F.when(age < LABEL_HOURS, F.col("cents")).otherwise(0)).over(whole)
-        total = F.sum("cents").over(whole)
-        days = F.floor(F.max("hours_since_post").over(whole) / 24) + 1
-        lift = F.round(F.try_divide((first_day * days).cast("double"), total.cast("double")), 4)
-        return timed.withColumn("demand_lift_24h", lift)
 
     @cached_property
     def tags(self) -> DataFrame:
@@ -131,53 +143,37 @@ class StarSchema:
         Grouping by the pair spreads a busy video over its SKUs before the window, which
         then sees at most the distinct SKUs of a video.
         """
-        pairs = self.activity.groupBy("user_id", "k").agg(F.min("hour").alias("hour"))
-        posted = F.min("hour").over(Window.partitionBy("user_id"))
-        keyed = pairs.select(
-            "user_id",
-            (F.col("k") + 100 * (F.col("user_id") % 20)).alias("p_partkey"),
-            posted.alias("posted_at"),
-        )
+        pairs = self.activity.groupBy("user_id", "k").agg(F.expr("min(hour) AS hour"))
+        keyed = pairs.selectExpr(
+            f"{video_key()} AS video_id", "user_id", "k + 100 * (user_id % 20) AS p_partkey", "hour"
+        ).selectExpr("*", f"min(hour) {_WHOLE} AS posted_at")
         return keyed.join(self.table("part").select("p_partkey"), "p_partkey", "left_semi")
 
     @cached_property
     def bridge(self) -> DataFrame:
-        user = F.col("user_id")
-        return self.tags.select(
-            video_key(user).alias("video_id"),
-            sku_key(F.col("p_partkey")).alias("sku_id"),
-            video_attributes(user)["platform"].alias("platform"),
-            "posted_at",
+        return self.tags.selectExpr(
+            "video_id", f"{sku_key()} AS sku_id", *_context("platform"), "posted_at"
         )
 
     @cached_property
     def tag_lists(self) -> DataFrame:
         """The SKU list of a video: a record field, bounded by the tags of one video."""
-        listed = F.sort_array(F.collect_list(sku_key(F.col("p_partkey"))))
-        return self.tags.groupBy("user_id").agg(F.to_json(listed).alias("sku_ids_json"))
+        listed = f"to_json(sort_array(collect_list({sku_key()}))) AS sku_ids_json"
+        return self.tags.groupBy("video_id").agg(F.expr(listed))
 
     @cached_property
     def events(self) -> DataFrame:
-        """``engagement_events``: rates are plain ratios to the views, or to one without any."""
-        user, views = F.col("user_id"), F.col("view_count")
-        context = video_attributes(user)
-
-        def ratio(part: str, whole: Column) -> Column:
-            return F.round(F.col(part) / F.greatest(whole, F.lit(1)), 6)
-
-        tagged = self.timeline.join(self.tag_lists, "user_id", "left")
-        video = video_key(user)
-        return tagged.select(
-            encode.event_key(F.col("posted_at"), video, F.col("hours_since_post")).alias(
-                "event_id"
-            ),
-            video.alias("video_id"),
+        """``engagement_events``: rates are plain ratios, not clipped."""
+        return self.timeline.join(self.tag_lists, "video_id", "left").selectExpr(
+            "concat('evt_', date_format(posted_at, 'yyyyMMdd'), '_', video_id,"
+            " format_string('_h%02d', hours_since_post)) AS event_id",
+            "video_id",
             "posted_at",
-            F.col("hour").alias("snapshot_at"),
+            "hour AS snapshot_at",
             "hours_since_post",
-            *[context[c].alias(c) for c in ("platform", "creator_id", "creator_tier")],
-            F.coalesce("sku_ids_json", F.lit("[]")).alias("sku_ids_json"),
-            *[context[c].alias(c) for c in ("video_duration_s", "has_link_in_bio")],
+            *_context("platform", "creator_id", "creator_tier"),
+            "coalesce(sku_ids_json, '[]') AS sku_ids_json",
+            *_context("video_duration_s", "has_link_in_bio"),
             "view_count",
             "like_count",
             "comment_count",
@@ -185,70 +181,66 @@ class StarSchema:
             "save_count",
             "click_to_product",
             "add_to_cart",
-            ratio("save_count", views).alias("save_rate"),
-            ratio("share_count", views).alias("share_rate"),
-            ratio("click_to_product", views).alias("click_rate"),
-            ratio("add_to_cart", views).alias("cart_rate"),
-            ratio("like_count", views).alias("like_rate"),
-            F.col("views").alias("views_delta_1h"),
-            F.col("saves").alias("saves_delta_1h"),
-            F.col("shares").alias("shares_delta_1h"),
-            F.when(F.col("views") > 0, ratio("saves", F.col("views")))
-            .otherwise(0.0)
-            .alias("save_velocity"),
-            *[context[c].alias(c) for c in ("is_on_foryou", "trending_rank", "region_codes_json")],
+            f"{_ratio('save_count')} AS save_rate",
+            f"{_ratio('share_count')} AS share_rate",
+            f"{_ratio('click_to_product')} AS click_rate",
+            f"{_ratio('add_to_cart')} AS cart_rate",
+            f"{_ratio('like_count')} AS like_rate",
+            "views AS views_delta_1h",
+            "saves AS saves_delta_1h",
+            "shares AS shares_delta_1h",
+            "coalesce(round(try_divide(saves, views), 6), 0D) AS save_velocity",
+            *_context("is_on_foryou", "trending_rank", "region_codes_json"),
             "demand_lift_24h",
-            (views >= VIRAL_VIEWS).alias("is_viral"),
+            f"view_count >= {VIRAL_VIEWS} AS is_viral",
         )
 
     @cached_property
     def videos(self) -> DataFrame:
         """``video_metadata``: one row per video."""
-        user = F.col("user_id")
-        context = video_attributes(user)
-        totals = self.hourly.groupBy("user_id").agg(
-            F.min("hour").alias("posted_at"), F.sum("views").alias("views")
+        totals = self.hourly.groupBy("video_id", "user_id").agg(
+            F.expr("min(hour) AS posted_at"), F.expr("sum(views) AS views")
         )
-        return totals.join(self.tag_lists, "user_id", "left").select(
-            video_key(user).alias("video_id"),
-            *[context[c].alias(c) for c in ("platform", "creator_id", "creator_tier")],
+        return totals.join(self.tag_lists, "video_id", "left").selectExpr(
+            "video_id",
+            *_context("platform", "creator_id", "creator_tier"),
             "posted_at",
-            *[context[c].alias(c) for c in ("video_duration_s", "has_link_in_bio")],
-            F.coalesce("sku_ids_json", F.lit("[]")).alias("sku_ids_json"),
-            context["region_codes_json"].alias("region_codes_json"),
-            (F.col("views") >= VIRAL_VIEWS).alias("is_viral"),
+            *_context("video_duration_s", "has_link_in_bio"),
+            "coalesce(sku_ids_json, '[]') AS sku_ids_json",
+            *_context("region_codes_json"),
+            f"views >= {VIRAL_VIEWS} AS is_viral",
         )
 
     @cached_property
     def skus(self) -> DataFrame:
         """``sku_catalog``: parts with the demand their order lines show."""
-        part = F.col("p_partkey")
-        sold = self.table("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(
-            F.sum("l_quantity").alias("quantity")
+        sold = (
+            self.table("lineitem")
+            .groupBy("l_partkey")
+            .agg(F.expr("sum(l_quantity) AS quantity"))
+            .withColumnRenamed("l_partkey", "p_partkey")
         )
-        demand = F.coalesce("quantity", F.lit(0.0)) / 100.0
-        lead = (3 + part % 28).cast("int")
         return (
             self.table("part")
             .join(sold, "p_partkey", "left")
-            .withColumn("baseline_daily_demand", demand)
-            .withColumn("supplier_lead_time_days", lead)
-            .select(
-                sku_key(part).alias("sku_id"),
-                F.col("p_name").alias("name"),
-                _label_at(part % len(C.CATEGORIES), C.CATEGORIES).alias("category"),
-                F.col("p_retailprice").alias("unit_price_usd"),
+            .selectExpr(
+                "*",
+                "coalesce(quantity, 0D) / 100D AS baseline_daily_demand",
+                "CAST(3 + p_partkey % 28 AS INT) AS supplier_lead_time_days",
+            )
+            .selectExpr(
+                f"{sku_key()} AS sku_id",
+                "p_name AS name",
+                f"{_label_at('p_partkey % 8', C.CATEGORIES)} AS category",
+                "p_retailprice AS unit_price_usd",
                 "baseline_daily_demand",
-                (F.col("p_size") * 3).cast("int").alias("current_stock"),
+                "CAST(p_size * 3 AS INT) AS current_stock",
                 "supplier_lead_time_days",
-                F.floor(
-                    F.col("baseline_daily_demand") * F.col("supplier_lead_time_days") * 1.2
-                )
-                .cast("int")
-                .alias("reorder_point"),
+                "CAST(floor(baseline_daily_demand * supplier_lead_time_days * 1.2D) AS INT)"
+                " AS reorder_point",
                 # Eighths, so that sums are exact in any order.
-                (0.5 + (part % 41) / 8.0).alias("viral_sensitivity"),
-                F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+                "0.5D + (p_partkey % 41) / 8D AS viral_sensitivity",
+                "TIMESTAMP'2024-01-01' AS created_at",
             )
         )
 
@@ -258,9 +250,9 @@ class StarSchema:
         return (
             self.table("events")
             .filter("event_type = 'purchase'")
-            .select(
-                video_key(F.col("user_id")).alias("video_id"),
-                F.col("ts").cast("timestamp").alias("sold_at"),
-                F.round(F.col("value") * 100).cast("bigint").alias("cents"),
+            .selectExpr(
+                f"{video_key()} AS video_id",
+                "CAST(ts AS TIMESTAMP) AS sold_at",
+                "CAST(round(value * 100) AS BIGINT) AS cents",
             )
         )

@@ -105,11 +105,12 @@ class BoostConfig:
 
     rounds: int = 500
     learning_rate: float = 0.05
-    max_depth: int = 5
+    max_depth: int = 6
     min_rows_per_leaf: int = 20
     subsample: float = 0.8
+    subsample_rounds: int = 5  # rounds that share one sample
     patience: int = 50
     train_ratio: float = 0.8
     seed: int = 42
-    checkpoint_every: int = 10
+    cut_every: int = 10  # rounds between writes that cut the lineage
     features: tuple[str, ...] = field(default=FEATURE_COLUMNS)

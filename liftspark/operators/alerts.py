@@ -25,16 +25,20 @@ AT_RISK_COLUMNS = (
 
 
 def at_risk(
-    risk: DataFrame, videos: DataFrame, cfg: C.RiskConfig = C.RiskConfig()
+    risk: DataFrame,
+    videos: DataFrame,
+    cfg: C.RiskConfig = C.RiskConfig(),
+    ordered: bool = True,
 ) -> DataFrame:
-    """SKUs whose P90 reaches the trigger, with their best videos, highest P90 first."""
+    """SKUs whose P90 reaches the trigger, with their best videos, highest P90 first.
+
+    ``ordered=False`` saves the sort where the rows go on into triage and alerts.
+    """
     chosen = risk.filter(F.col("p90_demand_lift") >= cfg.trigger_lift).select(*AT_RISK_COLUMNS)
     listed = F.coalesce("top_video_ids", F.array().cast("array<string>"))
-    return (
-        chosen.join(ranking.top_videos(videos), "sku_id", "left")
-        .withColumn("top_video_ids", listed)
-        .orderBy(F.col("p90_demand_lift").desc(), "sku_id")
-    )
+    joined = chosen.join(ranking.top_videos(videos), "sku_id", "left")
+    listed_skus = joined.withColumn("top_video_ids", listed)
+    return listed_skus.orderBy(F.col("p90_demand_lift").desc(), "sku_id") if ordered else listed_skus
 
 
 def triage(df: DataFrame, cfg: C.RiskConfig = C.RiskConfig()) -> DataFrame:

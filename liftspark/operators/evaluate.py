@@ -1,8 +1,8 @@
-"""Label and evaluation of the quantile predictions; all metrics are plain aggregates."""
+"""Label and evaluation of the quantile predictions."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftspark import config as C
@@ -27,19 +27,53 @@ def mape(y: Column, q: Column) -> Column:
     return F.coalesce(F.avg(F.when(y != 0, F.abs((y - q) / y))), F.lit(0.0))
 
 
-def interval_width(p10: Column, p90: Column, exact: bool = True) -> dict[str, Column]:
-    """Mean and median width of the P10 to P90 interval.
+SKETCH_ACCURACY = 100_000
+BRACKET = (0.4999, 0.5001)  # wider than the sketch can err
 
-    The exact median keeps a count per distinct width in one task; ``exact=False`` uses
-    the mergeable sketch instead.
+
+def exact_median(df: DataFrame, value: Column) -> float | None:
+    """Exact median in two passes, without gathering the values.
+
+    A mergeable sketch brackets the middle of the order; only distinct values inside the
+    bracket, a few out of ten thousand, are then counted and ranked. The driver sees
+    five numbers.
     """
+    values = df.select(value.alias("v")).filter("v IS NOT NULL")
+    ends = F.percentile_approx("v", list(BRACKET), SKETCH_ACCURACY).alias("ends")
+    n, ends = values.agg(F.count("v"), ends).first()
+    if not n:
+        return None
+    low, high = ends
+    below = F.count_if(F.col("v") < low).alias("below")
+    inside = values.filter(F.col("v").between(low, high)).groupBy("v").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    skipped = values.agg(below).first().below
+    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + skipped
+    lower, upper = (n + 1) // 2, n // 2 + 1  # the two middle ranks, equal if n is odd
+    middle = inside.withColumn("upto", upto).agg(
+        F.min(F.when(F.col("upto") >= lower, F.col("v"))),
+        F.min(F.when(F.col("upto") >= upper, F.col("v"))),
+    )
+    a, b = middle.first()
+    return (a + b) / 2
+
+
+def interval_width(df: DataFrame, p10: Column, p90: Column, exact: bool = True) -> dict[str, Column]:
+    """Mean and median width of the P10 to P90 interval; ``exact=False`` sketches the median."""
     width = p90 - p10
-    middle = F.median(width) if exact else F.percentile_approx(width, 0.5, 100_000)
+    if exact:
+        middle = F.lit(exact_median(df, width)).cast("double")
+    else:
+        middle = F.percentile_approx(width, 0.5, SKETCH_ACCURACY)
     return {"mean_interval_width": F.avg(width), "median_interval_width": middle}
 
 
-def evaluate(df: DataFrame, label: str = C.LABEL, exact_median: bool = True) -> DataFrame:
-    """All metrics in one row and one pass; a missing prediction column counts as 0.0."""
+def evaluate(df: DataFrame, label: str = C.LABEL, exact: bool = True) -> DataFrame:
+    """All metrics in one row; a missing prediction column counts as 0.0.
+
+    One aggregation, plus the two passes of the exact median.
+    """
     y = F.col(label)
     lifts = {
         q: F.col(f"{q}_demand_lift") if f"{q}_demand_lift" in df.columns else F.lit(0.0)
@@ -51,8 +85,9 @@ def evaluate(df: DataFrame, label: str = C.LABEL, exact_median: bool = True) ->
         metrics[f"{q}_coverage"] = coverage(y, lifts[q])
     metrics["p50_mae"] = mae(y, lifts["p50"])
     metrics["p50_mape"] = mape(y, lifts["p50"])
-    metrics.update(interval_width(lifts["p10"], lifts["p90"], exact_median))
-    return df.filter(y.isNotNull()).agg(*[m.alias(n) for n, m in metrics.items()])
+    labelled = df.filter(y.isNotNull())
+    metrics.update(interval_width(labelled, lifts["p10"], lifts["p90"], exact))
+    return labelled.agg(*[m.alias(n) for n, m in metrics.items()])
 
 
 def demand_lift_label(sales: DataFrame, posts: DataFrame, hours: int = 24) -> DataFrame:

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from liftspark import config as C
 from liftspark.operators import evaluate
 from liftspark.operators.features import require
-from liftspark.session import enable_checkpoints
+from liftspark.session import scratch_path
+from liftspark.sources import tables
 
 MANIFEST = "manifest"
 _VECTOR, _LEAF, _PRED, _GRAD = "_features", "_leaf", "_pred", "_gradient"
@@ -81,7 +82,6 @@ def fit_quantile_gbt(
     train: DataFrame, valid: DataFrame, alpha: float, params: C.BoostConfig
 ) -> QuantileModel:
     """Fit one quantile on assembled rows, stopping when validation stops improving."""
-    enable_checkpoints(train.sparkSession)
     label = F.col(C.LABEL)
 
     def quantile_of(value: Column) -> Column:
@@ -91,12 +91,22 @@ def fit_quantile_gbt(
     if start is None:
         raise ValueError("no labelled training rows")
     model = QuantileModel(alpha, float(start), params.learning_rate)
-    sets = {
-        name: df.select("video_id", _VECTOR, C.LABEL)
-        .withColumn(_PRED, F.lit(model.start))
-        .checkpoint()
-        for name, df in (("train", train), ("valid", valid))
-    }
+    spark = train.sparkSession
+    homes = {n: [scratch_path(spark, n), scratch_path(spark, n)] for n in ("train", "valid")}
+
+    def cut(name: str, df: DataFrame) -> DataFrame:
+        """Write the rows with their prediction so far, and go on from the files.
+
+        Two folders take turns: one is read while the other is replaced.
+        """
+        homes[name].reverse()
+        tables.overwrite(df, homes[name][0])
+        return spark.read.schema(df.schema).parquet(homes[name][0])
+
+    sets = {}
+    for name, df in (("train", train), ("valid", valid)):
+        started = df.select("video_id", _VECTOR, C.LABEL).withColumn(_PRED, F.lit(model.start))
+        sets[name] = cut(name, started)
 
     def loss() -> float:
         value = sets["valid"].agg(evaluate.pinball(label, F.col(_PRED), alpha)).first()[0]
@@ -105,7 +115,8 @@ def fit_quantile_gbt(
     model.losses.append(loss())
     best = 0
     for i in range(params.rounds):
-        draw = F.pmod(F.xxhash64("video_id", F.lit(params.seed + i)), F.lit(1000)) / 1000
+        bag_seed = params.seed + i // params.subsample_rounds
+        draw = F.pmod(F.xxhash64("video_id", F.lit(bag_seed)), F.lit(1000)) / 1000
         bag = sets["train"].filter(draw < params.subsample)
         gradient = F.when(label > F.col(_PRED), alpha).otherwise(alpha - 1.0)
         tree = DecisionTreeRegressor(
@@ -121,8 +132,8 @@ def fit_quantile_gbt(
         values = {int(r[_LEAF]): float(r["v"]) for r in rows}  # at most 2^max_depth leaves
         for name in sets:
             sets[name] = _step(sets[name], tree, values, params.learning_rate)
-            if (i + 1) % params.checkpoint_every == 0:
-                sets[name] = sets[name].checkpoint()
+            if (i + 1) % params.cut_every == 0:
+                sets[name] = cut(name, sets[name])
         model.trees.append(tree)
         model.leaf_values.append(values)
         model.losses.append(loss())

@@ -87,7 +87,7 @@ class Workbench:
         return self.risk_mart(self.stored_videos)
 
     def triage(self, risk: DataFrame) -> DataFrame:
-        return A.triage(A.at_risk(risk, self.stored_videos))
+        return A.triage(A.at_risk(risk, self.stored_videos, ordered=False))
 
     @cached_property
     def triaged(self) -> DataFrame:
@@ -486,7 +486,7 @@ def lift_label(w: Workbench) -> DataFrame:
 
 
 def eval_metrics(w: Workbench) -> DataFrame:
-    metrics = E.evaluate(w.scored)
+    metrics = E.evaluate(w.stored_videos)
     return metrics.select(*[F.round(c, 4).alias(c) for c in metrics.columns])
 
 

@@ -96,7 +96,7 @@ def run_hourly(
     tables.overwrite(risk_plan, risk_path)
     risk = spark.read.parquet(risk_path)
 
-    escalated = A.escalated(A.triage(A.at_risk(risk, scored, cfg), cfg))
+    escalated = A.escalated(A.triage(A.at_risk(risk, scored, cfg, ordered=False), cfg))
     new = A.build_alerts(escalated, as_of)
     if throttle:
         new = A.cooldown(new, history, cfg.cooldown_hours)

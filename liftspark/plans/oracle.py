@@ -1,8 +1,8 @@
 """The same queries as SQL text for DuckDB, used only to check results.
 
 Shared steps are common table expressions; a query is the chain of those it needs plus a
-final SELECT. Ratios that are rounded are computed here in whole numbers, half up, so
-that rounding does not hang on the last bit of a division.
+final SELECT. Rates, being ratios of counts, are rounded here in whole numbers, half up,
+so that they do not hang on the last bit of a division.
 """
 
 from __future__ import annotations
@@ -228,7 +228,8 @@ CTES = {
     "staged_skus": f"""
     SELECT sku_id, name AS sku_name, category, unit_price_usd, baseline_daily_demand,
            current_stock, supplier_lead_time_days, reorder_point, viral_sensitivity, created_at,
-           {ratio("current_stock * 100", "quantity", 2, "NULL")} AS days_of_cover,
+           round(CAST(current_stock AS DOUBLE) / NULLIF(baseline_daily_demand, 0), 2)
+               AS days_of_cover,
            CASE WHEN quantity = 0 THEN 'NORMAL'
                 WHEN current_stock / baseline_daily_demand < supplier_lead_time_days THEN 'CRITICAL'
                 WHEN current_stock / baseline_daily_demand < 2 * supplier_lead_time_days

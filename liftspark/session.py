@@ -38,7 +38,6 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         # Plans are built from many small columns; recording a call site for each is slow.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     return tune(builder.getOrCreate())
 
@@ -60,9 +59,3 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def enable_checkpoints(spark: SparkSession) -> None:
-    """Give the context its checkpoint folder, unless it already has one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))

@@ -23,7 +23,7 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
         path = f"{folder}/{t}.parquet"
-        if os.path.exists(path):
+        if os.path.isfile(path):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{path}'")
     return con
 

@@ -11,7 +11,7 @@ from liftspark.operators import quantile as Q
 from liftspark.operators import scoring
 
 PARAMS = C.BoostConfig(
-    rounds=8, learning_rate=0.3, max_depth=3, min_rows_per_leaf=10, patience=8, checkpoint_every=3
+    rounds=8, learning_rate=0.3, max_depth=3, min_rows_per_leaf=10, patience=8, cut_every=3
 )
 
 

@@ -1,6 +1,8 @@
 """Column rules against worked examples."""
 
 import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +221,15 @@ def test_evaluate_without_predictions(spark):
     df = spark.createDataFrame([(1.0,), (3.0,)], "demand_lift_24h double")
     row = E.evaluate(df).first()
     assert row.p50_mae == 2.0 and row.p90_coverage == 0.0 and row.median_interval_width == 0.0
+
+
+@pytest.mark.parametrize("n, spread", [(1, 5), (2, 5), (999, 7), (1000, 7), (5000, 10**6)])
+def test_exact_median(spark, n, spread):
+    rng = random.Random(n)
+    data = [rng.randrange(spread) / 4 for _ in range(n)]
+    df = spark.createDataFrame([(v,) for v in data], "v double").repartition(5)
+    assert E.exact_median(df, F.col("v")) == statistics.median(data)
+
+
+def test_exact_median_of_nothing(spark):
+    assert E.exact_median(spark.createDataFrame([], "v double"), F.col("v")) is None

@@ -1,4 +1,9 @@
-"""The hourly run and the training run over stored tables."""
+"""Runs over stored tables: hourly pipeline, daily catalog refresh, training, review.
+
+Every step ends in a written table and the next one starts from it, so a lost executor
+costs the running step only. Tables that follow the videos are partitioned by the date of
+the post, and a run reads and rewrites the dates of its batch only.
+"""
 
 from __future__ import annotations
 
@@ -9,124 +14,198 @@ from liftspark import config as C
 from liftspark import schemas
 from liftspark.operators import alerts as A
 from liftspark.operators import features as FT
-from liftspark.operators import ingest, quantile, scoring, staging
+from liftspark.operators import ingest, maintenance, quantile, scoring, staging
 from liftspark.plans import marts
 from liftspark.sources import tables, upsert
 
 POSTED_DATE = "posted_date"
+_NEWEST = {
+    "engagement_events": "snapshot_at",
+    "video_metadata": "posted_at",
+    "video_sku_bridge": "posted_at",
+    "sku_catalog": "created_at",
+    "agent_alerts": "updated_at",
+}
+
+
+def _dated(df: DataFrame) -> DataFrame:
+    return df.withColumn(POSTED_DATE, F.to_date("posted_at"))
+
 
+def _touched(batch: DataFrame) -> DataFrame:
+    """Videos of a batch with their post date, which prunes the partitions they join."""
+    return _dated(batch).select("video_id", POSTED_DATE).distinct()
 
-def store_events(spark: SparkSession, root: str, batch: DataFrame) -> None:
-    """Upsert snapshots by event id; only the post dates of the batch are rewritten."""
-    dated = batch.withColumn(POSTED_DATE, F.to_date("posted_at"))
+
+def store(spark: SparkSession, root: str, name: str, new: DataFrame) -> None:
+    """Insert or replace rows of a raw table by its key; events go by post date."""
+    dated = name == "engagement_events"
     upsert.upsert_table(
         spark,
-        tables.table_path(root, "engagement_events"),
-        dated,
-        schemas.KEYS["engagement_events"],
-        [F.col("snapshot_at").desc()],
-        partition_by=POSTED_DATE,
+        tables.table_path(root, name),
+        _dated(new) if dated else new,
+        schemas.KEYS[name],
+        [F.col(_NEWEST[name]).desc()],
+        partition_by=POSTED_DATE if dated else None,
     )
 
 
 def ingest_due(
     spark: SparkSession, root: str, batch: DataFrame, horizon: int = C.SNAPSHOT_HORIZON_HOURS
-) -> None:
-    """Store the rows of the batch that are the next hour of a running video."""
-    videos = tables.read_table(spark, root, "video_metadata")
-    if tables.exists(spark, tables.table_path(root, "engagement_events")):
-        events = tables.read_table(spark, root, "engagement_events")
+) -> DataFrame:
+    """Store the rows of the batch that are the next hour of a running video; returns them.
+
+    The hours reached are looked up for the videos of the batch, not for all videos.
+    """
+    touched = tables.stage(_touched(batch), "touched")
+    videos = tables.read_table(spark, root, "video_metadata").join(touched, "video_id", "left_semi")
+    path = tables.table_path(root, "engagement_events")
+    if tables.exists(spark, path):
+        stored = spark.read.parquet(path)
+        events = stored.join(touched, ["video_id", POSTED_DATE], "left_semi")
     else:
         events = spark.createDataFrame([], schemas.ENGAGEMENT_EVENTS)
-    store_events(spark, root, ingest.due_snapshots(batch, ingest.next_hour(videos, events, horizon)))
+    waiting = ingest.next_hour(videos, events, horizon)
+    due = tables.stage(ingest.due_snapshots(batch, waiting), "due")
+    store(spark, root, "engagement_events", due)
+    return due
 
 
-def refresh_videos(
-    spark: SparkSession, root: str, as_of: Column, clean: bool = True
-) -> DataFrame:
-    """Rebuild the video mart from the stored events."""
-    events = tables.read_table(spark, root, "engagement_events")
-    staged = staging.stg_events(FT.clean_rates(events) if clean else events, as_of)
+def _features(spark: SparkSession, root: str, events: DataFrame, as_of: Column) -> DataFrame:
+    staged = staging.stg_events(FT.clean_rates(events), as_of)
     bridge = tables.read_table(spark, root, "video_sku_bridge")
-    skus = tables.read_table(spark, root, "sku_catalog")
-    path = tables.table_path(root, "mart_videos")
-    tables.overwrite(marts.video_mart(staged, bridge, skus, as_of), path)
-    return spark.read.parquet(path)
+    return FT.features(staged, bridge, tables.read_table(spark, root, "sku_catalog"))
 
 
-def refresh_predictions(
-    spark: SparkSession, root: str, videos: DataFrame, model_path: str | None = None
-) -> DataFrame:
-    """Score what has no prediction yet and append it."""
+def refresh_touched(spark: SparkSession, root: str, batch: DataFrame, as_of: Column) -> None:
+    """Recompute features and mart rows of the videos in the batch.
+
+    A late snapshot changes the two rows after it, so whole videos are recomputed; all
+    others keep their rows.
+    """
+    stored = spark.read.parquet(tables.table_path(root, "engagement_events"))
+    events = stored.join(_touched(batch), ["video_id", POSTED_DATE], "left_semi").drop(POSTED_DATE)
+    rows = tables.stage(_features(spark, root, events, as_of), "touched_features")
+    latest = marts.scored_videos(FT.latest_snapshot(rows), as_of)
+    newest = [F.col("hours_since_post").desc()]
+    for name, df, key in (
+        ("engagement_features", rows, "event_id"),
+        ("mart_videos", latest, "video_id"),
+    ):
+        path = tables.table_path(root, name)
+        upsert.upsert_table(spark, path, _dated(df), [key], newest, partition_by=POSTED_DATE)
+
+
+def rebuild_videos(spark: SparkSession, root: str, as_of: Column) -> None:
+    """Rebuild features and video mart from all stored events."""
+    events = tables.read_table(spark, root, "engagement_events")
+    feature_path = tables.table_path(root, "engagement_features")
+    tables.overwrite(_dated(_features(spark, root, events, as_of)), feature_path, [POSTED_DATE])
+    latest = FT.latest_snapshot(spark.read.parquet(feature_path).drop(POSTED_DATE))
+    mart = _dated(marts.scored_videos(latest, as_of))
+    tables.overwrite(mart, tables.table_path(root, "mart_videos"), [POSTED_DATE])
+
+
+def read_videos(spark: SparkSession, root: str) -> DataFrame:
+    """Video mart with the predictions made so far."""
+    videos = spark.read.parquet(tables.table_path(root, "mart_videos")).drop(POSTED_DATE)
     path = tables.table_path(root, "video_predictions")
-    if tables.exists(spark, path):
-        known = spark.read.parquet(path)
-    else:
-        known = spark.createDataFrame(
-            [], "video_id string, latest_event_id string, p90_demand_lift double"
-        )
-    scoring.score_new(videos, known, model_path).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    if not tables.exists(spark, path):
+        return videos
+    return scoring.attach_predictions(videos, spark.read.parquet(path))
 
 
-def run_hourly(
+def rescore(
     spark: SparkSession,
     root: str,
-    batch: DataFrame,
     as_of: Column,
     model_path: str | None = None,
     cfg: C.RiskConfig = C.RiskConfig(),
-    throttle: bool = False,
-) -> DataFrame:
-    """Ingest, refresh marts, score, triage and append alerts; returns the new alerts.
+) -> int:
+    """Score videos that have no prediction, then rebuild the SKU risk mart.
 
-    Each step ends in a written table and the next one starts from it, so a lost executor
-    costs the running step only. ``throttle`` applies cooldown and hourly cap.
+    Returns the number of videos scored.
     """
-    ingest_due(spark, root, batch)
-    videos = refresh_videos(spark, root, as_of)
-    predictions = refresh_predictions(spark, root, videos, model_path)
-    scored = scoring.attach_predictions(videos, predictions)
-
+    videos = read_videos(spark, root)
+    known = videos.filter(F.col("p90_demand_lift").isNotNull())
+    new = tables.stage(scoring.score_new(videos, known, model_path), "predictions")
+    new.write.mode("append").parquet(tables.table_path(root, "video_predictions"))
     history = tables.ensure_alerts(spark, root)
     staged_skus = staging.stg_skus(tables.read_table(spark, root, "sku_catalog"))
     bridge = tables.read_table(spark, root, "video_sku_bridge")
-    risk_path = tables.table_path(root, "mart_sku_risk")
-    risk_plan = marts.risk_from_videos(staged_skus, bridge, scored, history, as_of, cfg)
-    tables.overwrite(risk_plan, risk_path)
-    risk = spark.read.parquet(risk_path)
+    scored = read_videos(spark, root)
+    risk = marts.risk_from_videos(staged_skus, bridge, scored, history, as_of, cfg)
+    tables.overwrite(risk, tables.table_path(root, "mart_sku_risk"))
+    return new.count()
+
 
-    escalated = A.escalated(A.triage(A.at_risk(risk, scored, cfg, ordered=False), cfg))
-    new = A.build_alerts(escalated, as_of)
+def raise_alerts(
+    spark: SparkSession,
+    root: str,
+    as_of: Column,
+    cfg: C.RiskConfig = C.RiskConfig(),
+    throttle: bool = False,
+) -> DataFrame:
+    """Triage the SKUs at risk and append their alerts; returns the new ones.
+
+    ``throttle`` applies cooldown and hourly cap.
+    """
+    risk = spark.read.parquet(tables.table_path(root, "mart_sku_risk"))
+    at_risk = A.at_risk(risk, read_videos(spark, root), cfg, ordered=False)
+    new = A.build_alerts(A.escalated(A.triage(at_risk, cfg)), as_of)
     if throttle:
+        history = tables.ensure_alerts(spark, root)
         new = A.cooldown(new, history, cfg.cooldown_hours)
         new = A.cap_per_hour(new, cfg.max_alerts_per_hour)
-    new_path = tables.table_path(root, "alerts_new")
-    tables.overwrite(new, new_path)
-    stored = spark.read.schema(schemas.AGENT_ALERTS).parquet(new_path)
-    stored.write.mode("append").parquet(tables.table_path(root, "agent_alerts"))
-    return stored
+    new = tables.stage(new, "alerts")
+    new.write.mode("append").parquet(tables.table_path(root, "agent_alerts"))
+    return new
+
+
+def run_hourly(
+    spark: SparkSession,
+    root: str,
+    batch: DataFrame,
+    as_of: Column,
+    model_path: str | None = None,
+    cfg: C.RiskConfig = C.RiskConfig(),
+    throttle: bool = False,
+) -> DataFrame:
+    """Ingest, refresh the marts, score, triage and append alerts; returns the new alerts."""
+    refresh_touched(spark, root, ingest_due(spark, root, batch), as_of)
+    rescore(spark, root, as_of, model_path, cfg)
+    return raise_alerts(spark, root, as_of, cfg, throttle)
 
 
 def review(spark: SparkSession, root: str, decisions: DataFrame) -> DataFrame:
     """Apply review decisions to the stored alerts; returns the outcome of each."""
     path = tables.table_path(root, "agent_alerts")
     alerts = tables.ensure_alerts(spark, root)
-    outcomes_path = tables.table_path(root, "decision_outcomes")
-    tables.overwrite(A.decision_outcomes(alerts, decisions), outcomes_path)
+    outcomes = tables.stage(A.decision_outcomes(alerts, decisions), "outcomes")
     stage = f"{path}__stage"
     tables.overwrite(A.apply_decisions(alerts, decisions), stage)
     tables.overwrite(spark.read.schema(schemas.AGENT_ALERTS).parquet(stage), path)
-    return spark.read.parquet(outcomes_path)
+    return outcomes
+
+
+def refresh_catalog(spark: SparkSession, root: str, seed: int) -> None:
+    """Daily run: take one day of demand off the stock, then vary the baseline."""
+    path = tables.table_path(root, "sku_catalog")
+    skus = maintenance.drift(
+        maintenance.deplete(tables.read_table(spark, root, "sku_catalog")), seed
+    )
+    stage = f"{path}__stage"
+    tables.overwrite(skus, stage)
+    tables.overwrite(spark.read.schema(schemas.SKU_CATALOG).parquet(stage), path)
 
 
 def train(
     spark: SparkSession,
-    videos: DataFrame,
+    root: str,
     model_path: str,
     params: C.BoostConfig = C.BoostConfig(),
 ) -> dict[str, quantile.QuantileModel]:
-    """Fit the three quantiles on the labelled videos and save them."""
-    models = quantile.fit(videos, params)
+    """Weekly run: fit the three quantiles on the labelled videos and save them."""
+    models = quantile.fit(read_videos(spark, root), params)
     quantile.save_models(spark, models, model_path)
     return models

@@ -3,13 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from liftspark import schemas
-from liftspark.operators import features as FT
-from liftspark.operators import staging
-from liftspark.plans import hourly, marts
-from liftspark.sources import tables, upsert
+from liftspark.plans import hourly
 from liftspark.streaming import sinks
 
 
@@ -26,35 +22,11 @@ def stream_ingest(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        hourly.store_events(batch.sparkSession, root, batch)
+        hourly.store(batch.sparkSession, root, "engagement_events", batch)
 
     sinks.run_batches(events, handle, checkpoint)
 
 
-def refresh_touched(spark: SparkSession, root: str, batch: DataFrame, as_of: Column) -> None:
-    """Recompute features and mart rows of the videos in the batch.
-
-    A late snapshot changes the two rows after it, so whole videos are recomputed; all
-    others keep their rows. The post date in the join key lets Spark prune partitions.
-    """
-    day = hourly.POSTED_DATE
-    touched = batch.select("video_id", F.to_date("posted_at").alias(day)).distinct()
-    stored = spark.read.parquet(tables.table_path(root, "engagement_events"))
-    events = stored.join(touched, ["video_id", day], "left_semi").drop(day)
-    staged = staging.stg_events(FT.clean_rates(events), as_of)
-    bridge = tables.read_table(spark, root, "video_sku_bridge")
-    skus = tables.read_table(spark, root, "sku_catalog")
-    rows = tables.stage(FT.features(staged, bridge, skus), "touched_features")
-    newest = [F.col("hours_since_post").desc()]
-    for name, df, keys in (
-        ("engagement_features", rows, ["event_id"]),
-        ("mart_videos", marts.scored_videos(FT.latest_snapshot(rows), as_of), ["video_id"]),
-    ):
-        dated = df.withColumn(day, F.to_date("posted_at"))
-        path = tables.table_path(root, name)
-        upsert.upsert_table(spark, path, dated, keys, newest, partition_by=day)
-
-
 def stream_refresh(
     spark: SparkSession,
     folder: str,
@@ -72,7 +44,7 @@ def stream_refresh(
         if batch.isEmpty():
             return
         session = batch.sparkSession
-        hourly.store_events(session, root, batch)
-        refresh_touched(session, root, batch, as_of)
+        hourly.store(session, root, "engagement_events", batch)
+        hourly.refresh_touched(session, root, batch, as_of)
 
     sinks.run_batches(events, handle, checkpoint)

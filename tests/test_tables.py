@@ -286,7 +286,7 @@ def test_hourly_run(spark, bench, folder):
         ("video_sku_bridge", bench.raw.bridge),
         ("sku_catalog", bench.raw.skus),
     ):
-        tables.overwrite(df, tables.table_path(folder, name))
+        hourly.store(spark, folder, name, df)
     # The three newest snapshots of each video stand in for its hours 0, 1 and 2.
     newest = Window.partitionBy("video_id").orderBy(F.col("hours_since_post").desc())
     ranked = bench.raw.events.withColumn("n", F.row_number().over(newest)).filter("n <= 3")
@@ -304,7 +304,7 @@ def test_hourly_run(spark, bench, folder):
         assert (new.count() > 0) == (hour == 0)
         total += new.count()
         assert tables.read_table(spark, folder, "agent_alerts").count() == total
-    mart = spark.read.parquet(f"{folder}/mart_videos")
+    mart = tables.stage(spark.read.parquet(f"{folder}/mart_videos").drop("posted_date"), "mart")
     assert mart.count() == videos and mart.agg(F.max("hours_observed")).first()[0] == 2
     predictions = spark.read.parquet(f"{folder}/video_predictions")
     assert predictions.count() == videos * 3
@@ -319,3 +319,13 @@ def test_hourly_run(spark, bench, folder):
     same = ("sku_id", *C.LIFT_COLUMNS, "ml_risk_tier", "projected_stockout_days", "urgency_score")
     assert risk.select(*same).exceptAll(expected.select(*same)).count() == 0
     assert total > 0
+    hourly.rebuild_videos(spark, folder, F.lit(at(2)))
+    rebuilt = spark.read.parquet(f"{folder}/mart_videos").drop("posted_date", "mart_refreshed_at")
+    assert rebuilt.exceptAll(mart.select(*rebuilt.columns)).count() == 0
+    assert rebuilt.count() == videos
+    assert hourly.rescore(spark, folder, F.lit(at(3))) == 0
+    before = bench.raw.skus.agg(F.sum("current_stock")).first()[0]
+    hourly.refresh_catalog(spark, folder, seed=1)
+    after = tables.read_table(spark, folder, "sku_catalog")
+    assert after.count() == bench.raw.skus.count()
+    assert after.agg(F.sum("current_stock")).first()[0] < before

@@ -689,6 +689,11 @@ SELECTS = {
     SELECT sku_id, CAST(GREATEST(current_stock - CAST(baseline_daily_demand AS INTEGER), 0)
                         AS INTEGER) AS current_stock
     FROM skus""",
+    "drift": """
+    SELECT sku_id, round(baseline_daily_demand * (0.95::DOUBLE + 0.10::DOUBLE * (CAST('0x' ||
+               substr(sha256(sku_id || '|42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296)), 1)
+               AS baseline_daily_demand
+    FROM skus""",
     "dq_report": _DQ,
     "dq_freshness": f"""
     SELECT 'freshness' AS "check", 'snapshot_at' AS column_name, age_seconds,

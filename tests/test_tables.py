@@ -329,3 +329,27 @@ def test_hourly_run(spark, bench, folder):
     after = tables.read_table(spark, folder, "sku_catalog")
     assert after.count() == bench.raw.skus.count()
     assert after.agg(F.sum("current_stock")).first()[0] < before
+
+
+def test_views_lists_and_counts(spark, folder):
+    df = spark.createDataFrame([("v", ["A", "B"]), ("w", None)], "video_id string, sku_ids array<string>")
+    coded = tables.encode_lists(df)
+    assert rows_of(coded) == [("v", '["A","B"]'), ("w", "[]")]
+    tables.as_view(coded, "coded")
+    assert spark.table("coded").count() == 2
+    counts = tables.row_counts({"a": df, "b": df.limit(1)})
+    assert rows_of(counts) == [("a", 2), ("b", 1)]
+    assert tables.ensure_alerts(spark, folder).count() == 0
+    assert tables.ensure_alerts(spark, folder).columns == schemas.AGENT_ALERTS.names
+
+
+def test_zero_view_first_rows_are_optional(spark):
+    from liftspark.operators import staging
+
+    df = spark.createDataFrame(
+        [(0, 0, 1, 0, 1), (0, 5, 1, 0, 1), (1, 0, 1, 0, 1)],
+        "hours_since_post int, view_count int, has_link_in_bio int, is_on_foryou int, is_viral int",
+    )
+    assert staging.stg_events(df, F.lit(NOW)).count() == 3
+    kept = staging.stg_events(df, F.lit(NOW), drop_zero_hour0=True)
+    assert kept.count() == 2 and kept.first().is_viral is True

@@ -1,14 +1,20 @@
 """Registry of the text operators' queries and their SQL counterparts."""
 
-from liftspark.llm import compression, decontaminate
+from liftspark.llm import bundles, compression, decontaminate, mixing, novelty, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
         compression.op6_compression_bands,
+        mixing.op2_mix_to_weights,
+        urlfilter.op5_url_filter,
+        bundles.op9_warc_bundles,
+        novelty.op7_secret_scan,
         decontaminate.op10_benchmark_decontamination,
     )
 }
 ORACLES = {
+    "op5_url_filter": urlfilter.ORACLE_SQL,
+    "op2_mix_to_weights": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
 }

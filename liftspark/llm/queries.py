@@ -1,13 +1,15 @@
 """Registry of the text operators' queries and their SQL counterparts."""
 
-from liftspark.llm import bundles, compression, decontaminate, mixing, novelty, urlfilter
+from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, simhash, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
         compression.op6_compression_bands,
         mixing.op2_mix_to_weights,
+        simhash.op4_simhash_near_dedup,
         urlfilter.op5_url_filter,
+        langid.op8_language_id,
         bundles.op9_warc_bundles,
         novelty.op7_secret_scan,
         decontaminate.op10_benchmark_decontamination,

@@ -1,12 +1,13 @@
 """Registry of the text operators' queries and their SQL counterparts."""
 
-from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, simhash, urlfilter
+from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, pii, simhash, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
         compression.op6_compression_bands,
         mixing.op2_mix_to_weights,
+        pii.op3_semi_markov_pii,
         simhash.op4_simhash_near_dedup,
         urlfilter.op5_url_filter,
         langid.op8_language_id,

@@ -41,18 +41,17 @@ def source_key(source: Column) -> Column:
     return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source.cast("string")))
 
 
-def numbered(sources: DataFrame) -> DataFrame:
-    """Rows numbered from 0 in code point order of the source, NULL last.
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with their ``rank`` from 0 in the given order.
 
     Ranges are sorted apart and numbered by the row counts of the ranges before them, so no
-    task holds all sources.
+    task holds all rows.
     """
-    null_last = [F.col("source").isNull(), F.col("source")]
-    ranged = sources.repartitionByRange(*null_last).sortWithinPartitions(*null_last)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     row = F.monotonically_increasing_id()
     ranged = stage(
         ranged.withColumn("_part", F.shiftright(row, 33)).withColumn("_row", row.bitwiseAND((1 << 33) - 1)),
-        "sources",
+        "ranges",
     )
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranged.groupBy("_part").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0)))
@@ -68,7 +67,11 @@ def targets(sizes: DataFrame) -> DataFrame:
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("rank") % len(WEIGHTS) + 1).cast("int"))
-    sources = stage(numbered(sources).withColumn("weight", weight.cast("long")), "weights")
+    sources = stage(
+        # In code point order, NULL last.
+        numbered(sources, F.col("source").isNull(), F.col("source")).withColumn("weight", weight.cast("long")),
+        "weights",
+    )
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     cap = F.lit(float(CAP)) * F.col("source_size")
     capped, last = F.lit(False), None

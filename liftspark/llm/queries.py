@@ -1,10 +1,11 @@
 """Registry of the text operators' queries and their SQL counterparts."""
 
-from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, pii, simhash, urlfilter
+from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, pii, simhash, suffixes, urlfilter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        suffixes.op1_suffix_array_dedup,
         compression.op6_compression_bands,
         mixing.op2_mix_to_weights,
         pii.op3_semi_markov_pii,

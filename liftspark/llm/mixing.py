@@ -21,7 +21,7 @@ columns cannot clash.
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftspark.llm.texts import n_words, table
+from liftspark.llm.texts import free_name, n_words, table
 from liftspark.sources.tables import stage
 
 WEIGHTS = (5, 2, 1)
@@ -120,34 +120,31 @@ def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often each document is taken."""
-    sizes = docs.select(
-        key.alias("doc_id"), source.cast("string").alias("source"), size.alias("size"), hash32(key).alias("hash")
-    )
-    sizes = stage(sizes.withColumn("key", source_key(F.col("source"))), "sizes")
+def plan(sizes: DataFrame) -> DataFrame:
+    """Per source key: size, target, whole epochs, and the hash ranges taken once more.
+
+    ``sizes`` has source, key, size and hash of every document. A range ``n`` takes hashes
+    from ``from<n>`` to below ``to<n>`` of documents of at most ``most<n>`` words.
+    """
     epochs = F.floor(F.col("target") / F.col("source_size"))
-    plan = targets(sizes).select(
+    state = targets(sizes).select(
         source_key(F.col("source")).alias("key"),
         "source_size",
         "target",
         F.coalesce(F.when(F.col("source_size") > 0, epochs), F.lit(0)).alias("epochs"),
     )
-    plan = plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
-    plan = stage(plan.withColumn("limit", F.lit(0).cast("long")), "plan")
+    state = state.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    state = stage(state.withColumn("limit", F.lit(0).cast("long")), "plan")
     sized = sizes.select("key", "size", "hash")
-    steps = []
-    for _ in range(PASSES):
+    for n in range(PASSES):
         # Only what fits into the rest of the budget and lies above the last threshold.
-        state = plan.select("key", "budget", F.col("limit").alias("from"))
-        open_rows = sized.join(state, "key").filter("hash >= from AND size <= budget AND size > 0")
-        found = threshold(open_rows.select("key", "size", "hash"), plan.select("key", "budget"))
-        n = len(steps)
-        steps.append(n)
-        after = plan.join(found.withColumnRenamed("limit", "next"), "key", "left")
-        plan = stage(
+        rest = state.select("key", "budget", F.col("limit").alias("from"))
+        open_rows = sized.join(rest, "key").filter("hash >= from AND size <= budget AND size > 0")
+        found = threshold(open_rows.select("key", "size", "hash"), state.select("key", "budget"))
+        after = state.join(found.withColumnRenamed("limit", "next"), "key", "left")
+        state = stage(
             after.select(
-                *[c for c in plan.columns if c not in ("budget", "limit")],
+                *[c for c in state.columns if c not in ("budget", "limit")],
                 F.col("limit").alias(f"from{n}"),
                 F.coalesce("next", "limit").alias(f"to{n}"),
                 F.col("budget").alias(f"most{n}"),
@@ -156,15 +153,40 @@ def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame
             ),
             "plan",
         )
+    return state
+
+
+def copies(size: Column, hashed: Column, of) -> Column:
+    """How often a document is taken; ``of`` gives the columns of its source's plan."""
     extra = F.lit(False)
-    for n in steps:
-        extra |= (F.col("hash") >= F.col(f"from{n}")) & (F.col("hash") < F.col(f"to{n}")) & (
-            F.col("size") <= F.col(f"most{n}")
-        )
-    copies = F.when(F.col("size") > 0, F.col("epochs") + extra.cast("long")).otherwise(F.lit(0))
-    return sizes.join(plan, "key").select(
-        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies")
-    )
+    for n in range(PASSES):
+        extra |= (hashed >= of(f"from{n}")) & (hashed < of(f"to{n}")) & (size <= of(f"most{n}"))
+    return F.when(size > 0, of("epochs") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
+
+
+def sizes_of(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
+    """(doc_id, source, key, size, hash) of every document, written once."""
+    source = source.cast("string")
+    columns = {"doc_id": key, "source": source, "key": source_key(source), "size": size, "hash": hash32(key)}
+    return stage(docs.select(*[c.alias(n) for n, c in columns.items()]), "sizes")
+
+
+def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how often each document is taken."""
+    sizes = sizes_of(docs, key, source, size)
+    planned = sizes.join(plan(sizes), "key")
+    taken = copies(F.col("size"), F.col("hash"), F.col)
+    return planned.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"))
+
+
+def take(docs: DataFrame) -> DataFrame:
+    """The documents of the mix with their columns, and ``copies`` (1 or 2; a new name if taken)."""
+    key, source, size = F.col("doc_id"), F.col("source"), n_words(F.col("text"))
+    of, name = free_name(docs, "_plan"), free_name(docs, "copies")
+    planned = plan(sizes_of(docs, key, source, size)).select(F.struct("*").alias(of))
+    joined = docs.join(planned, source_key(source) == F.col(f"{of}.key"))
+    joined = joined.withColumn(name, copies(size, hash32(key), lambda c: F.col(f"{of}.{c}")))
+    return joined.filter(F.col(name) > 0).drop(of)
 
 
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

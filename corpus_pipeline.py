@@ -1,8 +1,67 @@
-"""Corpus preparation in five stages, from quality rules to the final mix."""
+"""Corpus preparation in five stages, from quality rules to the final mix.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes what a stage
+returns to the shared folder and reads it again as the next one's documents, so a lost
+executor costs one stage at most. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from liftspark.llm import compression, decontaminate, mixing, novelty, simhash
+from liftspark.llm.texts import table
+from liftspark.sources.tables import stage
+
+
+def recounted(docs: DataFrame) -> DataFrame:
+    """``n_chars`` in step with a changed text."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the compression bands and word rules accept."""
+    return compression.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each SimHash component."""
+    return simhash.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the benchmark passages in their texts."""
+    return recounted(decontaminate.cut_passages(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return recounted(novelty.mask_secrets(docs))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix, and how many copies of each it takes."""
+    return mixing.take(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scan),
+    ("mixing to target weights", mixture),
+]
+# Compression ratios, XXH64 and novelty cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents."""
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES:
+        docs = stage(function(spark, docs, sf_dir), name.replace(" ", "_"))
+    return docs

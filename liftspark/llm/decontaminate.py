@@ -35,6 +35,7 @@ _FOLD = bytes(
     b if b >= 128 or chr(b) in "0123456789abcdefghijklmnopqrstuvwxyz" else b + 32 if 65 <= b <= 90 else 32
     for b in range(256)
 )
+_LOWER = {c: c + 32 for c in range(65, 91)}  # keeps every offset
 HITS = (
     StructType()
     .add("n_words", LongType())
@@ -100,7 +101,7 @@ def offsets(text, starts, ends) -> list:
     """Code point spans of word runs in the original text."""
     if starts is None or not len(starts):
         return []
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(text.translate(_LOWER))]
     return [(at[a][0], at[b - 1][1]) for a, b in zip(starts, ends)]
 
 

@@ -126,11 +126,11 @@ def test_small_blocks_find_the_same(spark, documents):
 
 def test_cutting_passages(spark):
     words = [f"w{i}" for i in range(30)]
-    text = "Before it. " + " ".join(words) + " After, é it."
+    text = "A B c D Before It. " + " ".join(words).upper() + " After, é it."
     df = spark.createDataFrame([(1, text, 5), (2, "clean é text", 6), (3, None, 7)], "doc_id long, text string, _hits long")
     bench = spark.createDataFrame([("q", " ".join(words))], "item_id string, text string")
     rows = {r.doc_id: r.text for r in decontaminate.cut_passages(df, bench).collect()}
-    assert rows == {1: "Before it.  After, é it.", 2: "clean é text", 3: None}
+    assert rows == {1: "A B c D Before It.  After, é it.", 2: "clean é text", 3: None}
 
 
 @pytest.mark.parametrize("query", [compression.op6_compression_bands, decontaminate.op10_benchmark_decontamination])

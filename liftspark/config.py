@@ -23,6 +23,7 @@ CATEGORIES = (
 )
 RISK_TIERS = ("CRITICAL", "WARNING", "WATCH", "NORMAL")
 ALERT_STATUSES = ("PENDING", "APPROVED", "DISMISSED")
+SUPPRESSED = "SUPPRESSED"  # own status of alerts the hourly cap held back
 
 # ---- Fixed values: encodings (ordinal, with the value used for anything else) ----
 PLATFORM_CODES = {"tiktok": 0, "instagram": 1, "youtube": 2}
@@ -85,7 +86,7 @@ class TierRule:
 
 @dataclass(frozen=True)
 class RiskConfig:
-    """Thresholds of the SKU tiers, triage and alert throttling."""
+    """Thresholds of the SKU tiers, triage and alert throttling. Fixed values."""
 
     critical: TierRule = TierRule(3.0, 7, 0, "draft_purchase_order")
     warning: TierRule = TierRule(2.0, 14, 2, "draft_alert")
@@ -101,13 +102,16 @@ class RiskConfig:
 
 @dataclass(frozen=True)
 class BoostConfig:
-    """Hyper-parameters of the quantile learner."""
+    """Hyper-parameters of the quantile learner. Fixed values down to ``patience``."""
 
     rounds: int = 500
     learning_rate: float = 0.05
     max_depth: int = 6
     min_rows_per_leaf: int = 20
     subsample: float = 0.8
+    column_share: float = 0.8  # of the features each tree may use
+    l1: float = 0.1
+    l2: float = 0.1
     subsample_rounds: int = 5  # rounds that share one sample
     patience: int = 50
     train_ratio: float = 0.8

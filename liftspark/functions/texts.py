@@ -68,6 +68,11 @@ REASON_TEXTS = {
 EXTREME_LIFT = 3.0
 
 
+STRENGTH_WORDS = ("extreme", "significant")
+STOCK_WORDS = ("dangerously low", "below comfortable levels")
+NOTICE_ICONS = ("🔴", "🟠")
+
+
 def fixed(value: Column, digits: int) -> Column:
     """Number with exactly ``digits`` decimals and no grouping."""
     return F.format_string(f"%.{digits}f", F.round(value.cast("double"), digits))
@@ -132,10 +137,10 @@ def alert_card() -> Column:
 
 def summary() -> Column:
     c = F.col
-    strength = F.when(c("p90_demand_lift") >= EXTREME_LIFT, "extreme").otherwise("significant")
+    strength = F.when(c("p90_demand_lift") >= EXTREME_LIFT, STRENGTH_WORDS[0]).otherwise(STRENGTH_WORDS[1])
     stock = F.when(
-        c("days_of_cover") < c("supplier_lead_time_days"), "dangerously low"
-    ).otherwise("below comfortable levels")
+        c("days_of_cover") < c("supplier_lead_time_days"), STOCK_WORDS[0]
+    ).otherwise(STOCK_WORDS[1])
     return _fill(
         SUMMARY_TEXT,
         c("sku_id"),
@@ -173,7 +178,7 @@ def notice(alert_id: Column) -> Column:
     c = F.col
     return _fill(
         NOTICE_TEXT,
-        F.when(c("risk_tier") == "CRITICAL", "🔴").otherwise("🟠"),
+        F.when(c("risk_tier") == "CRITICAL", NOTICE_ICONS[0]).otherwise(NOTICE_ICONS[1]),
         c("risk_tier"),
         c("sku_id"),
         c("sku_name"),

@@ -199,18 +199,32 @@ def cooldown(candidates: DataFrame, history: DataFrame, hours: int) -> DataFrame
     )
 
 
-def cap_per_hour(alerts: DataFrame, n: int) -> DataFrame:
-    """The n most pressing alerts of each hour: by tier, then P90.
+def _hour() -> Column:
+    return F.date_trunc("hour", F.col("created_at"))
+
+
+def cap_per_hour(alerts: DataFrame, n: int, stored: DataFrame | None = None) -> DataFrame:
+    """The most pressing alerts of each hour, by tier, then P90: n less those ``stored``.
 
     The rank filter leaves n rows per hour and task before the shuffle.
     """
-    hour = F.date_trunc("hour", F.col("created_at"))
     tier = tiers.tier_order(F.col("risk_tier"))
-    pressing = Window.partitionBy(hour).orderBy(
+    pressing = Window.partitionBy(_hour()).orderBy(
         tier, F.col("p90_demand_lift").desc_nulls_last(), "sku_id"
     )
-    ranked = alerts.withColumn("_rank", F.row_number().over(pressing))
-    return ranked.filter(F.col("_rank") <= n).drop("_rank")
+    ranked = alerts.withColumn("_rank", F.row_number().over(pressing)).filter(F.col("_rank") <= n)
+    if stored is not None:
+        used = stored.groupBy(_hour().alias("_hour")).agg(F.count(F.lit(1)).alias("_used"))
+        ranked = ranked.withColumn("_hour", _hour()).join(used, "_hour", "left")
+        ranked = ranked.filter(F.col("_rank") + F.coalesce("_used", F.lit(0)) <= n)
+    return ranked.select(*alerts.columns)
+
+
+def suppress_beyond_cap(alerts: DataFrame, stored: DataFrame, n: int) -> DataFrame:
+    """All alerts; those the cap of their hour holds back have the status SUPPRESSED."""
+    passed = cap_per_hour(alerts, n, stored).select("alert_id", F.lit(True).alias("_passed"))
+    status = F.when(F.col("_passed"), F.col("status")).otherwise(C.SUPPRESSED)
+    return alerts.join(passed, "alert_id", "left").withColumn("status", status).select(*alerts.columns)
 
 
 def _first_decisions(decisions: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftspark import config as C
@@ -29,34 +29,45 @@ def mape(y: Column, q: Column) -> Column:
 
 SKETCH_ACCURACY = 100_000
 BRACKET = (0.4999, 0.5001)  # wider than the sketch can err
+SLICES = 4096
 
 
 def exact_median(df: DataFrame, value: Column) -> float | None:
-    """Exact median in two passes, without gathering the values.
+    """Exact median without gathering or ranking the values.
 
-    A mergeable sketch brackets the middle of the order; only distinct values inside the
-    bracket, a few out of ten thousand, are then counted and ranked. The driver sees
-    five numbers.
+    A mergeable sketch brackets the middle of the order, then the bracket is narrowed by
+    counting: each pass counts, per equal slice of the bracket, the values in it, and goes
+    on in the slice of the middle rank. A pass moves ``SLICES`` numbers; the bracket ends
+    on a single value after a few passes, however many values lie in it.
     """
-    values = df.select(value.alias("v")).filter("v IS NOT NULL")
+    values = df.select(value.cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
     ends = F.percentile_approx("v", list(BRACKET), SKETCH_ACCURACY).alias("ends")
     n, ends = values.agg(F.count("v"), ends).first()
     if not n:
         return None
-    low, high = ends
-    below = F.count_if(F.col("v") < low).alias("below")
-    inside = values.filter(F.col("v").between(low, high)).groupBy("v").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    skipped = values.agg(below).first().below
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + skipped
-    lower, upper = (n + 1) // 2, n // 2 + 1  # the two middle ranks, equal if n is odd
-    middle = inside.withColumn("upto", upto).agg(
-        F.min(F.when(F.col("upto") >= lower, F.col("v"))),
-        F.min(F.when(F.col("upto") >= upper, F.col("v"))),
-    )
-    a, b = middle.first()
-    return (a + b) / 2
+    return (_ranked(values, (n + 1) // 2, *ends) + _ranked(values, n // 2 + 1, *ends)) / 2
+
+
+def _ranked(values: DataFrame, rank: int, low: float, high: float) -> float:
+    """The value of a rank, which lies between ``low`` and ``high``."""
+    v = F.col("v")
+    while low < high:
+        width = (high - low) / SLICES
+        cut = F.least(F.floor((v - low) / width), F.lit(SLICES - 1)) if width > 0 else F.lit(0)
+        slice_ = F.when(v < low, -1).when(v <= high, cut)
+        rows = values.groupBy(slice_.alias("s")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b"))
+        counts = {r.s: r for r in rows.filter("s IS NOT NULL").collect()}
+        seen = counts.pop(-1).n if -1 in counts else 0
+        for s in sorted(counts):
+            seen += counts[s].n
+            if seen >= rank:
+                break
+        if (counts[s].a, counts[s].b) == (low, high):
+            # Neighbouring numbers: no slice parts them any more.
+            below = values.agg(F.count_if(v <= low)).first()[0]
+            return low if below >= rank else high
+        low, high = counts[s].a, counts[s].b
+    return low
 
 
 def interval_width(df: DataFrame, p10: Column, p90: Column, exact: bool = True) -> dict[str, Column]:

@@ -37,3 +37,29 @@ def due_snapshots(batch: DataFrame, waiting: DataFrame) -> DataFrame:
     """Rows of the batch that are the next hour of their video."""
     keyed = waiting.select("video_id", F.col("next_hour").alias("hours_since_post"))
     return batch.join(keyed, ["video_id", "hours_since_post"], "left_semi").select(*batch.columns)
+
+
+def within_horizon(
+    batch: DataFrame, horizon: int = C.SNAPSHOT_HORIZON_HOURS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of the hours that are tracked, and the others with the reason."""
+    hour = F.col("hours_since_post")
+    reason = (
+        F.when(hour.isNull(), "no_hour").when(hour < 0, "before_post").when(hour >= horizon, "beyond_horizon")
+    )
+    return batch.filter(reason.isNull()), batch.withColumn("reason", reason).filter("reason IS NOT NULL")
+
+
+def progress(events: DataFrame, horizon: int = C.SNAPSHOT_HORIZON_HOURS) -> DataFrame:
+    """Hours stored and missing of each video up to the highest, and whether it is finished."""
+    hours = events.groupBy("video_id").agg(
+        F.max("hours_since_post").alias("max_hour"), F.count_distinct("hours_since_post").alias("stored_hours")
+    )
+    missing = F.col("max_hour") + 1 - F.col("stored_hours")
+    return hours.select(
+        "video_id",
+        "max_hour",
+        "stored_hours",
+        missing.alias("missing_hours"),
+        (F.col("max_hour") >= horizon - 1).alias("is_finished"),
+    )

@@ -142,6 +142,69 @@ def check_freshness(
     )
 
 
+# The declared tests of the tables.
+_VIDEO_KINDS = {"platform": C.PLATFORMS, "creator_tier": C.CREATOR_TIERS}
+_EVENT_TESTS = ("event_id", "video_id", "hours_since_post", "platform", "creator_tier", "view_count")
+_RISK_TIER = {"inventory_risk_tier": C.RISK_TIERS}
+DECLARED = {
+    "engagement_events": (["event_id"], [*_EVENT_TESTS], _VIDEO_KINDS),
+    "sku_catalog": (["sku_id"], ["sku_id", "baseline_daily_demand"], {}),
+    "video_metadata": (["video_id"], ["video_id", "platform"], {}),
+    "video_sku_bridge": ([], ["video_id", "sku_id"], {}),
+    "agent_alerts": (["alert_id"], ["alert_id"], {}),
+    "stg_engagement_events": (["event_id"], [*_EVENT_TESTS, "save_rate", "is_viral"], _VIDEO_KINDS),
+    "stg_sku_catalog": (
+        ["sku_id"],
+        ["sku_id", "sku_name", "category", "days_of_cover", "inventory_risk_tier", "viral_sensitivity"],
+        {"category": C.CATEGORIES, **_RISK_TIER},
+    ),
+    "int_engagement_features": (
+        ["event_id"],
+        [
+            "event_id",
+            "video_id",
+            "hours_since_post",
+            "views_velocity_3h",
+            "engagement_score",
+            "creator_tier_encoded",
+            "platform_encoded",
+        ],
+        {"creator_tier_encoded": (0, 1, 2, 3, 4), "platform_encoded": (0, 1, 2)},
+    ),
+    "int_sku_inventory": (
+        ["sku_id"],
+        ["sku_id", "inventory_risk_tier", "urgency_score", "days_of_cover"],
+        _RISK_TIER,
+    ),
+    "mart_scored_videos": (
+        ["video_id"],
+        ["video_id", "platform", "engagement_score", "hours_observed", "sku_viral_sensitivity"],
+        {"platform": C.PLATFORMS},
+    ),
+    "mart_sku_risk": (
+        ["sku_id"],
+        ["sku_id", "inventory_risk_tier", "urgency_score", "days_of_cover"],
+        _RISK_TIER,
+    ),
+    "mart_trending_videos": (["video_id", "rank"], ["video_id", "engagement_score", "rank"], {}),
+}
+
+
+def check_declared(df: DataFrame, unique: Sequence[str], not_null: Sequence[str], accepted: Mapping) -> list:
+    """All declared tests of a table: one aggregate, and one for its unique columns.
+
+    Unique columns share a scan as (column, value) rows, which combine on the map side.
+    """
+    measures = {("not_null", c): F.count_if(F.col(c).isNull()) for c in not_null}
+    measures |= {("accepted_values", c): F.count_if(~F.col(c).isin(*v)) for c, v in accepted.items()}
+    results = [_unpivot(df, measures)]
+    if unique:
+        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in unique])
+        repeated = df.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("c", "v").count().filter("count > 1")
+        results.append(_unpivot(repeated, {("unique", c): F.count_if(F.col("c") == c) for c in unique}))
+    return results
+
+
 SEVERITY = {"unique": "error", "not_null": "error"}  # Fixed values; all others warn.
 
 

@@ -3,61 +3,115 @@
 Spark's boosted trees know squared and absolute loss only. Here each round fits one
 ``DecisionTreeRegressor`` to the pinball gradient, takes the quantile of the residuals in
 each leaf, and adds it, shrunk, to the prediction. Trees, leaf quantiles and validation
-loss are Spark jobs; the driver holds one number per leaf and the loss history.
+loss are Spark jobs; the driver holds the nodes of the trees and the loss history.
+
+A fitted tree is kept as rows of a node table: all trees of a version are one small stored
+table, loading reads it once, and prediction walks all trees in one vectorised function.
 """
 
 from __future__ import annotations
 
-import json
+import math
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
+import pandas as pd
 from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from liftspark import config as C
 from liftspark.operators import evaluate
 from liftspark.operators.features import require
 from liftspark.session import scratch_path
-from liftspark.sources import tables
+from liftspark.sources import stored, tables
 
-MANIFEST = "manifest"
-_VECTOR, _LEAF, _PRED, _GRAD = "_features", "_leaf", "_pred", "_gradient"
+_VECTOR, _SUBSET, _LEAF, _PRED, _GRAD = "_features", "_subset", "_leaf", "_pred", "_gradient"
 SKETCH_ACCURACY = 100_000
+MAX_NODES = 2_000_000  # of all trees; bounds what is broadcast
+NODES = (
+    "q string, alpha double, start double, tree int, node int, feature int, threshold double,"
+    " low int, high int, value double"
+)
+
+
+@dataclass
+class Tree:
+    """Nodes in pre-order: inner ones test ``feature <= threshold``, leaves have a value."""
+
+    feature: list[int]
+    threshold: list[float]
+    low: list[int]
+    high: list[int]
+    value: list[float]
+
+    def depth(self) -> int:
+        deep = [0] * len(self.feature)
+        for i, f in enumerate(self.feature):
+            if f >= 0:
+                deep[self.low[i]] = deep[self.high[i]] = deep[i] + 1
+        return max(deep)
 
 
 @dataclass
 class QuantileModel:
-    """A start value and shrunken trees with one value per leaf."""
+    """A start value and trees whose leaves hold shrunken values."""
 
     alpha: float
     start: float
-    learning_rate: float
-    trees: list[DecisionTreeRegressionModel] = field(default_factory=list)
-    leaf_values: list[dict[int, float]] = field(default_factory=list)
+    trees: list[Tree] = field(default_factory=list)
     losses: list[float] = field(default_factory=list)
 
     def cut(self, rounds: int) -> QuantileModel:
-        return QuantileModel(
-            self.alpha,
-            self.start,
-            self.learning_rate,
-            self.trees[:rounds],
-            self.leaf_values[:rounds],
-            self.losses[: rounds + 1],
-        )
+        return QuantileModel(self.alpha, self.start, self.trees[:rounds], self.losses[: rounds + 1])
+
+
+_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
+
+
+def nodes_of(fitted: DecisionTreeRegressionModel, columns: list[int], values: list[float]) -> Tree:
+    """Nodes of a fitted tree from its description, read in pre-order.
+
+    ``columns`` maps the features of the tree to those of the model, ``values`` are the
+    leaf values in the order Spark numbers leaves, which is pre-order too.
+    """
+    lines = [line.strip() for line in fitted.toDebugString.splitlines()[1:]]
+    lines = [line for line in lines if line.startswith(("If", "Predict"))]
+    tree, leaves = Tree([], [], [], [], []), iter(values)
+
+    def build() -> int:
+        line, at = lines.pop(0), len(tree.feature)
+        for column in (tree.feature, tree.threshold, tree.low, tree.high, tree.value):
+            column.append(-1)
+        if match := _SPLIT.match(line):
+            tree.feature[at] = columns[int(match.group(1))]
+            tree.threshold[at] = float(match.group(2))
+            tree.value[at] = 0.0
+            tree.low[at] = build()
+            tree.high[at] = build()
+        else:
+            tree.threshold[at], tree.value[at] = 0.0, next(leaves)
+            tree.low[at] = tree.high[at] = at
+        return at
+
+    build()
+    return tree
 
 
 def split(
     df: DataFrame, ratio: float = 0.8, seed: int = 42, key: str = "video_id"
 ) -> tuple[DataFrame, DataFrame]:
-    """Training and validation rows by a hash of the key: the same on every run and
-    under any partitioning."""
-    share = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) / 10_000
-    return df.filter(share < ratio), df.filter(share >= ratio)
+    """Training and validation rows by a hash of the key: the same on every run, under any
+    partitioning and in any engine."""
+    digits = F.substring(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256), 1, 8)
+    share = F.conv(digits, 16, 10).cast("long") / (1 << 32)
+    return df.filter(share < ratio), df.filter(~F.coalesce(share < ratio, F.lit(False)))
 
 
 def assemble(df: DataFrame, features=C.FEATURE_COLUMNS) -> DataFrame:
@@ -67,15 +121,22 @@ def assemble(df: DataFrame, features=C.FEATURE_COLUMNS) -> DataFrame:
     return assembler.transform(df)
 
 
-def _leaf_value(values: dict[int, float], rate: float) -> Column:
-    """Shrunken value of the leaf a row fell into."""
-    pairs = [F.lit(x) for leaf, v in values.items() for x in (float(leaf), v * rate)]
+def _leaf_values(values: dict[int, float]) -> Column:
+    """Value of the leaf a row fell into."""
+    pairs = [F.lit(x) for leaf, v in values.items() for x in (float(leaf), v)]
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(_LEAF)), F.lit(0.0))
 
 
-def _step(df: DataFrame, tree: DecisionTreeRegressionModel, values: dict, rate: float) -> DataFrame:
-    added = F.col(_PRED) + _leaf_value(values, rate)
-    return tree.transform(df).withColumn(_PRED, added).drop(_LEAF, tree.getPredictionCol())
+def shrunken(value: float, n: int, params: C.BoostConfig) -> float:
+    """Leaf value after L1 and L2, which weigh less the more rows a leaf has."""
+    size = max(abs(value) * n - params.l1, 0.0) / (n + params.l2)
+    return params.learning_rate * math.copysign(size, value)
+
+
+def columns_of(round_: int, n: int, params: C.BoostConfig) -> list[int]:
+    """Features the tree of a round may use."""
+    count = max(1, math.ceil(params.column_share * n))
+    return sorted(np.random.default_rng([params.seed, round_]).choice(n, count, replace=False).tolist())
 
 
 def fit_quantile_gbt(
@@ -90,7 +151,7 @@ def fit_quantile_gbt(
     start = train.agg(quantile_of(label)).first()[0]
     if start is None:
         raise ValueError("no labelled training rows")
-    model = QuantileModel(alpha, float(start), params.learning_rate)
+    model = QuantileModel(alpha, float(start))
     spark = train.sparkSession
     homes = {n: [scratch_path(spark, n), scratch_path(spark, n)] for n in ("train", "valid")}
 
@@ -119,23 +180,31 @@ def fit_quantile_gbt(
         draw = F.pmod(F.xxhash64("video_id", F.lit(bag_seed)), F.lit(1000)) / 1000
         bag = sets["train"].filter(draw < params.subsample)
         gradient = F.when(label > F.col(_PRED), alpha).otherwise(alpha - 1.0)
+        columns = columns_of(i, len(params.features), params)
+        slicer = VectorSlicer(inputCol=_VECTOR, outputCol=_SUBSET, indices=columns)
         tree = DecisionTreeRegressor(
-            featuresCol=_VECTOR,
+            featuresCol=_SUBSET,
             labelCol=_GRAD,
             leafCol=_LEAF,
             maxDepth=params.max_depth,
             minInstancesPerNode=params.min_rows_per_leaf,
             seed=params.seed,
-        ).fit(bag.withColumn(_GRAD, gradient))
+        ).fit(slicer.transform(bag.withColumn(_GRAD, gradient)))
+
+        def fallen(df: DataFrame, tree=tree, slicer=slicer) -> DataFrame:
+            return tree.transform(slicer.transform(df)).drop(_SUBSET, tree.getPredictionCol())
+
         residual = label - F.col(_PRED)
-        rows = tree.transform(bag).groupBy(_LEAF).agg(quantile_of(residual).alias("v")).collect()
-        values = {int(r[_LEAF]): float(r["v"]) for r in rows}  # at most 2^max_depth leaves
+        sums = fallen(bag).groupBy(_LEAF).agg(quantile_of(residual).alias("v"), F.count("*").alias("n"))
+        # At most 2^max_depth leaves.
+        values = {int(r[_LEAF]): shrunken(float(r.v), r.n, params) for r in sums.collect()}
         for name in sets:
-            sets[name] = _step(sets[name], tree, values, params.learning_rate)
+            added = F.col(_PRED) + _leaf_values(values)
+            sets[name] = fallen(sets[name]).withColumn(_PRED, added).drop(_LEAF)
             if (i + 1) % params.cut_every == 0:
                 sets[name] = cut(name, sets[name])
-        model.trees.append(tree)
-        model.leaf_values.append(values)
+        leaves = sum(line.strip().startswith("Predict") for line in tree.toDebugString.splitlines())
+        model.trees.append(nodes_of(tree, columns, [values.get(k, 0.0) for k in range(leaves)]))
         model.losses.append(loss())
         if model.losses[-1] < model.losses[best]:
             best = i + 1
@@ -157,49 +226,99 @@ def fit(df: DataFrame, params: C.BoostConfig = C.BoostConfig()) -> dict[str, Qua
     return dict(zip(C.QUANTILES, fitted))
 
 
+class Forest:
+    """All trees of the three quantiles as flat arrays."""
+
+    def __init__(self, models: dict[str, QuantileModel]):
+        trees = [(number, t) for number, m in enumerate(models.values()) for t in m.trees]
+        sizes = [len(t.feature) for _, t in trees]
+        if sum(sizes) > MAX_NODES:
+            raise ValueError(f"{sum(sizes)} nodes exceed {MAX_NODES}")
+        self.roots = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if trees else []
+        self.quantile = [number for number, _ in trees]
+        self.depths = [t.depth() for _, t in trees]
+        self.starts = [m.start for m in models.values()]
+
+        def flat(name: str, kind) -> np.ndarray:
+            return np.array([x for _, t in trees for x in getattr(t, name)], kind)
+
+        base = np.repeat(self.roots, sizes) if trees else np.zeros(0, np.int64)
+        self.feature = np.maximum(flat("feature", np.int64), 0)
+        self.threshold = flat("threshold", np.float64)
+        self.low, self.high = flat("low", np.int64) + base, flat("high", np.int64) + base
+        self.value = flat("value", np.float64)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Raw predictions (rows, quantiles), added up in the order of the trees."""
+        out = np.tile(np.array(self.starts), (len(x), 1))
+        rows = np.arange(len(x))
+        for root, number, depth in zip(self.roots, self.quantile, self.depths):
+            at = np.full(len(x), root)
+            for _ in range(depth):
+                goes_low = x[rows, self.feature[at]] <= self.threshold[at]
+                at = np.where(goes_low, self.low[at], self.high[at])
+            out[:, number] += self.value[at]
+        return out
+
+
 def predict(
     df: DataFrame, models: dict[str, QuantileModel], features=C.FEATURE_COLUMNS
 ) -> DataFrame:
-    """Add the three lifts; per row they are put in ascending order."""
+    """Add the three lifts; per row they are put in ascending order, and not below zero."""
+    require(df, features, "predict")
     columns = [c for c in df.columns if c not in C.LIFT_COLUMNS]
-    scored = assemble(df.select(*columns), features)
-    for q, model in models.items():
-        scored = scored.withColumn(_PRED, F.lit(model.start))
-        for tree, values in zip(model.trees, model.leaf_values):
-            scored = _step(scored, tree, values, model.learning_rate)
-        scored = scored.withColumnRenamed(_PRED, f"_{q}")
-    ordered = F.array_sort(F.array(*[F.col(f"_{q}") for q in C.QUANTILES]))
-    lifts = [
-        F.greatest(F.get("_ordered", F.lit(i)), F.lit(0.0)).alias(name)
-        for i, name in enumerate(C.LIFT_COLUMNS)
-    ]
-    return scored.withColumn("_ordered", ordered).select(*columns, *lifts)
-
-
-def save_models(spark: SparkSession, models: dict[str, QuantileModel], path: str) -> None:
-    """Write the trees as Spark ML models and the rest as a table, the manifest last."""
+    kind = StructType()
+    for name in C.LIFT_COLUMNS:
+        kind = kind.add(name, DoubleType())
+    shared = df.sparkSession.sparkContext.broadcast(Forest(models))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            raw = shared.value.predict(batch.to_numpy(np.float64))
+            yield pd.DataFrame(np.maximum(np.sort(raw, axis=1), 0.0), columns=list(C.LIFT_COLUMNS))
+
+    inputs = F.struct(*[F.col(c).cast("double").alias(c) for c in features])
+    scored = df.select(*columns, F.pandas_udf(score, kind)(inputs).alias("_lifts"))
+    return scored.select(*columns, *[F.col(f"_lifts.{c}").alias(c) for c in C.LIFT_COLUMNS])
+
+
+def _rows(models: dict[str, QuantileModel]) -> list[tuple]:
     rows = []
     for q, model in models.items():
-        for i, (tree, values) in enumerate(zip(model.trees, model.leaf_values)):
-            tree.write().overwrite().save(f"{path}/{q}/tree-{i:04d}")
-            rows.append((q, model.alpha, model.start, model.learning_rate, i, json.dumps(values)))
-        if not model.trees:
-            rows.append((q, model.alpha, model.start, model.learning_rate, -1, "{}"))
-    schema = "q string, alpha double, start double, rate double, tree int, leaves string"
-    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(
-        f"{path}/{MANIFEST}"
-    )
+        rows.append((q, model.alpha, model.start, -1, 0, None, None, None, None, None))
+        for i, t in enumerate(model.trees):
+            nodes = zip(t.feature, t.threshold, t.low, t.high, t.value)
+            rows += [(q, model.alpha, model.start, i, n, *node) for n, node in enumerate(nodes)]
+    return rows
+
+
+def from_nodes(rows: DataFrame) -> dict[str, QuantileModel]:
+    """Models from a node table, at most ``MAX_NODES`` rows of it."""
+    found = rows.orderBy("q", "tree", "node").limit(MAX_NODES + 1).toPandas()
+    if len(found) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} nodes")
+    models: dict[str, QuantileModel] = {}
+    for (q, number), nodes in found.groupby(["q", "tree"], sort=True):
+        first = nodes.iloc[0]
+        model = models.setdefault(q, QuantileModel(float(first.alpha), float(first.start)))
+        if number >= 0:
+            ints = (nodes[c].astype(int).tolist() for c in ("feature", "low", "high"))
+            feature, low, high = ints
+            model.trees.append(Tree(feature, nodes.threshold.tolist(), low, high, nodes.value.tolist()))
+    return {q: models[q] for q in C.QUANTILES if q in models}
+
+
+def save_models(spark: SparkSession, models: dict[str, QuantileModel], path: str) -> str:
+    """Publish the trees as a new version of the node table; returns its number.
+
+    Scorers go on with the version before until the new one is complete.
+    """
+    number = stored.next_number(spark, path)
+    nodes = spark.createDataFrame(_rows(models), NODES).coalesce(1)
+    stored.publish(spark, path, nodes, number=number)
+    return number
 
 
 def load_models(spark: SparkSession, path: str) -> dict[str, QuantileModel]:
-    """Read models written by ``save_models``."""
-    models: dict[str, QuantileModel] = {}
-    manifest = spark.read.parquet(f"{path}/{MANIFEST}").orderBy("q", "tree").collect()
-    for row in manifest:  # one row per tree
-        model = models.setdefault(row.q, QuantileModel(row.alpha, row.start, row.rate))
-        if row.tree >= 0:
-            model.trees.append(
-                DecisionTreeRegressionModel.load(f"{path}/{row.q}/tree-{row.tree:04d}")
-            )
-            model.leaf_values.append({int(k): v for k, v in json.loads(row.leaves).items()})
-    return models
+    """The live version written by ``save_models``."""
+    return from_nodes(stored.read(spark, path, spark.createDataFrame([], NODES).schema))

@@ -19,10 +19,9 @@ def rule_based_lift(videos: DataFrame, parity: bool = False) -> DataFrame:
 def lift(videos: DataFrame, model_path: str | None = None) -> DataFrame:
     """Add the three lifts from the saved models, or from the rule without them."""
     from liftspark.operators import quantile
-    from liftspark.sources import tables
+    from liftspark.sources import stored
 
-    manifest = f"{model_path}/{quantile.MANIFEST}" if model_path else None
-    if manifest and tables.exists(videos.sparkSession, manifest):
+    if model_path and stored.exists(videos.sparkSession, model_path):
         return quantile.predict(videos, quantile.load_models(videos.sparkSession, model_path))
     return rule_based_lift(videos)
 

@@ -1,6 +1,7 @@
 """Named queries over the star-schema files, one or more per operator.
 
-Each query takes (spark, folder) and returns a lazy DataFrame over the whole tables.
+Each query takes (spark, folder) and returns a DataFrame over the whole tables. Plans that
+several steps read are written to the shared folder while the query is built.
 Averages are rounded at the edge, because their last bit depends on summation order.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from liftspark.operators import features as FT
 from liftspark.operators import ingest, inventory, maintenance, quality, ranking, scoring
 from liftspark.operators import quantile as Q
 from liftspark.operators import serving, staging
-from liftspark.plans import marts
+from liftspark.plans import hourly, marts
 from liftspark.session import scratch_path, tune
 from liftspark.sources import tables, upsert
 from liftspark.sources.star_schema import StarSchema, sku_key, video_key
@@ -34,6 +36,8 @@ FRESH_AS_OF = "2024-02-01 06:00:00"
 HORIZON = 720  # hours of the observed month
 PAGE = 20
 CAP = 20
+BACKLOG_HORIZON = 600  # of the ingestion query, so that some hours lie beyond it
+STREAM_FILES = 3
 FIT = C.BoostConfig(rounds=6, learning_rate=0.3, max_depth=3, min_rows_per_leaf=5, patience=6)
 
 
@@ -366,6 +370,15 @@ def cap_per_hour(w: Workbench) -> DataFrame:
     return A.cap_per_hour(w.timed_candidates, CAP)
 
 
+def cap_with_history(w: Workbench) -> DataFrame:
+    """Candidates with what the cap makes of them, given alerts stored in the same hours."""
+    given = w.timed_candidates.withColumns(
+        {"alert_id": F.concat(F.lit("a_"), F.col("sku_id")), "status": F.lit("PENDING")}
+    )
+    shifted = w.alert_history.withColumn("created_at", F.col("created_at") + F.make_dt_interval(hours=F.lit(3)))
+    return A.suppress_beyond_cap(given, shifted, 4 * CAP)
+
+
 # ---- ingestion, maintenance -------------------------------------------------------
 def bridge_explode(w: Workbench) -> DataFrame:
     return ingest.explode_bridge(w.raw.videos)
@@ -393,6 +406,103 @@ def upserted(w: Workbench) -> DataFrame:
     )
 
 
+def event_keys(w: Workbench) -> DataFrame:
+    """Event ids made anew from post time, video and hour."""
+    key = encode.event_key(F.col("posted_at"), F.col("video_id"), F.col("hours_since_post"))
+    return w.raw.events.select(key.alias("event_id"), "video_id", "hours_since_post")
+
+
+def view_read(w: Workbench) -> DataFrame:
+    """The staging view, read by its name."""
+    tables.as_view(staging.stg_events(w.raw.events, w.as_of), "stg_engagement_events")
+    return w.spark.table("stg_engagement_events").select("event_id", "platform", "view_count")
+
+
+def alerts_empty_defaults(w: Workbench) -> DataFrame:
+    """Alert rows that give nothing but id, SKU and tier."""
+    given = w.staged_skus.select(
+        F.concat(F.lit("a_"), F.col("sku_id")).alias("alert_id"),
+        "sku_id",
+        F.col("inventory_risk_tier").alias("risk_tier"),
+    )
+    return tables.with_alert_defaults(given, w.as_of)
+
+
+def _stored_root(w: Workbench) -> str:
+    """A root with the catalog tables stored."""
+    root = scratch_path(w.spark, "root")
+    for name, df in (
+        ("video_metadata", w.raw.videos),
+        ("video_sku_bridge", w.raw.bridge),
+        ("sku_catalog", w.raw.skus),
+    ):
+        hourly.store(w.spark, root, name, df)
+    return root
+
+
+def _backlog(w: Workbench) -> list[DataFrame]:
+    """Two arrivals: history with every seventh hour missing; then several hours at once,
+    the missing hours of every other video, and corrections of stored hours."""
+    hour, before = F.col("hours_since_post"), F.col("snapshot_at") < ts(CUTOFF)
+    missing = hour % 7 == 3
+    even = F.substring("video_id", -1, 1).cast("int") % 2 == 0
+    events = w.raw.events
+    corrected = events.filter(before & ~missing & (hour % 11 == 0))
+    corrected = corrected.withColumn("view_count", F.col("view_count") + 1000)
+    late = events.filter(~before).unionByName(events.filter(before & missing & even))
+    return [events.filter(before & ~missing), late.unionByName(corrected)]
+
+
+def ingest_backlog(w: Workbench) -> DataFrame:
+    """What is stored, and what is kept apart with its reason, after both arrivals."""
+    root = scratch_path(w.spark, "root")
+    for batch in _backlog(w):
+        hourly.ingest_batch(w.spark, root, tables.stage(batch, "arrived"), BACKLOG_HORIZON)
+    kept = hourly.read(w.spark, root, "engagement_events").withColumn("reason", F.lit("stored"))
+    columns = ("event_id", "video_id", "hours_since_post", "view_count", "reason")
+    apart = hourly.read(w.spark, root, "quarantined_events")
+    return kept.select(*columns).unionByName(apart.select(*columns))
+
+
+def ingest_progress(w: Workbench) -> DataFrame:
+    """Hours that each video has stored and misses after the first arrival."""
+    return ingest.progress(_backlog(w)[0], BACKLOG_HORIZON)
+
+
+def stored_upsert(w: Workbench) -> DataFrame:
+    """Stored videos after the viral ones came in again, some of them twice."""
+    root = scratch_path(w.spark, "root")
+    hourly.store(w.spark, root, "video_metadata", w.raw.videos)
+    again = w.raw.videos.filter("is_viral").withColumn("video_duration_s", F.lit(1))
+    hourly.store(w.spark, root, "video_metadata", again.unionByName(again))
+    return hourly.read(w.spark, root, "video_metadata")
+
+
+def _alerted_root(w: Workbench) -> str:
+    root = _stored_root(w)
+    hourly.replace(w.spark, root, "mart_videos", w.videos)
+    hourly.rescore(w.spark, root, w.as_of)
+    for _ in range(2):
+        hourly.raise_alerts(w.spark, root, w.as_of)
+    return root
+
+
+def alerts_rerun(w: Workbench) -> DataFrame:
+    """Stored alerts after the same run was made twice."""
+    return hourly.read_alerts(w.spark, _alerted_root(w))
+
+
+def stored_review(w: Workbench) -> DataFrame:
+    """Stored alerts after two rounds of decisions, the second partly too late."""
+    root = _alerted_root(w)
+    first = F.col("decision_id").startswith("d1_")
+    for chosen in (first, ~first):
+        hourly.review(w.spark, root, w.decisions.filter(chosen))
+    return hourly.read_alerts(w.spark, root).select(
+        "alert_id", "sku_id", "status", "approved_at", "approved_by", "updated_at"
+    )
+
+
 def row_counts(w: Workbench) -> DataFrame:
     raw = w.raw
     return tables.row_counts(
@@ -439,10 +549,7 @@ def dq_report(w: Workbench) -> DataFrame:
                 ),
                 quality.check_accepted(
                     events,
-                    {
-                        "platform": ("tiktok", "instagram"),
-                        "creator_tier": C.CREATOR_TIERS,
-                    },
+                    {"platform": C.PLATFORMS, "creator_tier": C.CREATOR_TIERS},
                 ),
             ],
             "sku_catalog": [
@@ -457,6 +564,32 @@ def dq_report(w: Workbench) -> DataFrame:
     )
 
 
+def dq_suite(w: Workbench) -> DataFrame:
+    """The declared tests of all tables, from raw to marts."""
+    feature_rows = tables.stage(w.features, "features")
+    inventory_rows = tables.stage(sku_inventory(w), "inventory")
+    found = {
+        "engagement_events": w.raw.events,
+        "sku_catalog": w.raw.skus,
+        "video_metadata": w.raw.videos,
+        "video_sku_bridge": w.raw.bridge,
+        "agent_alerts": w.alerts,
+        "stg_engagement_events": stg_events(w),
+        "stg_sku_catalog": w.staged_skus,
+        "int_engagement_features": feature_rows,
+        "int_sku_inventory": inventory_rows,
+        "mart_scored_videos": w.stored_videos,
+        "mart_sku_risk": marts.sku_risk_base(inventory_rows),
+        "mart_trending_videos": ranking.trending(w.stored_videos),
+    }
+    return quality.report({n: quality.check_declared(found[n], *quality.DECLARED[n]) for n in quality.DECLARED})
+
+
+def quarantine_videos(w: Workbench) -> DataFrame:
+    _, bad = quality.validate(w.raw.videos, quality.video_rules())
+    return _joined_list(bad.select("video_id", "reasons"), "reasons")
+
+
 def dq_freshness(w: Workbench) -> DataFrame:
     return quality.check_freshness(w.raw.events, ts(FRESH_AS_OF))
 
@@ -497,10 +630,84 @@ def quantile_fit_predict(w: Workbench) -> DataFrame:
     )
 
 
+def train_split(w: Workbench) -> DataFrame:
+    """The part each labelled video falls into."""
+    labelled = w.videos.filter(F.col(C.LABEL).isNotNull()).select("video_id")
+    train, valid = Q.split(labelled)
+    return train.withColumn("part", F.lit("train")).unionByName(valid.withColumn("part", F.lit("valid")))
+
+
+def feature_rows(w: Workbench) -> DataFrame:
+    """The assembled feature vector of each video, spread over columns again."""
+    vectors = Q.assemble(w.videos).select("video_id", vector_to_array("_features").alias("x"))
+    return vectors.select("video_id", *[F.get("x", F.lit(i)).alias(f"f{i}") for i in range(len(C.FEATURE_COLUMNS))])
+
+
+# (quantile, start, [(feature, threshold, low, high)]): one split per tree.
+SMALL_TREES = (
+    ("p10", 0.5, [("hours_since_post", 300.0, 0.25, -0.25), ("save_velocity", 0.05, 0.125, 0.5)]),
+    ("p50", 0.75, [("like_rate", 0.03, -0.5, 0.25), ("views_delta_1h", 100.0, 0.0, 1.5)]),
+    ("p90", 1.0, [("is_on_foryou", 0.5, -1.25, 2.0), ("hours_since_post", 500.0, 0.5, 0.125)]),
+)
+
+
+def tree_predict(w: Workbench) -> DataFrame:
+    """Predictions of a small node table: leaves added up, ordered, not below zero."""
+    rows = []
+    for q, start, trees in SMALL_TREES:
+        rows.append((q, C.QUANTILES[q], start, -1, 0, None, None, None, None, None))
+        for number, (name, threshold, low, high) in enumerate(trees):
+            feature = C.FEATURE_COLUMNS.index(name)
+            nodes = ((feature, threshold, 1, 2, 0.0), (-1, 0.0, 1, 1, low), (-1, 0.0, 2, 2, high))
+            rows += [(q, C.QUANTILES[q], start, number, n, *node) for n, node in enumerate(nodes)]
+    models = Q.from_nodes(w.spark.createDataFrame(rows, Q.NODES))
+    return Q.predict(w.videos, models).select("video_id", *C.LIFT_COLUMNS)
+
+
+def fit_quality(w: Workbench) -> DataFrame:
+    """Whether a fit orders its quantiles, beats constants and covers what it should."""
+    scored = tables.stage(quantile_fit_predict(w).filter(F.col(C.LABEL).isNotNull()), "scored")
+    y, checks = F.col(C.LABEL), {}
+    p10, p50, p90 = C.LIFT_COLUMNS
+    checks["is_ordered"] = F.min((F.col(p10) <= F.col(p50)) & (F.col(p50) <= F.col(p90)))
+    for q, alpha in C.QUANTILES.items():
+        flat = F.lit(scored.agg(F.percentile_approx(y, alpha, Q.SKETCH_ACCURACY)).first()[0])
+        lift = F.col(f"{q}_demand_lift")
+        # The best constant is in reach of the fit; many labels are zero and tie with it.
+        checks[f"{q}_near_or_below_constant"] = E.pinball(y, lift, alpha) <= E.pinball(y, flat, alpha) * 1.05
+        checks[f"{q}_covers"] = (E.coverage(y, lift) > alpha - 0.15) & (
+            F.avg((y < lift).cast("int")) < alpha + 0.15
+        )
+    return scored.agg(*[c.alias(n) for n, c in checks.items()])
+
+
+def train_metrics(w: Workbench) -> DataFrame:
+    """Metrics of the held-out videos that a training run appends."""
+    root = scratch_path(w.spark, "root")
+    hourly.replace(w.spark, root, "mart_videos", w.videos)
+    hourly.train(w.spark, root, f"{root}/model", FIT, w.as_of)
+    return w.spark.read.parquet(tables.table_path(root, "train_metrics"))
+
+
 # ---- streams ----------------------------------------------------------------------
+def _arriving(w: Workbench, df: DataFrame, time: str) -> str:
+    """Folder with the rows in several files, one after the other in order of time."""
+    folder = scratch_path(w.spark, "arriving")
+    low, high = df.agg(F.min(time), F.max(time)).first()
+    step = (high - low) / STREAM_FILES
+    at = F.col(time)
+    for i in range(STREAM_FILES):
+        inside = at >= F.lit(low + i * step) if i else F.lit(True)
+        if i < STREAM_FILES - 1:
+            inside &= at < F.lit(low + (i + 1) * step)
+        df.filter(inside).coalesce(1).write.mode("append").parquet(folder)
+    return folder
+
+
 def _activity_stream(w: Workbench) -> DataFrame:
-    schema = w.raw.table("events").schema
-    arriving = sinks.file_stream(w.spark, w.raw.sf_dir, schema, "events.parquet")
+    events = w.raw.table("events")
+    folder = _arriving(w, events, "ts")
+    arriving = sinks.file_stream(w.spark, folder, events.schema, files_per_batch=1)
     part = "CAST(get_json_object(props, '$.k') AS BIGINT) + 100 * (user_id % 20)"
     return arriving.selectExpr(
         f"{video_key()} AS video_id",
@@ -525,28 +732,18 @@ def stream_velocity(w: Workbench) -> DataFrame:
     return _windowed_changes(w, windows.stream_velocity(_activity_stream(w)))
 
 
-def _arriving_snapshots(w: Workbench) -> tuple[str, str]:
-    """Folder of snapshot files to stream, and a root with the catalog tables."""
-    folder, root = scratch_path(w.spark, "arriving"), scratch_path(w.spark, "root")
-    w.raw.events.write.parquet(folder)
-    tables.overwrite(w.raw.bridge, tables.table_path(root, "video_sku_bridge"))
-    tables.overwrite(w.raw.skus, tables.table_path(root, "sku_catalog"))
-    return folder, root
-
-
 def stream_ingest(w: Workbench) -> DataFrame:
-    folder, root = scratch_path(w.spark, "arriving"), scratch_path(w.spark, "root")
-    w.raw.events.write.parquet(folder)
-    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"))
-    return tables.read_table(w.spark, root, "engagement_events")
+    folder = _arriving(w, tables.stage(w.raw.events, "events"), "snapshot_at")
+    root = scratch_path(w.spark, "root")
+    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"), 1)
+    return hourly.read(w.spark, root, "engagement_events")
 
 
 def stream_refresh(w: Workbench) -> DataFrame:
-    folder, root = _arriving_snapshots(w)
-    stream_tables.stream_refresh(
-        w.spark, folder, root, scratch_path(w.spark, "progress"), w.as_of
-    )
-    return w.spark.read.parquet(tables.table_path(root, "mart_videos")).drop("posted_date")
+    folder = _arriving(w, tables.stage(w.raw.events, "events"), "snapshot_at")
+    root, progress = _stored_root(w), scratch_path(w.spark, "progress")
+    stream_tables.stream_refresh(w.spark, folder, root, progress, w.as_of, 1, HORIZON)
+    return hourly.read(w.spark, root, "mart_videos").drop(hourly.DAY)
 
 
 def stream_cooldown(w: Workbench) -> DataFrame:
@@ -556,10 +753,9 @@ def stream_cooldown(w: Workbench) -> DataFrame:
         .filter("event_type = 'purchase'")
         .select("sku_id", F.col("ts").alias("created_at"), F.col("value").alias("p90_demand_lift"))
     )
-    passed = cooldown_stream.stream_cooldown(candidates)
-    out = scratch_path(w.spark, "changes")
-    sinks.write_changes(passed, out, scratch_path(w.spark, "progress"), "append")
-    return sinks.read_appended(w.spark, out, passed.schema)
+    out = scratch_path(w.spark, "alerts")
+    cooldown_stream.run_cooldown(candidates, out, scratch_path(w.spark, "state"))
+    return cooldown_stream.read_alerts(w.spark, out)
 
 
 QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
@@ -603,23 +799,39 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     decision_outcomes,
     cooldown,
     cap_per_hour,
+    cap_with_history,
     bridge_explode,
     next_hour,
     due_snapshots,
     upserted,
+    event_keys,
+    view_read,
+    alerts_empty_defaults,
+    ingest_backlog,
+    ingest_progress,
+    stored_upsert,
+    alerts_rerun,
+    stored_review,
     row_counts,
     encoded_lists,
     viral_share,
     deplete,
     drift,
     dq_report,
+    dq_suite,
     dq_freshness,
     quarantine_events,
     valid_events,
     quarantine_skus,
+    quarantine_videos,
     lift_label,
     eval_metrics,
     quantile_fit_predict,
+    train_split,
+    feature_rows,
+    tree_predict,
+    fit_quality,
+    train_metrics,
     stream_hourly,
     stream_velocity,
     stream_ingest,

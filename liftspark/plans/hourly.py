@@ -1,118 +1,198 @@
 """Runs over stored tables: hourly pipeline, daily catalog refresh, training, review.
 
-Every step ends in a written table and the next one starts from it, so a lost executor
-costs the running step only. Tables that follow the videos are partitioned by the date of
-the post, and a run reads and rewrites the dates of its batch only.
+Every step ends in a committed table (``sources.stored``) and the next one starts from it,
+so a lost executor costs the running step only, and a run that is repeated changes nothing.
+Events and features lie by the day of the snapshot, videos by the day of the post: a run
+reads and writes the days of its batch. Alerts and decisions are only appended; the state
+of an alert is derived from both when it is read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from liftspark import config as C
 from liftspark import schemas
 from liftspark.operators import alerts as A
+from liftspark.operators import evaluate, ingest, maintenance, quantile, scoring, staging
 from liftspark.operators import features as FT
-from liftspark.operators import ingest, maintenance, quantile, scoring, staging
 from liftspark.plans import marts
-from liftspark.sources import tables, upsert
+from liftspark.session import tune
+from liftspark.sources import stored, tables
 
-POSTED_DATE = "posted_date"
+DAY = "day"
+# The time whose day a table lies by; tables without are one part.
+_DAY_OF = {
+    "engagement_events": "snapshot_at",
+    "engagement_features": "snapshot_at",
+    "quarantined_events": "snapshot_at",
+    "video_metadata": "posted_at",
+    "video_sku_bridge": "posted_at",
+    "mart_videos": "posted_at",
+    "video_predictions": "posted_at",
+}
 _NEWEST = {
     "engagement_events": "snapshot_at",
     "video_metadata": "posted_at",
     "video_sku_bridge": "posted_at",
     "sku_catalog": "created_at",
-    "agent_alerts": "updated_at",
 }
+PREDICTION = (
+    "video_id string, posted_at timestamp, latest_event_id string, p10_demand_lift double,"
+    " p50_demand_lift double, p90_demand_lift double, risk_tier_predicted string"
+)
+DECISION = (
+    "decision_id string, alert_id string, decision string, approved_by string,"
+    " decided_at timestamp, outcome string"
+)
 
 
-def _dated(df: DataFrame) -> DataFrame:
-    return df.withColumn(POSTED_DATE, F.to_date("posted_at"))
+def _path(root: str, name: str) -> str:
+    return tables.table_path(root, name)
 
 
-def _touched(batch: DataFrame) -> DataFrame:
-    """Videos of a batch with their post date, which prunes the partitions they join."""
-    return _dated(batch).select("video_id", POSTED_DATE).distinct()
+def _part(name: str) -> str | None:
+    return DAY if name in _DAY_OF else None
 
 
-def store(spark: SparkSession, root: str, name: str, new: DataFrame) -> None:
-    """Insert or replace rows of a raw table by its key; events go by post date."""
-    dated = name == "engagement_events"
-    upsert.upsert_table(
-        spark,
-        tables.table_path(root, name),
-        _dated(new) if dated else new,
-        schemas.KEYS[name],
-        [F.col(_NEWEST[name]).desc()],
-        partition_by=POSTED_DATE if dated else None,
-    )
+def _dated(name: str, df: DataFrame) -> DataFrame:
+    return df.withColumn(DAY, F.to_date(_DAY_OF[name])) if name in _DAY_OF else df
+
+
+def _schema(spark: SparkSession, root: str, name: str):
+    """Declared schema of a raw table, or that of the newest files of a derived one."""
+    if name in schemas.RAW:
+        return schemas.RAW[name]
+    folder = next(iter(stored.live(spark, _path(root, name)).values()))
+    return spark.read.parquet(f"{_path(root, name)}/data/{folder}").schema
+
+
+def read(spark: SparkSession, root: str, name: str, days=None, between=None) -> DataFrame:
+    """A stored table, or the rows of some days; alerts come in their present state."""
+    if name == "agent_alerts":
+        return read_alerts(spark, root)
+    schema = _schema(spark, root, name)
+    return stored.read(spark, _path(root, name), schema, _part(name), days, between)
+
+
+def store(spark: SparkSession, root: str, name: str, new: DataFrame, keys=None, newest=None) -> None:
+    """Insert or replace rows by key; of rows with one key the newest counts."""
+    tune(spark)
+    order = [F.col(newest or _NEWEST[name]).desc()]
+    keys = keys or schemas.KEYS[name]
+    stored.upsert(spark, _path(root, name), _dated(name, new), keys, order, _part(name))
 
 
-def ingest_due(
+def replace(spark: SparkSession, root: str, name: str, df: DataFrame) -> None:
+    """Full refresh of a table, which ``df`` may read."""
+    number = stored.next_number(spark, _path(root, name))
+    stored.publish(spark, _path(root, name), _dated(name, df), _part(name), number=number)
+
+
+def _appended(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
+    path = _path(root, name)
+    if not tables.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _append(root: str, name: str, df: DataFrame) -> None:
+    df.write.mode("append").parquet(_path(root, name))
+
+
+def read_alerts(spark: SparkSession, root: str) -> DataFrame:
+    """Alerts with the decisions taken so far."""
+    alerts = _appended(spark, root, "agent_alerts", schemas.AGENT_ALERTS)
+    decisions = _appended(spark, root, "alert_decisions", DECISION)
+    return A.apply_decisions(alerts, decisions.filter("outcome = 'success'").drop("outcome"))
+
+
+def ingest_batch(
     spark: SparkSession, root: str, batch: DataFrame, horizon: int = C.SNAPSHOT_HORIZON_HOURS
-) -> DataFrame:
-    """Store the rows of the batch that are the next hour of a running video; returns them.
+) -> None:
+    """Store every arriving snapshot: backlog, late hours and corrections alike.
 
-    The hours reached are looked up for the videos of the batch, not for all videos.
+    Rows outside the hours that are tracked go to ``quarantined_events`` with a reason.
     """
-    touched = tables.stage(_touched(batch), "touched")
-    videos = tables.read_table(spark, root, "video_metadata").join(touched, "video_id", "left_semi")
-    path = tables.table_path(root, "engagement_events")
-    if tables.exists(spark, path):
-        stored = spark.read.parquet(path)
-        events = stored.join(touched, ["video_id", POSTED_DATE], "left_semi")
-    else:
-        events = spark.createDataFrame([], schemas.ENGAGEMENT_EVENTS)
-    waiting = ingest.next_hour(videos, events, horizon)
-    due = tables.stage(ingest.due_snapshots(batch, waiting), "due")
-    store(spark, root, "engagement_events", due)
-    return due
-
-
-def _features(spark: SparkSession, root: str, events: DataFrame, as_of: Column) -> DataFrame:
-    staged = staging.stg_events(FT.clean_rates(events), as_of)
-    bridge = tables.read_table(spark, root, "video_sku_bridge")
-    return FT.features(staged, bridge, tables.read_table(spark, root, "sku_catalog"))
-
-
-def refresh_touched(spark: SparkSession, root: str, batch: DataFrame, as_of: Column) -> None:
-    """Recompute features and mart rows of the videos in the batch.
-
-    A late snapshot changes the two rows after it, so whole videos are recomputed; all
-    others keep their rows.
+    good, beyond = ingest.within_horizon(batch, horizon)
+    store(spark, root, "engagement_events", good)
+    if not beyond.isEmpty():
+        store(spark, root, "quarantined_events", beyond, ["event_id"], "snapshot_at")
+
+
+def progress(spark: SparkSession, root: str, horizon: int = C.SNAPSHOT_HORIZON_HOURS) -> DataFrame:
+    """Hours stored, missing and reached of every video with snapshots."""
+    return ingest.progress(read(spark, root, "engagement_events"), horizon)
+
+
+def _around(batch: DataFrame, hours: int) -> tuple[dt.date, dt.date] | None:
+    """First and last day that rows of the batch's videos can lie on."""
+    low, high = batch.agg(F.min("snapshot_at"), F.max("snapshot_at")).first()
+    if low is None:
+        return None
+    reach = dt.timedelta(hours=hours)
+    return (low - reach).date(), (high + reach).date()
+
+
+def refresh_touched(
+    spark: SparkSession,
+    root: str,
+    batch: DataFrame,
+    as_of: Column,
+    horizon: int = C.SNAPSHOT_HORIZON_HOURS,
+) -> None:
+    """Features and mart rows after a batch.
+
+    A snapshot changes its own features and those of the rows that look back on it, so
+    those rows are written; the others keep theirs. A video lives for ``horizon`` hours,
+    which bounds the days that are read.
     """
-    stored = spark.read.parquet(tables.table_path(root, "engagement_events"))
-    events = stored.join(_touched(batch), ["video_id", POSTED_DATE], "left_semi").drop(POSTED_DATE)
-    rows = tables.stage(_features(spark, root, events, as_of), "touched_features")
-    latest = marts.scored_videos(FT.latest_snapshot(rows), as_of)
-    newest = [F.col("hours_since_post").desc()]
-    for name, df, key in (
-        ("engagement_features", rows, "event_id"),
-        ("mart_videos", latest, "video_id"),
-    ):
-        path = tables.table_path(root, name)
-        upsert.upsert_table(spark, path, _dated(df), [key], newest, partition_by=POSTED_DATE)
+    tune(spark)
+    with tables.scratch(spark):
+        keys = tables.stage(batch.select("video_id", "event_id", "snapshot_at").distinct(), "keys")
+        days = _around(keys, horizon)
+        if days is None:
+            return
+        videos = keys.select("video_id").distinct()
+        near = read(spark, root, "engagement_events", between=days)
+        events = tables.stage(near.join(videos, "video_id", "left_semi"), "touched")
+        bridge = read(spark, root, "video_sku_bridge").join(videos, "video_id", "left_semi")
+        staged = staging.stg_events(FT.clean_rates(events), as_of)
+        rows = FT.features(staged, bridge, read(spark, root, "sku_catalog"))
+        back = Window.partitionBy("video_id").orderBy("hours_since_post")
+        changed = (
+            events.select("event_id", "video_id", "hours_since_post")
+            .join(keys.select("event_id", F.lit(1).alias("_new")), "event_id", "left")
+            .withColumn("_new", F.max("_new").over(back.rowsBetween(1 - max(C.VELOCITY_ROWS, 2), 0)))
+            .filter("_new = 1")
+            .select("event_id")
+        )
+        rows = tables.stage(rows, "features")
+        latest = marts.scored_videos(FT.latest_snapshot(rows), as_of)
+        written = rows.join(changed, "event_id", "left_semi")
+        store(spark, root, "engagement_features", written, ["event_id"], "hours_since_post")
+        store(spark, root, "mart_videos", latest, ["video_id"], "hours_since_post")
 
 
 def rebuild_videos(spark: SparkSession, root: str, as_of: Column) -> None:
-    """Rebuild features and video mart from all stored events."""
-    events = tables.read_table(spark, root, "engagement_events")
-    feature_path = tables.table_path(root, "engagement_features")
-    tables.overwrite(_dated(_features(spark, root, events, as_of)), feature_path, [POSTED_DATE])
-    latest = FT.latest_snapshot(spark.read.parquet(feature_path).drop(POSTED_DATE))
-    mart = _dated(marts.scored_videos(latest, as_of))
-    tables.overwrite(mart, tables.table_path(root, "mart_videos"), [POSTED_DATE])
+    """Features and video mart anew from all stored events."""
+    tune(spark)
+    staged = staging.stg_events(FT.clean_rates(read(spark, root, "engagement_events")), as_of)
+    rows = FT.features(staged, read(spark, root, "video_sku_bridge"), read(spark, root, "sku_catalog"))
+    replace(spark, root, "engagement_features", rows)
+    latest = FT.latest_snapshot(read(spark, root, "engagement_features"))
+    replace(spark, root, "mart_videos", marts.scored_videos(latest, as_of))
 
 
 def read_videos(spark: SparkSession, root: str) -> DataFrame:
-    """Video mart with the predictions made so far."""
-    videos = spark.read.parquet(tables.table_path(root, "mart_videos")).drop(POSTED_DATE)
-    path = tables.table_path(root, "video_predictions")
-    if not tables.exists(spark, path):
-        return videos
-    return scoring.attach_predictions(videos, spark.read.parquet(path))
+    """Video mart with the newest prediction of each video, where it is for its latest row."""
+    predictions = stored.read(
+        spark, _path(root, "video_predictions"), spark.createDataFrame([], PREDICTION).schema, DAY
+    )
+    return scoring.attach_predictions(read(spark, root, "mart_videos"), predictions)
 
 
 def rescore(
@@ -122,21 +202,30 @@ def rescore(
     model_path: str | None = None,
     cfg: C.RiskConfig = C.RiskConfig(),
 ) -> int:
-    """Score videos that have no prediction, then rebuild the SKU risk mart.
+    """Score videos that have no prediction for their latest row, then rebuild the SKU mart.
 
-    Returns the number of videos scored.
+    The newest prediction of a video replaces the one before; all stay in
+    ``prediction_history``. Returns the number of videos scored.
     """
-    videos = read_videos(spark, root)
-    known = videos.filter(F.col("p90_demand_lift").isNotNull())
-    new = tables.stage(scoring.score_new(videos, known, model_path), "predictions")
-    new.write.mode("append").parquet(tables.table_path(root, "video_predictions"))
-    history = tables.ensure_alerts(spark, root)
-    staged_skus = staging.stg_skus(tables.read_table(spark, root, "sku_catalog"))
-    bridge = tables.read_table(spark, root, "video_sku_bridge")
-    scored = read_videos(spark, root)
-    risk = marts.risk_from_videos(staged_skus, bridge, scored, history, as_of, cfg)
-    tables.overwrite(risk, tables.table_path(root, "mart_sku_risk"))
-    return new.count()
+    tune(spark)
+    with tables.scratch(spark):
+        open_videos = read_videos(spark, root).filter("p90_demand_lift IS NULL")
+        lifted = scoring.with_video_tier(
+            scoring.lift(open_videos.drop(*C.LIFT_COLUMNS, "risk_tier_predicted"), model_path)
+        )
+        names = [c.split()[0] for c in PREDICTION.split(", ")]
+        new = tables.stage(lifted.select(*names), "predictions")
+        n = new.count()
+        if n:
+            store(spark, root, "video_predictions", new, ["video_id"], "latest_event_id")
+            _append(root, "prediction_history", new.withColumn("scored_at", as_of))
+    staged_skus = staging.stg_skus(read(spark, root, "sku_catalog"))
+    bridge = read(spark, root, "video_sku_bridge")
+    risk = marts.risk_from_videos(
+        staged_skus, bridge, read_videos(spark, root), read_alerts(spark, root), as_of, cfg
+    )
+    replace(spark, root, "mart_sku_risk", risk)
+    return n
 
 
 def raise_alerts(
@@ -146,20 +235,25 @@ def raise_alerts(
     cfg: C.RiskConfig = C.RiskConfig(),
     throttle: bool = False,
 ) -> DataFrame:
-    """Triage the SKUs at risk and append their alerts; returns the new ones.
+    """Triage the SKUs at risk and append their alerts; returns the alerts of this run.
 
-    ``throttle`` applies cooldown and hourly cap.
+    An alert whose id is stored is not stored again, so a run can be repeated. ``throttle``
+    applies cooldown and hourly cap; what the cap holds back is stored as SUPPRESSED.
     """
-    risk = spark.read.parquet(tables.table_path(root, "mart_sku_risk"))
-    at_risk = A.at_risk(risk, read_videos(spark, root), cfg, ordered=False)
-    new = A.build_alerts(A.escalated(A.triage(at_risk, cfg)), as_of)
-    if throttle:
-        history = tables.ensure_alerts(spark, root)
-        new = A.cooldown(new, history, cfg.cooldown_hours)
-        new = A.cap_per_hour(new, cfg.max_alerts_per_hour)
-    new = tables.stage(new, "alerts")
-    new.write.mode("append").parquet(tables.table_path(root, "agent_alerts"))
-    return new
+    tune(spark)
+    with tables.scratch(spark):
+        risk = read(spark, root, "mart_sku_risk")
+        at_risk = A.at_risk(risk, read_videos(spark, root), cfg, ordered=False)
+        known = _appended(spark, root, "agent_alerts", schemas.AGENT_ALERTS)
+        new = A.build_alerts(A.escalated(A.triage(at_risk, cfg)), as_of)
+        new = new.join(known.select("alert_id"), "alert_id", "left_anti").select(*new.columns)
+        if throttle:
+            raised = known.filter(F.col("status") != C.SUPPRESSED)
+            new = tables.stage(A.cooldown(new, raised, cfg.cooldown_hours), "cooled")
+            new = A.suppress_beyond_cap(new, raised, cfg.max_alerts_per_hour)
+        _append(root, "agent_alerts", tables.stage(new, "alerts"))
+    alerts = _appended(spark, root, "agent_alerts", schemas.AGENT_ALERTS)
+    return alerts.filter((F.col("created_at") == as_of) & (F.col("status") != C.SUPPRESSED))
 
 
 def run_hourly(
@@ -170,33 +264,36 @@ def run_hourly(
     model_path: str | None = None,
     cfg: C.RiskConfig = C.RiskConfig(),
     throttle: bool = False,
+    horizon: int = C.SNAPSHOT_HORIZON_HOURS,
 ) -> DataFrame:
-    """Ingest, refresh the marts, score, triage and append alerts; returns the new alerts."""
-    refresh_touched(spark, root, ingest_due(spark, root, batch), as_of)
+    """Ingest, refresh the marts, score, triage and append alerts; returns the run's alerts."""
+    with tables.scratch(spark):
+        batch = tables.stage(batch, "arrived")
+        ingest_batch(spark, root, batch, horizon)
+        refresh_touched(spark, root, ingest.within_horizon(batch, horizon)[0], as_of, horizon)
     rescore(spark, root, as_of, model_path, cfg)
     return raise_alerts(spark, root, as_of, cfg, throttle)
 
 
 def review(spark: SparkSession, root: str, decisions: DataFrame) -> DataFrame:
-    """Apply review decisions to the stored alerts; returns the outcome of each."""
-    path = tables.table_path(root, "agent_alerts")
-    alerts = tables.ensure_alerts(spark, root)
-    outcomes = tables.stage(A.decision_outcomes(alerts, decisions), "outcomes")
-    stage = f"{path}__stage"
-    tables.overwrite(A.apply_decisions(alerts, decisions), stage)
-    tables.overwrite(spark.read.schema(schemas.AGENT_ALERTS).parquet(stage), path)
+    """Append review decisions with what each did; returns the outcomes.
+
+    Stored alerts are not touched, so alerts raised meanwhile are safe, and decisions that
+    were taken before keep counting.
+    """
+    tune(spark)
+    outcomes = A.decision_outcomes(read_alerts(spark, root), decisions)
+    outcomes = tables.stage(outcomes, "outcomes")
+    logged = decisions.join(outcomes.select("decision_id", "outcome"), "decision_id")
+    _append(root, "alert_decisions", logged.select(*[c.split()[0] for c in DECISION.split(", ")]))
     return outcomes
 
 
 def refresh_catalog(spark: SparkSession, root: str, seed: int) -> None:
     """Daily run: take one day of demand off the stock, then vary the baseline."""
-    path = tables.table_path(root, "sku_catalog")
-    skus = maintenance.drift(
-        maintenance.deplete(tables.read_table(spark, root, "sku_catalog")), seed
-    )
-    stage = f"{path}__stage"
-    tables.overwrite(skus, stage)
-    tables.overwrite(spark.read.schema(schemas.SKU_CATALOG).parquet(stage), path)
+    tune(spark)
+    skus = maintenance.deplete(read(spark, root, "sku_catalog"))
+    replace(spark, root, "sku_catalog", maintenance.drift(skus, seed))
 
 
 def train(
@@ -204,8 +301,24 @@ def train(
     root: str,
     model_path: str,
     params: C.BoostConfig = C.BoostConfig(),
+    as_of: Column | None = None,
 ) -> dict[str, quantile.QuantileModel]:
-    """Weekly run: fit the three quantiles on the labelled videos and save them."""
-    models = quantile.fit(read_videos(spark, root), params)
-    quantile.save_models(spark, models, model_path)
+    """Weekly run: fit the three quantiles on the labelled videos and publish them.
+
+    The metrics of the held-out videos are appended to ``train_metrics``, by version.
+    """
+    tune(spark)
+    videos = read_videos(spark, root)
+    models = quantile.fit(videos, params)
+    version = quantile.save_models(spark, models, model_path)
+    _, held_out = quantile.split(videos.filter(F.col(C.LABEL).isNotNull()), params.train_ratio, params.seed)
+    metrics = evaluate.evaluate(quantile.predict(held_out, models, params.features), exact=False)
+    at = F.current_timestamp() if as_of is None else as_of
+    _append(root, "train_metrics", metrics.withColumns({"version": F.lit(version), "trained_at": at}))
     return models
+
+
+def clean_up(spark: SparkSession, root: str, keep: int = 3) -> None:
+    """Delete superseded versions of the stored tables, but for the newest ones."""
+    for name in (*_DAY_OF, "sku_catalog", "mart_sku_risk"):
+        stored.vacuum(spark, _path(root, name), keep)

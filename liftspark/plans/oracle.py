@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from liftspark.functions import texts
-from liftspark.plans.catalog import AS_OF, CAP, CUTOFF, FRESH_AS_OF, HORIZON, PAGE
+from liftspark.plans.catalog import AS_OF, BACKLOG_HORIZON, CAP, CUTOFF, FRESH_AS_OF, HORIZON, PAGE
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -143,13 +143,13 @@ CTES = {
     FROM events""",
     "hourly": """
     SELECT user_id, hour,
-           CAST(COALESCE(sum(floor(value) * 10) FILTER (event_type = 'view'), 0) AS INTEGER) AS views,
-           CAST(count(*) FILTER (event_type = 'signup') AS INTEGER) AS saves,
-           CAST(count(*) FILTER (event_type = 'error') AS INTEGER) AS shares,
-           CAST(count(*) FILTER (event_type = 'click') AS INTEGER) AS clicks,
-           CAST(count(*) FILTER (event_type = 'purchase') AS INTEGER) AS carts,
-           CAST(count(*) FILTER (value > 50) AS INTEGER) AS likes,
-           CAST(count(*) FILTER (value > 100) AS INTEGER) AS comments,
+           CAST(COALESCE(sum(floor(value) * 10) FILTER (event_type = 'view'), 0) AS BIGINT) AS views,
+           CAST(count(*) FILTER (event_type = 'signup') AS BIGINT) AS saves,
+           CAST(count(*) FILTER (event_type = 'error') AS BIGINT) AS shares,
+           CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS clicks,
+           CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS carts,
+           CAST(count(*) FILTER (value > 50) AS BIGINT) AS likes,
+           CAST(count(*) FILTER (value > 100) AS BIGINT) AS comments,
            CAST(COALESCE(sum(cents) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS cents
     FROM activity GROUP BY user_id, hour""",
     "posts": """
@@ -186,13 +186,13 @@ CTES = {
     SELECT h.user_id, h.hour AS snapshot_at, p.posted_at,
            CAST(date_diff('hour', p.posted_at, h.hour) AS INTEGER) AS hours_since_post,
            views AS views_delta_1h, saves AS saves_delta_1h, shares AS shares_delta_1h,
-           CAST(sum(views) OVER w AS INTEGER) AS view_count,
-           CAST(sum(likes) OVER w AS INTEGER) AS like_count,
-           CAST(sum(comments) OVER w AS INTEGER) AS comment_count,
-           CAST(sum(shares) OVER w AS INTEGER) AS share_count,
-           CAST(sum(saves) OVER w AS INTEGER) AS save_count,
-           CAST(sum(clicks) OVER w AS INTEGER) AS click_to_product,
-           CAST(sum(carts) OVER w AS INTEGER) AS add_to_cart
+           CAST(sum(views) OVER w AS BIGINT) AS view_count,
+           CAST(sum(likes) OVER w AS BIGINT) AS like_count,
+           CAST(sum(comments) OVER w AS BIGINT) AS comment_count,
+           CAST(sum(shares) OVER w AS BIGINT) AS share_count,
+           CAST(sum(saves) OVER w AS BIGINT) AS save_count,
+           CAST(sum(clicks) OVER w AS BIGINT) AS click_to_product,
+           CAST(sum(carts) OVER w AS BIGINT) AS add_to_cart
     FROM hourly h JOIN posts p ON p.user_id = h.user_id
     WINDOW w AS (PARTITION BY h.user_id ORDER BY h.hour)""",
     "raw_events": f"""
@@ -327,23 +327,31 @@ CTES = {
            'PENDING' AS status, CAST(NULL AS TIMESTAMP) AS approved_at,
            CAST(NULL AS VARCHAR) AS approved_by, {NOW} AS created_at, {NOW} AS updated_at
     FROM drafted""",
-    "decided": f"""
+    "taken": f"""
     SELECT 'd1_' || sku_id AS decision_id, alert_id,
-           CASE risk_tier WHEN 'CRITICAL' THEN 'approve' ELSE 'dismiss' END AS decision, 'success'
-           AS outcome FROM alerts
+           CASE risk_tier WHEN 'CRITICAL' THEN 'approve' ELSE 'dismiss' END AS decision,
+           'ops_manager' AS decided_by, {NOW} + INTERVAL 1 HOUR AS decided_at FROM alerts
     UNION ALL
-    SELECT 'd2_' || sku_id, alert_id, 'dismiss', 'not_pending' FROM alerts
+    SELECT 'd2_' || sku_id, alert_id, 'dismiss', 'ops_manager', {NOW} + INTERVAL 2 HOUR FROM alerts
     WHERE risk_tier = 'CRITICAL' AND p90_demand_lift >= 4
     UNION ALL
-    SELECT 'd3_' || sku_id, 'alert_none_' || sku_id, 'approve', 'not_found' FROM triaged
-    WHERE risk_tier = 'WATCH'""",
-    "reviewed": f"""
-    SELECT * REPLACE (
-        CASE risk_tier WHEN 'CRITICAL' THEN 'APPROVED' ELSE 'DISMISSED' END AS status,
-        CASE risk_tier WHEN 'CRITICAL' THEN {NOW} + INTERVAL 1 HOUR END AS approved_at,
-        CASE risk_tier WHEN 'CRITICAL' THEN 'ops_manager' END AS approved_by,
-        {NOW} + INTERVAL 1 HOUR AS updated_at)
-    FROM alerts""",
+    SELECT 'd3_' || sku_id, 'alert_none_' || sku_id, 'approve', 'ops_manager',
+           {NOW} + INTERVAL 3 HOUR
+    FROM triaged WHERE risk_tier = 'WATCH'""",
+    "decided": """
+    SELECT t.*, CASE WHEN a.alert_id IS NULL THEN 'not_found'
+                     WHEN a.status = 'PENDING' AND row_number() OVER
+                          (PARTITION BY t.alert_id ORDER BY decided_at, decision_id) = 1
+                     THEN 'success' ELSE 'not_pending' END AS outcome
+    FROM taken t LEFT JOIN alerts a ON a.alert_id = t.alert_id""",
+    "reviewed": """
+    SELECT a.* REPLACE (
+        CASE decision WHEN 'approve' THEN 'APPROVED' WHEN 'dismiss' THEN 'DISMISSED'
+             ELSE status END AS status,
+        CASE decision WHEN 'approve' THEN decided_at END AS approved_at,
+        CASE decision WHEN 'approve' THEN decided_by END AS approved_by,
+        COALESCE(decided_at, updated_at) AS updated_at)
+    FROM alerts a LEFT JOIN decided d ON d.alert_id = a.alert_id AND d.outcome = 'success'""",
     "timed": f"""
     SELECT sku_id, risk_tier, p90_demand_lift,
            {NOW} + to_hours(supplier_lead_time_days % 6) AS created_at
@@ -429,8 +437,18 @@ _EVENT_RULES = (
     + [(c, f"{c} >= 0") for c in "views_delta_1h saves_delta_1h shares_delta_1h save_velocity".split()]
     + [("snapshot_after_post", "snapshot_at >= posted_at")]
 )
+_CATEGORIES = (
+    "('apparel', 'beauty', 'electronics', 'home', 'fitness', 'food', 'toys', 'accessories')"
+)
+_RISK_TIERS = "('CRITICAL', 'WARNING', 'WATCH', 'NORMAL')"
+_VIDEO_RULES = [
+    ("platform", "platform IN ('tiktok', 'instagram', 'youtube')"),
+    ("creator_tier", "creator_tier IN ('nano', 'micro', 'mid', 'macro', 'mega')"),
+    ("video_duration_s", "video_duration_s BETWEEN 1 AND 600"),
+    ("sku_ids", "sku_ids_json <> '[]'"),
+]
 _SKU_RULES = [
-    ("category", "category IS NOT NULL"),
+    ("category", f"category IN {_CATEGORIES}"),
     ("unit_price_usd", "unit_price_usd > 0"),
     ("baseline_daily_demand", "baseline_daily_demand > 0"),
     ("current_stock", "current_stock >= 0"),
@@ -483,7 +501,7 @@ _DQ = " UNION ALL ".join(
             f"SELECT count(*) AS n FROM raw_events WHERE {c} NOT IN {values}",
         )
         for c, values in (
-            ("platform", "('tiktok', 'instagram')"),
+            ("platform", "('tiktok', 'instagram', 'youtube')"),
             ("creator_tier", "('nano', 'micro', 'mid', 'macro', 'mega')"),
         )
     ]
@@ -503,9 +521,13 @@ _DQ = " UNION ALL ".join(
     ]
     + [
         _check(
-            "sku_catalog", "accepted_values", c, "warn", "SELECT CAST(0 AS BIGINT) AS n"
+            "sku_catalog",
+            "accepted_values",
+            c,
+            "warn",
+            f"SELECT count(*) AS n FROM staged_skus WHERE {c} NOT IN {values}",
         )
-        for c in ("category", "inventory_risk_tier")
+        for c, values in (("category", _CATEGORIES), ("inventory_risk_tier", _RISK_TIERS))
     ]
 )
 
@@ -736,6 +758,164 @@ SELECTS["stream_velocity"] = f"""
            CAST(sum(saves) AS BIGINT) AS saves_velocity_3h,
            CAST(sum(shares) AS BIGINT) AS shares_velocity_3h
     FROM (SELECT *, unnest([0, 1, 2]) AS later FROM hourly) GROUP BY ALL"""
+_MORE_TESTS = {
+    "engagement_events": (
+        "raw_events",
+        "event_id",
+        "event_id video_id hours_since_post platform creator_tier view_count",
+        "platform creator_tier",
+    ),
+    "sku_catalog": ("skus", "sku_id", "sku_id baseline_daily_demand", ""),
+    "video_metadata": ("raw_videos", "video_id", "video_id platform", ""),
+    "video_sku_bridge": ("bridge", "", "video_id sku_id", ""),
+    "agent_alerts": ("alerts", "alert_id", "alert_id", ""),
+    "stg_engagement_events": (
+        "raw_events",
+        "event_id",
+        "event_id video_id hours_since_post platform creator_tier view_count save_rate is_viral",
+        "platform creator_tier",
+    ),
+    "stg_sku_catalog": (
+        "staged_skus",
+        "sku_id",
+        "sku_id sku_name category days_of_cover inventory_risk_tier viral_sensitivity",
+        "category inventory_risk_tier",
+    ),
+    "int_engagement_features": (
+        f"({SELECTS['features']})",
+        "event_id",
+        "event_id video_id hours_since_post views_velocity_3h engagement_score"
+        " creator_tier_encoded platform_encoded",
+        "creator_tier_encoded platform_encoded",
+    ),
+    "int_sku_inventory": (
+        "inventory",
+        "sku_id",
+        "sku_id inventory_risk_tier urgency_score days_of_cover",
+        "inventory_risk_tier",
+    ),
+    "mart_scored_videos": (
+        f"({SELECTS['scored_videos']})",
+        "video_id",
+        "video_id platform engagement_score hours_observed sku_viral_sensitivity",
+        "platform",
+    ),
+    "mart_sku_risk": (
+        "risk",
+        "sku_id",
+        "sku_id inventory_risk_tier urgency_score days_of_cover",
+        "inventory_risk_tier",
+    ),
+    "mart_trending_videos": (f"({_RANKED})", "video_id rank", "video_id engagement_score rank", ""),
+}
+_ACCEPTED = {
+    "platform": "('tiktok', 'instagram', 'youtube')",
+    "creator_tier": "('nano', 'micro', 'mid', 'macro', 'mega')",
+    "category": _CATEGORIES,
+    "inventory_risk_tier": _RISK_TIERS,
+    "creator_tier_encoded": "(0, 1, 2, 3, 4)",
+    "platform_encoded": "(0, 1, 2)",
+}
+SELECTS["dq_suite"] = " UNION ALL ".join(
+    _check(name, check, c, severity, failures)
+    for name, (source, unique, present, accepted) in _MORE_TESTS.items()
+    for check, severity, columns, sql in (
+        ("unique", "error", unique, lambda c, t: _repeated(t, c)),
+        ("not_null", "error", present, lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} IS NULL"),
+        (
+            "accepted_values",
+            "warn",
+            accepted,
+            lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} NOT IN {_ACCEPTED[c]}",
+        ),
+    )
+    for c in columns.split()
+    for failures in [sql(c, source)]
+)
+SELECTS["quarantine_videos"] = f"""
+    SELECT video_id, {_reasons(_VIDEO_RULES)} AS reasons FROM raw_videos
+    WHERE NOT ({_all_good(_VIDEO_RULES)})"""
+SELECTS["event_keys"] = "SELECT event_id, video_id, hours_since_post FROM raw_events"
+SELECTS["view_read"] = "SELECT event_id, platform, view_count FROM raw_events"
+SELECTS["alerts_empty_defaults"] = f"""
+    SELECT 'a_' || sku_id AS alert_id, sku_id, inventory_risk_tier AS risk_tier,
+           {PENDING.format("p10_demand_lift")}, {PENDING.format("p50_demand_lift")},
+           {PENDING.format("p90_demand_lift")}, CAST(NULL AS VARCHAR) AS investigation_summary,
+           CAST(NULL AS VARCHAR) AS action_draft, 'PENDING' AS status,
+           CAST(NULL AS TIMESTAMP) AS approved_at, CAST(NULL AS VARCHAR) AS approved_by,
+           {NOW} AS created_at, {NOW} AS updated_at
+    FROM staged_skus"""
+_BEFORE, _GAP = f"snapshot_at < TIMESTAMP '{CUTOFF}'", "hours_since_post % 7 = 3"
+SELECTS["ingest_backlog"] = f"""
+    SELECT event_id, video_id, hours_since_post,
+           CASE WHEN {_BEFORE} AND NOT ({_GAP}) AND hours_since_post % 11 = 0
+                THEN view_count + 1000 ELSE view_count END AS view_count,
+           CASE WHEN hours_since_post >= {BACKLOG_HORIZON} THEN 'beyond_horizon' ELSE 'stored' END
+               AS reason
+    FROM raw_events
+    WHERE NOT ({_BEFORE}) OR NOT ({_GAP}) OR CAST(right(video_id, 1) AS INTEGER) % 2 = 0"""
+SELECTS["ingest_progress"] = f"""
+    SELECT video_id, max(hours_since_post) AS max_hour, count(*) AS stored_hours,
+           max(hours_since_post) + 1 - count(*) AS missing_hours,
+           max(hours_since_post) >= {BACKLOG_HORIZON - 1} AS is_finished
+    FROM raw_events WHERE {_BEFORE} AND NOT ({_GAP}) GROUP BY video_id"""
+SELECTS["stored_upsert"] = """
+    SELECT * REPLACE (CASE WHEN is_viral THEN 1 ELSE video_duration_s END AS video_duration_s)
+    FROM raw_videos"""
+SELECTS["alerts_rerun"] = SELECTS["alerts_new"]
+SELECTS["stored_review"] = SELECTS["decisions"]
+SELECTS["cap_with_history"] = f"""
+    SELECT t.sku_id, risk_tier, p90_demand_lift, created_at, 'a_' || t.sku_id AS alert_id,
+           CASE WHEN row_number() OVER (PARTITION BY date_trunc('hour', created_at)
+                     ORDER BY CASE risk_tier WHEN 'CRITICAL' THEN 1 ELSE 2 END,
+                              p90_demand_lift DESC, t.sku_id) + COALESCE(used, 0) <= {4 * CAP}
+                THEN 'PENDING' ELSE 'SUPPRESSED' END AS status
+    FROM timed t LEFT JOIN (SELECT date_trunc('hour', created_at + INTERVAL 3 HOUR) AS hour,
+                                   count(*) AS used FROM history GROUP BY 1) h
+         ON h.hour = date_trunc('hour', created_at)"""
+_DRAW = "CAST('0x' || substr(sha256(video_id || '|42'), 1, 8) AS BIGINT)::DOUBLE / 4294967296"
+SELECTS["train_split"] = f"""
+    SELECT video_id, CASE WHEN {_DRAW} < 0.8::DOUBLE THEN 'train' ELSE 'valid' END AS part
+    FROM latest WHERE demand_lift_24h IS NOT NULL"""
+_FEATURES = (
+    "save_velocity share_rate cart_rate like_rate click_rate views_delta_1h saves_delta_1h"
+    " shares_delta_1h hours_since_post is_on_foryou has_link_in_bio video_duration_s"
+    " creator_tier_encoded sku_viral_sensitivity platform_encoded"
+).split()
+SELECTS["feature_rows"] = f"""
+    SELECT video_id, {", ".join(f"CAST({c} AS DOUBLE) AS f{i}" for i, c in enumerate(_FEATURES))}
+    FROM ({SELECTS["scored_videos"]})"""
+SELECTS["tree_predict"] = """
+    SELECT video_id, GREATEST(l[1], 0) AS p10_demand_lift, GREATEST(l[2], 0) AS p50_demand_lift,
+           GREATEST(l[3], 0) AS p90_demand_lift
+    FROM (SELECT video_id, list_sort([
+        0.5::DOUBLE + CASE WHEN hours_since_post <= 300 THEN 0.25 ELSE -0.25 END::DOUBLE
+                    + CASE WHEN save_velocity <= 0.05::DOUBLE THEN 0.125 ELSE 0.5 END::DOUBLE,
+        0.75::DOUBLE + CASE WHEN like_rate <= 0.03::DOUBLE THEN -0.5 ELSE 0.25 END::DOUBLE
+                     + CASE WHEN views_delta_1h <= 100 THEN 0 ELSE 1.5 END::DOUBLE,
+        1.0::DOUBLE + CASE WHEN CAST(is_on_foryou AS INTEGER) <= 0.5 THEN -1.25 ELSE 2 END::DOUBLE
+                    + CASE WHEN hours_since_post <= 500 THEN 0.5 ELSE 0.125 END::DOUBLE]) AS l
+          FROM latest)"""
+SELECTS["fit_quality"] = f"""
+    SELECT TRUE AS is_ordered, {", ".join(f"TRUE AS {q}_near_or_below_constant, TRUE AS {q}_covers"
+                                          for q in ("p10", "p50", "p90"))}"""
+SELECTS["stream_cooldown"] = f"""
+    , cycles AS (
+        SELECT printf('SKU-%06d', k + 100 * (user_id % 20)) AS sku_id, hour AS cycle,
+               max(value) AS p90_demand_lift
+        FROM activity WHERE event_type = 'purchase' GROUP BY ALL),
+    following AS (
+        SELECT a.sku_id, a.cycle, min(b.cycle) AS next_cycle
+        FROM cycles a LEFT JOIN cycles b
+             ON b.sku_id = a.sku_id AND b.cycle >= a.cycle + INTERVAL 4 HOUR
+        GROUP BY a.sku_id, a.cycle),
+    passed AS (
+        SELECT sku_id, min(cycle) AS cycle FROM cycles GROUP BY sku_id
+        UNION ALL
+        SELECT p.sku_id, f.next_cycle FROM passed p
+        JOIN following f ON f.sku_id = p.sku_id AND f.cycle = p.cycle
+        WHERE f.next_cycle IS NOT NULL)
+    SELECT sku_id, cycle, p90_demand_lift FROM passed JOIN cycles USING (sku_id, cycle)"""
 SELECTS["stream_ingest"] = "SELECT * FROM raw_events"
 SELECTS["stream_refresh"] = SELECTS["scored_videos"]
 
@@ -750,6 +930,8 @@ def _with_steps(select: str) -> str:
             needed.add(name)
             queue.append(CTES[name])
     steps = ",\n".join(f"{name} AS ({CTES[name]})" for name in CTES if name in needed)
+    if select.lstrip().startswith(","):  # goes on with steps of its own, one of them recursive
+        return f"WITH RECURSIVE {steps}{select}"
     return f"WITH {steps}\n{select}" if steps else select
 
 

@@ -10,6 +10,7 @@ def _schema(*fields: tuple[str, T.DataType] | tuple[str, T.DataType, bool]) -> T
 
 
 _STR, _INT, _DBL = T.StringType(), T.IntegerType(), T.DoubleType()
+_LONG = T.LongType()  # counts: one hot video may pass 2^31
 _BOOL, _TS = T.BooleanType(), T.TimestampType()
 
 SKU_CATALOG = _schema(
@@ -57,21 +58,21 @@ ENGAGEMENT_EVENTS = _schema(
     ("sku_ids_json", _STR),
     ("video_duration_s", _INT),
     ("has_link_in_bio", _BOOL),
-    ("view_count", _INT),
-    ("like_count", _INT),
-    ("comment_count", _INT),
-    ("share_count", _INT),
-    ("save_count", _INT),
-    ("click_to_product", _INT),
-    ("add_to_cart", _INT),
+    ("view_count", _LONG),
+    ("like_count", _LONG),
+    ("comment_count", _LONG),
+    ("share_count", _LONG),
+    ("save_count", _LONG),
+    ("click_to_product", _LONG),
+    ("add_to_cart", _LONG),
     ("save_rate", _DBL),
     ("share_rate", _DBL),
     ("click_rate", _DBL),
     ("cart_rate", _DBL),
     ("like_rate", _DBL),
-    ("views_delta_1h", _INT),
-    ("saves_delta_1h", _INT),
-    ("shares_delta_1h", _INT),
+    ("views_delta_1h", _LONG),
+    ("saves_delta_1h", _LONG),
+    ("shares_delta_1h", _LONG),
     ("save_velocity", _DBL),
     ("is_on_foryou", _BOOL),
     ("trending_rank", _INT, True),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftspark import config as C
+from liftspark.functions import encode
 
 VIRAL_VIEWS = 8_000
 LABEL_HOURS = 24
@@ -101,10 +102,10 @@ class StarSchema:
         }
         increments = self.activity.groupBy("user_id", "hour").agg(
             F.expr(
-                "CAST(sum(CASE WHEN event_type = 'view' THEN floor(value) * 10 ELSE 0 END) AS INT)"
+                "CAST(sum(CASE WHEN event_type = 'view' THEN floor(value) * 10 ELSE 0 END) AS BIGINT)"
                 " AS views"
             ),
-            *[F.expr(f"CAST(count_if({cond}) AS INT) AS {n}") for n, cond in counts.items()],
+            *[F.expr(f"count_if({cond}) AS {n}") for n, cond in counts.items()],
             F.expr("sum(CASE WHEN event_type = 'purchase' THEN cents ELSE 0 END) AS cents"),
         )
         # The text key is made once per hour, not per event, and keys all later shuffles.
@@ -125,7 +126,7 @@ class StarSchema:
         timed = self.hourly.selectExpr(
             "*",
             f"first(hour) {_SO_FAR} AS posted_at",
-            *[f"CAST(sum({c}) {_SO_FAR} AS INT) AS {name}" for name, c in running.items()],
+            *[f"sum({c}) {_SO_FAR} AS {name}" for name, c in running.items()],
         ).selectExpr(
             "*", "CAST(timestampdiff(HOUR, posted_at, hour) AS INT) AS hours_since_post"
         )
@@ -164,9 +165,10 @@ class StarSchema:
     @cached_property
     def events(self) -> DataFrame:
         """``engagement_events``: rates are plain ratios, not clipped."""
-        return self.timeline.join(self.tag_lists, "video_id", "left").selectExpr(
-            "concat('evt_', date_format(posted_at, 'yyyyMMdd'), '_', video_id,"
-            " format_string('_h%02d', hours_since_post)) AS event_id",
+        key = encode.event_key(F.col("posted_at"), F.col("video_id"), F.col("hours_since_post"))
+        listed = self.timeline.join(self.tag_lists, "video_id", "left")
+        return listed.withColumn("event_id", key).selectExpr(
+            "event_id",
             "video_id",
             "posted_at",
             "hour AS snapshot_at",

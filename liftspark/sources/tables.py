@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Iterator, Mapping
+from contextlib import contextmanager
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +16,26 @@ def table_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A raw table under its declared schema; filters and columns reach the scan.
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
-    Partition columns of the folder can still be filtered on, but are not part of the rows.
-    """
-    schema = schemas.RAW[name]
-    return spark.read.schema(schema).parquet(table_path(root, name)).select(*schema.names)
+
+def file_system(spark: SparkSession, path: str):
+    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there; any other trouble with it is raised."""
+    return file_system(spark, path).exists(hadoop_path(spark, path))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a Parquet table can be read at the path."""
-    try:
-        spark.read.parquet(path)
-        return True
-    except AnalysisException:
-        return False
+    """Whether an appended-to or fully written Parquet folder is there and complete."""
+    return path_exists(spark, f"{path}/_SUCCESS")
 
 
 def overwrite(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> None:
@@ -52,10 +56,28 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     Later steps then depend on files, not on the executors that computed them.
     """
     path = scratch_path(df.sparkSession, name)
+    for made in _SCRATCH:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SCRATCH: list[list[str]] = []  # paths staged inside the open ``scratch`` blocks
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove at the end what was staged inside; nothing staged may leave the block."""
+    made: list[str] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(made)
+        for path in made:
+            remove(spark, path)
+
+
 def as_view(df: DataFrame, name: str) -> DataFrame:
     """Register a result that is recomputed at each read."""
     df.createOrReplaceTempView(name)
@@ -85,14 +107,6 @@ def with_alert_defaults(df: DataFrame, as_of) -> DataFrame:
     return df.select(*out)
 
 
-def ensure_alerts(spark: SparkSession, root: str) -> DataFrame:
-    """The alert table, created empty when absent."""
-    path = table_path(root, "agent_alerts")
-    if not exists(spark, path):
-        spark.createDataFrame([], schemas.AGENT_ALERTS).write.mode("ignore").parquet(path)
-    return read_table(spark, root, "agent_alerts")
-
-
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row (table_name, n) per table, each counted where it lies."""
     counts = [

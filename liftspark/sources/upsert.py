@@ -1,19 +1,12 @@
-"""Insert-or-replace by key.
-
-``upsert`` is the plan; ``upsert_table`` applies it to a stored table. Only the new rows
-are ranked and only the partitions they fall in are rewritten, so the cost follows the
-batch and not the table.
-"""
+"""Insert-or-replace by key, as a plan; ``stored.upsert`` applies it to stored tables."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from liftspark.sources import tables
-
 
 def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first under ``order``.
@@ -31,37 +24,3 @@ def upsert(base: DataFrame, new: DataFrame, keys: Sequence[str], order: Sequence
     return base.join(new.select(*keys), list(keys), "left_anti").select(*base.columns).unionByName(
         latest.select(*base.columns)
     )
-
-
-def upsert_table(
-    spark: SparkSession,
-    path: str,
-    new: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[Column],
-    partition_by: str | None = None,
-) -> None:
-    """Upsert into a stored table through a staging copy beside it.
-
-    With ``partition_by`` (a column the key determines) only touched partitions are read
-    and replaced. A path is never overwritten while it is read: the merged rows are first
-    written in full next to the table, then copied over it, so a failed copy can be
-    repeated from the staging folder.
-    """
-    parts = [partition_by] if partition_by else []
-    if not tables.exists(spark, path):
-        tables.overwrite(last_per_key(new, keys, order), path, parts)
-        return
-    base = spark.read.parquet(path)
-    stage = f"{path.rstrip('/')}__stage"
-    if partition_by:
-        touched = new.select(partition_by).distinct()
-        base = base.join(touched, partition_by, "left_semi")
-    tables.overwrite(upsert(base, new.select(*base.columns), keys, order), stage, parts)
-    merged = spark.read.schema(base.schema).parquet(stage)
-    if parts:
-        merged = merged.hint("rebalance", *parts)
-    writer = merged.write.mode("overwrite").partitionBy(*parts)
-    if partition_by:
-        writer = writer.option("partitionOverwriteMode", "dynamic")
-    writer.parquet(path)

@@ -1,88 +1,133 @@
-"""Alert cooldown as keyed state."""
+"""Alert cooldown over a stream, as a fold over each SKU's hourly cycles.
 
-from __future__ import annotations
+State is a small table, written anew with every batch: per SKU the last alert and the
+cycles that are still open. A batch adds its cycles, closes those the watermark has passed
+and folds them in order; everything runs in built-in expressions. A batch that is run again
+reads the state before it and replaces its output, so results are exact after a failure.
+"""
 
-from collections.abc import Iterator
-from datetime import UTC, datetime
-from typing import Any
+from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from liftspark.config import RiskConfig
+from liftspark.sources import tables
+from liftspark.streaming import sinks
 
 OUTPUT = "sku_id string, cycle timestamp, p90_demand_lift double"
+_CYCLE = "struct<cycle: timestamp, p90_demand_lift: double>"
+STATE = f"sku_id string, last timestamp, open array<{_CYCLE}>"
+CLOCK = "newest timestamp, late_rows long"
 
 
-class _Cooldown(StatefulProcessor):
-    """Remembers the last alert of a SKU and lets the next one through after a pause."""
-
-    def __init__(self, hours: int):
-        self._pause = hours * 3_600_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._handle = handle
-        self._last = handle.getValueState("last", "millis long")
-
-    def handleInputRows(
-        self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
-    ) -> Iterator[pd.DataFrame]:
-        # One row per SKU and hourly cycle: the frame is as long as the batch has hours.
-        ordered = pd.concat(list(rows)).sort_values("millis")
-        last = self._last.get()[0] if self._last.exists() else None
-        passed = []
-        for row in ordered.itertuples():
-            if last is None or row.millis >= last + self._pause:
-                last = row.millis
-                at = datetime.fromtimestamp(last / 1000, UTC).replace(tzinfo=None)
-                passed.append((key[0], at, row.p90_demand_lift))
-        if passed:
-            self._last.update((int(last),))
-            for timer in list(self._handle.listTimers()):
-                self._handle.deleteTimer(timer)
-            self._handle.registerTimer(int(last) + self._pause)
-        yield pd.DataFrame(passed, columns=["sku_id", "cycle", "p90_demand_lift"])
-
-    def handleExpiredTimer(
-        self, key: Any, timerValues: Any, expiredTimerInfo: Any
-    ) -> Iterator[pd.DataFrame]:
-        self._last.clear()
-        yield pd.DataFrame(columns=["sku_id", "cycle", "p90_demand_lift"])
-
-    def close(self) -> None:
-        pass
-
-
-def per_cycle(candidates: DataFrame, lateness: str) -> DataFrame:
-    """One candidate per SKU and hourly cycle, the one with the highest P90.
-
-    The aggregation combines on the map side, so the keyed state behind it never sees
-    more than one row per hour of a SKU.
-    """
-    grouped = candidates.withWatermark("created_at", lateness).groupBy(
-        F.window("created_at", "1 hour").alias("w"), "sku_id"
-    )
-    return grouped.agg(F.max("p90_demand_lift").alias("p90_demand_lift"))
+def _folded(closed: Column, last: Column, hours: int) -> Column:
+    """Last alert and the cycles let through, in order of time."""
+    pause = F.make_dt_interval(hours=F.lit(hours))
+    start = F.struct(last.alias("last"), F.array().cast(f"array<{_CYCLE}>").alias("passed"))
+
+    def step(state: Column, cycle: Column) -> Column:
+        free = state["last"].isNull() | (cycle["cycle"] >= state["last"] + pause)
+        return F.when(
+            free,
+            F.struct(cycle["cycle"].alias("last"), F.concat(state["passed"], F.array(cycle)).alias("passed")),
+        ).otherwise(state)
 
+    return F.aggregate(closed, start, step)
 
-def stream_cooldown(
-    candidates: DataFrame, hours: int = RiskConfig().cooldown_hours, lateness: str = "1 hour"
-) -> DataFrame:
-    """Candidates (sku_id, created_at, p90_demand_lift) that no alert of the last
-    ``hours`` suppresses, by hourly cycle.
 
-    A cycle is decided when the watermark closes it, so cycles come in order. State is
-    one number per SKU and is cleared when the pause has passed.
+def advance(
+    state: DataFrame, candidates: DataFrame, watermark: Column, hours: int
+) -> tuple[DataFrame, DataFrame]:
+    """(state, alerts) after the candidates; cycles that end by the watermark are decided.
+
+    Candidates combine to one per SKU and cycle before the shuffle, so a SKU with a third
+    of them sends one row per task and hour. The arrays hold the hours of one batch.
     """
-    cycles = per_cycle(candidates, lateness).select(
-        "sku_id",
-        F.unix_millis("w.start").alias("millis"),
-        F.col("w.end").alias("cycle_end"),
-        "p90_demand_lift",
-        "w",
+    new = candidates.groupBy("sku_id", F.date_trunc("hour", "created_at").alias("cycle")).agg(
+        F.max("p90_demand_lift").alias("p90_demand_lift")
     )
-    return cycles.groupBy("sku_id").transformWithStateInPandas(
-        _Cooldown(hours), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"
+    waiting = state.select("sku_id", F.inline("open"))
+    cycles = new.unionByName(waiting).groupBy("sku_id", "cycle").agg(F.max("p90_demand_lift").alias("p90_demand_lift"))
+    listed = cycles.groupBy("sku_id").agg(
+        F.array_sort(F.collect_list(F.struct("cycle", "p90_demand_lift"))).alias("all")
     )
+    joined = state.select("sku_id", "last").join(listed, "sku_id", "full")
+    every = F.coalesce("all", F.array().cast(f"array<{_CYCLE}>"))
+    ends = lambda c: c["cycle"] + F.expr("INTERVAL 1 HOUR") <= watermark
+    folded = joined.select(
+        "sku_id",
+        _folded(F.filter(every, ends), F.col("last"), hours).alias("f"),
+        F.filter(every, lambda c: ~ends(c)).alias("open"),
+    )
+    folded = tables.stage(folded, "folded")
+    alerts = folded.select("sku_id", F.inline("f.passed"))
+    pause_over = F.col("f.last") + F.make_dt_interval(hours=F.lit(hours)) <= watermark
+    kept = folded.select("sku_id", F.when(~pause_over, F.col("f.last")).alias("last"), "open")
+    return kept.filter("last IS NOT NULL OR size(open) > 0"), alerts
+
+
+def _read(spark: SparkSession, folder: str, number: int, schema: str) -> DataFrame:
+    path = f"{folder}/{sinks.BATCH}={number}"
+    if not tables.exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _step(spark: SparkSession, batch: DataFrame, number: int, out: str, home: str, hours: int, lateness: str, drain: bool):
+    """One batch from the state of the batch before."""
+    clock = _read(spark, f"{home}/clock", number - 1, CLOCK).first()
+    before, late = (clock.newest, clock.late_rows) if clock else (None, 0)
+    batch = tables.stage(batch.select("sku_id", "created_at", "p90_demand_lift"), "batch")
+    newest = batch.agg(F.greatest(F.max("created_at"), F.lit(before).cast("timestamp"))).first()[0]
+    closed = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+    is_late = F.coalesce(F.date_trunc("hour", "created_at") + F.expr("INTERVAL 1 HOUR") <= closed, F.lit(False))
+    late += batch.filter(is_late).count()
+    watermark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+    if drain:
+        watermark = F.lit("9999-01-01").cast("timestamp")
+    state = _read(spark, f"{home}/state", number - 1, STATE)
+    kept, alerts = advance(state, batch.filter(~is_late), watermark, hours)
+    alerts.write.mode("overwrite").parquet(f"{out}/{sinks.BATCH}={number}")
+    kept.write.mode("overwrite").parquet(f"{home}/state/{sinks.BATCH}={number}")
+    row = spark.createDataFrame([(newest, late)], CLOCK)
+    row.coalesce(1).write.mode("overwrite").parquet(f"{home}/clock/{sinks.BATCH}={number}")
+
+
+def run_cooldown(
+    candidates: DataFrame,
+    out: str,
+    home: str,
+    hours: int = RiskConfig().cooldown_hours,
+    lateness: str = "1 hour",
+    drain: bool = True,
+) -> int:
+    """Thin arriving candidates (sku_id, created_at, p90_demand_lift) to one alert per pause.
+
+    ``home`` keeps progress and state. With ``drain``, the cycles still open when all that
+    has arrived is worked through are decided too, as at the end of a bounded run. Returns
+    the number of rows that came after their cycle was decided; they are counted, not used.
+    """
+    spark = candidates.sparkSession
+    last = [-1]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        with tables.scratch(spark):
+            _step(spark, batch, number, out, home, hours, lateness, False)
+        last[0] = number
+
+    sinks.run_batches(candidates, handle, f"{home}/progress")
+    if drain and last[0] >= 0:
+        empty = spark.createDataFrame([], "sku_id string, created_at timestamp, p90_demand_lift double")
+        with tables.scratch(spark):
+            _step(spark, empty, last[0] + 1, out, home, hours, lateness, True)
+        last[0] += 1
+    clock = _read(spark, f"{home}/clock", last[0], CLOCK).first()
+    return clock.late_rows if clock else 0
+
+
+def read_alerts(spark: SparkSession, out: str) -> DataFrame:
+    """Alerts (sku_id, cycle, p90_demand_lift) let through so far."""
+    if not tables.path_exists(spark, out):
+        return spark.createDataFrame([], OUTPUT)
+    return spark.read.schema(f"{OUTPUT}, {sinks.BATCH} long").parquet(out).drop(sinks.BATCH)

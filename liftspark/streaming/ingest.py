@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
+from liftspark import config as C
 from liftspark import schemas
 from liftspark.plans import hourly
+from liftspark.sources import tables
 from liftspark.streaming import sinks
 
 
@@ -22,7 +24,9 @@ def stream_ingest(
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        hourly.store(batch.sparkSession, root, "engagement_events", batch)
+        with tables.scratch(batch.sparkSession):
+            batch = tables.stage(batch, "arrived")
+            hourly.store(batch.sparkSession, root, "engagement_events", batch)
 
     sinks.run_batches(events, handle, checkpoint)
 
@@ -34,6 +38,7 @@ def stream_refresh(
     checkpoint: str,
     as_of: Column,
     files_per_batch: int | None = None,
+    horizon: int = C.SNAPSHOT_HORIZON_HOURS,
 ) -> None:
     """Ingest arriving snapshot files and keep features and video mart current."""
     events = sinks.file_stream(
@@ -44,7 +49,9 @@ def stream_refresh(
         if batch.isEmpty():
             return
         session = batch.sparkSession
-        hourly.store(session, root, "engagement_events", batch)
-        hourly.refresh_touched(session, root, batch, as_of)
+        with tables.scratch(session):
+            batch = tables.stage(batch, "arrived")
+            hourly.store(session, root, "engagement_events", batch)
+            hourly.refresh_touched(session, root, batch, as_of, horizon)
 
     sinks.run_batches(events, handle, checkpoint)

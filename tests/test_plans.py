@@ -52,7 +52,7 @@ def test_filters_and_columns_reach_the_scan(stored):
 
 def test_features_shuffle_events_once(stored, no_broadcast):
     text = plan(FT.features(stored["events"], stored["bridge"], stored["skus"]))
-    scans_of_events = text.count("views_delta_1h:int")
+    scans_of_events = text.count("views_delta_1h:bigint")
     assert scans_of_events == 1
     # events, tags with SKUs on sku_id (two sides), sums by video
     assert text.count("Exchange hashpartitioning") == 4
@@ -61,7 +61,7 @@ def test_features_shuffle_events_once(stored, no_broadcast):
 def test_latest_rows_are_cut_before_the_shuffle(stored):
     text = plan(FT.latest_features(stored["events"], stored["bridge"], stored["skus"]))
     assert re.search(r"WindowGroupLimit .* 3, Partial", text)
-    assert text.count("views_delta_1h:int") == 1
+    assert text.count("views_delta_1h:bigint") == 1
 
 
 def test_top_k_plans(stored):
@@ -107,3 +107,51 @@ def test_upsert_of_a_small_batch_does_not_shuffle_the_base(spark, stored):
     text = plan(upsert.upsert(base, new, ["sku_id"], [F.col("current_stock")]))
     assert "BroadcastHashJoin" in text and "LeftAnti" in text
     assert text.count("Exchange hashpartitioning") == 1  # the ranking of the new rows
+
+
+def test_days_of_a_batch_prune_the_scan(spark, folder):
+    import datetime as dt
+
+    from liftspark.sources import stored
+
+    days = [dt.date(2024, 1, i) for i in range(1, 9)]
+    df = spark.createDataFrame([(f"k{i}", i, d) for i, d in enumerate(days)], "k string, v int, day date")
+    stored.publish(spark, f"{folder}/t", df, "day")
+    for chosen in ({"days": days[2:4]}, {"between": (days[2], days[3])}):
+        part = stored.read(spark, f"{folder}/t", df.schema, "day", **chosen)
+        text = re.search(r"PartitionFilters: \[([^\]]*)\]", plan(part)).group(1)
+        assert "2024-01-03" in text and "2024-01-04" in text
+        assert part.count() == 2
+
+
+def test_many_trees_are_one_step(spark, bench):
+    import random
+    import time
+
+    from liftspark import config as C
+    from liftspark.operators import quantile as Q
+
+    rng = random.Random(1)
+
+    def tree():
+        t = Q.Tree([], [], [], [], [])
+
+        def grow(depth):
+            at = len(t.feature)
+            for column in (t.feature, t.threshold, t.low, t.high, t.value):
+                column.append(-1)
+            if depth:
+                t.feature[at], t.threshold[at], t.value[at] = rng.randrange(15), rng.random(), 0.0
+                t.low[at], t.high[at] = grow(depth - 1), grow(depth - 1)
+            else:
+                t.threshold[at], t.low[at], t.high[at], t.value[at] = 0.0, at, at, rng.random()
+            return at
+
+        grow(5)
+        return t
+
+    models = {q: Q.QuantileModel(a, 0.5, [tree() for _ in range(500)]) for q, a in C.QUANTILES.items()}
+    start = time.time()
+    df = Q.predict(bench.videos, models)
+    assert time.time() - start < 10
+    assert plan(df).count("ArrowEvalPython") == 1

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from liftspark.operators import features as FT
-from liftspark.plans import marts
+from liftspark.plans import hourly, marts
 from liftspark.sources import tables
 from liftspark.streaming import cooldown, ingest, sinks, windows
 
@@ -69,43 +69,44 @@ def test_ingest_is_idempotent_and_keeps_late_rows(spark, bench, folder):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     root = f"{folder}/root"
     ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p1", files_per_batch=1)
-    stored = tables.read_table(spark, root, "engagement_events")
+    stored = hourly.read(spark, root, "engagement_events")
     assert stored.count() == events.count()
     ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p2")  # everything again
-    stored = tables.read_table(spark, root, "engagement_events")
+    stored = hourly.read(spark, root, "engagement_events")
     assert stored.exceptAll(events).count() == 0 and events.exceptAll(stored).count() == 0
 
 
 def test_refresh_equals_full_rebuild(spark, bench, folder):
     events = tables.stage(bench.raw.events, "events")
     root = f"{folder}/root"
-    tables.overwrite(bench.raw.bridge, f"{root}/video_sku_bridge")
-    tables.overwrite(bench.raw.skus, f"{root}/sku_catalog")
+    hourly.store(spark, root, "video_sku_bridge", bench.raw.bridge)
+    hourly.store(spark, root, "sku_catalog", bench.raw.skus)
     late = F.col("hours_since_post").between(100, 300)
     for part in (events.filter(~late), events.filter(late)):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     ingest.stream_refresh(
-        spark, f"{folder}/in", root, f"{folder}/progress", bench.as_of, files_per_batch=1
+        spark, f"{folder}/in", root, f"{folder}/progress", bench.as_of, files_per_batch=1, horizon=720
     )
-    got = spark.read.parquet(f"{root}/mart_videos").drop("posted_date")
+    got = hourly.read(spark, root, "mart_videos").drop(hourly.DAY)
     want = bench.videos.select(*got.columns)
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
-    rows = spark.read.parquet(f"{root}/engagement_features").drop("posted_date")
+    rows = hourly.read(spark, root, "engagement_features").drop(hourly.DAY)
     assert rows.exceptAll(bench.features.select(*rows.columns)).count() == 0
     assert rows.count() == events.count()
 
 
 def test_cooldown_against_brute_force(spark, folder):
-    """Greedy thinning per SKU over the cycles the watermark has closed."""
+    """Greedy thinning per SKU over all hourly cycles, in several batches."""
     rng = random.Random(5)
     skus = ["hot"] * 8 + ["a", "b", "c"]
     schema = "sku_id string, created_at timestamp, p90_demand_lift double"
     everything = []
     for part in range(3):
+        # A batch reaches two hours back into the one before.
         rows = [
             (
                 rng.choice(skus),
-                START + dt.timedelta(minutes=part * 1440 + rng.randrange(1440)),
+                START + dt.timedelta(minutes=part * 1440 + rng.randrange(-120, 1440)),
                 float(rng.randrange(10)),
             )
             for _ in range(120)
@@ -115,20 +116,32 @@ def test_cooldown_against_brute_force(spark, folder):
     stream = sinks.file_stream(
         spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_per_batch=1
     )
-    passed = cooldown.stream_cooldown(stream, hours=4, lateness="2 days")
-    sinks.write_changes(passed, f"{folder}/out", f"{folder}/progress", "append")
-    got = {(r.sku_id, r.cycle) for r in sinks.read_appended(spark, f"{folder}/out", passed.schema).collect()}
-
-    cycles = sorted({(s, t.replace(minute=0)) for s, t, _ in everything}, key=lambda x: x[1])
-    closed = max(t for _, t, _ in everything) - dt.timedelta(days=2)
+    late = cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4, lateness="3 hours")
+    got = {tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect()}
+    assert late == 0 and len({r.batch_id for r in spark.read.parquet(f"{folder}/out").collect()}) >= 3
+    best = {}
+    for sku, t, lift in everything:
+        key = (sku, t.replace(minute=0))
+        best[key] = max(best.get(key, lift), lift)
     last, want = {}, set()
-    for sku, cycle in cycles:
-        if cycle + dt.timedelta(hours=1) > closed:
-            continue
+    for (sku, cycle), lift in sorted(best.items(), key=lambda x: x[0][1]):
         if sku not in last or cycle - last[sku] >= dt.timedelta(hours=4):
             last[sku] = cycle
-            want.add((sku, cycle))
-    assert want and got == want
+            want.add((sku, cycle, lift))
+    assert got == want
+
+
+def test_cooldown_goes_on_and_counts_late_rows(spark, folder):
+    schema = "sku_id string, created_at timestamp, p90_demand_lift double"
+    at = lambda h: START + dt.timedelta(hours=h)
+    batches = [[("a", at(0), 1.0), ("a", at(1), 1.0)], [("a", at(9), 2.0)], [("a", at(2), 9.0), ("a", at(12), 3.0)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = sinks.file_stream(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+        late = cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4, drain=False)
+    assert late == 1
+    got = sorted(tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect())
+    assert got == [("a", at(0), 1.0), ("a", at(9), 2.0)]  # hour 12 is still open
 
 
 def test_late_marts_do_not_need_streams(bench):

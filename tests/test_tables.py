@@ -12,7 +12,7 @@ from liftspark import schemas
 from liftspark.operators import alerts as A
 from liftspark.operators import ingest, maintenance, quality, scoring, serving
 from liftspark.plans import hourly, marts
-from liftspark.sources import tables, upsert
+from liftspark.sources import stored, tables, upsert
 
 NOW = dt.datetime(2024, 2, 1)
 
@@ -32,31 +32,94 @@ def test_upsert_last_write_wins(spark):
     assert rows_of(got) == [("a", 1, 0), ("b", 4, 2), ("c", 5, 1)]
 
 
-def test_upsert_table_rewrites_touched_partitions_only(spark, folder):
+KVD = "k string, v int, day date"
+D1, D2, D3 = (dt.date(2024, 1, i) for i in (1, 2, 3))
+
+
+def kvd(spark, *rows):
+    return spark.createDataFrame(list(rows), KVD)
+
+
+def put(spark, path, *rows):
+    stored.upsert(spark, path, kvd(spark, *rows), ["k"], [F.col("v").desc()], "day")
+
+
+def read_kvd(spark, path, **days):
+    return stored.read(spark, path, kvd(spark).schema, "day", **days)
+
+
+def test_stored_upsert_writes_touched_days_only(spark, folder):
     path = f"{folder}/t"
-    schema = "k string, v int, d string"
-    first = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "y")], schema)
-    order = [F.col("v").desc()]
-    upsert.upsert_table(spark, path, first, ["k"], order, partition_by="d")
-    untouched = spark.read.parquet(f"{path}/d=x").inputFiles()
-    second = spark.createDataFrame([("b", 9, "y"), ("e", 5, "z")], schema)
+    put(spark, path, ("a", 1, D1), ("b", 2, D2), ("c", 3, D2))
+    untouched = stored.live(spark, path)[str(D1)]
     for _ in range(2):  # the second time changes nothing
-        upsert.upsert_table(spark, path, second, ["k"], order, partition_by="d")
-        assert rows_of(spark.read.parquet(path).select("k", "v", "d")) == [
-            ("a", 1, "x"),
-            ("b", 9, "y"),
-            ("c", 3, "y"),
-            ("e", 5, "z"),
-        ]
-    assert spark.read.parquet(f"{path}/d=x").inputFiles() == untouched
+        put(spark, path, ("b", 8, D2), ("b", 9, D2), ("e", 5, D3))
+        want = [("a", 1, D1), ("b", 9, D2), ("c", 3, D2), ("e", 5, D3)]
+        assert rows_of(read_kvd(spark, path)) == want
+    assert stored.live(spark, path)[str(D1)] == untouched
+    assert rows_of(read_kvd(spark, path, days=[D1, D3])) == [("a", 1, D1), ("e", 5, D3)]
+    assert rows_of(read_kvd(spark, path, between=(D2, D3)).select("k")) == [("b",), ("c",), ("e",)]
+
+
+def test_empty_batches_and_absent_tables(spark, folder):
+    path = f"{folder}/t"
+    assert not stored.exists(spark, path) and read_kvd(spark, path).count() == 0
+    put(spark, path)
+    put(spark, path, ("a", 1, D1))
+    put(spark, path)
+    assert rows_of(read_kvd(spark, path)) == [("a", 1, D1)]
+
+
+def test_a_write_that_breaks_off_loses_nothing(spark, folder):
+    path = f"{folder}/t"
+    put(spark, path, *[(f"k{i}", i, D1) for i in range(100)])
+    broken = kvd(spark, ("x", 1, D1)).withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
+    with pytest.raises(Exception, match="lost"):
+        stored.publish(spark, path, broken, "day", [D1])
+    # Data without a log entry, and a log entry that was not finished.
+    kvd(spark, ("y", 1, D1)).write.partitionBy("day").parquet(f"{path}/data/stored_version=half")
+    spark.createDataFrame([("2024-01-01", "stored_version=half/day=2024-01-01")], stored.ENTRY).write.parquet(f"{path}/_log/000000000001")
+    tables.remove(spark, f"{path}/_log/000000000001/_SUCCESS")
+    assert read_kvd(spark, path).count() == 100
+    put(spark, path, *[(f"n{i}", i, D1) for i in range(5)])
+    assert read_kvd(spark, path).count() == 105
+
+
+def test_a_second_writer_fails_and_changes_nothing(spark, folder):
+    path = f"{folder}/t"
+    number = stored.next_number(spark, path)
+    put(spark, path, ("a", 1, D1))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        stored.publish(spark, path, kvd(spark, ("b", 1, D1)), "day", number=number)
+    assert rows_of(read_kvd(spark, path)) == [("a", 1, D1)]
+
+
+def test_read_errors_are_not_absence(spark, folder):
+    import pathlib
+
+    path = f"{folder}/t"
+    put(spark, path, ("a", 1, D1))
+    for file in pathlib.Path(path, "_log").rglob("*.parquet"):
+        file.write_bytes(b"broken")
+    with pytest.raises(Exception):
+        put(spark, path, ("b", 1, D1))
 
 
-def test_upsert_table_without_partitions(spark, folder):
+def test_vacuum_keeps_what_is_needed(spark, folder):
     path = f"{folder}/t"
-    for value in (1, 2):
-        new = spark.createDataFrame([("a", value), (f"k{value}", 0)], "k string, v int")
-        upsert.upsert_table(spark, path, new, ["k"], [F.col("v")])
-    assert rows_of(spark.read.parquet(path)) == [("a", 2), ("k1", 0), ("k2", 0)]
+    for i in range(5):
+        put(spark, path, ("a", i, D1), (f"k{i}", 0, dt.date(2024, 2, 1 + i)))
+    before = rows_of(read_kvd(spark, path))
+    assert stored.vacuum(spark, path, keep=2) > 0
+    assert len(stored.entries(spark, path)) == 2 and rows_of(read_kvd(spark, path)) == before
+    assert stored.vacuum(spark, path, keep=2) == 0
+
+
+def test_scratch_is_removed(spark):
+    with tables.scratch(spark):
+        path = tables.stage(spark.range(3), "gone").inputFiles()[0]
+        assert tables.path_exists(spark, path)
+    assert not tables.path_exists(spark, path)
 
 
 def test_next_hour(spark):
@@ -113,18 +176,36 @@ def test_review_states(spark):
     assert {r.outcome for r in again.collect()} == {"not_pending", "not_found"}
 
 
+DECISIONS = (
+    "decision_id string, alert_id string, decision string, approved_by string, decided_at timestamp"
+)
+
+
 def test_stored_review(spark, folder):
-    alerts = alert_rows(spark, [("a1", "s", "CRITICAL"), ("a2", "s", "WARNING")])
-    alerts.write.parquet(f"{folder}/agent_alerts")
-    decisions = spark.createDataFrame(
-        [("d1", "a1", "approve", "kim", at(1))],
-        "decision_id string, alert_id string, decision string, approved_by string,"
-        " decided_at timestamp",
-    )
+    alert_rows(spark, [("a1", "s", "CRITICAL"), ("a2", "s", "WARNING")]).write.parquet(f"{folder}/agent_alerts")
+    decisions = spark.createDataFrame([("d1", "a1", "approve", "kim", at(1))], DECISIONS)
     assert [r.outcome for r in hourly.review(spark, folder, decisions).collect()] == ["success"]
+    # Alerts raised meanwhile stay, and a later decision with an earlier time changes nothing.
+    alert_rows(spark, [("a3", "t", "WARNING")]).write.mode("append").parquet(f"{folder}/agent_alerts")
+    late = spark.createDataFrame([("d0", "a1", "dismiss", "lee", at(0)), ("d2", "a3", "dismiss", "lee", at(2))], DECISIONS)
+    outcomes = {r.decision_id: r.outcome for r in hourly.review(spark, folder, late).collect()}
+    assert outcomes == {"d0": "not_pending", "d2": "success"}
     assert [r.outcome for r in hourly.review(spark, folder, decisions).collect()] == ["not_pending"]
-    stored = {r.alert_id: r.status for r in tables.ensure_alerts(spark, folder).collect()}
-    assert stored == {"a1": "APPROVED", "a2": "PENDING"}
+    states = {r.alert_id: r.status for r in hourly.read_alerts(spark, folder).collect()}
+    assert states == {"a1": "APPROVED", "a2": "PENDING", "a3": "DISMISSED"}
+
+
+def test_cap_counts_stored_alerts(spark):
+    df = tables.with_alert_defaults(
+        spark.createDataFrame([(f"a{i}", f"s{i}", "CRITICAL", float(i)) for i in range(6)],
+                              "alert_id string, sku_id string, risk_tier string, p90_demand_lift double"),
+        F.lit(NOW),
+    )
+    stored_alerts = df.limit(2)
+    new = df.join(stored_alerts.select("alert_id"), "alert_id", "left_anti")
+    got = {r.alert_id: r.status for r in A.suppress_beyond_cap(new, stored_alerts, 4).collect()}
+    assert len(got) == 4 and sorted(got.values()) == ["PENDING"] * 2 + ["SUPPRESSED"] * 2
+    assert A.suppress_beyond_cap(new, stored_alerts, 1).filter("status = 'PENDING'").count() == 0
 
 
 def test_cooldown_against_brute_force(spark):
@@ -279,56 +360,87 @@ def test_alert_state_in_risk_mart(spark, bench):
     assert rows and {r.alert_status for r in rows} <= set(C.ALERT_STATUSES)
 
 
+def test_ingestion_keeps_every_hour(spark, bench, folder):
+    """Several hours at once, a gap, a late hour, a correction, hours beyond the horizon."""
+    video = bench.raw.events.orderBy("video_id").first().video_id
+    one = bench.raw.events.filter(F.col("video_id") == video).limit(1)
+
+    def snapshots(*hours, views=1):
+        rows = one.crossJoin(spark.createDataFrame([(h,) for h in hours], "h int"))
+        return rows.withColumns(
+            {
+                "hours_since_post": F.col("h"),
+                "event_id": F.format_string("e%03d", "h"),
+                "snapshot_at": F.col("posted_at") + F.make_dt_interval(hours=F.col("h")),
+                "view_count": F.lit(views).cast("long"),
+            }
+        ).drop("h")
+
+    for batch in (snapshots(0, 1, 2), snapshots(1, views=7), snapshots(5, 6, 47, 48, -1), snapshots(3)):
+        hourly.ingest_batch(spark, folder, batch)
+    kept = hourly.read(spark, folder, "engagement_events")
+    assert {(r.hours_since_post, r.view_count) for r in kept.collect()} == {
+        (0, 1), (1, 7), (2, 1), (3, 1), (5, 1), (6, 1), (47, 1)
+    }
+    apart = hourly.read(spark, folder, "quarantined_events").select("hours_since_post", "reason")
+    assert rows_of(apart) == [(-1, "before_post"), (48, "beyond_horizon")]
+    state = hourly.progress(spark, folder).first()
+    assert (state.max_hour, state.stored_hours, state.missing_hours, state.is_finished) == (47, 7, 41, True)
+
+
 def test_hourly_run(spark, bench, folder):
-    """Three hourly runs from an empty event table, with the alerts of each."""
+    """Hourly runs from an empty event table: the history, the newest hours, a repetition."""
     for name, df in (
         ("video_metadata", bench.raw.videos),
         ("video_sku_bridge", bench.raw.bridge),
         ("sku_catalog", bench.raw.skus),
     ):
         hourly.store(spark, folder, name, df)
-    # The three newest snapshots of each video stand in for its hours 0, 1 and 2.
+    events = tables.stage(bench.raw.events, "events")
     newest = Window.partitionBy("video_id").orderBy(F.col("hours_since_post").desc())
-    ranked = bench.raw.events.withColumn("n", F.row_number().over(newest)).filter("n <= 3")
-    dense = tables.stage(
-        ranked.withColumn("hours_since_post", (3 - F.col("n")).cast("int")).drop("n"), "dense"
-    )
-    videos = bench.raw.videos.count()
-    total = 0
-    for hour in range(3):
-        as_of = F.lit(at(hour))
-        new = hourly.run_hourly(spark, folder, dense, as_of, throttle=hour > 0)
-        events = tables.read_table(spark, folder, "engagement_events")
-        assert events.count() == videos * (hour + 1)
-        # The same SKUs stay at risk, so the cooldown holds back what hour 0 reported.
-        assert (new.count() > 0) == (hour == 0)
+    ranked = events.withColumn("n", F.row_number().over(newest))
+    late = (F.col("n") == 4) & (F.abs(F.hash("video_id")) % 3 == 0)
+    parts = [ranked.filter((F.col("n") > 1) & ~late), ranked.filter("n = 1"), ranked.filter(late), ranked.filter(late)]
+    videos, total = bench.raw.videos.count(), 0
+    for hour, part in enumerate(parts):
+        part = part.drop("n")
+        new = hourly.run_hourly(spark, folder, part, F.lit(at(hour)), throttle=hour > 0, horizon=720)
         total += new.count()
-        assert tables.read_table(spark, folder, "agent_alerts").count() == total
-    mart = tables.stage(spark.read.parquet(f"{folder}/mart_videos").drop("posted_date"), "mart")
-    assert mart.count() == videos and mart.agg(F.max("hours_observed")).first()[0] == 2
-    predictions = spark.read.parquet(f"{folder}/video_predictions")
-    assert predictions.count() == videos * 3
-    assert scoring.score_new(mart, predictions).count() == 0
-    risk = spark.read.parquet(f"{folder}/mart_sku_risk")
+        stored_alerts = hourly.read_alerts(spark, folder)
+        assert stored_alerts.count() == stored_alerts.select("alert_id").distinct().count()
+    kept = hourly.read(spark, folder, "engagement_events")
+    assert kept.exceptAll(events).count() == 0 and events.exceptAll(kept).count() == 0
+    rows = hourly.read(spark, folder, "engagement_features").drop(hourly.DAY)
+    assert rows.exceptAll(bench.features.select(*rows.columns)).count() == 0 and rows.count() == events.count()
+    mart = tables.stage(hourly.read(spark, folder, "mart_videos").drop(hourly.DAY, "mart_refreshed_at"), "mart")
+    assert mart.exceptAll(bench.videos.select(*mart.columns)).count() == 0 and mart.count() == videos
+    predictions = hourly.read(spark, folder, "video_predictions")
+    assert predictions.count() == videos  # the newest of each
+    assert spark.read.parquet(f"{folder}/prediction_history").count() > videos
+    assert hourly.read_videos(spark, folder).filter("p90_demand_lift IS NULL").count() == 0
+    risk = hourly.read(spark, folder, "mart_sku_risk")
     assert risk.count() == bench.raw.skus.count()
-    expected = marts.risk_from_videos(
-        bench.staged_skus,
-        bench.raw.bridge,
-        scoring.attach_predictions(mart, predictions),
-    )
+    expected = marts.risk_from_videos(bench.staged_skus, bench.raw.bridge, hourly.read_videos(spark, folder))
     same = ("sku_id", *C.LIFT_COLUMNS, "ml_risk_tier", "projected_stockout_days", "urgency_score")
     assert risk.select(*same).exceptAll(expected.select(*same)).count() == 0
     assert total > 0
+    # The same run again raises nothing twice.
+    before = hourly.read_alerts(spark, folder).count()
+    again = hourly.raise_alerts(spark, folder, F.lit(at(0)))
+    assert hourly.read_alerts(spark, folder).count() >= before and again.count() > 0
+    ids = hourly.read_alerts(spark, folder).select("alert_id")
+    assert ids.count() == ids.distinct().count()
     hourly.rebuild_videos(spark, folder, F.lit(at(2)))
-    rebuilt = spark.read.parquet(f"{folder}/mart_videos").drop("posted_date", "mart_refreshed_at")
-    assert rebuilt.exceptAll(mart.select(*rebuilt.columns)).count() == 0
-    assert rebuilt.count() == videos
+    rebuilt = hourly.read(spark, folder, "mart_videos").select(*mart.columns)
+    assert rebuilt.exceptAll(mart).count() == 0 and rebuilt.count() == videos
     assert hourly.rescore(spark, folder, F.lit(at(3))) == 0
-    before = bench.raw.skus.agg(F.sum("current_stock")).first()[0]
+    stock = bench.raw.skus.agg(F.sum("current_stock")).first()[0]
     hourly.refresh_catalog(spark, folder, seed=1)
-    after = tables.read_table(spark, folder, "sku_catalog")
+    after = hourly.read(spark, folder, "sku_catalog")
     assert after.count() == bench.raw.skus.count()
-    assert after.agg(F.sum("current_stock")).first()[0] < before
+    assert after.agg(F.sum("current_stock")).first()[0] < stock
+    hourly.clean_up(spark, folder, keep=1)
+    assert hourly.read(spark, folder, "engagement_events").count() == events.count()
 
 
 def test_views_lists_and_counts(spark, folder):
@@ -339,8 +451,8 @@ def test_views_lists_and_counts(spark, folder):
     assert spark.table("coded").count() == 2
     counts = tables.row_counts({"a": df, "b": df.limit(1)})
     assert rows_of(counts) == [("a", 2), ("b", 1)]
-    assert tables.ensure_alerts(spark, folder).count() == 0
-    assert tables.ensure_alerts(spark, folder).columns == schemas.AGENT_ALERTS.names
+    assert hourly.read_alerts(spark, folder).count() == 0
+    assert hourly.read_alerts(spark, folder).columns == schemas.AGENT_ALERTS.names
 
 
 def test_zero_view_first_rows_are_optional(spark):

@@ -277,3 +277,20 @@ def op9_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     write(table(spark, sf_dir, "pages"), path)
     return read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# Group i of five bits lies in the eight bits from hexadecimal digit 5 * i // 4 on.
+ORACLE_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages
+)
+SELECT page_id, payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + (('0x' || substr(h, 1 + 5 * i // 4, 2))::INTEGER >> (3 - 5 * i % 4)) % 32, 1)
+    for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM p
+"""

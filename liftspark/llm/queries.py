@@ -18,6 +18,7 @@ QUERIES = {
     )
 }
 ORACLES = {
+    "op9_warc_bundles": bundles.ORACLE_SQL,
     "op5_url_filter": urlfilter.ORACLE_SQL,
     "op2_mix_to_weights": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,

@@ -8,7 +8,7 @@ letters, and their share as the score.
 Learning: at most ``SAMPLE`` documents per language, those with the least hashes of their
 ids, and at most ``MAX_LANGS`` languages; both bound the model (``BUCKETS`` numbers per
 language), which is what is broadcast. Prediction is a map over all rows: different words
-of an Arrow batch are scored once, and Viterbi steps through all its texts together.
+of a slice of texts are scored once, and Viterbi steps through all its texts together.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0 (all texts
 are where nothing was learned); words of a script no language was learned with follow
@@ -31,6 +31,7 @@ SAMPLE = 1500
 MAX_LANGS = 256
 BUCKETS = 1 << 14
 SMOOTHING = 0.5
+SLICE_CHARS = 12_000_000  # labelled together
 SWITCH = 9.0  # nats a change of language costs
 MIN_SCRIPT_SHARE = 0.002  # of a language's words
 # First and last code point of the scripts' letters (Unicode blocks).
@@ -171,6 +172,14 @@ def viterbi(scores: np.ndarray, codes: np.ndarray, sizes: np.ndarray, switch: fl
     return labels
 
 
+def slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Series]:
+    """Runs of whole texts of about so many characters; a longer text is one of its own."""
+    sizes = np.fromiter((len(t) if isinstance(t, str) else 0 for t in texts), np.int64, len(texts))
+    piece = np.cumsum(sizes) // chars
+    for at in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(piece)) + 1):
+        yield texts.iloc[at]
+
+
 def label_texts(texts: pd.Series, model: Model) -> pd.DataFrame:
     """Language, score and spans of each text of a batch."""
     found = [WORD.findall(t) if isinstance(t, str) else [] for t in texts]
@@ -231,7 +240,8 @@ def identify(spark: SparkSession, model: Model):
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield label_texts(texts, shared.value)
+            parts = [label_texts(part, shared.value) for part in slices(texts)]
+            yield pd.concat(parts, ignore_index=True)
 
     return F.pandas_udf(label, LABELS)
 

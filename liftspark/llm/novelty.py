@@ -14,8 +14,10 @@ exclusive; a base span covers the whole match; kinds may overlap each other, nov
 overlap no base span; equal texts get equal spans; very long texts are scanned in full.
 """
 
+import bisect
 import re
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +40,7 @@ SENSITIVE = re.compile(
     re.I | re.A,
 )
 HINTS = (b"passw", b"passphrase", b"secret", b"token", b"credential", b"authorization", b"bearer", b"key")
+MIN_CANDIDATE = 12
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 REACH = 48  # code points between a sensitive word and its candidate
 AROUND = 512  # code points of surrounding text on either side
@@ -99,22 +102,30 @@ def novelty(text: str, start: int, end: int, primed) -> float:
 
 
 def novel_spans(text: str, data: bytes, base: list, primed) -> list:
-    """Incompressible candidates after a sensitive word, outside the base spans."""
+    """Incompressible candidates after a sensitive word, outside the base spans.
+
+    A candidate is a run of key characters, or what of it follows the word.
+    """
     low = data.lower()
     if not any(w in low for w in HINTS):
         return []
-    found = {}
-    for word in SENSITIVE.finditer(text):
-        limit = word.end() + REACH
-        for m in CANDIDATE.finditer(text, word.end()):
-            if m.start() > limit:
-                break
-            found[m.start()] = m.end()
+    words = [m.end() for m in SENSITIVE.finditer(text)]
+    runs = [m.span() for m in CANDIDATE.finditer(text)] if words else []
+    ends = [end for _, end in runs]
+    found = {}  # end of a run to where its candidate starts: after the last word before it
+    for word in words:
+        at = bisect.bisect_left(ends, word + MIN_CANDIDATE)
+        while at < len(runs) and runs[at][0] <= word + REACH:
+            found[runs[at][1]] = max(runs[at][0], word)
+            at += 1
+    covered = np.zeros(len(text) if found else 0, bool)
+    for _, a, b in base if found else ():
+        covered[a:b] = True
     out = []
-    for start, end in sorted(found.items()):
+    for end, start in sorted(found.items()):
         token = text[start:end]
         mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
-        clear = all(end <= a or start >= b for _, a, b in base)
+        clear = not covered[start:end].any()
         if mixed and clear and novelty(text, start, end, primed) >= MIN_NOVELTY:
             out.append(("novel", start, end))
     return out

@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,8 @@ DIGIT = re.compile(r"[0-9]")
 SAMPLE = 1500
 EPOCHS = 6
 MAX_ATOMS = 15
-MIN_DIGITS = 7
+MIN_DIGITS, MAX_DIGITS = 7, 25
+CONTEXT = 24  # characters looked at before a segment
 NUMERIC = re.compile(r"[0-9+(][0-9\x20().+/-]*+")
 AROUND_AT = re.compile(r"[^\s@,;:<>()\[\]\"']{1,64}@[^\s@,;:<>()\[\]\"']{1,128}")
 ATOM = re.compile(r"[0-9]+|[A-Za-z]+|[^0-9A-Za-z]")
@@ -148,26 +150,31 @@ def segment_features(segment: str, before: str, after: str) -> list:
 
 
 def candidates(island: str, before: str, after: str) -> tuple:
-    """Number of atoms, and segments (first, last + 1, kind, features) that an entity may fill."""
+    """Spans of the atoms, and segments (first, last + 1, kind, features) an entity may fill."""
     spans = [m.span() for m in ATOM.finditer(island)]
+    mail = "@" in island
     out = []
     for i, (start, _) in enumerate(spans):
-        mail = False
-        for j in range(i + 1, min(i + (4 if "@" in island else 1) * MAX_ATOMS, len(spans)) + 1):
-            segment = island[start : spans[j - 1][1]]
-            mail = "@" in segment
-            if mail:
-                fits = segment.count("@") == 1 and segment[0].isalnum() and segment[-1].isalnum()
-                fits = fits and (i == 0 or not island[start - 1].isalnum())
-                kinds = ("email",)
+        digits = signs = 0
+        # No number starts inside another word, and no address inside a word.
+        if not (island[start].isalnum() if mail else island[start] in "+(0123456789"):
+            continue
+        for j in range(i, min(i + (4 if mail else 1) * MAX_ATOMS, len(spans))):
+            first, end = island[spans[j][0]], spans[j][1]
+            signs += first == "@"
+            digits += end - spans[j][0] if first.isdigit() else 0
+            if signs > 1 or (not mail and (digits > MAX_DIGITS or first.isalpha())):
+                break
+            if mail and signs:
+                fits, kinds = first.isalnum() and (i == 0 or not island[start - 1].isalnum()), KINDS[:1]
             else:
-                fits = (segment[0].isdigit() or segment[0] in "+(") and segment[-1].isdigit()
-                fits = fits and not any(c.isalpha() for c in segment)
-                fits = fits and MIN_DIGITS <= sum(c.isdigit() for c in segment) <= 25
-                kinds = KINDS[1:]
+                fits, kinds = not mail and first.isdigit() and digits >= MIN_DIGITS, KINDS[1:]
             if fits:
-                found = segment_features(segment, before + island[:start], island[spans[j - 1][1] :] + after)
-                out += [(i, j, kind, [f"{kind}|{f}" for f in found] + [kind]) for kind in kinds]
+                left, right = before if start < CONTEXT else "", after if len(island) - end < 2 else ""
+                found = segment_features(
+                    island[start:end], left + island[max(0, start - CONTEXT) : start], island[end : end + 2] + right
+                )
+                out += [(i, j + 1, kind, [f"{kind}|{f}" for f in found] + [kind]) for kind in kinds]
     return spans, out
 
 
@@ -239,18 +246,23 @@ def decode(island: str, before: str, after: str, weights: dict) -> list:
 
 
 def _context(text: str, start: int, end: int) -> tuple:
-    return text[max(0, start - 24) : start], text[end : end + 2]
+    return text[max(0, start - CONTEXT) : start], text[end : end + 2]
 
 
 def added_spans(text: str, base: list, weights: dict) -> list:
     """Entities of the field that are clear of all base spans."""
     if not weights:
         return []
+    found = islands(text)
+    covered = np.zeros(len(text) if found else 0, bool)
+    for _, a, b in base if found else ():
+        covered[a:b] = True
     out = []
-    for start, end in islands(text):
+    for start, end in found:
         for kind, a, b in decode(text[start:end], *_context(text, start, end), weights):
             a, b = start + a, start + b
-            if all(b <= s or a >= e for _, s, e in base + out):
+            if not covered[a:b].any():
+                covered[a:b] = True
                 out.append((kind, a, b))
     return out
 

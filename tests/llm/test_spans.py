@@ -49,6 +49,19 @@ def test_secrets_base_spans_and_novelty(spark, documents):
     assert rows[99].spans == rows[3].spans
 
 
+def test_long_texts_take_linear_time():
+    import time
+
+    texts = ["token " * 60000, "token" * 60000, "key secret=" * 30000, "(" * 200000, "1 " * 150000, "+1 " * 100000]
+    texts += ["1" * 300000, "1." * 150000, "a@" * 150000, "a" * 300000 + "@", "password " + "A1b2" * 80000, "@." * 100000]
+    primed, weights = novelty.compressor(), {"phone": -1.0}
+    for text in texts:
+        start = time.time()
+        novelty.spans(text, primed)
+        pii.added_spans(text, pii.base_spans(text), weights)
+        assert time.time() - start < 30, text[:20]
+
+
 def test_masking_secrets(spark):
     df = spark.createDataFrame([(1, "a token=abcdefghijklmnop b", 1), (2, None, 2), (3, "x", 3)], "doc_id long, text string, _secrets long")
     out = novelty.mask_secrets(df)

@@ -538,30 +538,19 @@ def drift(w: Workbench) -> DataFrame:
 
 # ---- quality ----------------------------------------------------------------------
 def dq_report(w: Workbench) -> DataFrame:
-    events, skus = w.raw.events, w.staged_skus
-    return quality.report(
-        {
-            "engagement_events": [
-                quality.check_unique(events, "event_id"),
-                quality.check_not_null(
-                    events,
-                    ["event_id", "video_id", "view_count", "trending_rank", "demand_lift_24h"],
-                ),
-                quality.check_accepted(
-                    events,
-                    {"platform": C.PLATFORMS, "creator_tier": C.CREATOR_TIERS},
-                ),
-            ],
-            "sku_catalog": [
-                quality.check_unique(skus, "sku_id"),
-                quality.check_unique(skus, "sku_name"),
-                quality.check_not_null(skus, ["sku_id", "sku_name", "days_of_cover"]),
-                quality.check_accepted(
-                    skus, {"category": C.CATEGORIES, "inventory_risk_tier": C.RISK_TIERS}
-                ),
-            ],
-        }
+    events = quality.check_declared(
+        w.raw.events,
+        ["event_id"],
+        ["event_id", "video_id", "view_count", "trending_rank", "demand_lift_24h"],
+        {"platform": C.PLATFORMS, "creator_tier": C.CREATOR_TIERS},
+    )
+    skus = quality.check_declared(
+        w.staged_skus,
+        ["sku_id", "sku_name"],
+        ["sku_id", "sku_name", "days_of_cover"],
+        {"category": C.CATEGORIES, "inventory_risk_tier": C.RISK_TIERS},
     )
+    return quality.report({"engagement_events": events, "sku_catalog": skus})
 
 
 def dq_suite(w: Workbench) -> DataFrame:

@@ -12,6 +12,7 @@ from liftspark.session import STATE_STORE
 from liftspark.sources import upsert
 
 BATCH = "batch_id"
+MAX_BATCHES = 10_000  # of a run, for the count of late rows
 
 
 def file_stream(
@@ -35,9 +36,14 @@ def run_batches(
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
     mode: str = "append",
-) -> None:
-    """Work through everything that has arrived, batch by batch, and stop."""
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+) -> int:
+    """Work through everything that has arrived, batch by batch, and stop.
+
+    Returns the number of rows that came after the watermark had closed their window.
+    """
+    conf = stream.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    conf.set("spark.sql.streaming.numRecentProgressUpdates", str(MAX_BATCHES))
     query = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
@@ -46,10 +52,12 @@ def run_batches(
         .start()
     )
     query.awaitTermination()
+    states = [state for progress in query.recentProgress for state in progress["stateOperators"]]
+    return sum(state["numRowsDroppedByWatermark"] for state in states)
 
 
-def write_changes(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> None:
-    """Write each batch of changed rows to its own folder.
+def write_changes(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> int:
+    """Write each batch of changed rows to its own folder; returns the number of late rows.
 
     A batch that is run again replaces its folder, so results are exact after a failure.
     """
@@ -57,7 +65,7 @@ def write_changes(stream: DataFrame, out: str, checkpoint: str, mode: str = "upd
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
 
-    run_batches(stream, handle, checkpoint, mode)
+    return run_batches(stream, handle, checkpoint, mode)
 
 
 def read_changes(spark: SparkSession, out: str, schema: StructType, keys: Sequence[str]) -> DataFrame:

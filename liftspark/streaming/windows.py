@@ -30,8 +30,8 @@ def stream_hourly(activity: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Increments per video and clock hour.
 
     Map-side partial sums meet the state store once per (hour, video) and task. State is
-    dropped once the watermark passes; later rows are left out, so the lateness should
-    exceed the longest delay expected.
+    dropped once the watermark passes; later rows are left out and counted
+    (``sinks.run_batches``), so the lateness should exceed the longest delay expected.
     """
     rows = _windowed(activity, F.window("ts", "1 hour"), lateness)
     return rows.select("video_id", F.col("w.start").alias("hour"), *_increments())

@@ -42,6 +42,17 @@ def test_windows_equal_batch(spark, activity, folder, job):
     assert got.exceptAll(want.select(*got.columns)).count() == 0
 
 
+def test_late_rows_are_counted(spark, folder):
+    schema = "video_id string, ts timestamp, event_type string, value double"
+    hour = lambda h: ("v", START + dt.timedelta(hours=h), "view", 1.0)
+    # A batch is measured against the watermark of the batch before.
+    for rows in ([hour(0), hour(200)], [hour(201)], [hour(202), hour(1), hour(2)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = sinks.file_stream(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    late = sinks.write_changes(windows.stream_hourly(stream), f"{folder}/out", f"{folder}/progress")
+    assert late == 2
+
+
 def test_velocity_by_clock_equals_rows_without_gaps(spark):
     rows = [("v", START + dt.timedelta(hours=h), "view", float(h)) for h in range(30)]
     activity = spark.createDataFrame(

@@ -3,8 +3,8 @@
 Targets: a budget is shared among the sources by weight; a source is taken at most ``CAP``
 times over, and what it cannot use is shared again. A source is then taken in whole epochs
 plus a part: the documents whose hash lies below a threshold. The threshold comes from sums
-of words by (source, upper hash half); only the bucket in which the budget ends is summed
-again by the lower half. What the boundary document leaves of the budget goes to later and
+of words by (source, first hash bits); only the bucket in which the budget ends is summed
+again by the next bits, and so on. What the boundary document leaves of the budget goes to later and
 smaller documents in the same way, ``PASSES`` times. Nothing is sorted but histogram
 buckets, and a rerun takes the same documents.
 
@@ -28,7 +28,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5  # of all words
 CAP = 2  # times a source's words
 PASSES = 4
-HALF = 16
+LEVELS = (11, 11, 10)  # bits of the hash that each histogram adds
 
 
 def hash32(key: Column) -> Column:
@@ -89,35 +89,38 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def threshold(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """Per key, the least hash at which the running size exceeds the budget, and the size below it."""
-    upper, lower = F.shiftright("hash", HALF), F.col("hash").bitwiseAND((1 << HALF) - 1)
+    """Per key, the least hash at which the running size exceeds the budget, and the size below it.
+
+    Each level sums by the next bits of the hash, inside the bucket where the budget ended
+    before, so that a key has at most ``2 ** bits`` rows to add up.
+    """
+    state = budgets.select(
+        "key", "budget", F.lit(None).cast("long").alias("edge"), F.lit(0).cast("long").alias("below")
+    )
     running = Window.partitionBy("key").orderBy("bucket")
     over = F.col("reach") > F.col("budget")
-
-    def first_over(sums: DataFrame, base: Column) -> list:
-        reached = sums.withColumn("reach", base + F.sum("n").over(running))
-        return reached.groupBy("key").agg(
-            F.min(F.when(over, F.col("bucket"))).alias("edge"),
-            F.max(F.when(~over, F.col("reach"))).alias("below"),
-            F.first("budget").alias("budget"),
+    shift = sum(LEVELS)
+    for level, bits in enumerate(LEVELS):
+        inside = rows.join(state, "key")
+        if level:
+            inside = inside.filter(F.shiftright("hash", shift) == F.col("edge"))
+        shift -= bits
+        sums = inside.groupBy("key", F.shiftright("hash", shift).alias("bucket")).agg(
+            F.sum("size").alias("n"), F.first("budget").alias("budget"), F.first("below").alias("below")
         )
-
-    coarse = rows.groupBy("key", upper.alias("bucket")).agg(F.sum("size").alias("n")).join(budgets, "key")
-    coarse = stage(first_over(coarse, F.lit(0)), "coarse")
-    inside = rows.join(coarse, "key").filter(upper == F.col("edge"))
-    fine = inside.groupBy("key", lower.alias("bucket")).agg(
-        F.sum("size").alias("n"), F.first("budget").alias("budget"), F.first("below").alias("below")
-    )
-    base = F.coalesce(F.col("below"), F.lit(0))
-    fine = first_over(fine, base).select("key", F.col("edge").alias("low"), F.col("below").alias("reached"))
-    return coarse.join(fine, "key", "left").select(
-        "key",
-        # Without an edge the whole budget covers all rows.
-        F.coalesce(
-            F.shiftleft(F.col("edge"), HALF) + F.col("low"), F.lit(1 << (2 * HALF))
-        ).alias("limit"),
-        F.coalesce("reached", "below", F.lit(0)).alias("spent"),
-    )
+        reached = sums.withColumn("reach", F.col("below") + F.sum("n").over(running))
+        found = reached.groupBy("key").agg(
+            F.min(F.when(over, F.col("bucket"))).alias("next"), F.max(F.when(~over, F.col("reach"))).alias("reached")
+        )
+        # Keys without an edge have no rows inside and stay as they are.
+        state = stage(
+            state.join(found, "key", "left").select(
+                "key", "budget", F.col("next").alias("edge"), F.coalesce("reached", "below").alias("below")
+            ),
+            "threshold",
+        )
+    limit = F.coalesce("edge", F.lit(1 << sum(LEVELS)))
+    return state.select("key", limit.alias("limit"), F.col("below").alias("spent"))
 
 
 def plan(sizes: DataFrame) -> DataFrame:
@@ -182,11 +185,13 @@ def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame
 def take(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their columns, and ``copies`` (1 or 2; a new name if taken)."""
     key, source, size = F.col("doc_id"), F.col("source"), n_words(F.col("text"))
-    of, name = free_name(docs, "_plan"), free_name(docs, "copies")
+    of, own, name = (free_name(docs, n) for n in ("_plan", "_own", "copies"))
     planned = plan(sizes_of(docs, key, source, size)).select(F.struct("*").alias(of))
-    joined = docs.join(planned, source_key(source) == F.col(f"{of}.key"))
-    joined = joined.withColumn(name, copies(size, hash32(key), lambda c: F.col(f"{of}.{c}")))
-    return joined.filter(F.col(name) > 0).drop(of)
+    # Counted once a row, and only then compared with the plan.
+    sized = docs.withColumn(own, F.struct(size.alias("size"), hash32(key).alias("hash")))
+    joined = sized.join(planned, source_key(source) == F.col(f"{of}.key"))
+    taken = copies(F.col(f"{own}.size"), F.col(f"{own}.hash"), lambda c: F.col(f"{of}.{c}"))
+    return joined.withColumn(name, taken).filter(F.col(name) > 0).drop(of, own)
 
 
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,10 +215,15 @@ def train(docs: DataFrame, key: Column, text: Column, lang: Column, per_lang: in
     """Model of the bounded sample of labelled rows."""
     rows = docs.select(F.xxhash64(key.cast("string")).alias("hash"), lang.alias("lang"), text.alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
-    # The hash below which a language has per_lang rows: (lang, hash) only, ranked before the shuffle.
+    # About twice the sample of each language, by a range of the hash; then the exact limit.
+    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS).collect()
+    wide = F.lit(False)
+    for lang, n in sizes:
+        top = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * per_lang // n)
+        wide |= (F.col("lang") == lang) & (F.col("hash") <= top)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
-    limits = rows.select("lang", "hash").withColumn("rank", rank).filter(F.col("rank") <= per_lang)
-    limits = limits.groupBy("lang").agg(F.max("hash").alias("limit")).orderBy("lang").limit(MAX_LANGS).collect()
+    near = rows.filter(wide).select("lang", "hash").withColumn("rank", rank).filter(F.col("rank") <= per_lang)
+    limits = near.groupBy("lang").agg(F.max("hash").alias("limit")).orderBy("lang").collect()
     langs = [r.lang for r in limits]
     counts, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPT_NAMES), len(langs)))
     if langs:

@@ -38,6 +38,7 @@ BANDS = (
     (51200, 2.00, 2.62),
 )
 MIN_BYTES = BANDS[0][0]
+SECTION = BANDS[-1][0]
 CHUNK = 2048
 CHUNK_BAND = (1.50, 2.30)
 MAX_BAD_CHUNKS = 0.34
@@ -92,13 +93,21 @@ def ratios(data: bytes, compressor) -> tuple:
     return whole, chunks
 
 
-def accepted(n_bytes: int, whole: float, chunks: list) -> tuple:
+def section_ratio(data: bytes, whole: float, compressor) -> float:
+    """Ratio of a text compressed section by section; the whole ratio of one section."""
+    if len(data) <= SECTION:
+        return whole
+    sections = (data[i : i + SECTION] for i in range(0, len(data), SECTION))
+    return len(data) / sum(len(compressor.compress(s)) for s in sections)
+
+
+def accepted(n_bytes: int, whole: float, sections: float, chunks: list) -> tuple:
     """Whether the ratios lie in their bands, and the share of chunks that don't."""
     bad = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in chunks) / max(1, len(chunks))
     if n_bytes < MIN_BYTES:
         return True, bad
     low, high = band(n_bytes)
-    return low <= whole <= high and bad <= MAX_BAD_CHUNKS, bad
+    return low <= whole and sections <= high and bad <= MAX_BAD_CHUNKS, bad
 
 
 def measure(text, compressor) -> tuple:
@@ -109,7 +118,7 @@ def measure(text, compressor) -> tuple:
     repeated = repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeated > MAX_REPEATED_PERCENT * n
     whole, chunks = ratios(data, compressor)
-    fits, bad = accepted(len(data), whole, chunks)
+    fits, bad = accepted(len(data), whole, section_ratio(data, whole, compressor), chunks)
     return (
         n,
         len(text) - sum(map(text.count, SEPARATORS)),

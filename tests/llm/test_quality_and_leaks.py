@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from liftspark.llm import compression, decontaminate
@@ -70,6 +71,48 @@ def test_counts_and_verdict(spark, documents):
     assert not rows[7].kept and not rows[9].kept  # repetitive, incompressible
 
 
+@pytest.fixture(scope="module")
+def phrases(spark):
+    """Phrases of five words of clean sf0.1 documents by language, with no four words in two sentences."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("lang", "text").collect()
+    compressor, seen, out = zstandard.ZstdCompressor(level=compression.LEVEL), set(), {}
+    for lang, text in rows:
+        if not text or any(c in text for c in compression.SYMBOLS) or not compression.measure(text, compressor)[6]:
+            continue
+        for sentence in re.split(r"(?<=[.!?])\s+", text):
+            words = sentence.split()
+            grams = {tuple(words[i : i + 4]) for i in range(len(words) - 3)}
+            if grams and not grams & seen:
+                seen |= grams
+                out.setdefault(lang, []).extend(" ".join(words[i : i + 5]) for i in range(0, len(words), 5))
+    return out
+
+
+def long_text(phrases, size):
+    rng, parts, n = random.Random(4), [], 0
+    while n < size:
+        some = rng.sample(phrases, len(phrases))
+        parts += some
+        n += sum(map(len, some)) + len(some)
+    return " ".join(parts)[:size]
+
+
+@pytest.mark.parametrize("size", [40_000, 300_000, 1_000_000, 4_000_000])
+@pytest.mark.parametrize("lang", ["de", "en", "es", "fr"])
+def test_long_clean_prose_is_kept(phrases, lang, size):
+    text = long_text(phrases[lang], size)
+    row = dict(zip(compression.RESULT.names, compression.measure(text, zstandard.ZstdCompressor(level=compression.LEVEL))))
+    assert not row["base_failed"] and row["bad_chunks"] <= compression.MAX_BAD_CHUNKS and row["kept"], row
+
+
+def test_long_repetitive_and_random_texts_are_rejected():
+    rng, compressor = random.Random(5), zstandard.ZstdCompressor(level=compression.LEVEL)
+    logs = " ".join(f"{rng.choice(VOCABULARY)} signed in from {rng.choice(VOCABULARY)}" for _ in range(30000))
+    noise = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=9)) for _ in range(60000))
+    for text in (logs, noise):
+        assert len(text) > 10 * compression.SECTION and not compression.measure(text, compressor)[6]
+
+
 def test_keep_good_leaves_columns_alone(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(1, prose(rng, 200), "x"), (2, "a " * 100, "y")], "doc_id long, text string, _quality string")

@@ -6,6 +6,11 @@ of compressed bytes it adds to the text around it, for a compressor primed with
 identifiers: a word the text or the dictionary knows costs next to nothing, a random key
 nearly its length. Candidates that stay incompressible are reported as ``novel``.
 
+A key written twice is no better known for it: what the surroundings share with the
+candidate is taken out before it is measured, and every further occurrence of a reported key
+in the text is reported too, near a sensitive word or not. Only identifiers, whose letters
+follow each other as in words, are known by their own repeats.
+
 A scalar function of the text: no shuffle, one Arrow batch in memory. Cheap byte searches
 leave most texts out before any pattern runs; they never drop one that could match.
 
@@ -15,7 +20,9 @@ overlap no base span; equal texts get equal spans; very long texts are scanned i
 """
 
 import bisect
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -45,6 +52,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 REACH = 48  # code points between a sensitive word and its candidate
 AROUND = 512  # code points of surrounding text on either side
 MIN_NOVELTY = 0.75  # compressed bytes added for each byte of the candidate
+MIN_BITS = 4.0  # bits a character by the letter pairs of the identifiers; words cost less
 IDENTIFIERS = (
     "access account address admin algorithm api app application argument array assert async auth"
     " authorization await backend base64 bearer boolean branch buffer bytes cache callback certificate"
@@ -92,17 +100,84 @@ def base_spans(text: str, data: bytes) -> list:
     return out
 
 
-def novelty(text: str, start: int, end: int, primed) -> float:
+def _letters(text: str) -> str:
+    return "".join(c if "a" <= c <= "z" else " " for c in text.lower())
+
+
+_WORDS = _letters(IDENTIFIERS[: IDENTIFIERS.index(" xxxx")])  # without the fillers
+_FIRST = Counter(_WORDS)
+_PAIRS = Counter(zip(_WORDS, _WORDS[1:]))
+
+
+def bits(token: str) -> float:
+    """Bits a character by the letter pairs of the identifiers; all else is a blank."""
+    low = _letters(token)
+    costs = (math.log2((_FIRST[a] + 5.4) / (_PAIRS[a, b] + 0.2)) for a, b in zip(" " + low, low))
+    return sum(costs) / len(token)
+
+
+def _mixed(token: str) -> bool:
+    return any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
+
+
+def added(around: str, candidate: str, primed) -> float:
     """Compressed bytes the candidate adds to its surroundings, per byte."""
-    before = text[max(0, start - AROUND) : start]
-    around = utf8(before + text[end : end + AROUND])
-    candidate = utf8(text[start:end])
-    added = len(primed.compress(around + candidate)) - len(primed.compress(around))
-    return added / len(candidate)
+    known, new = utf8(around), utf8(candidate)
+    return (len(primed.compress(known + new)) - len(primed.compress(known))) / len(new)
+
+
+def _unshared(wide: str, start: int, end: int, grams: set) -> str:
+    """The code points from start to end that lie in none of the grams of the wider stretch."""
+    out, clear = [], start
+    for i in range(len(wide) - MIN_CANDIDATE + 1):
+        if wide[i : i + MIN_CANDIDATE] in grams:
+            out.append(wide[clear : min(i, end)])
+            clear = max(clear, i + MIN_CANDIDATE)
+    return "".join(out) + wide[clear:end]
+
+
+def novelty(text: str, start: int, end: int, primed) -> float:
+    """Compressed bytes the candidate adds to its surroundings without its copies, per byte."""
+    candidate = text[start:end]
+    low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+    plain = added(text[low:start] + text[end:high], candidate, primed)
+    if plain >= MIN_NOVELTY or bits(candidate) < MIN_BITS:
+        return plain
+    grams = {candidate[i : i + MIN_CANDIDATE] for i in range(len(candidate) - MIN_CANDIDATE + 1)}
+    more = MIN_CANDIDATE - 1  # a copy may reach beyond the surroundings
+    cut = max(0, low - more)
+    before = _unshared(text[cut:start], low - cut, start - cut, grams)
+    around = before + _unshared(text[end : high + more], 0, high - end, grams)
+    return max(plain, added(around, candidate, primed))
+
+
+def _keys(token: str) -> set:
+    """A reported token, and the key in it without the marks and the name around it."""
+    parts = {p.strip("/_.=+-") for p in token.split("=")}
+    named = {p for p in parts if _mixed(p) and bits(p) >= MIN_BITS}
+    bare = {token.rstrip("."), token.strip("_.=-"), token.strip("/_.=+-")}
+    return {token} | {k for k in named | bare if len(k) >= MIN_CANDIDATE}
+
+
+def repeats(text: str, runs: list, tokens: set) -> list:
+    """Where the keys of the tokens lie in the runs, the longest at each place."""
+    starts = {}
+    for key in sorted(set().union(*map(_keys, tokens)), key=lambda k: (-len(k), k)):
+        starts.setdefault(key[:MIN_CANDIDATE], []).append(key)
+    out = []
+    for a, b in runs:
+        at = a
+        while at <= b - MIN_CANDIDATE:
+            keys = starts.get(text[at : at + MIN_CANDIDATE], ())
+            size = next((len(k) for k in keys if text.startswith(k, at, b)), 0)
+            if size:
+                out.append((at, at + size))
+            at += size or 1
+    return out
 
 
 def novel_spans(text: str, data: bytes, base: list, primed) -> list:
-    """Incompressible candidates after a sensitive word, outside the base spans.
+    """Incompressible candidates after a sensitive word, and their copies, outside the base spans.
 
     A candidate is a run of key characters, or what of it follows the word.
     """
@@ -123,12 +198,13 @@ def novel_spans(text: str, data: bytes, base: list, primed) -> list:
         covered[a:b] = True
     out = []
     for end, start in sorted(found.items()):
-        token = text[start:end]
-        mixed = any(c.isdigit() for c in token) and any(c.isalpha() for c in token)
         clear = not covered[start:end].any()
-        if mixed and clear and novelty(text, start, end, primed) >= MIN_NOVELTY:
+        if _mixed(text[start:end]) and clear and novelty(text, start, end, primed) >= MIN_NOVELTY:
             out.append(("novel", start, end))
-    return out
+    for _, a, b in out:
+        covered[a:b] = True
+    copies = repeats(text, runs, {text[a:b] for _, a, b in out}) if out else []
+    return out + [("novel", a, b) for a, b in copies if not covered[a:b].any()]
 
 
 def spans(text, primed) -> list:

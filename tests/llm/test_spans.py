@@ -49,6 +49,39 @@ def test_secrets_base_spans_and_novelty(spark, documents):
     assert rows[99].spans == rows[3].spans
 
 
+ALPHABETS = [
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 40),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 64),
+    ("0123456789ABCDEF", 32),
+    ("0123456789ABCDEF", 64),
+    ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 16),
+    ("abcdefghijklmnopqrstuvwxyz0123456789", 32),
+]
+REPEATED = ["KEY again KEY", "KEY, KEY. And KEY", "KEY. " + "some more words of the text " * 40 + "x-id=KEY", "KEY " + "é " * 505 + "KEY"]
+
+
+def test_keys_written_more_than_once_are_found_everywhere():
+    rng, primed = random.Random(6), novelty.compressor()
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(150))
+    for letters, size in ALPHABETS:
+        keys = ["".join(rng.choices(letters, k=size)) for _ in range(40)]
+        for form in REPEATED:
+            whole = 0
+            for key in keys:
+                text = f"{prose} Authorization bearer {form.replace('KEY', key)} {prose}"
+                found = novelty.spans(text, primed)
+                starts, ends = [a for _, a, _ in found], [b for _, _, b in found]
+                whole += key not in novelty.mask(text, starts, ends)
+            assert whole >= 36, (letters, size, form[:20], whole)
+
+
+def test_identifiers_stay_known_by_their_repeats():
+    text = "the access key is session_handler_v2 and session_handler_v2 again, see session_handler_v2"
+    assert novelty.spans(text, novelty.compressor()) == []
+
+
 def test_long_texts_take_linear_time():
     import time
 

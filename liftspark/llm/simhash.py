@@ -164,26 +164,44 @@ def links(nodes: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
     return edges
 
 
+def _placed(prints: DataFrame, least: Column) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint; the root names its component."""
+    nodes = stage(prints.groupBy("fp").agg(F.min(least).alias("least")), "nodes")
+    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
+    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return stage(placed, "placed")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every document."""
     prints = docs.select(F.col(doc_id).alias("doc_id"), _fingerprint(F.col(text)).alias("fp"))
     prints = stage(prints, "prints")
-    nodes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes.select("fp"))).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    placed = stage(placed, "placed")
+    placed = _placed(prints, F.col("doc_id"))
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns, the same for equal rows only."""
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]))
+    return F.md5(F.concat(F.coalesce(F.md5("text"), F.lit("")), F.lit("|"), others))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the least id, and one row of it."""
-    found = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    name = free_name(docs, "_kept")
-    kept = found.select(F.col("doc_id").alias(name)).distinct()
-    rows = docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
-    return rows.dropDuplicates(["doc_id"])
+    """One row of each component: that with the least id, NULL ids last.
+
+    Rows are told apart by their content, not by their id: a NULL or repeated id may stand in
+    several components, and each of them keeps a row. Of several rows with the least id that
+    with the least hash over all columns stays, whatever the order of tasks.
+    """
+    name = free_name(docs, "_row")
+    docs_hashed = docs.withColumn(name, _row_hash(docs))
+    prints = docs_hashed.select("doc_id", F.col(name).alias("row"), _fingerprint(F.col("text")).alias("fp"))
+    least = F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "row")
+    chosen = _placed(stage(prints, "prints"), least).groupBy("root").agg(F.min("least").alias("least"))
+    kept = chosen.select(F.col("least.row").alias(name))
+    return docs_hashed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,3 +219,19 @@ def test_keep_one_row_of_each_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _kept string")
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_keep_one_decides_by_row_where_ids_are_null_or_repeated(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(60)) for w in ("red", "green", "blue", "grey", "pink", "gold")]
+    rows = [(None, texts[0], "a"), (None, texts[0], "a"), (None, texts[1], "b"), (None, texts[2], "c"), (3, texts[2], "d")]
+    rows += [(1, texts[3], "e"), (2, texts[3], "f"), (2, texts[4], "g"), (4, texts[5], "h"), (4, texts[5], "i"), (None, None, "j"), (None, "", "k")]
+    for n in (1, 5):
+        df = spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string, _row string").repartition(n)
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        got = {tuple(r) for r in kept.collect()}
+        either = got & {rows[8], rows[9]}, got & {rows[10], rows[11]}
+        assert kept.count() == len(got) == 7 and list(map(len, either)) == [1, 1]
+        assert got - either[0] - either[1] == {rows[0], rows[2], rows[4], rows[5], rows[7]}
+        first = either if n == 1 else first
+        assert either == first

@@ -1,6 +1,20 @@
 """Registry of the text operators' queries and their SQL counterparts."""
 
-from liftspark.llm import bundles, compression, decontaminate, langid, mixing, novelty, pii, simhash, suffixes, urlfilter
+from liftspark.llm import (
+    alignment,
+    bundles,
+    compression,
+    decontaminate,
+    langid,
+    mixing,
+    novelty,
+    pieces,
+    pii,
+    simhash,
+    suffixes,
+    tries,
+    urlfilter,
+)
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +29,9 @@ QUERIES = {
         bundles.op9_warc_bundles,
         novelty.op7_secret_scan,
         decontaminate.op10_benchmark_decontamination,
+        alignment.op11_cross_tokenizer_alignment,
+        pieces.op12_sentencepiece,
+        tries.op13_conversation_trie,
     )
 }
 ORACLES = {
@@ -22,4 +39,5 @@ ORACLES = {
     "op5_url_filter": urlfilter.ORACLE_SQL,
     "op2_mix_to_weights": mixing.ORACLE_SQL,
     "op10_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op13_conversation_trie": tries.ORACLE_SQL,
 }

@@ -18,7 +18,7 @@ rest, of which none can be hot.
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,6 +26,8 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import sentencepiece
+import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
@@ -33,12 +35,13 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from liftspark.llm.lookups import SHARE, lookup
 from liftspark.llm.texts import sha256, table
 from liftspark.sources.tables import stage
+from tokenizers import Tokenizer
 
-HOT_PAIRS = 65_536  # pairs with at least this part of all links are broadcast
+HOT_PAIRS = 262_144  # pairs with at least this part of all links are broadcast
 SLICE_CHARS = 1_000_000  # texts aligned at a time; a longer one is a slice of its own
-ID_BITS = 24
+ID_BITS = 20  # ids below a million; a slice has fewer texts than characters
 
-ALIGNED = StructType().add("text_key", BinaryType()).add("copies", LongType())
+ALIGNED = StructType().add("text_no", LongType()).add("text_key", BinaryType()).add("copies", LongType())
 for _name in ("n_a", "n_b", "n_groups", "n_links"):
     ALIGNED = ALIGNED.add(_name, LongType())
 ALIGNED = ALIGNED.add("groups", StringType()).add("groups_sha256", StringType())
@@ -54,22 +57,45 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+# How byte-level vocabularies split a text before merging.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def byte_level_encoder(path: str, a_bytes: list):
+    """Function text -> ids of a byte-level vocabulary file, special tokens read as ordinary text.
+
+    Where the file has nothing but a vocabulary in the order of its merges, the ranks alone give
+    the same ids, and the rank encoder is three times as fast; else the file's own library runs.
+    """
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    model, split = spec["model"], spec["pre_tokenizer"] or {}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    plain = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+    plain = plain and not split["add_prefix_space"] and not model.get("ignore_merges") and not model.get("dropout")
+    plain = plain and [model["vocab"]["".join(m)] for m in pairs] == list(range(256, 256 + len(pairs)))
+    if plain and len(model["vocab"]) == 256 + len(pairs):
+        ranks = {a_bytes[i]: i for i in model["vocab"].values()}
+        return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    return lambda text: whole.encode(text, add_special_tokens=False).ids
+
+
 class Tokenizers:
     """Both tokenizers: ids of texts, and the bytes of each id."""
 
     def __init__(self, byte_level: str, pieces: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(byte_level)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         values = byte_characters()
-        vocabulary = self.a.get_vocab(with_added_tokens=True)
+        vocabulary = Tokenizer.from_file(byte_level).get_vocab(with_added_tokens=True)
         self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             known = all(c in values for c in token)
             self.a_bytes[i] = bytes(values[c] for c in token) if known else token.encode()
+        if max(len(self.a_bytes), self.b.vocab_size()) > 1 << ID_BITS:
+            raise ValueError(f"ids of more than {ID_BITS} bits")
+        self.a = byte_level_encoder(byte_level, self.a_bytes)
         self.b_bytes = [
             bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(map(self.b.id_to_piece, range(self.b.vocab_size())))
@@ -91,7 +117,7 @@ class Tokenizers:
     def encode(self, texts: list) -> tuple[list, list]:
         """Ids of each text by both; empty lists where one does not spell the text."""
         spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a = [self.a(t) for t in spaced]
         b = self.b.encode(texts, num_threads=1)
         for i, text in enumerate(spaced):
             raw = text.encode()
@@ -114,18 +140,19 @@ class Tokenizers:
         n_a = np.array([len(a_lists[i]) for i in with_tokens])
         n_b = np.array([len(b_lists[i]) for i in with_tokens])
         text_ends = a_ends[np.cumsum(n_a) - 1]
-        cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
-        links = np.union1d(a_ends, b_ends)
+        in_a, in_b = np.zeros(a_ends[-1] + 1, bool), np.zeros(a_ends[-1] + 1, bool)
+        in_a[a_ends], in_b[b_ends] = True, True
+        cuts, links = np.flatnonzero(in_a & in_b), np.flatnonzero(in_a | in_b)
         n_groups = np.bincount(np.searchsorted(text_ends, cuts), minlength=len(with_tokens))
         text_of = np.searchsorted(text_ends, links)
         n_links = np.bincount(text_of, minlength=len(with_tokens))
+        # A link's tokens are the first ones of both that end at or after it.
         pair = (a[np.searchsorted(a_ends, links)] << ID_BITS) | b[np.searchsorted(b_ends, links)]
-        order = np.lexsort((pair, text_of))
-        pair, text_of = pair[order], text_of[order]
-        new = np.flatnonzero(np.concatenate(([True], (np.diff(pair) != 0) | (np.diff(text_of) != 0))))
-        times = np.diff(np.append(new, len(pair))).astype(np.int32)
-        bounds = np.searchsorted(text_of[new], np.arange(len(with_tokens) + 1))
-        pairs = pair[new]
+        coded = np.sort((text_of << 2 * ID_BITS) | pair)
+        new = np.flatnonzero(np.concatenate(([True], np.diff(coded) != 0)))
+        times = np.diff(np.append(new, len(coded))).astype(np.int32)
+        bounds = np.searchsorted(coded[new] >> 2 * ID_BITS, np.arange(len(with_tokens) + 1))
+        pairs = coded[new] & ((1 << 2 * ID_BITS) - 1)
         written = self._groups(a, b, a_ends, b_ends, cuts, text_ends).split("\n")
         for k, i in enumerate(with_tokens):
             at = slice(bounds[k], bounds[k + 1])
@@ -160,16 +187,19 @@ def aligner(byte_level: str, pieces: str, keep_groups: bool = False):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizers(byte_level, pieces)
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             sizes = np.array([len(t) for t in batch.column("text").to_pylist()], np.int64)
-            pieces_of = np.cumsum(sizes) // SLICE_CHARS
-            edges = [0, *(np.flatnonzero(np.diff(pieces_of)) + 1).tolist(), len(sizes)]
+            slice_of = np.cumsum(sizes) // SLICE_CHARS
+            edges = [0, *(np.flatnonzero(np.diff(slice_of)) + 1).tolist(), len(sizes)]
             for start, stop in zip(edges, edges[1:]):
                 part = batch.slice(start, stop - start)
                 columns = list(zip(*both.align(part.column("text").to_pylist())))
                 if not columns:
                     continue
-                arrays = [part.column("text_key"), part.column("copies")]
+                arrays = [pa.array(range(number, number + part.num_rows), pa.int64())]
+                arrays += [part.column("text_key"), part.column("copies")]
+                number += part.num_rows
                 arrays += [pa.array(c, pa.int64()) for c in columns[:4]]
                 groups = columns[4]
                 arrays.append(pa.array(groups if keep_groups else [None] * len(groups), pa.string()))
@@ -194,7 +224,7 @@ def distinct_texts(docs: DataFrame, text="text") -> DataFrame:
 
 
 def aligned_texts(docs: DataFrame, byte_level: str, pieces: str, text="text", keep_groups=False) -> DataFrame:
-    """Alignment of each distinct text, written to the shared folder."""
+    """Alignment of each distinct text with a number of its own, written to the shared folder."""
     run = aligner(byte_level, pieces, keep_groups)
     return stage(distinct_texts(docs, text).mapInArrow(run, ALIGNED), "aligned")
 
@@ -208,21 +238,21 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 
 
 def link_measures(aligned: DataFrame, counts: DataFrame) -> DataFrame:
-    """(text_key, n_best, count_sum) of each text with links."""
+    """(text_no, n_best, count_sum) of each text with links."""
     total = counts.agg(F.sum("count")).first()[0] or 0
     hot = F.broadcast(counts.filter(F.col("count") * HOT_PAIRS >= total))
-    links = aligned.select("text_key", F.explode(F.arrays_zip("pairs", "times")).alias("l"))
-    links = links.select("text_key", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
+    links = aligned.select("text_no", F.explode(F.arrays_zip("pairs", "times")).alias("l"))
+    links = links.select("text_no", F.col("l.pairs").alias("pair"), F.col("l.times").alias("times"))
     rest = counts.filter(F.col("count") * HOT_PAIRS < total)
 
     def summed(found: DataFrame) -> DataFrame:
-        return found.groupBy("text_key").agg(
+        return found.groupBy("text_no").agg(
             F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"),
             F.sum(F.col("count") * F.col("times")).alias("count_sum"),
         )
 
     often, seldom = summed(links.join(hot, "pair")), summed(links.join(hot, "pair", "left_anti").join(rest, "pair"))
-    both = often.unionByName(seldom).groupBy("text_key")
+    both = often.unionByName(seldom).groupBy("text_no")
     return both.agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
@@ -230,7 +260,7 @@ def align_documents(docs: DataFrame, byte_level: str, pieces: str, doc_id="doc_i
     """Measures of every row: numbers of tokens, groups and links, groups, n_best and count_sum."""
     aligned = aligned_texts(docs, byte_level, pieces, text)
     counts = stage(pair_counts(aligned), "pairs")
-    measures = aligned.drop("groups", "pairs", "times").join(link_measures(aligned, counts), "text_key", "left")
+    measures = aligned.drop("groups", "pairs", "times").join(link_measures(aligned, counts), "text_no", "left").drop("text_no")
     measures = stage(measures, "measures")
     total = measures.agg(F.sum("copies")).first()[0] or 0
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_key(F.col(text)).alias("text_key"))

@@ -26,17 +26,20 @@ AT_RISK_COLUMNS = (
 
 def at_risk(
     risk: DataFrame,
-    videos: DataFrame,
+    videos: DataFrame | None,
     cfg: C.RiskConfig = C.RiskConfig(),
     ordered: bool = True,
+    best: DataFrame | None = None,
 ) -> DataFrame:
     """SKUs whose P90 reaches the trigger, with their best videos, highest P90 first.
 
-    ``ordered=False`` saves the sort where the rows go on into triage and alerts.
+    ``ordered=False`` saves the sort where the rows go on into triage and alerts; ``best`` are
+    the best videos where they are known already.
     """
     chosen = risk.filter(F.col("p90_demand_lift") >= cfg.trigger_lift).select(*AT_RISK_COLUMNS)
     listed = F.coalesce("top_video_ids", F.array().cast("array<string>"))
-    joined = chosen.join(ranking.top_videos(videos), "sku_id", "left")
+    best = ranking.top_videos(videos) if best is None else best
+    joined = chosen.join(best, "sku_id", "left")
     listed_skus = joined.withColumn("top_video_ids", listed)
     return listed_skus.orderBy(F.col("p90_demand_lift").desc(), "sku_id") if ordered else listed_skus
 

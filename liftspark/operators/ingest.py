@@ -42,10 +42,13 @@ def due_snapshots(batch: DataFrame, waiting: DataFrame) -> DataFrame:
 def within_horizon(
     batch: DataFrame, horizon: int = C.SNAPSHOT_HORIZON_HOURS
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of the hours that are tracked, and the others with the reason."""
+    """Rows with a key and an hour that is tracked, and the others with the reason."""
     hour = F.col("hours_since_post")
     reason = (
-        F.when(hour.isNull(), "no_hour").when(hour < 0, "before_post").when(hour >= horizon, "beyond_horizon")
+        F.when(F.col("event_id").isNull() | F.col("video_id").isNull(), "no_key")
+        .when(hour.isNull(), "no_hour")
+        .when(hour < 0, "before_post")
+        .when(hour >= horizon, "beyond_horizon")
     )
     return batch.filter(reason.isNull()), batch.withColumn("reason", reason).filter("reason IS NOT NULL")
 

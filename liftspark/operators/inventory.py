@@ -61,6 +61,11 @@ def sku_inventory(
 
     With ``lifts`` the highest lifts of the SKU's videos are carried along, NULL without any.
     """
+    return with_signal(skus, sku_signal(bridge, latest, lifts), as_of)
+
+
+def with_signal(skus: DataFrame, signal: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """Staged SKUs with a given demand signal and their urgency."""
     zero = {
         "active_video_count": F.lit(0).cast("bigint"),
         "max_view_count": F.lit(0),
@@ -69,7 +74,6 @@ def sku_inventory(
         "demand_pressure_proxy": F.lit(0.0),
         "has_viral_video": F.lit(False),
     }
-    signal = sku_signal(bridge, latest, lifts)
     joined = skus.drop("created_at").join(signal, "sku_id", "left")
     filled = joined.withColumns({c: F.coalesce(c, value) for c, value in zero.items()})
     return filled.withColumns(

@@ -442,7 +442,8 @@ def _stored_root(w: Workbench) -> str:
 
 def _backlog(w: Workbench) -> list[DataFrame]:
     """Two arrivals: history with every seventh hour missing; then several hours at once,
-    the missing hours of every other video, and corrections of stored hours."""
+    the missing hours of every other video, and corrections of stored hours. Both bring rows
+    that have lost their time."""
     hour, before = F.col("hours_since_post"), F.col("snapshot_at") < ts(CUTOFF)
     missing = hour % 7 == 3
     even = F.substring("video_id", -1, 1).cast("int") % 2 == 0
@@ -450,7 +451,16 @@ def _backlog(w: Workbench) -> list[DataFrame]:
     corrected = events.filter(before & ~missing & (hour % 11 == 0))
     corrected = corrected.withColumn("view_count", F.col("view_count") + 1000)
     late = events.filter(~before).unionByName(events.filter(before & missing & even))
-    return [events.filter(before & ~missing), late.unionByName(corrected)]
+
+    def timeless(tag: str, chosen: Column) -> DataFrame:
+        gone = {c: F.lit(None).cast(events.schema[c].dataType) for c in ("snapshot_at", "hours_since_post")}
+        rows = events.filter(chosen).withColumns(gone)
+        return rows.withColumn("event_id", F.concat("event_id", F.lit(tag)))
+
+    return [
+        events.filter(before & ~missing).unionByName(timeless("_a", hour % 13 == 5)),
+        late.unionByName(corrected).unionByName(timeless("_b", hour % 17 == 5)),
+    ]
 
 
 def ingest_backlog(w: Workbench) -> DataFrame:
@@ -470,14 +480,42 @@ def ingest_progress(w: Workbench) -> DataFrame:
 
 
 def stored_upsert(w: Workbench) -> DataFrame:
-    """Stored videos after the viral ones came in again, some of them twice."""
+    """Stored videos after the viral ones came in again, twice; some videos, of both arrivals,
+    have no time of posting."""
     root = scratch_path(w.spark, "root")
-    hourly.store(w.spark, root, "video_metadata", w.raw.videos)
-    again = w.raw.videos.filter("is_viral").withColumn("video_duration_s", F.lit(1))
-    hourly.store(w.spark, root, "video_metadata", again.unionByName(again))
+    digit = F.substring("video_id", -1, 1)
+    videos = w.raw.videos.withColumn("posted_at", F.when(~digit.isin("7", "9"), F.col("posted_at")))
+    later = digit == "9"
+    hourly.store(w.spark, root, "video_metadata", videos.filter(~later))
+    again = videos.filter("is_viral").withColumn("video_duration_s", F.lit(1))
+    again = again.unionByName(again).unionByName(videos.filter(later & ~F.col("is_viral")))
+    hourly.store(w.spark, root, "video_metadata", again)
     return hourly.read(w.spark, root, "video_metadata")
 
 
+def sku_incremental(w: Workbench) -> DataFrame:
+    """SKU mart and best videos after three hourly runs, in which values of most videos fall.
+
+    The first run knows all videos, many with values far too high; the others correct them.
+    """
+    root = _stored_root(w)
+    digit = F.substring("video_id", -1, 1).cast("int")
+    high = {
+        "view_count": F.col("view_count") * 3 + 1000,
+        "engagement_score": F.col("engagement_score") + 0.5,
+        "is_viral": F.lit(True),
+        "latest_event_id": F.concat(F.lit("early_"), "latest_event_id"),
+    }
+    right = tables.stage(w.videos, "videos")
+    wrong = right.withColumns({c: F.when(digit < 8, v).otherwise(F.col(c)).cast(right.schema[c].dataType) for c, v in high.items()})
+    for batch in (wrong, right.filter(digit < 5), right.filter((digit >= 5) & (digit < 8))):
+        batch = tables.stage(batch, "batch")
+        hourly.store(w.spark, root, "mart_videos", batch, ["video_id"], "hours_since_post")
+        hourly.rescore(w.spark, root, w.as_of, changed=batch.select("video_id", "posted_at"))
+    best = hourly.top_videos(w.spark, root).select("sku_id", F.array_join("top_video_ids", ",").alias("top_video_ids"))
+    return hourly.read(w.spark, root, "mart_sku_risk").join(best, "sku_id", "left")
+
+
 def _alerted_root(w: Workbench) -> str:
     root = _stored_root(w)
     hourly.replace(w.spark, root, "mart_videos", w.videos)
@@ -675,7 +713,7 @@ def train_metrics(w: Workbench) -> DataFrame:
     root = scratch_path(w.spark, "root")
     hourly.replace(w.spark, root, "mart_videos", w.videos)
     hourly.train(w.spark, root, f"{root}/model", FIT, w.as_of)
-    return w.spark.read.parquet(tables.table_path(root, "train_metrics"))
+    return hourly.read(w.spark, root, "train_metrics")
 
 
 # ---- streams ----------------------------------------------------------------------
@@ -724,7 +762,7 @@ def stream_velocity(w: Workbench) -> DataFrame:
 def stream_ingest(w: Workbench) -> DataFrame:
     folder = _arriving(w, tables.stage(w.raw.events, "events"), "snapshot_at")
     root = scratch_path(w.spark, "root")
-    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"), 1)
+    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"), 1, HORIZON)
     return hourly.read(w.spark, root, "engagement_events")
 
 
@@ -799,6 +837,7 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     ingest_backlog,
     ingest_progress,
     stored_upsert,
+    sku_incremental,
     alerts_rerun,
     stored_review,
     row_counts,

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from liftspark import config as C
 from liftspark import schemas
 from liftspark.operators import alerts as A
-from liftspark.operators import evaluate, ingest, maintenance, quantile, scoring, staging
+from liftspark.operators import evaluate, incremental, ingest, inventory, maintenance, quantile, scoring, staging
 from liftspark.operators import features as FT
 from liftspark.plans import marts
 from liftspark.session import tune
@@ -33,7 +33,17 @@ _DAY_OF = {
     "video_sku_bridge": "posted_at",
     "mart_videos": "posted_at",
     "video_predictions": "posted_at",
+    "sku_changes": "posted_at",
 }
+_UNDATED = (
+    "sku_catalog",
+    "sku_state",
+    "mart_sku_risk",
+    "agent_alerts",
+    "alert_decisions",
+    "prediction_history",
+    "train_metrics",
+)
 _NEWEST = {
     "engagement_events": "snapshot_at",
     "video_metadata": "posted_at",
@@ -63,11 +73,16 @@ def _dated(name: str, df: DataFrame) -> DataFrame:
 
 
 def _schema(spark: SparkSession, root: str, name: str):
-    """Declared schema of a raw table, or that of the newest files of a derived one."""
-    if name in schemas.RAW:
-        return schemas.RAW[name]
-    folder = next(iter(stored.live(spark, _path(root, name)).values()))
-    return spark.read.parquet(f"{_path(root, name)}/data/{folder}").schema
+    """Declared schema of a raw table, or that a derived one was written with."""
+    return schemas.RAW[name] if name in schemas.RAW else stored.schema_of(spark, _path(root, name))
+
+
+def _days(df: DataFrame, time: str) -> list:
+    """Days of a batch, None for unknown ones."""
+    found = df.select(F.to_date(time)).distinct().limit(stored.MAX_PARTS + 1).collect()
+    if len(found) > stored.MAX_PARTS:
+        raise ValueError(f"a batch may touch {stored.MAX_PARTS} days at most")
+    return [r[0] for r in found]
 
 
 def read(spark: SparkSession, root: str, name: str, days=None, between=None) -> DataFrame:
@@ -93,14 +108,18 @@ def replace(spark: SparkSession, root: str, name: str, df: DataFrame) -> None:
 
 
 def _appended(spark: SparkSession, root: str, name: str, schema) -> DataFrame:
-    path = _path(root, name)
-    if not tables.exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    """Rows of a table that is only appended to."""
+    if isinstance(schema, str):
+        schema = spark.createDataFrame([], schema).schema
+    return stored.read(spark, _path(root, name), schema)
+
+
+def _append(spark: SparkSession, root: str, name: str, df: DataFrame) -> None:
+    """Add rows; the small folders of many runs are put together now and then."""
+    stored.append(spark, _path(root, name), df)
+    stored.compact(spark, _path(root, name), df.schema)
 
 
-def _append(root: str, name: str, df: DataFrame) -> None:
-    df.write.mode("append").parquet(_path(root, name))
 
 
 def read_alerts(spark: SparkSession, root: str) -> DataFrame:
@@ -115,12 +134,15 @@ def ingest_batch(
 ) -> None:
     """Store every arriving snapshot: backlog, late hours and corrections alike.
 
-    Rows outside the hours that are tracked go to ``quarantined_events`` with a reason.
+    Rows without a key or outside the hours that are tracked go to ``quarantined_events`` with a
+    reason; those without an id are known by their whole content, so that none replaces another.
     """
     good, beyond = ingest.within_horizon(batch, horizon)
     store(spark, root, "engagement_events", good)
     if not beyond.isEmpty():
-        store(spark, root, "quarantined_events", beyond, ["event_id"], "snapshot_at")
+        whole = F.sha2(F.to_json(F.struct(*beyond.columns)), 256)
+        beyond = beyond.withColumn("row_key", F.coalesce("event_id", whole))
+        store(spark, root, "quarantined_events", beyond, ["row_key"], "snapshot_at")
 
 
 def progress(spark: SparkSession, root: str, horizon: int = C.SNAPSHOT_HORIZON_HOURS) -> DataFrame:
@@ -152,14 +174,16 @@ def refresh_touched(
     """
     tune(spark)
     with tables.scratch(spark):
-        keys = tables.stage(batch.select("video_id", "event_id", "snapshot_at").distinct(), "keys")
+        keys = batch.select("video_id", "event_id", "snapshot_at", "posted_at").distinct()
+        keys = tables.stage(keys, "keys")
         days = _around(keys, horizon)
         if days is None:
             return
         videos = keys.select("video_id").distinct()
         near = read(spark, root, "engagement_events", between=days)
         events = tables.stage(near.join(videos, "video_id", "left_semi"), "touched")
-        bridge = read(spark, root, "video_sku_bridge").join(videos, "video_id", "left_semi")
+        bridge = read(spark, root, "video_sku_bridge", days=_days(keys, "posted_at"))
+        bridge = bridge.join(videos, "video_id", "left_semi")
         staged = staging.stg_events(FT.clean_rates(events), as_of)
         rows = FT.features(staged, bridge, read(spark, root, "sku_catalog"))
         back = Window.partitionBy("video_id").orderBy("hours_since_post")
@@ -187,12 +211,91 @@ def rebuild_videos(spark: SparkSession, root: str, as_of: Column) -> None:
     replace(spark, root, "mart_videos", marts.scored_videos(latest, as_of))
 
 
-def read_videos(spark: SparkSession, root: str) -> DataFrame:
-    """Video mart with the newest prediction of each video, where it is for its latest row."""
-    predictions = stored.read(
-        spark, _path(root, "video_predictions"), spark.createDataFrame([], PREDICTION).schema, DAY
-    )
-    return scoring.attach_predictions(read(spark, root, "mart_videos"), predictions)
+def read_videos(spark: SparkSession, root: str, days=None) -> DataFrame:
+    """Video mart, or that of some days of posting, with the newest prediction of each video.
+
+    A prediction counts where it is for the video's latest row.
+    """
+    schema = spark.createDataFrame([], PREDICTION).schema
+    predictions = stored.read(spark, _path(root, "video_predictions"), schema, DAY, days)
+    return scoring.attach_predictions(read(spark, root, "mart_videos", days=days), predictions)
+
+
+def _changed_rows(spark: SparkSession, root: str, changed: DataFrame | None) -> tuple[DataFrame, list | None]:
+    """Video mart rows of the changed videos, and the days they were posted on; all without."""
+    if changed is None:
+        return read_videos(spark, root), None
+    days = _days(changed, "posted_at")
+    return read_videos(spark, root, days).join(changed.select("video_id"), "video_id", "left_semi"), days
+
+
+def _state_of(spark: SparkSession, root: str, buckets: list | None = None) -> DataFrame:
+    schema = spark.createDataFrame([], incremental.STATE).schema
+    return stored.read(spark, _path(root, "sku_state"), schema, "bucket", buckets)
+
+
+def _through(spark: SparkSession, root: str) -> int:
+    """Number of the last version of the changes that the SKU state has taken in."""
+    return int(stored.entry(spark, _path(root, "sku_state"))["meta"].get("applied", -1))
+
+
+def note_changes(spark: SparkSession, root: str, changed: DataFrame | None = None) -> None:
+    """Write down what the changed videos add to their SKUs now, beside what the state knows.
+
+    Reads and writes the days on which these videos were posted.
+    """
+    path, schema = _path(root, "sku_changes"), spark.createDataFrame([], incremental.CHANGES).schema
+    videos, days = _changed_rows(spark, root, changed)
+    now = incremental.contributions(videos, read(spark, root, "video_sku_bridge", days=days))
+    now = tables.stage(now, "contributions")
+
+    def write() -> None:
+        number, through = stored.next_number(spark, path), _through(spark, root)
+        known = stored.read(spark, path, schema, DAY, days)
+        rows = incremental.changes(now, known, int(number), through)
+        kept = known.join(now.select("video_id"), "video_id", "left_anti")
+        dated = _dated("sku_changes", kept.unionByName(rows.select(*schema.names)))
+        stored.publish(spark, path, dated, DAY, days, number)
+
+    stored.again(write)
+
+
+def refresh_skus(spark: SparkSession, root: str, spare: int = incremental.SPARE) -> None:
+    """Bring the SKU state up to the noted changes.
+
+    The state's log entry names the version of the changes it has taken in. Later changes lie in
+    the folders that are new since, however many runs broke off in between; they alone are read,
+    and only the buckets of the SKUs they touch are written. A SKU that has run out of spare
+    videos is looked up among all of them.
+    """
+    changes, state = _path(root, "sku_changes"), _path(root, "sku_state")
+    schema = spark.createDataFrame([], incremental.CHANGES).schema
+
+    def write() -> None:
+        number, through, newest = stored.next_number(spark, state), _through(spark, root), stored.entries(spark, changes)
+        if not newest or int(newest[-1]) <= through:
+            return
+        live = stored.live(spark, changes, newest[-1])
+        before = f"{through:012d}"
+        known = stored.live(spark, changes, before) if before in newest else {}
+        days = [k for k, folders in live.items() if folders != known.get(k)]
+        rows = stored.read(spark, changes, schema, DAY, days).filter(F.col("batch") > through)
+        rows = tables.stage(rows, "changes")
+        skus = rows.select(F.explode(F.array_union(F.coalesce("before.skus", "now.skus"), F.col("now.skus"))).alias("sku_id"))
+        buckets = [r[0] for r in skus.select(incremental.bucket()).distinct().collect()]
+        old = _state_of(spark, root, buckets)
+        moved = tables.stage(incremental.advance(old, rows, spare), "moved")
+        short = moved.filter("short").select("sku_id")
+        if short.isEmpty():
+            moved = moved.drop("short")
+        else:
+            every = stored.read(spark, changes, schema, DAY)
+            moved = incremental.with_looked_up(moved, incremental.looked_up(short, every, spare))
+        kept = old.join(moved.select("sku_id"), "sku_id", "left_anti")
+        out = kept.unionByName(moved.select(*kept.columns))
+        stored.publish(spark, state, out, "bucket", buckets, number, {"applied": int(newest[-1])})
+
+    stored.again(write)
 
 
 def rescore(
@@ -201,15 +304,17 @@ def rescore(
     as_of: Column,
     model_path: str | None = None,
     cfg: C.RiskConfig = C.RiskConfig(),
+    changed: DataFrame | None = None,
 ) -> int:
-    """Score videos that have no prediction for their latest row, then rebuild the SKU mart.
+    """Score videos that have no prediction for their latest row, then refresh the SKU mart.
 
-    The newest prediction of a video replaces the one before; all stay in
-    ``prediction_history``. Returns the number of videos scored.
+    With ``changed`` (video_id, posted_at) only these videos are read. The newest prediction of a
+    video replaces the one before; all stay in ``prediction_history``. The mart comes from the
+    state kept per SKU. Returns the number of videos scored.
     """
     tune(spark)
     with tables.scratch(spark):
-        open_videos = read_videos(spark, root).filter("p90_demand_lift IS NULL")
+        open_videos = _changed_rows(spark, root, changed)[0].filter("p90_demand_lift IS NULL")
         lifted = scoring.with_video_tier(
             scoring.lift(open_videos.drop(*C.LIFT_COLUMNS, "risk_tier_predicted"), model_path)
         )
@@ -218,16 +323,20 @@ def rescore(
         n = new.count()
         if n:
             store(spark, root, "video_predictions", new, ["video_id"], "latest_event_id")
-            _append(root, "prediction_history", new.withColumn("scored_at", as_of))
-    staged_skus = staging.stg_skus(read(spark, root, "sku_catalog"))
-    bridge = read(spark, root, "video_sku_bridge")
-    risk = marts.risk_from_videos(
-        staged_skus, bridge, read_videos(spark, root), read_alerts(spark, root), as_of, cfg
-    )
-    replace(spark, root, "mart_sku_risk", risk)
+            _append(spark, root, "prediction_history", new.withColumn("scored_at", as_of))
+        note_changes(spark, root, changed)
+        refresh_skus(spark, root)
+        skus = staging.stg_skus(read(spark, root, "sku_catalog"))
+        rows = inventory.with_signal(skus, incremental.signal(_state_of(spark, root)), as_of)
+        replace(spark, root, "mart_sku_risk", marts.sku_risk_mart(rows, None, read_alerts(spark, root), cfg))
     return n
 
 
+def top_videos(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of the best videos of each SKU, from the state kept per SKU."""
+    return incremental.top_videos(_state_of(spark, root))
+
+
 def raise_alerts(
     spark: SparkSession,
     root: str,
@@ -243,7 +352,7 @@ def raise_alerts(
     tune(spark)
     with tables.scratch(spark):
         risk = read(spark, root, "mart_sku_risk")
-        at_risk = A.at_risk(risk, read_videos(spark, root), cfg, ordered=False)
+        at_risk = A.at_risk(risk, None, cfg, ordered=False, best=top_videos(spark, root))
         known = _appended(spark, root, "agent_alerts", schemas.AGENT_ALERTS)
         new = A.build_alerts(A.escalated(A.triage(at_risk, cfg)), as_of)
         new = new.join(known.select("alert_id"), "alert_id", "left_anti").select(*new.columns)
@@ -251,7 +360,7 @@ def raise_alerts(
             raised = known.filter(F.col("status") != C.SUPPRESSED)
             new = tables.stage(A.cooldown(new, raised, cfg.cooldown_hours), "cooled")
             new = A.suppress_beyond_cap(new, raised, cfg.max_alerts_per_hour)
-        _append(root, "agent_alerts", tables.stage(new, "alerts"))
+        _append(spark, root, "agent_alerts", tables.stage(new, "alerts"))
     alerts = _appended(spark, root, "agent_alerts", schemas.AGENT_ALERTS)
     return alerts.filter((F.col("created_at") == as_of) & (F.col("status") != C.SUPPRESSED))
 
@@ -270,8 +379,10 @@ def run_hourly(
     with tables.scratch(spark):
         batch = tables.stage(batch, "arrived")
         ingest_batch(spark, root, batch, horizon)
-        refresh_touched(spark, root, ingest.within_horizon(batch, horizon)[0], as_of, horizon)
-    rescore(spark, root, as_of, model_path, cfg)
+        good = ingest.within_horizon(batch, horizon)[0]
+        refresh_touched(spark, root, good, as_of, horizon)
+        changed = tables.stage(good.select("video_id", "posted_at").distinct(), "changed")
+        rescore(spark, root, as_of, model_path, cfg, changed)
     return raise_alerts(spark, root, as_of, cfg, throttle)
 
 
@@ -285,7 +396,7 @@ def review(spark: SparkSession, root: str, decisions: DataFrame) -> DataFrame:
     outcomes = A.decision_outcomes(read_alerts(spark, root), decisions)
     outcomes = tables.stage(outcomes, "outcomes")
     logged = decisions.join(outcomes.select("decision_id", "outcome"), "decision_id")
-    _append(root, "alert_decisions", logged.select(*[c.split()[0] for c in DECISION.split(", ")]))
+    _append(spark, root, "alert_decisions", logged.select(*[c.split()[0] for c in DECISION.split(", ")]))
     return outcomes
 
 
@@ -314,11 +425,11 @@ def train(
     _, held_out = quantile.split(videos.filter(F.col(C.LABEL).isNotNull()), params.train_ratio, params.seed)
     metrics = evaluate.evaluate(quantile.predict(held_out, models, params.features), exact=False)
     at = F.current_timestamp() if as_of is None else as_of
-    _append(root, "train_metrics", metrics.withColumns({"version": F.lit(version), "trained_at": at}))
+    _append(spark, root, "train_metrics", metrics.withColumns({"version": F.lit(version), "trained_at": at}))
     return models
 
 
 def clean_up(spark: SparkSession, root: str, keep: int = 3) -> None:
     """Delete superseded versions of the stored tables, but for the newest ones."""
-    for name in (*_DAY_OF, "sku_catalog", "mart_sku_risk"):
+    for name in (*_DAY_OF, *_UNDATED):
         stored.vacuum(spark, _path(root, name), keep)

@@ -853,15 +853,20 @@ SELECTS["ingest_backlog"] = f"""
            CASE WHEN hours_since_post >= {BACKLOG_HORIZON} THEN 'beyond_horizon' ELSE 'stored' END
                AS reason
     FROM raw_events
-    WHERE NOT ({_BEFORE}) OR NOT ({_GAP}) OR CAST(right(video_id, 1) AS INTEGER) % 2 = 0"""
+    WHERE NOT ({_BEFORE}) OR NOT ({_GAP}) OR CAST(right(video_id, 1) AS INTEGER) % 2 = 0
+    UNION ALL
+    SELECT event_id || tag, video_id, NULL, view_count, 'no_hour'
+    FROM raw_events JOIN (VALUES ('_a', 13), ('_b', 17)) t(tag, n) ON hours_since_post % n = 5"""
 SELECTS["ingest_progress"] = f"""
     SELECT video_id, max(hours_since_post) AS max_hour, count(*) AS stored_hours,
            max(hours_since_post) + 1 - count(*) AS missing_hours,
            max(hours_since_post) >= {BACKLOG_HORIZON - 1} AS is_finished
     FROM raw_events WHERE {_BEFORE} AND NOT ({_GAP}) GROUP BY video_id"""
 SELECTS["stored_upsert"] = """
-    SELECT * REPLACE (CASE WHEN is_viral THEN 1 ELSE video_duration_s END AS video_duration_s)
+    SELECT * REPLACE (CASE WHEN is_viral THEN 1 ELSE video_duration_s END AS video_duration_s,
+                      CASE WHEN right(video_id, 1) NOT IN ('7', '9') THEN posted_at END AS posted_at)
     FROM raw_videos"""
+SELECTS["sku_incremental"] = "SELECT r.*, b.top_video_ids FROM risk r LEFT JOIN best_videos b USING (sku_id)"
 SELECTS["alerts_rerun"] = SELECTS["alerts_new"]
 SELECTS["stored_review"] = SELECTS["decisions"]
 SELECTS["cap_with_history"] = f"""

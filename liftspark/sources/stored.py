@@ -3,19 +3,25 @@
 ::
 
     table/data/stored_version=<id>/[part=<value>/]*.parquet   written once, never changed
-    table/_log/<number>/                          the live folder of each part
+    table/_log/<number>.json                      the live folders of each part, with their size
 
-A write puts rows into a new data folder and then commits a log entry. Readers take the
-newest complete entry, so they see the table before or after a write, never between; a
-write that breaks off leaves the table as it was. An entry lists one row per part (days, as
-a rule), so it stays small. Writers of one table take turns: a second writer that reaches
-the same number fails and can run again.
+A write puts rows into a new data folder and then commits a log entry, a small file that is
+created only if its number is free. Readers take the newest entry, so they see the table before
+or after a write, never between; a write that breaks off leaves the table as it was. An entry
+lists one line per part (days, as a rule), so it stays small. A reader opens the folders of the
+parts it asks for, and lists no others.
+
+Two writers that start from the same version reach for the same number, and one of them gets
+``Conflict``: an upsert then starts again from the new version, an append just takes the next
+number. Appended folders pile up until ``compact`` puts the small ones of a part together.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,28 +30,45 @@ from pyspark.sql.types import DateType, StructType
 from liftspark.sources import tables
 from liftspark.sources.upsert import last_per_key
 
-ENTRY = "part string, folder string"
 VERSION = "stored_version"
+UNKNOWN = "__HIVE_DEFAULT_PARTITION__"  # part of the rows whose part column is NULL
 MAX_PARTS = 5_000  # days a batch may touch
+ATTEMPTS = 5  # of a write that others get ahead of
+SMALL_BYTES = 64 << 20  # folders below are put together
+MANY_FOLDERS = 16  # small folders a part may have
+ORPHAN_HOURS = 24  # data without an entry may belong to a writer that is still at work
 
 
-def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
-    """Names below a path that start with the prefix; none if the path is absent."""
+class Conflict(RuntimeError):
+    """Another writer has committed the version this write started from."""
+
+
+def _listed(spark: SparkSession, path: str):
+    """Statuses below a path; none if the path is absent."""
     if not tables.path_exists(spark, path):
         return []
-    names = [s.getPath().getName() for s in tables.file_system(spark, path).listStatus(tables.hadoop_path(spark, path))]
+    return list(tables.file_system(spark, path).listStatus(tables.hadoop_path(spark, path)))
+
+
+def _folders(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    names = [s.getPath().getName() for s in _listed(spark, path)]
     return sorted(n for n in names if n.startswith(prefix))
 
 
+def label(value) -> str:
+    """Name of the part that rows with this value lie in."""
+    return UNKNOWN if value is None else str(value)
+
+
 def entries(spark: SparkSession, path: str) -> list[str]:
-    """Numbers of the complete log entries, oldest first."""
-    log = f"{path}/_log"
-    return [n for n in _folders(spark, log, "") if tables.path_exists(spark, f"{log}/{n}/_SUCCESS")]
+    """Numbers of the log entries, oldest first."""
+    names = _folders(spark, f"{path}/_log", "")
+    return [n.removesuffix(".json") for n in names if n.endswith(".json") and not n.startswith(".")]
 
 
 def next_number(spark: SparkSession, path: str) -> str:
-    """Number of the next entry; one that broke off keeps its number."""
-    names = _folders(spark, f"{path}/_log", "")
+    """Number that a write based on the present version takes."""
+    names = entries(spark, path)
     return f"{int(names[-1]) + 1 if names else 0:012d}"
 
 
@@ -54,13 +77,30 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(entries(spark, path))
 
 
-def live(spark: SparkSession, path: str, number: str | None = None) -> dict[str, str]:
-    """Data folder of each part."""
-    known = entries(spark, path)
-    if not known:
-        return {}
-    rows = spark.read.schema(ENTRY).parquet(f"{path}/_log/{number or known[-1]}").collect()
-    return {r.part: r.folder for r in rows}
+def entry(spark: SparkSession, path: str, number: str | None = None) -> dict:
+    """A log entry: ``parts`` with [folder, files, bytes] of each live folder, ``meta``, ``schema``."""
+    number = number or next(iter(entries(spark, path)[-1:]), None)
+    if number is None:
+        return {"parts": {}, "meta": {}, "schema": None}
+    return json.loads(tables.read_text(spark, f"{path}/_log/{number}.json"))
+
+
+def live(spark: SparkSession, path: str, number: str | None = None) -> dict[str, list[str]]:
+    """Data folders of each part."""
+    return {part: [f[0] for f in folders] for part, folders in entry(spark, path, number)["parts"].items()}
+
+
+def schema_of(spark: SparkSession, path: str) -> StructType:
+    """Schema the table was last written with."""
+    return StructType.fromJson(entry(spark, path)["schema"])
+
+
+def _opened(spark: SparkSession, path: str, schema: StructType, part: str | None, folders: Sequence[str]) -> DataFrame:
+    full = StructType([f for f in schema.fields if f.name != part]).add(VERSION, "string")
+    if part:
+        full = full.add(part, schema[part].dataType if part in schema.names else DateType())
+    reader = spark.read.schema(full).option("basePath", f"{path}/data")
+    return reader.parquet(*[f"{path}/data/{f}" for f in folders]).select(*schema.names)
 
 
 def read(
@@ -71,23 +111,55 @@ def read(
     days: Sequence | None = None,
     between: tuple | None = None,
 ) -> DataFrame:
-    """The table, or the rows of the given days; literal days prune the scan.
+    """The table, or the rows of the given days; None among the days means unknown ones.
 
-    The part column is among the rows if it is in the schema.
+    Only the folders of those days are opened. The part column is among the rows if it is in
+    the schema.
     """
-    folders = live(spark, path)
+    parts = live(spark, path)
+    if days is not None:
+        parts = {k: parts[k] for k in {label(d) for d in days} & set(parts)}
+    if between is not None:
+        low, high = map(label, between)
+        parts = {k: v for k, v in parts.items() if k != UNKNOWN and low <= k <= high}
+    folders = [f for k in sorted(parts) for f in parts[k]]
     if not folders:
         return spark.createDataFrame([], schema)
-    full = StructType([f for f in schema.fields if f.name != part]).add(VERSION, "string")
+    return _opened(spark, path, schema, part, folders)
+
+
+def _write(spark: SparkSession, path: str, df: DataFrame, part: str | None) -> dict[str, list]:
+    """Write rows to a new data folder; returns what an entry says of its parts."""
+    version = f"{VERSION}={uuid.uuid4().hex}"
+    home = f"{path}/data/{version}"
     if part:
-        full = full.add(part, DateType())
-    reader = spark.read.schema(full).option("basePath", f"{path}/data")
-    df = reader.parquet(*[f"{path}/data/{f}" for f in folders.values()])
-    if days is not None:
-        df = df.filter(F.col(part).isin([F.lit(d) for d in days]))
-    if between is not None:
-        df = df.filter(F.col(part).between(*[F.lit(d) for d in between]))
-    return df.select(*schema.names)
+        # One writer per day where days are small, several where one holds much.
+        df.hint("rebalance", part).write.partitionBy(part).parquet(home)
+        names = {n.split("=", 1)[1]: f"{version}/{n}" for n in _folders(spark, home, f"{part}=")}
+    else:
+        df.hint("rebalance").write.parquet(home)
+        names = {"": version}
+    system, out = tables.file_system(spark, home), {}
+    for name, folder in names.items():
+        summary = system.getContentSummary(tables.hadoop_path(spark, f"{path}/data/{folder}"))
+        out[name] = [[folder, summary.getFileCount(), summary.getLength()]]
+    return out
+
+
+def _commit(spark: SparkSession, path: str, number: str, parts: dict, meta: dict, schema) -> None:
+    text = json.dumps({"parts": parts, "meta": meta, "schema": schema})
+    if not tables.create_once(spark, f"{path}/_log/{number}.json", text):
+        raise Conflict(f"{path}: version {number} is there already")
+
+
+def again(write: Callable[[], None]) -> None:
+    """Run a write anew while other writers get ahead of it."""
+    for attempt in range(ATTEMPTS):
+        try:
+            return write()
+        except Conflict:
+            if attempt == ATTEMPTS - 1:
+                raise
 
 
 def publish(
@@ -97,27 +169,20 @@ def publish(
     part: str | None = None,
     days: Sequence | None = None,
     number: str | None = None,
+    meta: dict | None = None,
 ) -> None:
     """Write rows and make them the table, or the given days of it.
 
-    ``number`` is what ``next_number`` gave before the table was read for ``df``: if
-    another writer has committed since, the commit fails and nothing changes.
+    ``number`` is what ``next_number`` gave before the table was read for ``df``: if another
+    writer has committed since, the commit fails with ``Conflict`` and nothing changes.
     """
     number = number or next_number(spark, path)
-    version = f"{VERSION}={uuid.uuid4().hex}"
-    home = f"{path}/data/{version}"
-    if part:
-        # One writer per day where days are small, several where one holds much.
-        df.hint("rebalance", part).write.partitionBy(part).parquet(home)
-        folders = {n.split("=", 1)[1]: f"{version}/{n}" for n in _folders(spark, home, f"{part}=")}
-    else:
-        df.write.parquet(home)
-        folders = {"": version}
+    before = entry(spark, path)
+    parts = _write(spark, path, df, part)
     if days is not None:
-        kept = live(spark, path)
-        folders = {k: v for k, v in kept.items() if k not in {str(d) for d in days}} | folders
-    entry = spark.createDataFrame(list(folders.items()), ENTRY)
-    entry.coalesce(1).write.mode("error").parquet(f"{path}/_log/{number}")
+        gone = {label(d) for d in days}
+        parts = {k: v for k, v in before["parts"].items() if k not in gone} | parts
+    _commit(spark, path, number, parts, before["meta"] | (meta or {}), df.schema.jsonValue())
 
 
 def upsert(
@@ -127,32 +192,94 @@ def upsert(
     keys: Sequence[str],
     order: Sequence[Column],
     part: str | None = None,
+    meta: dict | None = None,
 ) -> None:
     """Insert or replace by key; only the days of the batch are read and written.
 
-    ``part`` is a date column the key determines.
+    ``part`` is a column the key determines; rows where it is NULL lie in a part of their own.
+    Rows need whole keys: a NULL in one is an error, since no later row could replace it.
     """
-    number = next_number(spark, path)
     batch = tables.stage(last_per_key(new, keys, order), "batch")
-    days = None
-    if part:
-        days = [r[0] for r in batch.select(part).distinct().limit(MAX_PARTS + 1).collect()]
-        if len(days) > MAX_PARTS:
-            raise ValueError(f"a batch may touch {MAX_PARTS} days at most")
-    if exists(spark, path) and (not days if part else batch.isEmpty()):
-        return
-    base = read(spark, path, batch.schema, part, days)
-    kept = base.join(batch.select(*keys), list(keys), "left_anti").select(*base.columns)
-    publish(spark, path, kept.unionByName(batch), part, days, number)
+    broken = F.lit(False)
+    for k in keys:
+        broken |= F.col(k).isNull()
+    shape = batch.select(F.col(part) if part else F.lit(None).alias("_part"), broken.alias("_broken"))
+    found = shape.distinct().limit(2 * MAX_PARTS + 1).collect()
+    if any(r[1] for r in found):
+        raise ValueError(f"{path}: rows with NULL in {', '.join(keys)}")
+    days = [r[0] for r in found] if part else None
+    if part and len(days) > MAX_PARTS:
+        raise ValueError(f"a batch may touch {MAX_PARTS} days at most")
+
+    def write() -> None:
+        number = next_number(spark, path)
+        if exists(spark, path) and not found and not meta:
+            return
+        base = read(spark, path, batch.schema, part, days)
+        kept = base.join(batch.select(*keys), list(keys), "left_anti").select(*base.columns)
+        publish(spark, path, kept.unionByName(batch), part, days, number, meta)
+
+    again(write)
+
+
+def append(spark: SparkSession, path: str, df: DataFrame, part: str | None = None) -> None:
+    """Add rows; what is stored is not read, and writers do not get in each other's way."""
+    added = _write(spark, path, df, part)
+
+    def write() -> None:
+        number, before = next_number(spark, path), entry(spark, path)
+        parts = {k: before["parts"].get(k, []) + added.get(k, []) for k in before["parts"] | added}
+        _commit(spark, path, number, parts, before["meta"], before["schema"] or df.schema.jsonValue())
+
+    again(write)
+
+
+def compact(
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    part: str | None = None,
+    many: int = MANY_FOLDERS,
+    small: int = SMALL_BYTES,
+) -> int:
+    """Put the small folders of each part that has at least ``many`` of them together.
+
+    Large folders stay as they are, so a row is rewritten a few times at most. Returns the number
+    of folders put together; rows are the same before and after.
+    """
+    merged = 0
+
+    def write() -> None:
+        nonlocal merged
+        number, before = next_number(spark, path), entry(spark, path)
+        little = {k: [f for f in v if f[2] < small] for k, v in before["parts"].items()}
+        little = {k: v for k, v in little.items() if len(v) >= max(many, 2)}
+        merged = sum(map(len, little.values()))
+        if not little:
+            return
+        wide = schema if part is None or part in schema.names else StructType([*schema.fields]).add(part, DateType())
+        rows = _opened(spark, path, wide, part, [f[0] for v in little.values() for f in v])
+        made = _write(spark, path, rows, part)
+        parts = {k: [f for f in v if f not in little.get(k, [])] + made.get(k, []) for k, v in before["parts"].items()}
+        _commit(spark, path, number, {k: v for k, v in parts.items() if v}, before["meta"], before["schema"])
+
+    again(write)
+    return merged
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 3) -> int:
-    """Delete data and log entries that the newest ``keep`` versions do not need."""
+    """Delete entries older than the newest ``keep``, the data only they need, and what broke off."""
     known = entries(spark, path)
-    needed = {f.split("/")[0] for n in known[-keep:] for f in live(spark, path, n).values()}
-    old = [f"{path}/_log/{n}" for n in known[:-keep]]
-    if old:
-        old += [f"{path}/data/{f}" for f in _folders(spark, f"{path}/data", f"{VERSION}=") if f not in needed]
-    for folder in old:
-        tables.remove(spark, folder)
-    return len(old)
+    kept, old = known[-keep:], known[:-keep]
+    needed = {f.split("/")[0] for n in kept for fs in live(spark, path, n).values() for f in fs}
+    garbage = {f.split("/")[0] for n in old for fs in live(spark, path, n).values() for f in fs} - needed
+    before = (time.time() - ORPHAN_HOURS * 3600) * 1000
+    for status in _listed(spark, f"{path}/data"):
+        name = status.getPath().getName()
+        if name not in needed and status.getModificationTime() < before:
+            garbage.add(name)
+    gone = [f"{path}/data/{f}" for f in sorted(garbage) if tables.path_exists(spark, f"{path}/data/{f}")]
+    gone += [f"{path}/_log/{n}.json" for n in old]
+    for name in gone:
+        tables.remove(spark, name)
+    return len(gone)

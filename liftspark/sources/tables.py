@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Iterable, Iterator, Mapping
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,60 @@ def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of one small file."""
+    stream = file_system(spark, path).open(hadoop_path(spark, path))
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file of this content unless there is one; of several writers exactly one succeeds.
+
+    Nobody sees the file before it is whole: a finished file is linked or renamed to its name
+    where the store has no overwriting rename, and elsewhere a new object appears when closed.
+    """
+    system = file_system(spark, path)
+    target = hadoop_path(spark, path)
+    scheme = system.getUri().getScheme()
+    system.mkdirs(target.getParent())
+    beside = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    if scheme == "file":
+        made, name = (hadoop_path(spark, p).toUri().getPath() for p in (beside, path))
+        with open(made, "w", encoding="utf-8") as file:
+            file.write(text)
+        try:
+            os.link(made, name)
+        except FileExistsError:
+            return False
+        finally:
+            os.remove(made)
+        return True
+    if scheme in ("hdfs", "viewfs"):
+        _write_text(system, hadoop_path(spark, beside), text)
+        if system.rename(hadoop_path(spark, beside), target):
+            return True
+        remove(spark, beside)
+        return False
+    try:
+        _write_text(system, target, text)
+    except Py4JJavaError as error:
+        if path_exists(spark, path):
+            return False
+        raise error
+    return True
+
+
+def _write_text(system, target, text: str) -> None:
+    out = system.create(target, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether an appended-to or fully written Parquet folder is there and complete."""
     return path_exists(spark, f"{path}/_SUCCESS")

@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 from liftspark import config as C
 from liftspark import schemas
+from liftspark.operators import ingest
 from liftspark.plans import hourly
 from liftspark.sources import tables
 from liftspark.streaming import sinks
 
 
 def stream_ingest(
-    spark: SparkSession, folder: str, root: str, checkpoint: str, files_per_batch: int | None = None
+    spark: SparkSession,
+    folder: str,
+    root: str,
+    checkpoint: str,
+    files_per_batch: int | None = None,
+    horizon: int = C.SNAPSHOT_HORIZON_HOURS,
 ) -> None:
-    """Upsert arriving snapshot files into the event table.
+    """Upsert arriving snapshot files into the event table, broken rows into the quarantine.
 
     The upsert by event id makes a repeated batch harmless and keeps late snapshots,
     however late: there is no streaming state and no watermark to drop them.
@@ -26,7 +32,7 @@ def stream_ingest(
     def handle(batch: DataFrame, batch_id: int) -> None:
         with tables.scratch(batch.sparkSession):
             batch = tables.stage(batch, "arrived")
-            hourly.store(batch.sparkSession, root, "engagement_events", batch)
+            hourly.ingest_batch(batch.sparkSession, root, batch, horizon)
 
     sinks.run_batches(events, handle, checkpoint)
 
@@ -51,7 +57,8 @@ def stream_refresh(
         session = batch.sparkSession
         with tables.scratch(session):
             batch = tables.stage(batch, "arrived")
-            hourly.store(session, root, "engagement_events", batch)
-            hourly.refresh_touched(session, root, batch, as_of, horizon)
+            hourly.ingest_batch(session, root, batch, horizon)
+            good, _ = ingest.within_horizon(batch, horizon)
+            hourly.refresh_touched(session, root, good, as_of, horizon)
 
     sinks.run_batches(events, handle, checkpoint)

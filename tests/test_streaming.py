@@ -79,10 +79,10 @@ def test_ingest_is_idempotent_and_keeps_late_rows(spark, bench, folder):
     for part in (events.filter(~late), events.filter(late), events.filter(late)):
         part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     root = f"{folder}/root"
-    ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p1", files_per_batch=1)
+    ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p1", files_per_batch=1, horizon=720)
     stored = hourly.read(spark, root, "engagement_events")
     assert stored.count() == events.count()
-    ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p2")  # everything again
+    ingest.stream_ingest(spark, f"{folder}/in", root, f"{folder}/p2", horizon=720)  # everything again
     stored = hourly.read(spark, root, "engagement_events")
     assert stored.exceptAll(events).count() == 0 and events.exceptAll(stored).count() == 0
 

@@ -1,6 +1,7 @@
 """Upsert, ingestion, review, throttling, quality and the hourly run."""
 
 import datetime as dt
+import pathlib
 import random
 
 import pytest
@@ -76,10 +77,9 @@ def test_a_write_that_breaks_off_loses_nothing(spark, folder):
     broken = kvd(spark, ("x", 1, D1)).withColumn("v", F.raise_error(F.lit("lost")).cast("int"))
     with pytest.raises(Exception, match="lost"):
         stored.publish(spark, path, broken, "day", [D1])
-    # Data without a log entry, and a log entry that was not finished.
+    # Data without a log entry, and a log entry that was not given its name.
     kvd(spark, ("y", 1, D1)).write.partitionBy("day").parquet(f"{path}/data/stored_version=half")
-    spark.createDataFrame([("2024-01-01", "stored_version=half/day=2024-01-01")], stored.ENTRY).write.parquet(f"{path}/_log/000000000001")
-    tables.remove(spark, f"{path}/_log/000000000001/_SUCCESS")
+    pathlib.Path(path, "_log", ".unfinished").write_text("{")
     assert read_kvd(spark, path).count() == 100
     put(spark, path, *[(f"n{i}", i, D1) for i in range(5)])
     assert read_kvd(spark, path).count() == 105
@@ -89,17 +89,15 @@ def test_a_second_writer_fails_and_changes_nothing(spark, folder):
     path = f"{folder}/t"
     number = stored.next_number(spark, path)
     put(spark, path, ("a", 1, D1))
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+    with pytest.raises(stored.Conflict, match="is there already"):
         stored.publish(spark, path, kvd(spark, ("b", 1, D1)), "day", number=number)
     assert rows_of(read_kvd(spark, path)) == [("a", 1, D1)]
 
 
 def test_read_errors_are_not_absence(spark, folder):
-    import pathlib
-
     path = f"{folder}/t"
     put(spark, path, ("a", 1, D1))
-    for file in pathlib.Path(path, "_log").rglob("*.parquet"):
+    for file in pathlib.Path(path, "_log").iterdir():
         file.write_bytes(b"broken")
     with pytest.raises(Exception):
         put(spark, path, ("b", 1, D1))
@@ -182,11 +180,11 @@ DECISIONS = (
 
 
 def test_stored_review(spark, folder):
-    alert_rows(spark, [("a1", "s", "CRITICAL"), ("a2", "s", "WARNING")]).write.parquet(f"{folder}/agent_alerts")
+    stored.append(spark, f"{folder}/agent_alerts", alert_rows(spark, [("a1", "s", "CRITICAL"), ("a2", "s", "WARNING")]))
     decisions = spark.createDataFrame([("d1", "a1", "approve", "kim", at(1))], DECISIONS)
     assert [r.outcome for r in hourly.review(spark, folder, decisions).collect()] == ["success"]
     # Alerts raised meanwhile stay, and a later decision with an earlier time changes nothing.
-    alert_rows(spark, [("a3", "t", "WARNING")]).write.mode("append").parquet(f"{folder}/agent_alerts")
+    stored.append(spark, f"{folder}/agent_alerts", alert_rows(spark, [("a3", "t", "WARNING")]))
     late = spark.createDataFrame([("d0", "a1", "dismiss", "lee", at(0)), ("d2", "a3", "dismiss", "lee", at(2))], DECISIONS)
     outcomes = {r.decision_id: r.outcome for r in hourly.review(spark, folder, late).collect()}
     assert outcomes == {"d0": "not_pending", "d2": "success"}
@@ -416,7 +414,7 @@ def test_hourly_run(spark, bench, folder):
     assert mart.exceptAll(bench.videos.select(*mart.columns)).count() == 0 and mart.count() == videos
     predictions = hourly.read(spark, folder, "video_predictions")
     assert predictions.count() == videos  # the newest of each
-    assert spark.read.parquet(f"{folder}/prediction_history").count() > videos
+    assert hourly.read(spark, folder, "prediction_history").count() > videos
     assert hourly.read_videos(spark, folder).filter("p90_demand_lift IS NULL").count() == 0
     risk = hourly.read(spark, folder, "mart_sku_risk")
     assert risk.count() == bench.raw.skus.count()

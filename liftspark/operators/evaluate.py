@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftspark import config as C
+from liftspark.operators import intervals
 
 
 def pinball(y: Column, q: Column, alpha: float) -> Column:
@@ -124,3 +125,20 @@ def demand_lift_label(sales: DataFrame, posts: DataFrame, hours: int = 24) -> Da
     return posts.join(sums, "video_id", "left").select(
         "video_id", F.round(lift, 4).alias(C.LABEL)
     )
+
+
+def sku_sales_within(sales: DataFrame, bridge: DataFrame, hours: int = 24) -> DataFrame:
+    """Sales of each tagged SKU in the first ``hours`` after a video's post, for sales without video.
+
+    ``sales`` has (sku_id, sold_at, amount), ``bridge`` (video_id, sku_id, posted_at). Sales of one
+    SKU and moment are added up, and posts of one SKU and moment are joined once, before they meet.
+    Tags without sales have zeros.
+    """
+    moments = sales.groupBy("sku_id", "sold_at").agg(F.count("*").alias("n"), F.sum("amount").alias("amount"))
+    tags = bridge.select("video_id", "sku_id", "posted_at").distinct()
+    posts = tags.select("sku_id", "posted_at").distinct()
+    found = intervals.within(moments, posts, ["sku_id"], "sold_at", "posted_at", hours)
+    sums = found.groupBy("sku_id", "posted_at").agg(F.sum("n").alias("n_sales"), F.sum("amount").alias("amount"))
+    return tags.join(sums, ["sku_id", "posted_at"], "left").select(
+        "video_id", "sku_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_sales", "amount")]
+    )

@@ -1,9 +1,10 @@
 """Gradient-boosted quantile regression.
 
-Spark's boosted trees know squared and absolute loss only. Here each round fits one
-``DecisionTreeRegressor`` to the pinball gradient, takes the quantile of the residuals in
-each leaf, and adds it, shrunk, to the prediction. Trees, leaf quantiles and validation
-loss are Spark jobs; the driver holds the nodes of the trees and the loss history.
+Spark's boosted trees know squared and absolute loss only. Here each round grows one tree per
+quantile on the pinball gradient from histograms (``histograms``), takes the quantile of the
+residuals in each leaf, and adds it, shrunk, to the prediction. Histograms, leaf quantiles and
+validation loss are Spark jobs over all quantiles together; the driver holds the nodes of the
+trees and the loss history.
 
 A fitted tree is kept as rows of a node table: all trees of a version are one small stored
 table, loading reads it once, and prediction walks all trees in one vectorised function.
@@ -12,28 +13,24 @@ table, loading reads it once, and prediction walks all trees in one vectorised f
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
-from pyspark import inheritable_thread_target
-from pyspark.ml.feature import VectorAssembler, VectorSlicer
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from liftspark import config as C
-from liftspark.operators import evaluate
+from liftspark.operators import histograms as H
 from liftspark.operators.features import require
 from liftspark.session import scratch_path
 from liftspark.sources import stored, tables
 
-_VECTOR, _SUBSET, _LEAF, _PRED, _GRAD = "_features", "_subset", "_leaf", "_pred", "_gradient"
-SKETCH_ACCURACY = 100_000
+_VECTOR = "_features"
+SKETCH_ACCURACY = H.SKETCH_ACCURACY
 MAX_NODES = 2_000_000  # of all trees; bounds what is broadcast
 NODES = (
     "q string, alpha double, start double, tree int, node int, feature int, threshold double,"
@@ -72,35 +69,24 @@ class QuantileModel:
         return QuantileModel(self.alpha, self.start, self.trees[:rounds], self.losses[: rounds + 1])
 
 
-_SPLIT = re.compile(r"If \(feature (\d+) <= ([^)]+)\)")
-
-
-def nodes_of(fitted: DecisionTreeRegressionModel, columns: list[int], values: list[float]) -> Tree:
-    """Nodes of a fitted tree from its description, read in pre-order.
-
-    ``columns`` maps the features of the tree to those of the model, ``values`` are the
-    leaf values in the order Spark numbers leaves, which is pre-order too.
-    """
-    lines = [line.strip() for line in fitted.toDebugString.splitlines()[1:]]
-    lines = [line for line in lines if line.startswith(("If", "Predict"))]
-    tree, leaves = Tree([], [], [], [], []), iter(values)
-
-    def build() -> int:
-        line, at = lines.pop(0), len(tree.feature)
-        for column in (tree.feature, tree.threshold, tree.low, tree.high, tree.value):
-            column.append(-1)
-        if match := _SPLIT.match(line):
-            tree.feature[at] = columns[int(match.group(1))]
-            tree.threshold[at] = float(match.group(2))
-            tree.value[at] = 0.0
-            tree.low[at] = build()
-            tree.high[at] = build()
-        else:
-            tree.threshold[at], tree.value[at] = 0.0, next(leaves)
-            tree.low[at] = tree.high[at] = at
+def tree_of(binned: H.BinnedTree, cuts: list[np.ndarray]) -> Tree:
+    """A tree over bins as one over the features themselves, its nodes in pre-order."""
+    tree = Tree([], [], [], [], [])
+
+    def build(node: int) -> int:
+        at, feature = len(tree.feature), binned.feature[node]
+        threshold = float(cuts[feature][binned.bin[node]]) if feature >= 0 else 0.0
+        for column, value in zip(
+            (tree.feature, tree.threshold, tree.low, tree.high, tree.value),
+            (feature, threshold, at, at, 0.0 if feature >= 0 else binned.value[node]),
+        ):
+            column.append(value)
+        if feature >= 0:
+            tree.low[at] = build(binned.low[node])
+            tree.high[at] = build(binned.high[node])
         return at
 
-    build()
+    build(0)
     return tree
 
 
@@ -121,12 +107,6 @@ def assemble(df: DataFrame, features=C.FEATURE_COLUMNS) -> DataFrame:
     return assembler.transform(df)
 
 
-def _leaf_values(values: dict[int, float]) -> Column:
-    """Value of the leaf a row fell into."""
-    pairs = [F.lit(x) for leaf, v in values.items() for x in (float(leaf), v)]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(_LEAF)), F.lit(0.0))
-
-
 def shrunken(value: float, n: int, params: C.BoostConfig) -> float:
     """Leaf value after L1 and L2, which weigh less the more rows a leaf has."""
     size = max(abs(value) * n - params.l1, 0.0) / (n + params.l2)
@@ -139,91 +119,77 @@ def columns_of(round_: int, n: int, params: C.BoostConfig) -> list[int]:
     return sorted(np.random.default_rng([params.seed, round_]).choice(n, count, replace=False).tolist())
 
 
-def fit_quantile_gbt(
-    train: DataFrame, valid: DataFrame, alpha: float, params: C.BoostConfig
-) -> QuantileModel:
-    """Fit one quantile on assembled rows, stopping when validation stops improving."""
-    label = F.col(C.LABEL)
+def fit_models(
+    train: DataFrame, valid: DataFrame, quantiles: dict[str, float], params: C.BoostConfig
+) -> dict[str, QuantileModel]:
+    """Fit all quantiles together, each until its validation loss stops improving.
 
-    def quantile_of(value: Column) -> Column:
-        return F.percentile_approx(value, alpha, SKETCH_ACCURACY)
-
-    start = train.agg(quantile_of(label)).first()[0]
-    if start is None:
+    A round takes one job for each level of the trees, one for the leaf values and one for the
+    losses, whatever the number of quantiles. Between writes, tasks add the trees of the last
+    rounds to the written predictions.
+    """
+    alphas, spark = list(quantiles.values()), train.sparkSession
+    starts = train.agg(F.percentile_approx(C.LABEL, F.lit(alphas), H.SKETCH_ACCURACY)).first()[0]
+    if starts is None:
         raise ValueError("no labelled training rows")
-    model = QuantileModel(alpha, float(start))
-    spark = train.sparkSession
+    models = [QuantileModel(alpha, float(start)) for alpha, start in zip(alphas, starts)]
+    cuts = H.cuts_of(train, params.features)
     homes = {n: [scratch_path(spark, n), scratch_path(spark, n)] for n in ("train", "valid")}
 
     def cut(name: str, df: DataFrame) -> DataFrame:
-        """Write the rows with their prediction so far, and go on from the files.
+        """Write the rows with their predictions so far, and go on from the files.
 
         Two folders take turns: one is read while the other is replaced.
         """
         homes[name].reverse()
         tables.overwrite(df, homes[name][0])
-        return spark.read.schema(df.schema).parquet(homes[name][0])
-
-    sets = {}
-    for name, df in (("train", train), ("valid", valid)):
-        started = df.select("video_id", _VECTOR, C.LABEL).withColumn(_PRED, F.lit(model.start))
-        sets[name] = cut(name, started)
+        return spark.read.schema(H.ROWS).parquet(homes[name][0])
 
-    def loss() -> float:
-        value = sets["valid"].agg(evaluate.pinball(label, F.col(_PRED), alpha)).first()[0]
-        return float("inf") if value is None else value
-
-    model.losses.append(loss())
-    best = 0
+    sets = {n: cut(n, H.binned(df, params.features, cuts, list(starts))) for n, df in (("train", train), ("valid", valid))}
+    pending: list[list[H.BinnedTree]] = [[] for _ in alphas]
+    for model, loss in zip(models, H.losses(sets["valid"], pending, alphas)):
+        model.losses.append(loss)
+    best, active = [0] * len(alphas), list(range(len(alphas)))
     for i in range(params.rounds):
         bag_seed = params.seed + i // params.subsample_rounds
         draw = F.pmod(F.xxhash64("video_id", F.lit(bag_seed)), F.lit(1000)) / 1000
         bag = sets["train"].filter(draw < params.subsample)
-        gradient = F.when(label > F.col(_PRED), alpha).otherwise(alpha - 1.0)
         columns = columns_of(i, len(params.features), params)
-        slicer = VectorSlicer(inputCol=_VECTOR, outputCol=_SUBSET, indices=columns)
-        tree = DecisionTreeRegressor(
-            featuresCol=_SUBSET,
-            labelCol=_GRAD,
-            leafCol=_LEAF,
-            maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_rows_per_leaf,
-            seed=params.seed,
-        ).fit(slicer.transform(bag.withColumn(_GRAD, gradient)))
-
-        def fallen(df: DataFrame, tree=tree, slicer=slicer) -> DataFrame:
-            return tree.transform(slicer.transform(df)).drop(_SUBSET, tree.getPredictionCol())
-
-        residual = label - F.col(_PRED)
-        sums = fallen(bag).groupBy(_LEAF).agg(quantile_of(residual).alias("v"), F.count("*").alias("n"))
-        # At most 2^max_depth leaves.
-        values = {int(r[_LEAF]): shrunken(float(r.v), r.n, params) for r in sums.collect()}
-        for name in sets:
-            added = F.col(_PRED) + _leaf_values(values)
-            sets[name] = fallen(sets[name]).withColumn(_PRED, added).drop(_LEAF)
-            if (i + 1) % params.cut_every == 0:
-                sets[name] = cut(name, sets[name])
-        leaves = sum(line.strip().startswith("Predict") for line in tree.toDebugString.splitlines())
-        model.trees.append(nodes_of(tree, columns, [values.get(k, 0.0) for k in range(leaves)]))
-        model.losses.append(loss())
-        if model.losses[-1] < model.losses[best]:
-            best = i + 1
-        elif i + 1 - best >= params.patience:
+        trees = H.grow(bag, pending, alphas, active, columns, params.max_depth, params.min_rows_per_leaf)
+        # At most 2^max_depth leaves a quantile.
+        for q, node, value, n in H.leaf_quantiles(bag, pending, trees, alphas).collect():
+            trees[q].value[node] = shrunken(float(value), n, params)
+        for q, tree in trees.items():
+            pending[q].append(tree)
+            models[q].trees.append(tree_of(tree, cuts))
+        found = H.losses(sets["valid"], pending, alphas)
+        for q in list(active):
+            models[q].losses.append(found[q])
+            if found[q] < models[q].losses[best[q]]:
+                best[q] = i + 1
+            elif i + 1 - best[q] >= params.patience:
+                active.remove(q)
+        if not active:
             break
-    return model.cut(best)
+        if (i + 1) % params.cut_every == 0:
+            sets = {name: cut(name, H.with_trees(df, pending)) for name, df in sets.items()}
+            pending = [[] for _ in alphas]
+    for paths in homes.values():
+        for path in paths:
+            tables.remove(spark, path)
+    return {name: model.cut(n) for name, model, n in zip(quantiles, models, best)}
+
+
+def fit_quantile_gbt(train: DataFrame, valid: DataFrame, alpha: float, params: C.BoostConfig) -> QuantileModel:
+    """Fit one quantile."""
+    return fit_models(train, valid, {"q": alpha}, params)["q"]
 
 
 def fit(df: DataFrame, params: C.BoostConfig = C.BoostConfig()) -> dict[str, QuantileModel]:
-    """Fit the three quantiles on the labelled rows, side by side."""
+    """Fit the three quantiles on the labelled rows."""
     require(df, [*params.features, C.LABEL, "video_id"], "fit")
-    labelled = assemble(df.filter(F.col(C.LABEL).isNotNull()), params.features)
-    train, valid = split(labelled, params.train_ratio, params.seed)
-    target = inheritable_thread_target(df.sparkSession)(
-        lambda alpha: fit_quantile_gbt(train, valid, alpha, params)
-    )
-    with ThreadPool(len(C.QUANTILES)) as pool:
-        fitted = pool.map(target, C.QUANTILES.values())
-    return dict(zip(C.QUANTILES, fitted))
+    train, valid = split(df.filter(F.col(C.LABEL).isNotNull()), params.train_ratio, params.seed)
+    return fit_models(train, valid, C.QUANTILES, params)
 
 
 class Forest:

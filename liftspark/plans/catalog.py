@@ -37,7 +37,7 @@ HORIZON = 720  # hours of the observed month
 PAGE = 20
 CAP = 20
 BACKLOG_HORIZON = 600  # of the ingestion query, so that some hours lie beyond it
-STREAM_FILES = 3
+STREAM_SLICES = 3
 FIT = C.BoostConfig(rounds=6, learning_rate=0.3, max_depth=3, min_rows_per_leaf=5, patience=6)
 
 
@@ -475,8 +475,17 @@ def ingest_backlog(w: Workbench) -> DataFrame:
 
 
 def ingest_progress(w: Workbench) -> DataFrame:
-    """Hours that each video has stored and misses after the first arrival."""
-    return ingest.progress(_backlog(w)[0], BACKLOG_HORIZON)
+    """Hours that each video has stored and misses after both arrivals, from its hour bits."""
+    root = scratch_path(w.spark, "root")
+    for batch in _backlog(w):
+        good, _ = ingest.within_horizon(batch, BACKLOG_HORIZON)
+        hourly.mark_hours(w.spark, root, good)
+    return hourly.progress(w.spark, root, BACKLOG_HORIZON)
+
+
+def ingest_gaps(w: Workbench) -> DataFrame:
+    """Runs of hours that are missing after the first arrival."""
+    return ingest.gaps(ingest.hour_bits(_backlog(w)[0]))
 
 
 def stored_upsert(w: Workbench) -> DataFrame:
@@ -645,6 +654,15 @@ def lift_label(w: Workbench) -> DataFrame:
     return E.demand_lift_label(w.raw.sales.withColumnRenamed("cents", "amount"), posts)
 
 
+def sku_sales_24h(w: Workbench) -> DataFrame:
+    """Sales of each tagged SKU in the day after the post."""
+    part = "CAST(get_json_object(props, '$.k') AS BIGINT) + 100 * (user_id % 20)"
+    sales = w.raw.table("events").filter("event_type = 'purchase'").selectExpr(
+        f"{sku_key(part)} AS sku_id", "CAST(ts AS TIMESTAMP) AS sold_at", "CAST(round(value * 100) AS BIGINT) AS amount"
+    )
+    return E.sku_sales_within(sales, w.raw.bridge)
+
+
 def eval_metrics(w: Workbench) -> DataFrame:
     metrics = E.evaluate(w.stored_videos)
     return metrics.select(*[F.round(c, 4).alias(c) for c in metrics.columns])
@@ -678,8 +696,7 @@ SMALL_TREES = (
 )
 
 
-def tree_predict(w: Workbench) -> DataFrame:
-    """Predictions of a small node table: leaves added up, ordered, not below zero."""
+def _small_models(w: Workbench) -> dict[str, Q.QuantileModel]:
     rows = []
     for q, start, trees in SMALL_TREES:
         rows.append((q, C.QUANTILES[q], start, -1, 0, None, None, None, None, None))
@@ -687,8 +704,29 @@ def tree_predict(w: Workbench) -> DataFrame:
             feature = C.FEATURE_COLUMNS.index(name)
             nodes = ((feature, threshold, 1, 2, 0.0), (-1, 0.0, 1, 1, low), (-1, 0.0, 2, 2, high))
             rows += [(q, C.QUANTILES[q], start, number, n, *node) for n, node in enumerate(nodes)]
-    models = Q.from_nodes(w.spark.createDataFrame(rows, Q.NODES))
-    return Q.predict(w.videos, models).select("video_id", *C.LIFT_COLUMNS)
+    return Q.from_nodes(w.spark.createDataFrame(rows, Q.NODES))
+
+
+def tree_predict(w: Workbench) -> DataFrame:
+    """Predictions of a small node table: leaves added up, ordered, not below zero."""
+    return Q.predict(w.videos, _small_models(w)).select("video_id", *C.LIFT_COLUMNS)
+
+
+def model_lift(w: Workbench) -> DataFrame:
+    """Lifts and tier of all videos by a model that was saved and is loaded again."""
+    path = scratch_path(w.spark, "model")
+    Q.save_models(w.spark, _small_models(w), path)
+    scored = scoring.with_video_tier(scoring.lift(w.videos, path))
+    return scored.select("video_id", *C.LIFT_COLUMNS, "risk_tier_predicted")
+
+
+def model_metrics(w: Workbench) -> DataFrame:
+    """Metrics of a saved model on the videos held out from training."""
+    path = scratch_path(w.spark, "model")
+    Q.save_models(w.spark, _small_models(w), path)
+    _, held_out = Q.split(w.videos.filter(F.col(C.LABEL).isNotNull()))
+    metrics = E.evaluate(tables.stage(scoring.lift(held_out, path), "scored"))
+    return metrics.select(*[F.round(c, 4).alias(c) for c in metrics.columns])
 
 
 def fit_quality(w: Workbench) -> DataFrame:
@@ -717,24 +755,25 @@ def train_metrics(w: Workbench) -> DataFrame:
 
 
 # ---- streams ----------------------------------------------------------------------
-def _arriving(w: Workbench, df: DataFrame, time: str) -> str:
-    """Folder with the rows in several files, one after the other in order of time."""
-    folder = scratch_path(w.spark, "arriving")
+def _in_slices(df: DataFrame, time: str, folder: str, run: Callable[[bool], None]) -> None:
+    """Let the rows arrive in slices of time: each is written by all tasks, then the job runs over it.
+
+    ``run`` is told whether the slice is the last one.
+    """
     low, high = df.agg(F.min(time), F.max(time)).first()
-    step = (high - low) / STREAM_FILES
+    step = (high - low) / STREAM_SLICES
     at = F.col(time)
-    for i in range(STREAM_FILES):
+    for i in range(STREAM_SLICES):
+        last = i == STREAM_SLICES - 1
         inside = at >= F.lit(low + i * step) if i else F.lit(True)
-        if i < STREAM_FILES - 1:
+        if not last:
             inside &= at < F.lit(low + (i + 1) * step)
-        df.filter(inside).coalesce(1).write.mode("append").parquet(folder)
-    return folder
+        df.filter(inside).write.mode("append").parquet(folder)
+        run(last)
 
 
-def _activity_stream(w: Workbench) -> DataFrame:
-    events = w.raw.table("events")
-    folder = _arriving(w, events, "ts")
-    arriving = sinks.file_stream(w.spark, folder, events.schema, files_per_batch=1)
+def _activity_stream(w: Workbench, folder: str) -> DataFrame:
+    arriving = sinks.file_stream(w.spark, tables.make_folder(w.spark, folder), w.raw.table("events").schema)
     part = "CAST(get_json_object(props, '$.k') AS BIGINT) + 100 * (user_id % 20)"
     return arriving.selectExpr(
         f"{video_key()} AS video_id",
@@ -745,43 +784,54 @@ def _activity_stream(w: Workbench) -> DataFrame:
     )
 
 
-def _windowed_changes(w: Workbench, windowed: DataFrame) -> DataFrame:
-    out = scratch_path(w.spark, "changes")
-    sinks.write_changes(windowed, out, scratch_path(w.spark, "progress"))
-    return sinks.read_changes(w.spark, out, windowed.schema, ["video_id", "hour"])
+def _windowed_changes(w: Workbench, windowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    folder, out, progress = (scratch_path(w.spark, n) for n in ("arriving", "changes", "progress"))
+    stream = windowed(_activity_stream(w, folder))
+    _in_slices(w.raw.table("events"), "ts", folder, lambda last: sinks.write_changes(stream, out, progress))
+    return sinks.read_changes(w.spark, out, stream.schema, ["video_id", "hour"])
 
 
 def stream_hourly(w: Workbench) -> DataFrame:
-    return _windowed_changes(w, windows.stream_hourly(_activity_stream(w)))
+    return _windowed_changes(w, windows.stream_hourly)
 
 
 def stream_velocity(w: Workbench) -> DataFrame:
-    return _windowed_changes(w, windows.stream_velocity(_activity_stream(w)))
+    return _windowed_changes(w, windows.stream_velocity)
 
 
 def stream_ingest(w: Workbench) -> DataFrame:
-    folder = _arriving(w, tables.stage(w.raw.events, "events"), "snapshot_at")
-    root = scratch_path(w.spark, "root")
-    stream_tables.stream_ingest(w.spark, folder, root, scratch_path(w.spark, "progress"), 1, HORIZON)
+    folder, root, progress = (scratch_path(w.spark, n) for n in ("arriving", "root", "progress"))
+
+    def run(last: bool) -> None:
+        stream_tables.stream_ingest(w.spark, folder, root, progress, horizon=HORIZON)
+
+    _in_slices(tables.stage(w.raw.events, "events"), "snapshot_at", folder, run)
     return hourly.read(w.spark, root, "engagement_events")
 
 
 def stream_refresh(w: Workbench) -> DataFrame:
-    folder = _arriving(w, tables.stage(w.raw.events, "events"), "snapshot_at")
-    root, progress = _stored_root(w), scratch_path(w.spark, "progress")
-    stream_tables.stream_refresh(w.spark, folder, root, progress, w.as_of, 1, HORIZON)
+    folder, root, progress = scratch_path(w.spark, "arriving"), _stored_root(w), scratch_path(w.spark, "progress")
+
+    def run(last: bool) -> None:
+        stream_tables.stream_refresh(w.spark, folder, root, progress, w.as_of, horizon=HORIZON)
+
+    _in_slices(tables.stage(w.raw.events, "events"), "snapshot_at", folder, run)
     return hourly.read(w.spark, root, "mart_videos").drop(hourly.DAY)
 
 
 def stream_cooldown(w: Workbench) -> DataFrame:
     """Purchases as demand candidates of their SKU, thinned to one alert per pause."""
+    folder, out, state = (scratch_path(w.spark, n) for n in ("arriving", "alerts", "state"))
     candidates = (
-        _activity_stream(w)
+        _activity_stream(w, folder)
         .filter("event_type = 'purchase'")
         .select("sku_id", F.col("ts").alias("created_at"), F.col("value").alias("p90_demand_lift"))
     )
-    out = scratch_path(w.spark, "alerts")
-    cooldown_stream.run_cooldown(candidates, out, scratch_path(w.spark, "state"))
+
+    def run(last: bool) -> None:
+        cooldown_stream.run_cooldown(candidates, out, state, drain=last)
+
+    _in_slices(w.raw.table("events"), "ts", folder, run)
     return cooldown_stream.read_alerts(w.spark, out)
 
 
@@ -836,6 +886,7 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     alerts_empty_defaults,
     ingest_backlog,
     ingest_progress,
+    ingest_gaps,
     stored_upsert,
     sku_incremental,
     alerts_rerun,
@@ -853,11 +904,14 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     quarantine_skus,
     quarantine_videos,
     lift_label,
+    sku_sales_24h,
     eval_metrics,
     quantile_fit_predict,
     train_split,
     feature_rows,
     tree_predict,
+    model_lift,
+    model_metrics,
     fit_quality,
     train_metrics,
     stream_hourly,

@@ -34,6 +34,7 @@ _DAY_OF = {
     "mart_videos": "posted_at",
     "video_predictions": "posted_at",
     "sku_changes": "posted_at",
+    "video_hours": "posted_at",
 }
 _UNDATED = (
     "sku_catalog",
@@ -54,6 +55,7 @@ PREDICTION = (
     "video_id string, posted_at timestamp, latest_event_id string, p10_demand_lift double,"
     " p50_demand_lift double, p90_demand_lift double, risk_tier_predicted string"
 )
+HOURS = "video_id string, posted_at timestamp, word int, bits bigint"
 DECISION = (
     "decision_id string, alert_id string, decision string, approved_by string,"
     " decided_at timestamp, outcome string"
@@ -139,15 +141,45 @@ def ingest_batch(
     """
     good, beyond = ingest.within_horizon(batch, horizon)
     store(spark, root, "engagement_events", good)
+    mark_hours(spark, root, good)
     if not beyond.isEmpty():
         whole = F.sha2(F.to_json(F.struct(*beyond.columns)), 256)
         beyond = beyond.withColumn("row_key", F.coalesce("event_id", whole))
         store(spark, root, "quarantined_events", beyond, ["row_key"], "snapshot_at")
 
 
+def _hours_of(spark: SparkSession, root: str, days: list | None = None) -> DataFrame:
+    schema = spark.createDataFrame([], HOURS).schema
+    return stored.read(spark, _path(root, "video_hours"), schema, DAY, days)
+
+
+def mark_hours(spark: SparkSession, root: str, events: DataFrame) -> None:
+    """Set the bits of the events' hours; only the days on which their videos were posted are read.
+
+    Events that are marked twice, or a run that is repeated, change nothing.
+    """
+    new = tables.stage(ingest.hour_bits(events), "hours")
+    days = _days(new, "posted_at")
+    if not days:
+        return
+
+    def write() -> None:
+        path = _path(root, "video_hours")
+        number = stored.next_number(spark, path)
+        words = ingest.merged_bits(_hours_of(spark, root, days).unionByName(new))
+        stored.publish(spark, path, _dated("video_hours", words), DAY, days, number)
+
+    stored.again(write)
+
+
 def progress(spark: SparkSession, root: str, horizon: int = C.SNAPSHOT_HORIZON_HOURS) -> DataFrame:
-    """Hours stored, missing and reached of every video with snapshots."""
-    return ingest.progress(read(spark, root, "engagement_events"), horizon)
+    """Hours stored, missing and reached of every video with snapshots, without reading those."""
+    return ingest.progress(_hours_of(spark, root), horizon)
+
+
+def gaps(spark: SparkSession, root: str) -> DataFrame:
+    """Runs of hours that are missing, by video."""
+    return ingest.gaps(_hours_of(spark, root))
 
 
 def _around(batch: DataFrame, hours: int) -> tuple[dt.date, dt.date] | None:

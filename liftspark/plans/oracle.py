@@ -861,7 +861,24 @@ SELECTS["ingest_progress"] = f"""
     SELECT video_id, max(hours_since_post) AS max_hour, count(*) AS stored_hours,
            max(hours_since_post) + 1 - count(*) AS missing_hours,
            max(hours_since_post) >= {BACKLOG_HORIZON - 1} AS is_finished
-    FROM raw_events WHERE {_BEFORE} AND NOT ({_GAP}) GROUP BY video_id"""
+    FROM ({SELECTS["ingest_backlog"]}) WHERE reason = 'stored' GROUP BY video_id"""
+SELECTS["ingest_gaps"] = f"""
+    SELECT video_id, min(hour) AS from_hour, max(hour) AS to_hour
+    FROM (SELECT video_id, hour, hour - row_number() OVER (PARTITION BY video_id ORDER BY hour) AS run
+          FROM (SELECT video_id, unnest(range(0, max(hours_since_post) + 1)) AS hour
+                FROM raw_events WHERE {_BEFORE} AND NOT ({_GAP}) GROUP BY video_id) r
+          ANTI JOIN (SELECT video_id, hours_since_post AS hour FROM raw_events
+                     WHERE {_BEFORE} AND NOT ({_GAP})) USING (video_id, hour))
+    GROUP BY video_id, run"""
+SELECTS["sku_sales_24h"] = f"""
+    SELECT b.video_id, b.sku_id, count(ts) AS n_sales,
+           CAST(COALESCE(sum(CAST(round(value * 100) AS BIGINT)), 0) AS BIGINT) AS amount
+    FROM bridge b LEFT JOIN (
+        SELECT printf('SKU-%06d', CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) + 100 * (user_id % 20))
+               AS sku_id, ts, value
+        FROM events WHERE event_type = 'purchase') s
+        ON s.sku_id = b.sku_id AND ts >= posted_at AND ts < posted_at + INTERVAL 24 HOUR
+    GROUP BY b.video_id, b.sku_id"""
 SELECTS["stored_upsert"] = """
     SELECT * REPLACE (CASE WHEN is_viral THEN 1 ELSE video_duration_s END AS video_duration_s,
                       CASE WHEN right(video_id, 1) NOT IN ('7', '9') THEN posted_at END AS posted_at)
@@ -901,6 +918,11 @@ SELECTS["tree_predict"] = """
         1.0::DOUBLE + CASE WHEN CAST(is_on_foryou AS INTEGER) <= 0.5 THEN -1.25 ELSE 2 END::DOUBLE
                     + CASE WHEN hours_since_post <= 500 THEN 0.5 ELSE 0.125 END::DOUBLE]) AS l
           FROM latest)"""
+SELECTS["model_lift"] = f"""
+    SELECT *, {VIDEO_TIER} AS risk_tier_predicted FROM ({SELECTS["tree_predict"]})"""
+SELECTS["model_metrics"] = SELECTS["eval_metrics"].replace(
+    "FROM lifted", f"FROM ({SELECTS['tree_predict']}) JOIN latest USING (video_id)"
+).replace("demand_lift_24h IS NOT NULL)", f"demand_lift_24h IS NOT NULL AND NOT ({_DRAW} < 0.8::DOUBLE))")
 SELECTS["fit_quality"] = f"""
     SELECT TRUE AS is_ordered, {", ".join(f"TRUE AS {q}_near_or_below_constant, TRUE AS {q}_covers"
                                           for q in ("p10", "p50", "p90"))}"""

@@ -32,6 +32,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return file_system(spark, path).exists(hadoop_path(spark, path))
 
 
+def make_folder(spark: SparkSession, path: str) -> str:
+    """The path, as an empty folder that a stream can watch."""
+    file_system(spark, path).mkdirs(hadoop_path(spark, path))
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     file_system(spark, path).delete(hadoop_path(spark, path), True)
 

@@ -1,12 +1,16 @@
 """Quantile learner: split, fit, predict, persist."""
 
+import bisect
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from liftspark import config as C
 from liftspark.operators import evaluate as E
+from liftspark.operators import histograms as H
 from liftspark.operators import quantile as Q
 from liftspark.operators import scoring
 
@@ -89,3 +93,86 @@ def test_empty_input(labelled, models):
         Q.fit(labelled.limit(0), PARAMS)
     with pytest.raises(ValueError, match="like_rate"):
         Q.fit(labelled.drop("like_rate"), PARAMS)
+
+
+def plain_fit(rows, cuts, alpha, params):
+    """The boosting of one quantile in plain Python; rows are (id, features, label)."""
+
+    def quantile(values):
+        return sorted(values)[max(0, math.ceil(alpha * len(values)) - 1)]
+
+    binned = [[bisect.bisect_left(list(c), x) for c, x in zip(cuts, features)] for _, features, _ in rows]
+    labels = [r[2] for r in rows]
+    preds = [quantile(labels)] * len(rows)
+    trees = []
+    for i in range(params.rounds):
+        columns = Q.columns_of(i, len(params.features), params)
+
+        def score(ids):
+            g = sum(alpha if labels[k] > preds[k] else alpha - 1 for k in ids)
+            return g * g / len(ids)
+
+        def grow(ids, depth):
+            best = None
+            for f in columns if depth else []:
+                for b in range(H.BINS):
+                    low = [k for k in ids if binned[k][f] <= b]
+                    high = [k for k in ids if binned[k][f] > b]
+                    if min(len(low), len(high)) < params.min_rows_per_leaf:
+                        continue
+                    gain = round(score(low) + score(high) - score(ids), 9)
+                    if gain > 0 and (best is None or gain > best[0]):
+                        best = (gain, f, b, low, high)
+            if best is None:
+                value = Q.shrunken(quantile([labels[k] - preds[k] for k in ids]), len(ids), params)
+                return [(ids, value)]
+            return grow(best[3], depth - 1) + grow(best[4], depth - 1)
+
+        leaves = grow(list(range(len(rows))), params.max_depth)
+        trees.append(sorted(len(ids) for ids, _ in leaves))
+        for ids, value in leaves:
+            for k in ids:
+                preds[k] += value
+    return preds, trees
+
+
+def test_fit_equals_plain_boosting(spark, labelled):
+    params = C.BoostConfig(
+        rounds=3, learning_rate=0.3, max_depth=3, min_rows_per_leaf=7, patience=9, cut_every=2, subsample=1.0
+    )
+    some = labelled.filter("video_id < 'vid_00150'").cache()
+    rows = [(r.video_id, [r[c] for c in C.FEATURE_COLUMNS], r[C.LABEL]) for r in some.collect()]
+    cuts = H.cuts_of(some, params.features)
+    models = Q.fit_models(some, some, {"low": 0.1, "high": 0.9}, params)
+    for name, alpha in (("low", 0.1), ("high", 0.9)):
+        preds, trees = plain_fit(rows, cuts, alpha, params)
+        model = models[name]
+        assert [sum(f < 0 for f in t.feature) for t in model.trees] == [len(t) for t in trees]
+        forest = Q.Forest({name: model})
+        got = forest.predict(np.array([r[1] for r in rows]))[:, 0]
+        assert np.allclose(got, preds, atol=1e-9)
+
+
+def test_a_round_takes_few_jobs(spark, labelled):
+    """Depth plus two jobs for all quantiles, as many stages as the rounds have."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(rounds):
+        group = f"rounds-{rounds}"
+        spark.sparkContext.setJobGroup(group, "fit")
+        Q.fit(labelled, C.BoostConfig(rounds=rounds, max_depth=3, min_rows_per_leaf=5, cut_every=99))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(group))
+
+    # Adaptive execution runs each shuffle stage of a query as a job of its own.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert jobs(3) - jobs(1) <= 2 * (3 + 2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_unknown_values_go_high_in_fit_and_prediction(spark, labelled):
+    some = labelled.withColumn("like_rate", F.when(F.col("share_rate") > 0.3, F.col("like_rate")))
+    models = Q.fit(some, PARAMS)
+    assert Q.predict(some, models).filter("p50_demand_lift IS NULL").count() == 0

@@ -784,19 +784,19 @@ def _activity_stream(w: Workbench, folder: str) -> DataFrame:
     )
 
 
-def _windowed_changes(w: Workbench, windowed: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    folder, out, progress = (scratch_path(w.spark, n) for n in ("arriving", "changes", "progress"))
+def _closed_and_open(w: Workbench, windowed: Callable, read: Callable) -> DataFrame:
+    folder, table, progress = (scratch_path(w.spark, n) for n in ("arriving", "windows", "progress"))
     stream = windowed(_activity_stream(w, folder))
-    _in_slices(w.raw.table("events"), "ts", folder, lambda last: sinks.write_changes(stream, out, progress))
-    return sinks.read_changes(w.spark, out, stream.schema, ["video_id", "hour"])
+    _in_slices(w.raw.table("events"), "ts", folder, lambda last: sinks.write_final(stream, table, progress))
+    return read(w.spark, table, progress, stream)
 
 
 def stream_hourly(w: Workbench) -> DataFrame:
-    return _windowed_changes(w, windows.stream_hourly)
+    return _closed_and_open(w, windows.stream_hourly, windows.read_hourly)
 
 
 def stream_velocity(w: Workbench) -> DataFrame:
-    return _windowed_changes(w, windows.stream_velocity)
+    return _closed_and_open(w, windows.stream_velocity, windows.read_velocity)
 
 
 def stream_ingest(w: Workbench) -> DataFrame:

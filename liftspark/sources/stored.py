@@ -222,14 +222,20 @@ def upsert(
     again(write)
 
 
-def append(spark: SparkSession, path: str, df: DataFrame, part: str | None = None) -> None:
-    """Add rows; what is stored is not read, and writers do not get in each other's way."""
-    added = _write(spark, path, df, part)
+def append(spark: SparkSession, path: str, df: DataFrame, part: str | None = None, meta: dict | None = None) -> None:
+    """Add rows; what is stored is not read, and writers do not get in each other's way.
+
+    ``meta`` is committed with the rows, so a reader or a repeated run knows what they contain.
+    """
+    added = {} if df.isEmpty() else _write(spark, path, df, part)
+    if not added and not meta and exists(spark, path):
+        return
 
     def write() -> None:
         number, before = next_number(spark, path), entry(spark, path)
         parts = {k: before["parts"].get(k, []) + added.get(k, []) for k in before["parts"] | added}
-        _commit(spark, path, number, parts, before["meta"], before["schema"] or df.schema.jsonValue())
+        known = before["schema"] or df.schema.jsonValue()
+        _commit(spark, path, number, parts, before["meta"] | (meta or {}), known)
 
     again(write)
 

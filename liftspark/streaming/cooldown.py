@@ -1,7 +1,7 @@
 """Alert cooldown over a stream, as a fold over each SKU's hourly cycles.
 
-State is a small table, written anew with every batch: per SKU the last alert and the
-cycles that are still open. A batch adds its cycles, closes those the watermark has passed
+State is a small table, written anew with every batch (the last two are kept): per SKU the last
+alert and the cycles that are still open. A batch adds its cycles, closes those the watermark has passed
 and folds them in order; everything runs in built-in expressions. A batch that is run again
 reads the state before it and replaces its output, so results are exact after a failure.
 """
@@ -92,6 +92,9 @@ def _step(spark: SparkSession, batch: DataFrame, number: int, out: str, home: st
     kept.write.mode("overwrite").parquet(f"{home}/state/{sinks.BATCH}={number}")
     row = spark.createDataFrame([(newest, late)], CLOCK)
     row.coalesce(1).write.mode("overwrite").parquet(f"{home}/clock/{sinks.BATCH}={number}")
+    # A batch that is run again starts from the state before it; older ones are done with.
+    for name in ("state", "clock"):
+        tables.remove(spark, f"{home}/{name}/{sinks.BATCH}={number - 2}")
 
 
 def run_cooldown(

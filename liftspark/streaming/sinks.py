@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from liftspark.session import STATE_STORE
-from liftspark.sources import upsert
+from liftspark.sources import stored, tables
 
 BATCH = "batch_id"
 MAX_BATCHES = 10_000  # of a run, for the count of late rows
@@ -56,20 +55,40 @@ def run_batches(
     return sum(state["numRowsDroppedByWatermark"] for state in states)
 
 
-def write_changes(stream: DataFrame, out: str, checkpoint: str, mode: str = "update") -> int:
-    """Write each batch of changed rows to its own folder; returns the number of late rows.
+def write_final(stream: DataFrame, table: str, checkpoint: str) -> int:
+    """Append each row once it is final to a stored table; returns the number of late rows.
 
-    A batch that is run again replaces its folder, so results are exact after a failure.
+    The table's log entry names the batch its rows go up to, so a batch that is run again after a
+    failure adds nothing. Small folders are put together on the way.
     """
+    spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/{BATCH}={batch_id}")
+        with tables.scratch(spark):
+            # The batch is run even if its rows are there, since its state has to be written.
+            rows = tables.stage(batch, "final")
+            if _batch_of(spark, table) < batch_id:
+                stored.append(spark, table, rows, meta={BATCH: batch_id})
+                stored.compact(spark, table, rows.schema)
 
-    return run_batches(stream, handle, checkpoint, mode)
+    return run_batches(stream, handle, checkpoint, "append")
 
 
-def read_changes(spark: SparkSession, out: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
-    """Current state from the written changes: the last row of each key."""
-    logged = StructType(schema.fields).add(BATCH, "long")
-    changes = spark.read.schema(logged).parquet(out)
-    return upsert.last_per_key(changes, keys, [F.col(BATCH).desc()]).drop(BATCH)
+def _batch_of(spark: SparkSession, table: str) -> int:
+    return stored.entry(spark, table)["meta"].get(BATCH, -1)
+
+
+def read_final(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
+    """Rows that are final."""
+    return stored.read(spark, table, schema)
+
+
+def open_state(spark: SparkSession, table: str, checkpoint: str) -> DataFrame | None:
+    """What the query of ``write_final`` still holds, as of the last batch in its table.
+
+    None before the first batch.
+    """
+    batch = _batch_of(spark, table)
+    if batch < 0:
+        return None
+    return spark.read.format("statestore").option("batchId", batch).load(checkpoint)

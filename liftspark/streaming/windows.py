@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftspark.streaming import sinks
+
 LATENESS = "72 hours"
 _KIND, _VALUE = "event_type", "value"
 
@@ -26,6 +28,28 @@ def _windowed(activity: DataFrame, window: Column, lateness: str) -> DataFrame:
     return grouped.agg(*[c.alias(n) for n, c in _increments().items()])
 
 
+_SHORT = ("views", "saves", "shares")  # of the three hours; the query holds no others
+
+
+def _held(state: DataFrame, names) -> DataFrame:
+    """Windows as a query holds them: one counter of the state for each increment it uses, in order."""
+    counters = ", ".join(f"{n}: bigint" for n in names)
+    rows = state.select(F.col("key.window").alias("w"), "key.video_id", F.col("value").cast(f"struct<{counters}>").alias("v"))
+    return rows.select("w", "video_id", "v.*")
+
+
+def _by_hour(rows: DataFrame) -> DataFrame:
+    return rows.select("video_id", F.col("w.start").alias("hour"), *_increments())
+
+
+def _by_last_hour(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "video_id",
+        (F.col("w.end") - F.expr("INTERVAL 1 HOUR")).alias("hour"),
+        *[F.col(c).alias(f"{c}_velocity_3h") for c in _SHORT],
+    )
+
+
 def stream_hourly(activity: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Increments per video and clock hour.
 
@@ -33,8 +57,7 @@ def stream_hourly(activity: DataFrame, lateness: str = LATENESS) -> DataFrame:
     dropped once the watermark passes; later rows are left out and counted
     (``sinks.run_batches``), so the lateness should exceed the longest delay expected.
     """
-    rows = _windowed(activity, F.window("ts", "1 hour"), lateness)
-    return rows.select("video_id", F.col("w.start").alias("hour"), *_increments())
+    return _by_hour(_windowed(activity, F.window("ts", "1 hour"), lateness))
 
 
 def stream_velocity(activity: DataFrame, lateness: str = LATENESS) -> DataFrame:
@@ -43,12 +66,20 @@ def stream_velocity(activity: DataFrame, lateness: str = LATENESS) -> DataFrame:
     On gap-free series this is the three-row velocity of the batch features; with gaps it
     is the stricter reading, three hours by the clock.
     """
-    rows = _windowed(activity, F.window("ts", "3 hours", "1 hour"), lateness)
-    last_hour = F.col("w.end") - F.expr("INTERVAL 1 HOUR")
-    return rows.select(
-        "video_id",
-        last_hour.alias("hour"),
-        F.col("views").alias("views_velocity_3h"),
-        F.col("saves").alias("saves_velocity_3h"),
-        F.col("shares").alias("shares_velocity_3h"),
-    )
+    return _by_last_hour(_windowed(activity, F.window("ts", "3 hours", "1 hour"), lateness))
+
+
+def _current(spark: SparkSession, table: str, checkpoint: str, stream: DataFrame, shape, names) -> DataFrame:
+    closed = sinks.read_final(spark, table, stream.schema)
+    state = sinks.open_state(spark, table, checkpoint)
+    return closed if state is None else closed.unionByName(shape(_held(state, names)))
+
+
+def read_hourly(spark: SparkSession, table: str, checkpoint: str, stream: DataFrame) -> DataFrame:
+    """Closed hours from the table, and those still open from the query's own state."""
+    return _current(spark, table, checkpoint, stream, _by_hour, _increments())
+
+
+def read_velocity(spark: SparkSession, table: str, checkpoint: str, stream: DataFrame) -> DataFrame:
+    """Closed windows from the table, and those still open from the query's own state."""
+    return _current(spark, table, checkpoint, stream, _by_last_hour, _SHORT)

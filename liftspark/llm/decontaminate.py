@@ -10,8 +10,8 @@ however long the benchmark is. Up to one block (the usual case) there is no shuf
 it the hits of the blocks are merged by document.
 
 Defined results: NULL and empty texts and items have no words; repeated items count once
-per id, NULL ids not at all; documents equal in text get equal results; an empty benchmark
-hits nothing. Documents are only scanned row by row, so length and repetition cost no more
+per id; passages of items without id are hit but are in no list of items; documents equal in
+text get equal results; an empty benchmark hits nothing. Documents are only scanned row by row, so length and repetition cost no more
 than their bytes.
 """
 
@@ -61,7 +61,9 @@ def build(items: list):
     owners = {}
     for item, tokens in items:
         for window in windows(tokens):
-            owners.setdefault(window.decode("utf-8", "surrogatepass"), set()).add(item)
+            ids = owners.setdefault(window.decode("utf-8", "surrogatepass"), set())
+            if item is not None:  # the passage counts all the same
+                ids.add(item)
     automaton = ahocorasick.Automaton()
     for pattern, ids in owners.items():
         automaton.add_word(pattern, (len(pattern), pattern.count(" ") - 1, tuple(sorted(ids))))
@@ -109,7 +111,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
     """Items with words, in blocks of bounded size."""
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    for row in rows.filter("i IS NOT NULL AND t IS NOT NULL").toLocalIterator():
+    for row in rows.filter("t IS NOT NULL").toLocalIterator():
         tokens = words(row.t)
         if not tokens:
             continue
@@ -205,7 +207,7 @@ _WORDS_SQL = (
 )
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS_SQL} AS w FROM documents),
-b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS_SQL} AS w FROM benchmark),
 bw AS (
   SELECT DISTINCT item, least(len(w), {WORDS}) AS n,
     array_to_string(w[i : i + least(len(w), {WORDS}) - 1], ' ') AS win
@@ -220,7 +222,7 @@ n_hit AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, n)) AS r(k) GROUP BY doc_id
 ),
 items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
   FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id
 )
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,

@@ -6,8 +6,8 @@ of a text, so that mixed texts split into spans. The text gets the language of m
 letters, and their share as the score.
 
 Learning: at most ``SAMPLE`` documents per language, those with the least hashes of their
-ids, and at most ``MAX_LANGS`` languages; both bound the model (``BUCKETS`` numbers per
-language), which is what is broadcast. Prediction is a map over all rows: different words
+ids; more than ``MAX_LANGS`` languages are an error. Both bound the model (``BUCKETS`` numbers
+per language), which is what is broadcast. Prediction is a map over all rows: different words
 of a slice of texts are scored once, and Viterbi steps through all its texts together.
 
 Defined results: NULL texts and texts without a letter are ``und`` with score 0 (all texts
@@ -54,7 +54,9 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 SCRIPT_NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
-WORD = re.compile(r"[^\W\d_]+")
+# Numbers that are no decimal digits (fractions, circled and Roman ones) are word signs but no letters.
+_NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 COUNTS = struct("lang string, bucket integer, n double")
 LABELS = (
     StructType()
@@ -216,7 +218,9 @@ def train(docs: DataFrame, key: Column, text: Column, lang: Column, per_lang: in
     rows = docs.select(F.xxhash64(key.cast("string")).alias("hash"), lang.alias("lang"), text.alias("text"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     # About twice the sample of each language, by a range of the hash; then the exact limit.
-    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS).collect()
+    sizes = rows.groupBy("lang").count().orderBy("lang").limit(MAX_LANGS + 1).collect()
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")  # a model without some would mislabel
     wide = F.lit(False)
     for lang, n in sizes:
         top = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 2 * per_lang // n)

@@ -10,11 +10,14 @@ buckets, and a rerun takes the same documents.
 
 All sums combine on the map side, so a source with a third of the rows sends one row per
 task and bucket; joins by source keep a small row per source and carry no broadcast hint.
-Words are counted once and staged in the shared folder as (id, source, size, hash).
+Words are counted once and staged in the shared folder as (id, source, size, digest).
+
+The hash is that of id, source and text, and of a copy's number where rows are equal in all
+three, so rows without ids or with one id for all are dealt out like others.
 
 Defined results: NULL source is a source of its own, the last; NULL or empty text has size
-0 and takes 0; repeated rows share a hash and are taken together; a source of size 0 has
-target 0; an empty table gives no rows. The operator returns its own columns only, so other
+0 and takes 0; of equal rows as many are taken as fit, which of them is open; a source of size
+0 has target 0; an empty table gives no rows. The operator returns its own columns only, so other
 columns cannot clash.
 """
 
@@ -31,9 +34,42 @@ PASSES = 4
 LEVELS = (11, 11, 10)  # bits of the hash that each histogram adds
 
 
-def hash32(key: Column) -> Column:
-    """First 32 bits of the MD5 of a key as text."""
-    return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+def digest(key: Column, source: Column, text: Column) -> Column:
+    """MD5 that rows share only if id, source and text are equal; NULL is not the empty text."""
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (key, source, text)]
+    return F.md5(F.concat_ws("|", F.length(parts[0]).cast("string"), F.length(parts[1]).cast("string"), *parts))
+
+
+def hash32(of: Column, number: Column) -> Column:
+    """First 32 bits of the MD5 of a digest and a copy's number."""
+    return F.conv(F.substring(F.md5(F.concat_ws("#", of, number.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def with_hash(rows: DataFrame, repeated: DataFrame, of: str, name: str) -> DataFrame:
+    """Rows with the hash their threshold is compared with; equal rows get different ones.
+
+    Copies are numbered from 0, so the set of their hashes is the same in every run whichever row
+    comes first. ``repeated`` has the digests of several rows. Those rows are written once and
+    numbered inside their partition and then by partition, so a text that fills a third of the
+    table is no group of one task. Other rows are not shuffled.
+    """
+    part, row, before = (free_name(rows, n) for n in ("_part", "_row", "_before"))
+    once = rows.join(repeated, of, "left_anti").withColumn(name, hash32(F.col(of), F.lit(0)))
+    again = rows.join(repeated, of, "left_semi").withColumn(part, F.spark_partition_id())
+    again = stage(again.select(*rows.columns, part), "copies")
+    order = Window.partitionBy(of, part).orderBy(F.lit(0))
+    again = again.withColumn(row, F.row_number().over(order) - 1)
+    earlier = Window.partitionBy(of).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = again.groupBy(of, part).count()
+    counts = counts.select(of, part, F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias(before))
+    again = again.join(counts, [of, part])
+    again = again.withColumn(name, hash32(F.col(of), F.col(before) + F.col(row)))
+    return once.select(*rows.columns, name).unionByName(again.select(*rows.columns, name))
+
+
+def repeated_digests(rows: DataFrame, of: str) -> DataFrame:
+    """Digests of more than one row, written once: where there are few, they are broadcast."""
+    return stage(rows.groupBy(of).count().filter("count > 1").select(of), "repeated")
 
 
 def source_key(source: Column) -> Column:
@@ -167,16 +203,20 @@ def copies(size: Column, hashed: Column, of) -> Column:
     return F.when(size > 0, of("epochs") + extra.cast("long")).otherwise(F.lit(0)).cast("long")
 
 
-def sizes_of(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
-    """(doc_id, source, key, size, hash) of every document, written once."""
+def sizes_of(docs: DataFrame, key: Column, source: Column, size: Column, text: Column) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, key, size, digest, hash) of every document, written once, and the repeated digests."""
     source = source.cast("string")
-    columns = {"doc_id": key, "source": source, "key": source_key(source), "size": size, "hash": hash32(key)}
-    return stage(docs.select(*[c.alias(n) for n, c in columns.items()]), "sizes")
+    columns = {"doc_id": key, "source": source, "key": source_key(source), "size": size, "digest": digest(key, source, text)}
+    sizes = stage(docs.select(*[c.alias(n) for n, c in columns.items()]), "sizes")
+    repeated = repeated_digests(sizes, "digest")
+    if repeated.isEmpty():
+        return sizes.withColumn("hash", hash32(F.col("digest"), F.lit(0))), repeated
+    return stage(with_hash(sizes, repeated, "digest", "hash"), "sizes"), repeated
 
 
-def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame:
+def mix(docs: DataFrame, key: Column, source: Column, size: Column, text: Column) -> DataFrame:
     """(doc_id, source, size, source_size, target, copies): how often each document is taken."""
-    sizes = sizes_of(docs, key, source, size)
+    sizes, _ = sizes_of(docs, key, source, size, text)
     planned = sizes.join(plan(sizes), "key")
     taken = copies(F.col("size"), F.col("hash"), F.col)
     return planned.select("doc_id", "source", "size", "source_size", "target", taken.alias("copies"))
@@ -184,20 +224,27 @@ def mix(docs: DataFrame, key: Column, source: Column, size: Column) -> DataFrame
 
 def take(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their columns, and ``copies`` (1 or 2; a new name if taken)."""
-    key, source, size = F.col("doc_id"), F.col("source"), n_words(F.col("text"))
-    of, own, name = (free_name(docs, n) for n in ("_plan", "_own", "copies"))
-    planned = plan(sizes_of(docs, key, source, size)).select(F.struct("*").alias(of))
+    key, source, text = F.col("doc_id"), F.col("source"), F.col("text")
+    size = n_words(text)
+    of, own, mark, hashed, name = (free_name(docs, n) for n in ("_plan", "_own", "_digest", "_hash", "copies"))
+    sizes, repeated = sizes_of(docs, key, source, size, text)
+    planned = plan(sizes).select(F.struct("*").alias(of))
     # Counted once a row, and only then compared with the plan.
-    sized = docs.withColumn(own, F.struct(size.alias("size"), hash32(key).alias("hash")))
+    sized = docs.withColumn(own, size).withColumn(mark, digest(key, source, text))
+    if repeated.isEmpty():
+        sized = sized.withColumn(hashed, hash32(F.col(mark), F.lit(0)))
+    else:
+        sized = with_hash(sized, repeated.withColumnRenamed("digest", mark), mark, hashed)
     joined = sized.join(planned, source_key(source) == F.col(f"{of}.key"))
-    taken = copies(F.col(f"{own}.size"), F.col(f"{own}.hash"), lambda c: F.col(f"{of}.{c}"))
-    return joined.withColumn(name, taken).filter(F.col(name) > 0).drop(of, own)
+    taken = copies(F.col(own), F.col(hashed), lambda c: F.col(f"{of}.{c}"))
+    return joined.withColumn(name, taken).filter(F.col(name) > 0).drop(of, own, mark, hashed)
 
 
 def op2_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words the mix takes from every document."""
     docs = table(spark, sf_dir, "documents")
-    mixed = mix(docs, F.col("doc_id"), F.col("source"), n_words(F.col("text")))
+    text = F.col("text")
+    mixed = mix(docs, F.col("doc_id"), F.col("source"), n_words(text), text)
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
@@ -210,7 +257,7 @@ def _passes_sql() -> str:
             f"""r{n} AS (SELECT * FROM s{n} WHERE size > 0 AND size <= budget),
 c{n} AS (SELECT *, sum(size) OVER (PARTITION BY k ORDER BY h RANGE UNBOUNDED PRECEDING) AS reach FROM r{n}),
 x{n} AS (SELECT k, coalesce(max(reach) FILTER (reach <= budget), 0) AS spent FROM c{n} GROUP BY k),
-s{n + 1} AS (SELECT c.k, doc_id, size, h, budget - spent AS budget FROM c{n} c JOIN x{n} x ON x.k = c.k
+s{n + 1} AS (SELECT c.k, rid, size, h, budget - spent AS budget FROM c{n} c JOIN x{n} x ON x.k = c.k
   WHERE reach > budget)"""
         )
     return ",\n".join(out)
@@ -218,10 +265,13 @@ s{n + 1} AS (SELECT c.k, doc_id, size, h, budget - spent AS budget FROM c{n} c J
 
 ORACLE_SQL = f"""
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS k,
-    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-    ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h
-  FROM documents
+  SELECT *, row_number() OVER () AS rid,
+    ('0x' || substr(md5(g || '#' || (row_number() OVER (PARTITION BY g) - 1)), 1, 8))::BIGINT AS h
+  FROM (SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS k,
+      len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+      md5(length(i) || '|' || length(s) || '|' || i || '|' || s || '|' || t) AS g
+    FROM (SELECT *, coalesce('=' || doc_id, '') AS i, coalesce('=' || source, '') AS s,
+        coalesce('=' || text, '') AS t FROM documents))
 ),
 src AS (
   SELECT k, sum(size)::BIGINT AS source_size,
@@ -245,13 +295,13 @@ p AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t
 ),
 s0 AS (
-  SELECT docs.k, doc_id, size, h, target - epochs * source_size AS budget FROM docs JOIN p USING (k)
+  SELECT docs.k, rid, size, h, target - epochs * source_size AS budget FROM docs JOIN p USING (k)
 ),
 {_passes_sql()},
 extra AS (
-  {" UNION ALL ".join(f"SELECT k, doc_id FROM c{n} WHERE reach <= budget" for n in range(PASSES))}
+  {" UNION ALL ".join(f"SELECT rid FROM c{n} WHERE reach <= budget" for n in range(PASSES))}
 )
 SELECT docs.doc_id, docs.size, source_size, target,
-  CAST(docs.size * (epochs + CASE WHEN extra.doc_id IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
-FROM docs JOIN p USING (k) LEFT JOIN extra ON extra.k = docs.k AND extra.doc_id = docs.doc_id
+  CAST(docs.size * (epochs + CASE WHEN extra.rid IS NULL THEN 0 ELSE 1 END) AS BIGINT) AS taken
+FROM docs JOIN p USING (k) LEFT JOIN extra ON extra.rid = docs.rid
 """

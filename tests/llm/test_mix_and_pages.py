@@ -6,6 +6,7 @@ import random
 import re
 
 import corpus_pipeline
+import pytest
 import __spark_entry__ as entry
 from liftspark.llm import bundles, mixing, urlfilter
 from liftspark.llm.texts import n_words
@@ -59,7 +60,8 @@ def test_mix_comes_near_its_targets(spark, documents):
 def test_mix_of_repeated_rows_and_no_rows(spark, documents):
     rows = [(1, "a b c", "en", "s")] * 5 + [(None, "a b", "en", None)] * 2
     taken = mixing.op2_mix_to_weights(spark, documents(rows)).collect()
-    assert len(taken) == 7 and len({(r.doc_id, r.taken) for r in taken}) == 2
+    # The copies of a row are taken one by one.
+    assert len(taken) == 7 and all(r.taken in (0, r.size, 2 * r.size) for r in taken)
     assert mixing.op2_mix_to_weights(spark, documents([])).count() == 0
 
 
@@ -198,3 +200,26 @@ def test_pipeline(spark, documents):
     mixed = corpus_pipeline.run(spark, folder)
     assert mixed.count() > 0 and {r.copies for r in mixed.collect()} <= {1, 2}
     assert corpus_pipeline.run(spark, documents([], benchmark=([], "item_id long, text string"))).count() == 0
+
+
+def taken_of(spark, folder):
+    rows = mixing.op2_mix_to_weights(spark, folder).collect()
+    return sum(r.taken for r in rows), rows[0].target, max(r.size for r in rows), rows
+
+
+@pytest.mark.parametrize("kind", ["no ids", "one id", "one text", "one text without id"])
+def test_rows_that_share_an_id_or_text_are_mixed_like_others(spark, documents, kind):
+    """Each comes within the largest document of the target, and a rerun agrees."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(rng.randint(5, 40))) for _ in range(300)]
+    if kind.startswith("one text"):
+        texts = ["some words of one text"] * 300
+    ids = {"no ids": [None] * 300, "one id": [7] * 300, "one text": list(range(300)), "one text without id": [None] * 300}[kind]
+    folder = documents([(i, t, "en", "s") for i, t in zip(ids, texts)])
+    total, target, largest, rows = taken_of(spark, folder)
+    assert target - largest < total <= target
+    assert all(r.taken in (r.size, 2 * r.size) for r in rows)
+    assert sorted(map(str, rows)) == sorted(map(str, taken_of(spark, folder)[3]))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    mixed = mixing.take(docs.repartition(3)).withColumn("words", F.size(F.split("text", " ")))
+    assert mixed.agg(F.sum(F.col("words") * F.col("copies"))).first()[0] == total

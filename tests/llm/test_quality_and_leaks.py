@@ -182,3 +182,17 @@ def test_empty_tables(spark, documents, query):
     assert query(spark, folder).count() == 0
     folder = documents([(1, "some text")], benchmark=([], "item_id long, text string"))
     assert query(spark, folder).select(F.count("*")).first()[0] == 1
+
+
+def test_passages_of_items_without_id_are_hit(spark, documents):
+    passage = "one two three four five six seven eight nine ten eleven twelve"
+    folder = documents(
+        [(1, f"before {passage} after"), (2, "nothing of it")],
+        benchmark=([(None, passage), ("x", "seven eight nine")], "item_id string, text string"),
+    )
+    rows = {r.doc_id: r for r in decontaminate.op10_benchmark_decontamination(spark, folder).collect()}
+    assert (rows[1].n_hit, rows[1].n_items, rows[1].contaminated) == (12, 1, True)
+    assert not rows[2].contaminated
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    cut = decontaminate.cut_passages(docs, spark.read.parquet(f"{folder}/benchmark.parquet"))
+    assert {r.doc_id: r.text for r in cut.collect()}[1] == "before  after"

@@ -5,6 +5,8 @@ import random
 import re
 import zlib
 
+import pytest
+
 from liftspark.llm import langid, novelty, pii
 
 
@@ -220,3 +222,16 @@ def test_language_id_on_held_out_documents(spark):
 def test_no_documents(spark, documents):
     for query in (novelty.op7_secret_scan, pii.op3_semi_markov_pii):
         assert query(spark, documents([])).count() == 0
+
+
+def test_numbers_that_are_no_letters_have_no_language(spark, documents):
+    docs = [(i, "the words of a text", "en", "s") for i in range(20)] + [(50, "½ ② ③ Ⅷ 12", "en", "s"), (51, "² ٣", "en", "s")]
+    rows = {r.doc_id: r for r in langid.op8_language_id(spark, documents(docs)).collect()}
+    assert [(rows[i].lang_pred, rows[i].score) for i in (50, 51)] == [("und", 0.0)] * 2 and rows[0].lang_pred == "en"
+
+
+def test_too_many_languages_are_an_error(spark, documents, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 3)
+    docs = [(i, "words of a text", f"l{i % 5}", "s") for i in range(60)]
+    with pytest.raises(ValueError, match="languages"):
+        langid.op8_language_id(spark, documents(docs)).collect()

@@ -54,9 +54,10 @@ SCRIPTS = (
     ("hangul", 0xAC00, 0xD7AF),
 )
 SCRIPT_NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
+WORD = re.compile(r"[^\W\d_]+")
 # Numbers that are no decimal digits (fractions, circled and Roman ones) are word signs but no letters.
 _NUMBERS = "".join(c for c in map(chr, range(0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+NUMBER = re.compile(f"[{_NUMBERS}]")
 COUNTS = struct("lang string, bucket integer, n double")
 LABELS = (
     StructType()
@@ -68,6 +69,16 @@ LABELS = (
 )
 
 
+def words_of(text) -> tuple:
+    """The text, with a digit for each number that is no letter, and its words; a missing text is empty."""
+    text = text if isinstance(text, str) else ""
+    words = WORD.findall(text)
+    if not all(map(str.isalpha, words)):  # seldom, and the search is slow
+        text = NUMBER.sub("0", text)
+        words = WORD.findall(text)
+    return text, words
+
+
 def scripts_of(words: list) -> np.ndarray:
     """Script number of each word, by its first letter."""
     first = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
@@ -101,7 +112,7 @@ def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Trigram counts per language; script counts have negative buckets."""
     for batch in batches:
         for lang, texts in batch.groupby("lang")["text"]:
-            words = pd.Series([w for t in texts for w in WORD.findall(t)], dtype=object)
+            words = pd.Series([w for t in texts for w in words_of(t)[1]], dtype=object)
             if words.empty:
                 continue
             codes, distinct = pd.factorize(words)
@@ -184,7 +195,7 @@ def slices(texts: pd.Series, chars: int = SLICE_CHARS) -> Iterator[pd.Series]:
 
 def label_texts(texts: pd.Series, model: Model) -> pd.DataFrame:
     """Language, score and spans of each text of a batch."""
-    found = [WORD.findall(t) if isinstance(t, str) else [] for t in texts]
+    texts, found = zip(*map(words_of, texts)) if len(texts) else ((), ())
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     if not model.langs or not sizes.sum():
         return pd.DataFrame([("und", 0.0, [], [], [])] * len(found), columns=LABELS.names)

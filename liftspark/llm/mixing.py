@@ -36,8 +36,10 @@ LEVELS = (11, 11, 10)  # bits of the hash that each histogram adds
 
 def digest(key: Column, source: Column, text: Column) -> Column:
     """MD5 that rows share only if id, source and text are equal; NULL is not the empty text."""
-    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (key, source, text)]
-    return F.md5(F.concat_ws("|", F.length(parts[0]).cast("string"), F.length(parts[1]).cast("string"), *parts))
+    parts = [F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("")) for c in (key, source)]
+    sizes = [F.length(p).cast("string") for p in parts]
+    # The text goes in by its own MD5, so it is not copied.
+    return F.md5(F.concat_ws("|", *sizes, *parts, F.coalesce(F.md5(text.cast("binary")), F.lit(""))))
 
 
 def hash32(of: Column, number: Column) -> Column:
@@ -271,7 +273,7 @@ WITH RECURSIVE docs AS (
       len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
       md5(length(i) || '|' || length(s) || '|' || i || '|' || s || '|' || t) AS g
     FROM (SELECT *, coalesce('=' || doc_id, '') AS i, coalesce('=' || source, '') AS s,
-        coalesce('=' || text, '') AS t FROM documents))
+        coalesce(md5(text), '') AS t FROM documents))
 ),
 src AS (
   SELECT k, sum(size)::BIGINT AS source_size,

@@ -190,21 +190,66 @@ DECLARED = {
 }
 
 
+def _declared_counts(not_null: Sequence[str], accepted: Mapping) -> dict[tuple[str, str], Column]:
+    measures = {("not_null", c): F.count_if(F.col(c).isNull()) for c in not_null}
+    return measures | {("accepted_values", c): F.count_if(~F.col(c).isin(*v)) for c, v in accepted.items()}
+
+
+def _values(unique: Sequence[str]) -> Column:
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in unique]
+    return F.inline(F.array(*pairs))
+
+
 def check_declared(df: DataFrame, unique: Sequence[str], not_null: Sequence[str], accepted: Mapping) -> list:
     """All declared tests of a table: one aggregate, and one for its unique columns.
 
     Unique columns share a scan as (column, value) rows, which combine on the map side.
     """
-    measures = {("not_null", c): F.count_if(F.col(c).isNull()) for c in not_null}
-    measures |= {("accepted_values", c): F.count_if(~F.col(c).isin(*v)) for c, v in accepted.items()}
-    results = [_unpivot(df, measures)]
+    results = [_unpivot(df, _declared_counts(not_null, accepted))]
     if unique:
-        pairs = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v")) for c in unique])
-        repeated = df.select(F.inline(pairs)).filter("v IS NOT NULL").groupBy("c", "v").count().filter("count > 1")
-        results.append(_unpivot(repeated, {("unique", c): F.count_if(F.col("c") == c) for c in unique}))
+        values = df.select(_values(unique)).filter("value IS NOT NULL")
+        repeated = values.groupBy("column_name", "value").count().filter("count > 1")
+        count = {("unique", c): F.count_if(F.col("column_name") == c) for c in unique}
+        results.append(_unpivot(repeated, count))
     return results
 
 
+def count_parts(df: DataFrame, part: str, not_null: Sequence[str], accepted: Mapping) -> DataFrame:
+    """(part, check, column_name, failures): what the rows of each part add to the counts of the table."""
+    measures = _declared_counts(not_null, accepted)
+    named = {f"m{i}": m for i, m in enumerate(measures.values())}
+    totals = df.groupBy(part).agg(*[m.alias(n) for n, m in named.items()])
+    rows = [_row(check, col, F.col(n)) for (check, col), n in zip(measures, named)]
+    return totals.select(part, F.inline(F.array(*rows)))
+
+
+def value_parts(df: DataFrame, part: str, unique: Sequence[str]) -> DataFrame:
+    """(part, column_name, value, n): how often each part has each value of the unique columns."""
+    values = df.select(part, _values(unique)).filter("value IS NOT NULL")
+    return values.groupBy(part, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def repeated_change(old: DataFrame, new: DataFrame, rest: DataFrame) -> DataFrame:
+    """(column_name, change): by how much the number of repeated values changes as ``new`` replaces ``old``.
+
+    All three have (column_name, value, n); ``rest`` are the parts that stay, of which only the
+    values count that come, go or change their number.
+    """
+    sides = old.select("column_name", "value", F.col("n").alias("n_old"), F.lit(0).alias("n_new")).unionByName(
+        new.select("column_name", "value", F.lit(0).alias("n_old"), F.col("n").alias("n_new"))
+    )
+    changed = (
+        sides.groupBy("column_name", "value")
+        .agg(F.sum("n_old").alias("n_old"), F.sum("n_new").alias("n_new"))
+        .filter("n_old <> n_new")
+    )
+    keys = ["column_name", "value"]
+    elsewhere = rest.join(changed.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.sum("n").alias("n_rest"))
+    known = F.coalesce("n_rest", F.lit(0))
+    was, now = (known + F.col("n_old") > 1).cast("int"), (known + F.col("n_new") > 1).cast("int")
+    return changed.join(elsewhere, keys, "left").groupBy("column_name").agg(F.sum(now - was).alias("change"))
+
+
 SEVERITY = {"unique": "error", "not_null": "error"}  # Fixed values; all others warn.
 
 

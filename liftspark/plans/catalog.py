@@ -22,7 +22,7 @@ from liftspark.operators import features as FT
 from liftspark.operators import ingest, inventory, maintenance, quality, ranking, scoring
 from liftspark.operators import quantile as Q
 from liftspark.operators import serving, staging
-from liftspark.plans import hourly, marts
+from liftspark.plans import checks, hourly, marts
 from liftspark.session import scratch_path, tune
 from liftspark.sources import tables, upsert
 from liftspark.sources.star_schema import StarSchema, sku_key, video_key
@@ -621,6 +621,28 @@ def dq_suite(w: Workbench) -> DataFrame:
     return quality.report({n: quality.check_declared(found[n], *quality.DECLARED[n]) for n in quality.DECLARED})
 
 
+CHECKED = ("engagement_events", "sku_catalog", "video_metadata", "video_sku_bridge")
+RESENT = "2024-03-01 12:00:00"
+
+
+def dq_incremental(w: Workbench) -> DataFrame:
+    """Checks of the stored tables, brought up to date after each of three arrivals of events.
+
+    The first has NULL counts and unknown platforms, the second corrects some of them on the later
+    days, the third brings stored events again under another day, which the upsert cannot know.
+    """
+    root, hour = _stored_root(w), F.col("hours_since_post")
+    fixed = (hour % 13 == 5) & (F.col("snapshot_at") >= ts(CUTOFF))
+    broken = w.raw.events.withColumn("view_count", F.when(hour % 13 != 5, F.col("view_count")))
+    broken = broken.withColumn("platform", F.when(hour % 11 == 3, F.lit("other")).otherwise(F.col("platform")))
+    again = w.raw.events.filter((hour % 19 == 4) & (F.col("snapshot_at") < ts(CUTOFF)))
+    for batch in (broken, w.raw.events.filter(fixed), again.withColumn("snapshot_at", ts(RESENT))):
+        hourly.store(w.spark, root, "engagement_events", batch)
+        for name in CHECKED:
+            checks.refresh(w.spark, root, name)
+    return checks.report(w.spark, root, CHECKED)
+
+
 def quarantine_videos(w: Workbench) -> DataFrame:
     _, bad = quality.validate(w.raw.videos, quality.video_rules())
     return _joined_list(bad.select("video_id", "reasons"), "reasons")
@@ -898,6 +920,7 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     drift,
     dq_report,
     dq_suite,
+    dq_incremental,
     dq_freshness,
     quarantine_events,
     valid_events,

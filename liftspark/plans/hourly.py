@@ -464,4 +464,5 @@ def train(
 def clean_up(spark: SparkSession, root: str, keep: int = 3) -> None:
     """Delete superseded versions of the stored tables, but for the newest ones."""
     for name in (*_DAY_OF, *_UNDATED):
-        stored.vacuum(spark, _path(root, name), keep)
+        for kind in ("", "_check_counts", "_check_values"):
+            stored.vacuum(spark, _path(root, name) + kind, keep)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from liftspark.functions import texts
-from liftspark.plans.catalog import AS_OF, BACKLOG_HORIZON, CAP, CUTOFF, FRESH_AS_OF, HORIZON, PAGE
+from liftspark.plans.catalog import AS_OF, BACKLOG_HORIZON, CAP, CHECKED, CUTOFF, FRESH_AS_OF, HORIZON, PAGE
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -816,21 +816,38 @@ _ACCEPTED = {
     "creator_tier_encoded": "(0, 1, 2, 3, 4)",
     "platform_encoded": "(0, 1, 2)",
 }
-SELECTS["dq_suite"] = " UNION ALL ".join(
-    _check(name, check, c, severity, failures)
-    for name, (source, unique, present, accepted) in _MORE_TESTS.items()
-    for check, severity, columns, sql in (
-        ("unique", "error", unique, lambda c, t: _repeated(t, c)),
-        ("not_null", "error", present, lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} IS NULL"),
-        (
-            "accepted_values",
-            "warn",
-            accepted,
-            lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} NOT IN {_ACCEPTED[c]}",
-        ),
+def _checks_of(tests: dict) -> str:
+    return " UNION ALL ".join(
+        _check(name, check, c, severity, failures)
+        for name, (source, unique, present, accepted) in tests.items()
+        for check, severity, columns, sql in (
+            ("unique", "error", unique, lambda c, t: _repeated(t, c)),
+            ("not_null", "error", present, lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} IS NULL"),
+            (
+                "accepted_values",
+                "warn",
+                accepted,
+                lambda c, t: f"SELECT count(*) AS n FROM {t} WHERE {c} NOT IN {_ACCEPTED[c]}",
+            ),
+        )
+        for c in columns.split()
+        for failures in [sql(c, source)]
     )
-    for c in columns.split()
-    for failures in [sql(c, source)]
+
+
+SELECTS["dq_suite"] = _checks_of(_MORE_TESTS)
+CTES["arrived_events"] = f"""
+    SELECT event_id, video_id, hours_since_post, creator_tier,
+           CASE WHEN hours_since_post % 13 <> 5 OR snapshot_at >= TIMESTAMP '{CUTOFF}' THEN view_count END AS view_count,
+           CASE WHEN hours_since_post % 11 = 3
+                     AND NOT (hours_since_post % 13 = 5 AND snapshot_at >= TIMESTAMP '{CUTOFF}')
+                THEN 'other' ELSE platform END AS platform
+    FROM raw_events
+    UNION ALL
+    SELECT event_id, video_id, hours_since_post, creator_tier, view_count, platform
+    FROM raw_events WHERE hours_since_post % 19 = 4 AND snapshot_at < TIMESTAMP '{CUTOFF}'"""
+SELECTS["dq_incremental"] = _checks_of(
+    {n: _MORE_TESTS[n] for n in CHECKED} | {"engagement_events": ("arrived_events", *_MORE_TESTS["engagement_events"][1:])}
 )
 SELECTS["quarantine_videos"] = f"""
     SELECT video_id, {_reasons(_VIDEO_RULES)} AS reasons FROM raw_videos

@@ -110,13 +110,14 @@ def read(
     part: str | None = None,
     days: Sequence | None = None,
     between: tuple | None = None,
+    number: str | None = None,
 ) -> DataFrame:
     """The table, or the rows of the given days; None among the days means unknown ones.
 
     Only the folders of those days are opened. The part column is among the rows if it is in
-    the schema.
+    the schema. ``number`` asks for the version of that log entry.
     """
-    parts = live(spark, path)
+    parts = live(spark, path, number)
     if days is not None:
         parts = {k: parts[k] for k in {label(d) for d in days} & set(parts)}
     if between is not None:

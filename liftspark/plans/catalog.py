@@ -38,6 +38,7 @@ PAGE = 20
 CAP = 20
 BACKLOG_HORIZON = 600  # of the ingestion query, so that some hours lie beyond it
 STREAM_SLICES = 3
+STALE = "2024-01-05 00:00:00"  # rows before it can be sent behind the watermark
 FIT = C.BoostConfig(rounds=6, learning_rate=0.3, max_depth=3, min_rows_per_leaf=5, patience=6)
 
 
@@ -831,6 +832,31 @@ def stream_ingest(w: Workbench) -> DataFrame:
     return hourly.read(w.spark, root, "engagement_events")
 
 
+def stream_distinct(w: Workbench) -> DataFrame:
+    """What is stored and what is kept apart, of a source that sends rows again and again.
+
+    Each slice also brings rows of the slice before; some rows of the first days come in the last
+    slice only, behind the watermark.
+    """
+    folder, root, progress = (scratch_path(w.spark, n) for n in ("arriving", "root", "progress"))
+    every, hour = tables.stage(w.raw.events, "events"), F.col("hours_since_post")
+    low, high = every.agg(F.min("snapshot_at"), F.max("snapshot_at")).first()
+    step = (high - low) / STREAM_SLICES
+    withheld = (F.col("snapshot_at") < ts(STALE)) & (hour % 29 == 7)
+    for i in range(STREAM_SLICES):
+        at = F.floor((F.unix_micros("snapshot_at") - F.unix_micros(F.lit(low))) / F.lit(step.total_seconds() * 1e6))
+        sent = F.least(at, F.lit(STREAM_SLICES - 1))
+        chosen = (sent == i) & ~withheld | withheld & F.lit(i == STREAM_SLICES - 1)
+        arrived = every.filter(chosen)
+        for repeated in ((sent == i) & (hour % 3 == 0), (sent == i - 1) & (hour % 5 == 0)):
+            arrived = arrived.unionByName(every.filter(repeated & ~withheld))
+        arrived.write.mode("append").parquet(folder)
+        stream_tables.stream_distinct(w.spark, folder, root, progress, "2 days", horizon=BACKLOG_HORIZON)
+    columns = ("event_id", "video_id", "hours_since_post", "view_count", "reason")
+    kept = hourly.read(w.spark, root, "engagement_events").withColumn("reason", F.lit("stored"))
+    return kept.select(*columns).unionByName(hourly.read(w.spark, root, "quarantined_events").select(*columns))
+
+
 def stream_refresh(w: Workbench) -> DataFrame:
     folder, root, progress = scratch_path(w.spark, "arriving"), _stored_root(w), scratch_path(w.spark, "progress")
 
@@ -940,6 +966,7 @@ QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (
     stream_hourly,
     stream_velocity,
     stream_ingest,
+    stream_distinct,
     stream_refresh,
     stream_cooldown,
 )

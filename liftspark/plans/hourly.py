@@ -24,6 +24,7 @@ from liftspark.session import tune
 from liftspark.sources import stored, tables
 
 DAY = "day"
+STREAM_BATCH = "stream_batch"
 # The time whose day a table lies by; tables without are one part.
 _DAY_OF = {
     "engagement_events": "snapshot_at",
@@ -142,10 +143,36 @@ def ingest_batch(
     good, beyond = ingest.within_horizon(batch, horizon)
     store(spark, root, "engagement_events", good)
     mark_hours(spark, root, good)
-    if not beyond.isEmpty():
-        whole = F.sha2(F.to_json(F.struct(*beyond.columns)), 256)
-        beyond = beyond.withColumn("row_key", F.coalesce("event_id", whole))
-        store(spark, root, "quarantined_events", beyond, ["row_key"], "snapshot_at")
+    set_apart(spark, root, beyond)
+
+
+def set_apart(spark: SparkSession, root: str, rows: DataFrame) -> None:
+    """Store rows with a ``reason`` in the quarantine, once however often they come."""
+    if rows.isEmpty():
+        return
+    whole = F.sha2(F.to_json(F.struct(*rows.columns)), 256)
+    keyed = rows.withColumn("row_key", F.coalesce("event_id", whole))
+    store(spark, root, "quarantined_events", keyed, ["row_key"], "snapshot_at")
+
+
+def append_events(spark: SparkSession, root: str, events: DataFrame, stream: str, batch_id: int) -> None:
+    """Add the new events of a stream's batch, which is named in the commit and so added once."""
+    tune(spark)
+    path, mark = _path(root, "engagement_events"), f"{STREAM_BATCH} {stream}"
+    if stored.entry(spark, path)["meta"].get(mark, -1) < batch_id:
+        stored.append(spark, path, _dated("engagement_events", events), DAY, {mark: batch_id})
+        stored.compact(spark, path, schemas.RAW["engagement_events"], DAY)
+
+
+def not_stored(spark: SparkSession, root: str, rows: DataFrame) -> DataFrame:
+    """Events whose id is not stored under their day, as ``late``, or ``no_time`` if they have none.
+
+    Only the days of the rows are read.
+    """
+    days = [d for d in _days(rows, "snapshot_at") if d is not None]
+    known = read(spark, root, "engagement_events", days).select("event_id")
+    reason = F.when(F.col("snapshot_at").isNull(), "no_time").otherwise("late")
+    return rows.join(known, "event_id", "left_anti").select(*rows.columns, reason.alias("reason"))
 
 
 def _hours_of(spark: SparkSession, root: str, days: list | None = None) -> DataFrame:

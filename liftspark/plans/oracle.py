@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from liftspark.functions import texts
-from liftspark.plans.catalog import AS_OF, BACKLOG_HORIZON, CAP, CHECKED, CUTOFF, FRESH_AS_OF, HORIZON, PAGE
+from liftspark.plans.catalog import AS_OF, BACKLOG_HORIZON, CAP, CHECKED, CUTOFF, FRESH_AS_OF, HORIZON, PAGE, STALE
 
 NOW = f"TIMESTAMP '{AS_OF}'"
 
@@ -961,6 +961,12 @@ SELECTS["stream_cooldown"] = f"""
         WHERE f.next_cycle IS NOT NULL)
     SELECT sku_id, cycle, p90_demand_lift FROM passed JOIN cycles USING (sku_id, cycle)"""
 SELECTS["stream_ingest"] = "SELECT * FROM raw_events"
+SELECTS["stream_distinct"] = f"""
+    SELECT event_id, video_id, hours_since_post, view_count,
+           CASE WHEN hours_since_post >= {BACKLOG_HORIZON} THEN 'beyond_horizon'
+                WHEN snapshot_at < TIMESTAMP '{STALE}' AND hours_since_post % 29 = 7 THEN 'late'
+                ELSE 'stored' END AS reason
+    FROM raw_events"""
 SELECTS["stream_refresh"] = SELECTS["scored_videos"]
 
 

@@ -177,3 +177,55 @@ def test_late_marts_do_not_need_streams(bench):
     a = marts.scored_videos(FT.latest_snapshot(bench.features), bench.as_of)
     b = bench.videos.select(*a.columns)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def _arrivals(spark, bench, folder, *batches):
+    """Event files from (id, hours after the start, hours since the post); one file a batch."""
+    names = bench.raw.events.columns
+    for i, rows in enumerate(batches):
+        given = spark.createDataFrame(
+            [(k, None if h is None else START + dt.timedelta(hours=h), since) for k, h, since in rows],
+            "event_id string, snapshot_at timestamp, hours_since_post int",
+        ).withColumns({"video_id": F.lit("v"), "posted_at": F.lit(START).cast("timestamp")})
+        types = {f.name: f.dataType for f in ingest.schemas.ENGAGEMENT_EVENTS.fields}
+        full = given.select(*[F.col(c) if c in given.columns else F.lit(None).cast(types[c]).alias(c) for c in names])
+        full.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+
+def _stored_and_apart(spark, root):
+    stored = sorted(r.event_id for r in hourly.read(spark, root, "engagement_events").collect())
+    path = hourly._path(root, "quarantined_events")
+    if not tables.path_exists(spark, path):
+        return stored, []
+    apart = hourly.read(spark, root, "quarantined_events").collect()
+    return stored, sorted((r.event_id or "", r.reason) for r in apart)
+
+
+def test_repeated_events_are_stored_once_and_late_ones_set_apart(spark, bench, folder):
+    batches = [
+        [("a", 0, 0), ("a", 0, 0), ("b", 1, 1), ("far", 2, 9999), (None, 3, 3), ("untimed", None, 3)],
+        [("a", 0, 0), ("c", 300, 9), ("far", 2, 9999), (None, 3, 3)],
+        [("d", 301, 10), ("c", 300, 9)],
+        [("a", 0, 0), ("late", 5, 5), ("late", 5, 5), ("e", 302, 11), ("far", 2, 9999)],
+    ]
+    for batch in batches:
+        _arrivals(spark, bench, folder, batch)
+        ingest.stream_distinct(spark, f"{folder}/in", folder, f"{folder}/progress", "1 day")
+    want = (
+        ["a", "b", "c", "d", "e"],
+        [("", "no_key"), ("far", "beyond_horizon"), ("late", "late"), ("untimed", "no_time")],
+    )
+    assert _stored_and_apart(spark, folder) == want
+    # The last batch runs again after its rows were stored.
+    commits = sorted(pathlib.Path(folder, "progress", "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for last in commits[-2:]:
+        for file in (last, last.with_name(f".{last.name}.crc")):
+            file.unlink(missing_ok=True)
+    ingest.stream_distinct(spark, f"{folder}/in", folder, f"{folder}/progress", "1 day")
+    assert _stored_and_apart(spark, folder) == want
+
+
+def test_one_batch_with_repeats(spark, bench, folder):
+    _arrivals(spark, bench, folder, [(f"k{i % 7}", i % 7, i % 7) for i in range(50)])
+    ingest.stream_distinct(spark, f"{folder}/in", folder, f"{folder}/progress")
+    assert _stored_and_apart(spark, folder) == ([f"k{i}" for i in range(7)], [])

@@ -6,6 +6,13 @@ of compressed bytes it adds to the text around it, for a compressor primed with
 identifiers: a word the text or the dictionary knows costs next to nothing, a random key
 nearly its length. Candidates that stay incompressible are reported as ``novel``.
 
+That cost is read off two frames that share one table of codes, so among source code, where
+literals are cheap, a short random key may pass for known, and a long word among prose for new. A
+candidate with an unbroken run of letters and digits is therefore measured in a second way: the
+dictionary takes in the surroundings, and the run alone is compressed. It is reported if it stays
+incompressible and its letters do not follow each other as in words; this is the only measure for
+runs of letters alone or of digits alone.
+
 A key written twice is no better known for it: what the surroundings share with the
 candidate is taken out before it is measured, and every further occurrence of a reported key
 in the text is reported too, near a sensitive word or not. Only identifiers, whose letters
@@ -53,6 +60,10 @@ REACH = 48  # code points between a sensitive word and its candidate
 AROUND = 512  # code points of surrounding text on either side
 MIN_NOVELTY = 0.75  # compressed bytes added for each byte of the candidate
 MIN_BITS = 4.0  # bits a character by the letter pairs of the identifiers; words cost less
+# The same for an unbroken run, which is read against a dictionary of its surroundings. Runs of one
+# kind need more: a long word of another language has letter pairs that are rare here.
+MIN_RUN_BITS, MIN_PLAIN_RUN_BITS = 4.5, 5.0
+RUN = re.compile(rf"[A-Za-z0-9]{{{MIN_CANDIDATE},}}")
 IDENTIFIERS = (
     "access account address admin algorithm api app application argument array assert async auth"
     " authorization await backend base64 bearer boolean branch buffer bytes cache callback certificate"
@@ -136,6 +147,17 @@ def _unshared(wide: str, start: int, end: int, grams: set) -> str:
     return "".join(out) + wide[clear:end]
 
 
+def _around(text: str, start: int, end: int) -> str:
+    """The surroundings of a candidate without what they share with it."""
+    candidate = text[start:end]
+    low, high = max(0, start - AROUND), min(len(text), end + AROUND)
+    grams = {candidate[i : i + MIN_CANDIDATE] for i in range(len(candidate) - MIN_CANDIDATE + 1)}
+    more = MIN_CANDIDATE - 1  # a copy may reach beyond the surroundings
+    cut = max(0, low - more)
+    before = _unshared(text[cut:start], low - cut, start - cut, grams)
+    return before + _unshared(text[end : high + more], 0, high - end, grams)
+
+
 def novelty(text: str, start: int, end: int, primed) -> float:
     """Compressed bytes the candidate adds to its surroundings without its copies, per byte."""
     candidate = text[start:end]
@@ -143,12 +165,33 @@ def novelty(text: str, start: int, end: int, primed) -> float:
     plain = added(text[low:start] + text[end:high], candidate, primed)
     if plain >= MIN_NOVELTY or bits(candidate) < MIN_BITS:
         return plain
-    grams = {candidate[i : i + MIN_CANDIDATE] for i in range(len(candidate) - MIN_CANDIDATE + 1)}
-    more = MIN_CANDIDATE - 1  # a copy may reach beyond the surroundings
-    cut = max(0, low - more)
-    before = _unshared(text[cut:start], low - cut, start - cut, grams)
-    around = before + _unshared(text[end : high + more], 0, high - end, grams)
-    return max(plain, added(around, candidate, primed))
+    return max(plain, added(_around(text, start, end), candidate, primed))
+
+
+def _random_like(run: str) -> bool:
+    return bits(run) >= (MIN_RUN_BITS if _mixed(run) else MIN_PLAIN_RUN_BITS)
+
+
+def run_novelty(text: str, start: int, end: int) -> float:
+    """Compressed bytes of a candidate's unbroken runs for a dictionary of the identifiers and its
+    surroundings, per byte: the highest of the runs that do not look like words, 0 without any."""
+    runs = [r for r in RUN.findall(text, start, end) if _random_like(r)]
+    if not runs:
+        return 0.0
+    known = utf8(f"{IDENTIFIERS} {_around(text, start, end)}")
+    shared = zstandard.ZstdCompressionDict(known, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    bare = zstandard.ZstdCompressor(
+        level=3, dict_data=shared, write_content_size=False, write_dict_id=False, write_checksum=False
+    )
+    frame = len(bare.compress(b""))
+    return max((len(bare.compress(r.encode())) - frame) / len(r) for r in runs)
+
+
+def is_novel(text: str, start: int, end: int, primed) -> bool:
+    """Whether a candidate stays incompressible by one of the two measures."""
+    if _mixed(text[start:end]) and novelty(text, start, end, primed) >= MIN_NOVELTY:
+        return True
+    return run_novelty(text, start, end) >= MIN_NOVELTY
 
 
 def _keys(token: str) -> set:
@@ -198,8 +241,7 @@ def novel_spans(text: str, data: bytes, base: list, primed) -> list:
         covered[a:b] = True
     out = []
     for end, start in sorted(found.items()):
-        clear = not covered[start:end].any()
-        if _mixed(text[start:end]) and clear and novelty(text, start, end, primed) >= MIN_NOVELTY:
+        if not covered[start:end].any() and is_novel(text, start, end, primed):
             out.append(("novel", start, end))
     for _, a, b in out:
         covered[a:b] = True

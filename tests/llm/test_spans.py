@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 
 import pytest
@@ -79,6 +80,36 @@ def test_keys_written_more_than_once_are_found_everywhere():
             assert whole >= 36, (letters, size, form[:20], whole)
 
 
+PLAIN_ALPHABETS = [(string.ascii_lowercase, 24), (string.ascii_uppercase, 24), (string.ascii_lowercase, 16), (string.digits, 20)]
+
+
+@pytest.mark.parametrize("surroundings", ["prose", "code"])
+@pytest.mark.parametrize("letters, size", ALPHABETS + PLAIN_ALPHABETS)
+def test_keys_of_any_alphabet_are_found_in_prose_and_code(surroundings, letters, size):
+    rng, primed = random.Random(size), novelty.compressor()
+    source = open(pii.__file__, encoding="utf-8").read()
+    if surroundings == "prose":
+        source = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(1500))
+    found = 0
+    for _ in range(200):
+        key, at = "".join(rng.choices(letters, k=size)), rng.randrange(len(source) - 1200)
+        text = f"{source[at : at + 600]} Authorization bearer {key} {source[at + 600 : at + 1200]}"
+        spans = novelty.spans(text, primed)
+        found += key not in novelty.mask(text, [a for _, a, _ in spans], [b for _, _, b in spans])
+    assert found >= 190
+
+
+def test_words_and_names_after_sensitive_words_are_no_secrets():
+    names = [
+        "internationalization", "responsibilities", "authentication", "getElementById", "session_handler",
+        "self.access.controls", "com.example.service", "ApplicationSettings", "representations", "transformations",
+        "Geschwindigkeit", "Wissenschaftler", "MAX_CONNECTIONS", "configuration_file", "environment-variables",
+    ]
+    text = "the colour of the house was as the neighbours had hoped and so they went away again "
+    for name in names:
+        assert novelty.spans(f"{text} the access token {name} {text}", novelty.compressor()) == [], name
+
+
 def test_identifiers_stay_known_by_their_repeats():
     text = "the access key is session_handler_v2 and session_handler_v2 again, see session_handler_v2"
     assert novelty.spans(text, novelty.compressor()) == []

@@ -877,10 +877,11 @@ def stream_cooldown(w: Workbench) -> DataFrame:
     )
 
     def run(last: bool) -> None:
-        cooldown_stream.run_cooldown(candidates, out, state, drain=last)
+        cooldown_stream.run_cooldown(candidates, out, state)
 
     _in_slices(w.raw.table("events"), "ts", folder, run)
-    return cooldown_stream.read_alerts(w.spark, out)
+    closed = cooldown_stream.read_alerts(w.spark, out)
+    return closed.unionByName(cooldown_stream.read_due(w.spark, out, state))
 
 
 QUERIES: tuple[Callable[[Workbench], DataFrame], ...] = (

@@ -1,100 +1,86 @@
-"""Alert cooldown over a stream, as a fold over each SKU's hourly cycles.
+"""Alert cooldown over a stream, in keyed state.
 
-State is a small table, written anew with every batch (the last two are kept): per SKU the last
-alert and the cycles that are still open. A batch adds its cycles, closes those the watermark has passed
-and folds them in order; everything runs in built-in expressions. A batch that is run again
-reads the state before it and replaces its output, so results are exact after a failure.
+Candidates first combine to one row per SKU and hourly cycle, with map-side maxima, so a SKU
+with a third of all candidates sends one row per task and hour. A cycle is emitted once, when the
+watermark closes it; the last alert of each SKU is a keyed value in the state store, read and
+written for the SKUs with closed cycles only, and a timer forgets it when its pause is over.
+Cycles closed in one batch are decided in order of time; those of later batches are later.
+
+Alerts are appended to a stored table whose log names the batch, so a batch that is run again
+after a failure adds nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from liftspark.config import RiskConfig
-from liftspark.sources import tables
 from liftspark.streaming import sinks
 
 OUTPUT = "sku_id string, cycle timestamp, p90_demand_lift double"
 _CYCLE = "struct<cycle: timestamp, p90_demand_lift: double>"
-STATE = f"sku_id string, last timestamp, open array<{_CYCLE}>"
-CLOCK = "newest timestamp, late_rows long"
+_PASSED = "sku_id string, millis long, p90_demand_lift double"
+_HOUR_MILLIS = 3_600_000
 
 
-def _folded(closed: Column, last: Column, hours: int) -> Column:
-    """Last alert and the cycles let through, in order of time."""
-    pause = F.make_dt_interval(hours=F.lit(hours))
-    start = F.struct(last.alias("last"), F.array().cast(f"array<{_CYCLE}>").alias("passed"))
+class _Pause(StatefulProcessor):
+    """Lets the first closed cycle of a SKU through, then none until the pause is over."""
 
-    def step(state: Column, cycle: Column) -> Column:
-        free = state["last"].isNull() | (cycle["cycle"] >= state["last"] + pause)
-        return F.when(
-            free,
-            F.struct(cycle["cycle"].alias("last"), F.concat(state["passed"], F.array(cycle)).alias("passed")),
-        ).otherwise(state)
+    def __init__(self, hours: int):
+        self.millis = hours * _HOUR_MILLIS
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "millis long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = self.last.get()
+        before = last = held[0] if held else None
+        for millis, lift in sorted((r.millis, r.p90_demand_lift) for r in rows):
+            if last is None or millis >= last + self.millis:
+                last = millis
+                yield Row(sku_id=key[0], millis=millis, p90_demand_lift=lift)
+        if last != before:
+            if before is not None:
+                self.handle.deleteTimer(before + self.millis)
+            self.last.update((last,))
+            self.handle.registerTimer(last + self.millis)
 
-    return F.aggregate(closed, start, step)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        held = self.last.get()
+        if held and held[0] + self.millis <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()
+        return iter([])
 
+    def close(self) -> None:
+        pass
 
-def advance(
-    state: DataFrame, candidates: DataFrame, watermark: Column, hours: int
-) -> tuple[DataFrame, DataFrame]:
-    """(state, alerts) after the candidates; cycles that end by the watermark are decided.
 
-    Candidates combine to one per SKU and cycle before the shuffle, so a SKU with a third
-    of them sends one row per task and hour. The arrays hold the hours of one batch.
+def stream_cooldown(candidates: DataFrame, hours: int, lateness: str) -> DataFrame:
+    """Stream of alerts (sku_id, cycle, p90_demand_lift) of closed cycles.
+
+    Candidates without a SKU or a time belong to no cycle and are left out; one without a lift
+    counts as the least.
     """
-    new = candidates.groupBy("sku_id", F.date_trunc("hour", "created_at").alias("cycle")).agg(
-        F.max("p90_demand_lift").alias("p90_demand_lift")
-    )
-    waiting = state.select("sku_id", F.inline("open"))
-    cycles = new.unionByName(waiting).groupBy("sku_id", "cycle").agg(F.max("p90_demand_lift").alias("p90_demand_lift"))
-    listed = cycles.groupBy("sku_id").agg(
-        F.array_sort(F.collect_list(F.struct("cycle", "p90_demand_lift"))).alias("all")
+    known = candidates.filter("sku_id IS NOT NULL AND created_at IS NOT NULL")
+    cycles = (
+        known.withWatermark("created_at", lateness)
+        .groupBy(F.window("created_at", "1 hour").alias("w"), "sku_id")
+        .agg(F.max("p90_demand_lift").alias("p90_demand_lift"))
+        .select(
+            "sku_id",
+            F.window_time("w").alias("at"),
+            F.unix_millis(F.col("w.start")).alias("millis"),
+            "p90_demand_lift",
+        )
     )
-    joined = state.select("sku_id", "last").join(listed, "sku_id", "full")
-    every = F.coalesce("all", F.array().cast(f"array<{_CYCLE}>"))
-    ends = lambda c: c["cycle"] + F.expr("INTERVAL 1 HOUR") <= watermark
-    folded = joined.select(
-        "sku_id",
-        _folded(F.filter(every, ends), F.col("last"), hours).alias("f"),
-        F.filter(every, lambda c: ~ends(c)).alias("open"),
-    )
-    folded = tables.stage(folded, "folded")
-    alerts = folded.select("sku_id", F.inline("f.passed"))
-    pause_over = F.col("f.last") + F.make_dt_interval(hours=F.lit(hours)) <= watermark
-    kept = folded.select("sku_id", F.when(~pause_over, F.col("f.last")).alias("last"), "open")
-    return kept.filter("last IS NOT NULL OR size(open) > 0"), alerts
-
-
-def _read(spark: SparkSession, folder: str, number: int, schema: str) -> DataFrame:
-    path = f"{folder}/{sinks.BATCH}={number}"
-    if not tables.exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _step(spark: SparkSession, batch: DataFrame, number: int, out: str, home: str, hours: int, lateness: str, drain: bool):
-    """One batch from the state of the batch before."""
-    clock = _read(spark, f"{home}/clock", number - 1, CLOCK).first()
-    before, late = (clock.newest, clock.late_rows) if clock else (None, 0)
-    batch = tables.stage(batch.select("sku_id", "created_at", "p90_demand_lift"), "batch")
-    newest = batch.agg(F.greatest(F.max("created_at"), F.lit(before).cast("timestamp"))).first()[0]
-    closed = F.lit(before).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
-    is_late = F.coalesce(F.date_trunc("hour", "created_at") + F.expr("INTERVAL 1 HOUR") <= closed, F.lit(False))
-    late += batch.filter(is_late).count()
-    watermark = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
-    if drain:
-        watermark = F.lit("9999-01-01").cast("timestamp")
-    state = _read(spark, f"{home}/state", number - 1, STATE)
-    kept, alerts = advance(state, batch.filter(~is_late), watermark, hours)
-    alerts.write.mode("overwrite").parquet(f"{out}/{sinks.BATCH}={number}")
-    kept.write.mode("overwrite").parquet(f"{home}/state/{sinks.BATCH}={number}")
-    row = spark.createDataFrame([(newest, late)], CLOCK)
-    row.coalesce(1).write.mode("overwrite").parquet(f"{home}/clock/{sinks.BATCH}={number}")
-    # A batch that is run again starts from the state before it; older ones are done with.
-    for name in ("state", "clock"):
-        tables.remove(spark, f"{home}/{name}/{sinks.BATCH}={number - 2}")
+    passed = cycles.groupBy("sku_id").transformWithState(_Pause(hours), _PASSED, "Append", "eventTime")
+    return passed.select("sku_id", F.timestamp_millis("millis").alias("cycle"), "p90_demand_lift")
 
 
 def run_cooldown(
@@ -103,34 +89,52 @@ def run_cooldown(
     home: str,
     hours: int = RiskConfig().cooldown_hours,
     lateness: str = "1 hour",
-    drain: bool = True,
 ) -> int:
     """Thin arriving candidates (sku_id, created_at, p90_demand_lift) to one alert per pause.
 
-    ``home`` keeps progress and state. With ``drain``, the cycles still open when all that
-    has arrived is worked through are decided too, as at the end of a bounded run. Returns
-    the number of rows that came after their cycle was decided; they are counted, not used.
+    ``home`` keeps progress and state, ``out`` is the stored table of alerts. Returns the
+    number of rows (one per SKU, cycle and task) that came after their cycle was decided;
+    they are counted, not used.
     """
-    spark = candidates.sparkSession
-    last = [-1]
+    return sinks.write_final(stream_cooldown(candidates, hours, lateness), out, home)
 
-    def handle(batch: DataFrame, number: int) -> None:
-        with tables.scratch(spark):
-            _step(spark, batch, number, out, home, hours, lateness, False)
-        last[0] = number
 
-    sinks.run_batches(candidates, handle, f"{home}/progress")
-    if drain and last[0] >= 0:
-        empty = spark.createDataFrame([], "sku_id string, created_at timestamp, p90_demand_lift double")
-        with tables.scratch(spark):
-            _step(spark, empty, last[0] + 1, out, home, hours, lateness, True)
-        last[0] += 1
-    clock = _read(spark, f"{home}/clock", last[0], CLOCK).first()
-    return clock.late_rows if clock else 0
+def _schema() -> StructType:
+    return StructType.fromDDL(OUTPUT)
 
 
 def read_alerts(spark: SparkSession, out: str) -> DataFrame:
     """Alerts (sku_id, cycle, p90_demand_lift) let through so far."""
-    if not tables.path_exists(spark, out):
-        return spark.createDataFrame([], OUTPUT)
-    return spark.read.schema(f"{OUTPUT}, {sinks.BATCH} long").parquet(out).drop(sinks.BATCH)
+    return sinks.read_final(spark, out, _schema())
+
+
+def _folded(cycles: Column, last: Column, hours: int) -> Column:
+    """The cycles let through after the last alert, in order of time."""
+    pause = F.make_dt_interval(hours=F.lit(hours))
+    start = F.struct(last.alias("last"), F.array().cast(f"array<{_CYCLE}>").alias("passed"))
+
+    def step(state: Column, cycle: Column) -> Column:
+        free = state["last"].isNull() | (cycle["cycle"] >= state["last"] + pause)
+        return F.when(
+            free,
+            F.struct(cycle["cycle"].alias("last"), F.concat(state["passed"], F.array(cycle)).alias("passed")),
+        ).otherwise(state)
+
+    return F.aggregate(cycles, start, step)["passed"]
+
+
+def read_due(spark: SparkSession, out: str, home: str, hours: int = RiskConfig().cooldown_hours) -> DataFrame:
+    """Alerts that the cycles still open would let through, if nothing else arrived.
+
+    Read from the query's own state as of the last batch in ``out``; the run can go on
+    afterwards. A SKU has at most the open hours of the watermark delay.
+    """
+    cycles = sinks.open_state(spark, out, home, "stateStoreSave")
+    if cycles is None:
+        return spark.createDataFrame([], _schema())
+    cycle = F.struct(F.col("key.window.start").alias("cycle"), F.col("value").cast("struct<v: double>")["v"].alias("p90_demand_lift"))
+    waiting = cycles.groupBy(F.col("key.sku_id").alias("sku_id")).agg(F.array_sort(F.collect_list(cycle)).alias("open"))
+    lasts = sinks.open_state(spark, out, home, "transformWithStateInPySparkExec", "last")
+    lasts = lasts.select("key.sku_id", F.timestamp_millis("value.millis").alias("last"))
+    passed = _folded(F.col("open"), F.col("last"), hours)
+    return waiting.join(lasts, "sku_id", "left").select("sku_id", F.inline(passed))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from liftspark.session import STATE_STORE
@@ -83,12 +84,21 @@ def read_final(spark: SparkSession, table: str, schema: StructType) -> DataFrame
     return stored.read(spark, table, schema)
 
 
-def open_state(spark: SparkSession, table: str, checkpoint: str) -> DataFrame | None:
+def open_state(
+    spark: SparkSession, table: str, checkpoint: str, operator: str | None = None, variable: str | None = None
+) -> DataFrame | None:
     """What the query of ``write_final`` still holds, as of the last batch in its table.
 
-    None before the first batch.
+    A query of several stateful operators names the one to read, and the variable of keyed
+    state. None before the first batch.
     """
     batch = _batch_of(spark, table)
     if batch < 0:
         return None
-    return spark.read.format("statestore").option("batchId", batch).load(checkpoint)
+    reader = spark.read.format("statestore").option("batchId", batch)
+    if operator:
+        listed = spark.read.format("state-metadata").load(checkpoint).filter(F.col("operatorName") == operator)
+        reader = reader.option("operatorId", listed.first().operatorId)
+    if variable:
+        reader = reader.option("stateVarName", variable)
+    return reader.load(checkpoint)

@@ -145,8 +145,10 @@ def test_cooldown_against_brute_force(spark, folder):
         spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files_per_batch=1
     )
     late = cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4, lateness="3 hours")
-    got = {tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect()}
-    assert late == 0 and len({r.batch_id for r in spark.read.parquet(f"{folder}/out").collect()}) >= 3
+    closed = [tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect()]
+    due = [tuple(r) for r in cooldown.read_due(spark, f"{folder}/out", f"{folder}/home", hours=4).collect()]
+    got = set(closed + due)
+    assert late == 0 and closed and due and len(got) == len(closed) + len(due)
     best = {}
     for sku, t, lift in everything:
         key = (sku, t.replace(minute=0))
@@ -166,12 +168,35 @@ def test_cooldown_goes_on_and_counts_late_rows(spark, folder):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         stream = sinks.file_stream(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
-        late = cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4, drain=False)
+        late = cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4)
     assert late == 1
     got = sorted(tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect())
     assert got == [("a", at(0), 1.0), ("a", at(9), 2.0)]  # hour 12 is still open
 
 
+def test_cooldown_forgets_skus_whose_pause_is_over(spark, folder):
+    """Rows without SKU or time are left out, a missing lift is the least, old SKUs leave the state."""
+    schema = "sku_id string, created_at timestamp, p90_demand_lift double"
+    at = lambda h: START + dt.timedelta(hours=h)
+    batches = [
+        [("a", at(0), None), ("b", at(0), None), ("b", at(0), 2.0), (None, at(0), 5.0), ("c", None, 5.0)],
+        [("b", at(30), 1.0), ("b", at(30), 1.0)],
+        [("a", at(31), 4.0), ("b", at(33), 9.0), ("c", at(40), 1.0)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = sinks.file_stream(spark, f"{folder}/in", spark.createDataFrame([], schema).schema)
+        assert cooldown.run_cooldown(stream, f"{folder}/out", f"{folder}/home", hours=4) == 0
+    closed = {tuple(r) for r in cooldown.read_alerts(spark, f"{folder}/out").collect()}
+    assert closed == {("a", at(0), None), ("b", at(0), 2.0), ("b", at(30), 1.0), ("a", at(31), 4.0)}
+    due = cooldown.read_due(spark, f"{folder}/out", f"{folder}/home", hours=4)
+    assert [tuple(r) for r in due.collect()] == [("c", at(40), 1.0)]
+    held = sinks.open_state(spark, f"{folder}/out", f"{folder}/home", "transformWithStateInPySparkExec", "last")
+    assert held.count() == 0  # the watermark, hour 39, is past all pauses
+    assert cooldown.read_alerts(spark, f"{folder}/none").count() == 0
+    assert cooldown.read_due(spark, f"{folder}/none", f"{folder}/home2").count() == 0
+
+
 def test_late_marts_do_not_need_streams(bench):
     """The batch mart and the mart of latest feature rows agree."""
     a = marts.scored_videos(FT.latest_snapshot(bench.features), bench.as_of)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from liftspark.llm.components import components
+from liftspark.llm.components import components, with_least
 from liftspark.llm.texts import free_name, table, utf8
 from liftspark.sources.tables import stage
 
@@ -177,8 +177,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     prints = docs.select(F.col(doc_id).alias("doc_id"), _fingerprint(F.col(text)).alias("fp"))
     prints = stage(prints, "prints")
     placed = _placed(prints, F.col("doc_id"))
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
+    named = with_least(placed, "root", "least", "fp").select("fp", F.col("m").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from liftspark.llm import simhash, suffixes
-from liftspark.llm.components import components
+from liftspark.llm.components import SALTS, components, with_least
 
 
 def plain_removal(docs):
@@ -213,6 +213,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
 
 
+def test_least_of_a_hot_key_is_joined_by_parts(spark):
+    rows = [(1, i, i % 97 + 3) for i in range(3000)] + [(2, 7, None), (3, 8, 5), (3, 9, 4), (3, 9, 4)]
+    df = spark.createDataFrame(rows, "k long, s long, v long")
+    got = sorted((r.k, r.s, r.v or 0, r.m) for r in with_least(df, "k", "v", "s").collect())
+    assert got == sorted((k, s, v or 0, {1: 3, 2: None, 3: 4}[k]) for k, s, v in rows)
+    plan = with_least(df, "k", "v", "s")._jdf.queryExecution().toString()
+    assert "hashpartitioning(k" in plan and f", {SALTS})" in plan
+
+
 def test_keep_one_row_of_each_group(spark):
     long_text = " ".join(f"word{i}" for i in range(200))
     rows = [(1, long_text, "a"), (1, long_text, "a"), (2, long_text, "b"), (3, "other text of its own", "c"), (4, None, "d"), (5, "", "e")]

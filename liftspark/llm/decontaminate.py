@@ -4,10 +4,12 @@ Every window of ten consecutive words of a test question or answer is a pattern;
 item is one pattern. Texts are normalised (A-Z lowered, words joined by single spaces),
 scanned once, and matches are mapped back to word numbers and to offsets of the original.
 
-The benchmark is the stated query set: it is read in blocks of at most ``block_bytes``
-normalised bytes, one automaton and one scan each, so what a task holds has a fixed bound
-however long the benchmark is. Up to one block (the usual case) there is no shuffle; beyond
-it the hits of the blocks are merged by document.
+The benchmark is the stated query set: its windows are read in blocks of at most ``MAX_NODES``
+trie nodes (an item may lie in several; one longer window is a block of its own). Up to one block,
+the usual case, the texts are scanned once where they are read. Beyond it there is one pass per
+block, one after the other: each adds its hits to those of the passes before and is written to the
+shared folder, so a task holds one automaton of bounded size however long the benchmark is, and
+nothing is shuffled.
 
 Defined results: NULL and empty texts and items have no words; repeated items count once
 per id; passages of items without id are hit but are in no list of items; documents equal in
@@ -26,9 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
 from liftspark.llm.texts import free_name, sha256, struct, table, utf8
+from liftspark.session import scratch_path
+from liftspark.sources.tables import remove
 
 WORDS = 10
-BLOCK_BYTES = 16 << 20
+MAX_NODES = 4_000_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Bytes of words stay, A-Z are lowered, all other ASCII becomes a space.
 _FOLD = bytes(
@@ -107,20 +111,30 @@ def offsets(text, starts, ends) -> list:
     return [(at[a][0], at[b - 1][1]) for a, b in zip(starts, ends)]
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list]:
-    """Items with words, in blocks of bounded size."""
+def blocks(benchmark: DataFrame, max_nodes: int = MAX_NODES) -> Iterator[list]:
+    """Items, or runs of their words, whose windows have at most ``max_nodes`` bytes together.
+
+    Runs of one item overlap, so that each window lies in one of them.
+    """
     block, size = [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     for row in rows.filter("t IS NOT NULL").toLocalIterator():
         tokens = words(row.t)
         if not tokens:
             continue
-        cost = sum(map(len, tokens)) + len(tokens)
-        if block and size + cost > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((row.i, tokens))
-        size += cost
+        lengths = [len(t) + 1 for t in tokens]
+        width = min(WORDS, len(tokens))
+        begin, cost = 0, sum(lengths[:width]) + 1
+        for i in range(len(tokens) - width + 1):
+            if i:
+                cost += lengths[i + width - 1] - lengths[i - 1]
+            if size + cost > max_nodes and size:
+                if i > begin:
+                    block.append((row.i, tokens[begin : i - 1 + width]))
+                yield block
+                block, size, begin = [], 0, i
+            size += cost
+        block.append((row.i, tokens[begin:]))
     yield block
 
 
@@ -136,19 +150,28 @@ def scanner(spark: SparkSession, block: list):
     return F.pandas_udf(scan_all, HITS)
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES):
+def with_hits(docs: DataFrame, benchmark: DataFrame, text: str, name: str, max_nodes: int = MAX_NODES):
     """Documents with one struct column of hits against the whole benchmark."""
-    found = [scanner(docs.sparkSession, b)(F.col(text)) for b in blocks(benchmark, block_bytes)]
-    return docs.withColumn(name, merged(found))
-
-
-def merged(found: list) -> Column:
-    """Hits of all blocks in one struct; overlapping runs stay as they are."""
-    if len(found) == 1:
-        return found[0]
-    lists = {c: F.flatten(F.array(*[f[c] for f in found])) for c in ("starts", "ends", "items")}
+    spark, done, written = docs.sparkSession, False, None
+    for block in blocks(benchmark, max_nodes):
+        hits = scanner(spark, block)(F.col(text))
+        if done:
+            path = scratch_path(spark, "hits")
+            docs.write.parquet(path)
+            docs = spark.read.schema(docs.schema).parquet(path)
+            hits = merged(F.col(name), hits)
+            if written:
+                remove(spark, written)
+            written = path
+        docs, done = docs.withColumn(name, hits), True
+    return docs
+
+
+def merged(before: Column, found: Column) -> Column:
+    """Hits of two passes in one struct; overlapping runs stay as they are."""
+    lists = {c: F.concat(before[c], found[c]) for c in ("starts", "ends", "items")}
     lists["items"] = F.array_sort(F.array_distinct(lists["items"]))
-    return F.struct(found[0]["n_words"].alias("n_words"), *[v.alias(k) for k, v in lists.items()])
+    return F.struct(found["n_words"].alias("n_words"), *[v.alias(k) for k, v in lists.items()])
 
 
 def hit_words(starts, ends) -> int:

@@ -160,13 +160,30 @@ def test_small_blocks_find_the_same(spark, documents):
     items, docs = leak_tables()
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    total = sum(len(w) for _, text in items for w in decontaminate.windows(decontaminate.words(text)))
     found = []
-    for size in (decontaminate.BLOCK_BYTES, 300):
+    for size in (decontaminate.MAX_NODES, total // 4):
         hits = decontaminate.with_hits(df, bench, "text", "h", size)
+        plan = hits._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1  # one automaton a pass
         found.append(sorted(tuple(r) for r in hits.select("doc_id", decontaminate.digest("h").alias("d")).select("doc_id", "d.*").collect()))
     assert found[0] == found[1]
 
 
+@pytest.mark.parametrize("limit", [40, 200, 1500, 10**6])
+def test_blocks_hold_each_window_and_are_bounded(spark, limit):
+    items, _ = leak_tables()
+    items += [(1000, "x" * 300), (1001, " ".join(f"w{i}" for i in range(400))), (1002, None), (1003, "... !")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(str(i), w) for i, text in items for w in decontaminate.windows(decontaminate.words(text))}
+    got = set()
+    for block in decontaminate.blocks(bench, limit):
+        held = {(i, w) for i, tokens in block for w in decontaminate.windows(tokens)}
+        assert sum(len(w) for _, w in held) <= limit or len(held) == 1
+        got |= held
+    assert got == want
+
+
 def test_cutting_passages(spark):
     words = [f"w{i}" for i in range(30)]
     text = "A B c D Before It. " + " ".join(words).upper() + " After, é it."

@@ -30,6 +30,7 @@ MEASURES = (
 )
 SPARE = 8
 BUCKETS = 64  # parts of the state by SKU
+TAGS = 200_000  # (video, SKU) pairs that a task lists
 _SHARE = "struct<skus: array<string>, viral: bigint, units: bigint, scored: bigint, best: array<double>>"
 _PLACE = "struct<measure: int, value: double, video_id: string>"
 CHANGES = f"video_id string, posted_at timestamp, batch bigint, before {_SHARE}, now {_SHARE}"
@@ -71,6 +72,13 @@ def changes(now: DataFrame, applied: DataFrame, batch: int, through: int) -> Dat
     return joined.select("video_id", "posted_at", F.lit(batch).cast("bigint").alias("batch"), "before", "now")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Change rows dealt to tasks by their tags: a file of a few megabytes can name millions of them."""
+    tags = [F.greatest(F.coalesce(F.size(f"{share}.skus"), F.lit(0)), F.lit(0)) for share in ("before", "now")]
+    n = rows.agg(F.sum((tags[0] + tags[1]).cast("bigint"))).first()[0] or 0
+    return rows.repartition(1 + n // TAGS, "video_id")
+
+
 def _places(rows: DataFrame, share: str) -> DataFrame:
     """(sku_id, measure, value, video_id) of the videos' values that are known."""
     places = F.transform(

@@ -339,7 +339,7 @@ def refresh_skus(spark: SparkSession, root: str, spare: int = incremental.SPARE)
         known = stored.live(spark, changes, before) if before in newest else {}
         days = [k for k, folders in live.items() if folders != known.get(k)]
         rows = stored.read(spark, changes, schema, DAY, days).filter(F.col("batch") > through)
-        rows = tables.stage(rows, "changes")
+        rows = incremental.dealt(tables.stage(rows, "changes"))
         skus = rows.select(F.explode(F.array_union(F.coalesce("before.skus", "now.skus"), F.col("now.skus"))).alias("sku_id"))
         buckets = [r[0] for r in skus.select(incremental.bucket()).distinct().collect()]
         old = _state_of(spark, root, buckets)
@@ -348,7 +348,7 @@ def refresh_skus(spark: SparkSession, root: str, spare: int = incremental.SPARE)
         if short.isEmpty():
             moved = moved.drop("short")
         else:
-            every = stored.read(spark, changes, schema, DAY)
+            every = incremental.dealt(stored.read(spark, changes, schema, DAY))
             moved = incremental.with_looked_up(moved, incremental.looked_up(short, every, spare))
         kept = old.join(moved.select("sku_id"), "sku_id", "left_anti")
         out = kept.unionByName(moved.select(*kept.columns))

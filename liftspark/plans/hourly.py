@@ -240,7 +240,7 @@ def refresh_touched(
             return
         videos = keys.select("video_id").distinct()
         near = read(spark, root, "engagement_events", between=days)
-        events = tables.stage(near.join(videos, "video_id", "left_semi"), "touched")
+        events = near.join(videos, "video_id", "left_semi").select(*near.columns)
         bridge = read(spark, root, "video_sku_bridge", days=_days(keys, "posted_at"))
         bridge = bridge.join(videos, "video_id", "left_semi")
         staged = staging.stg_events(FT.clean_rates(events), as_of)
@@ -251,11 +251,15 @@ def refresh_touched(
             .join(keys.select("event_id", F.lit(1).alias("_new")), "event_id", "left")
             .withColumn("_new", F.max("_new").over(back.rowsBetween(1 - max(C.VELOCITY_ROWS, 2), 0)))
             .filter("_new = 1")
-            .select("event_id")
+            .select("video_id", "event_id")
+            .distinct()
         )
+        # Both sides lie by video already, so the rows are not moved to be marked.
+        names, flagged = rows.columns, changed.withColumn("_changed", F.lit(True))
+        rows = rows.join(flagged, ["video_id", "event_id"], "left").select(*names, "_changed")
         rows = tables.stage(rows, "features")
         latest = marts.scored_videos(FT.latest_snapshot(rows), as_of)
-        written = rows.join(changed, "event_id", "left_semi")
+        written = rows.filter("_changed").select(*names)
         store(spark, root, "engagement_features", written, ["event_id"], "hours_since_post")
         store(spark, root, "mart_videos", latest, ["video_id"], "hours_since_post")
 

@@ -21,6 +21,8 @@ RUNTIME_CONF = {
     # to which a file is broadcast are set by what they take in memory.
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8m",
     "spark.sql.sources.fileCompressionFactor": "8",
+    # Sides that lie by a part of the join's columns are joined where they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -195,12 +195,14 @@ def upsert(
     part: str | None = None,
     meta: dict | None = None,
 ) -> None:
-    """Insert or replace by key; only the days of the batch are read and written.
+    """Insert or replace by key; only the days of the batch are read, and only by their keys.
 
+    Days in which the batch replaces rows are written anew; to the others its rows are added.
     ``part`` is a column the key determines; rows where it is NULL lie in a part of their own.
     Rows need whole keys: a NULL in one is an error, since no later row could replace it.
     """
-    batch = tables.stage(last_per_key(new, keys, order), "batch")
+    keys = list(keys)
+    batch = _one_per_key(new, keys, order)
     broken = F.lit(False)
     for k in keys:
         broken |= F.col(k).isNull()
@@ -213,14 +215,39 @@ def upsert(
         raise ValueError(f"a batch may touch {MAX_PARTS} days at most")
 
     def write() -> None:
-        number = next_number(spark, path)
-        if exists(spark, path) and not found and not meta:
+        number, before = next_number(spark, path), entry(spark, path)
+        if before["schema"] and not found and not meta:
             return
-        base = read(spark, path, batch.schema, part, days)
-        kept = base.join(batch.select(*keys), list(keys), "left_anti").select(*base.columns)
-        publish(spark, path, kept.unionByName(batch), part, days, number, meta)
+        base, rows, gone = read(spark, path, batch.schema, part, days), batch, set()
+        if before["parts"].keys() & ({label(d) for d in days} if part else {""}):
+            where = F.col(part) if part else F.lit(None)
+            held = base.select(*keys, where.alias("_part")).join(batch.select(*keys).hint("merge"), keys, "left_semi")
+            held = tables.stage(held, "replaced")
+            again_on = [r[0] for r in held.select("_part").distinct().collect()]
+            if again_on:
+                gone = {label(d) for d in again_on} if part else {""}
+                base = read(spark, path, batch.schema, part, again_on if part else None)
+                rows = base.join(held.select(*keys), keys, "left_anti").select(*base.columns).unionByName(batch)
+        made = _write(spark, path, rows, part)
+        parts = {k: v for k, v in before["parts"].items() if k not in gone}
+        parts |= {k: parts.get(k, []) + v for k, v in made.items()}
+        _commit(spark, path, number, parts, before["meta"] | (meta or {}), batch.schema.jsonValue())
 
     again(write)
+    compact(spark, path, batch.schema, part)
+
+
+def _one_per_key(new: DataFrame, keys: list[str], order: Sequence[Column]) -> DataFrame:
+    """The rows as files, one of each key. Keys alone are shuffled, and the rows of repeated ones."""
+    rows = tables.stage(new, "arrived")
+    repeated = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+    repeated = tables.stage(repeated, "repeated")
+    if repeated.isEmpty():
+        return rows
+    # A NULL in a key meets nothing, so such rows stay and are found by the caller.
+    alone = rows.join(repeated, keys, "left_anti").select(*rows.columns)
+    last = last_per_key(rows.join(repeated, keys, "left_semi").select(*rows.columns), keys, order)
+    return tables.stage(alone.unionByName(last), "batch")
 
 
 def append(spark: SparkSession, path: str, df: DataFrame, part: str | None = None, meta: dict | None = None) -> None:

@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 from liftspark.llm.texts import struct, table
 
 SPACE = "▁"  # the pieces' sign for a space
-MAX_WORDS = 300_000  # encoded words a worker remembers
+MAX_WORDS = 200_000  # encoded words in each of the two tables of a worker
 MAX_PAIRS = 1_000_000  # tested pairs of pieces a worker remembers
 LONG_WORD = 64  # longer words are encoded each time
 
@@ -73,6 +73,7 @@ class Pieces:
         self.words = self._cuts()
         self.pairs: dict[tuple, bool] = {}
         self.known: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
 
     def _cuts(self) -> re.Pattern:
         """Pattern of the parts of a text that no piece of the vocabulary reaches across."""
@@ -119,40 +120,65 @@ class Pieces:
             at -= len(token)
         return out[::-1]
 
-    def word_ids(self, word: str) -> tuple:
-        found = self.known.get(word)
+    def _word_ids(self, word: str) -> tuple:
+        out = []
+        for token in self.tokens(word):
+            if token in self.ids:
+                out.append(self.ids[token])
+            else:
+                out.extend(self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass"))
+        return tuple(out)
+
+    def word(self, word: str) -> tuple:
+        """(ids, their decimals comma-joined, the bytes they stand for) of a word.
+
+        A full table becomes the older one; words that are met again move on to the new one, so
+        only those not met for a whole table are forgotten.
+        """
+        found = self.known.get(word) or self.older.get(word)
         if found is None:
-            out = []
-            for token in self.tokens(word):
-                if token in self.ids:
-                    out.append(self.ids[token])
-                else:
-                    out.extend(self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass"))
-            found = tuple(out)
-            if len(word) <= LONG_WORD:
-                if len(self.known) >= MAX_WORDS:
-                    self.known.clear()
-                self.known[word] = found
+            ids = self._word_ids(word)
+            found = (ids, ",".join(map(self.digits.__getitem__, ids)), b"".join(map(self.bytes.__getitem__, ids)))
+        if len(word) <= LONG_WORD:
+            if len(self.known) >= MAX_WORDS:
+                self.older, self.known = self.known, {}
+            self.known[word] = found
         return found
 
+    def _words(self, text: str) -> list[str]:
+        return self.words.findall(SPACE + text.replace(" ", SPACE))
+
     def encode(self, text: str | None) -> list:
         """Ids of a text, with the space the model puts before it."""
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self.word_ids, self.words.findall(SPACE + text.replace(" ", SPACE)))))
+        return [i for w in self._words(text) for i in self.word(w)[0]] if text else []
 
-    def decode(self, ids) -> str:
-        """Text of any ids; the space put before the text is taken off."""
-        first = next((i for i in ids if not self.silent[i]), None)
-        if not self.controls.isdisjoint(ids):
-            return self._repaired(ids, first)
-        raw = b"".join(map(self.bytes.__getitem__, ids))
+    def encode_decode(self, text: str | None) -> tuple[int, str, str]:
+        """Number of the ids of a text, their comma-joined decimals, and the text they decode to."""
+        if not text:
+            return 0, "", ""
+        word = self.word
+        ids, digits, raw = zip(*[self.known.get(w) or word(w) for w in self._words(text)])
+        decoded = self._decoded(b"".join(raw), ids[0][0])
+        if decoded is None:
+            decoded = self.decode(list(chain.from_iterable(ids)))
+        return sum(map(len, ids)), ",".join(digits), decoded
+
+    def _decoded(self, raw: bytes, first: int | None) -> str | None:
+        """Text of the bytes of ids without controls; None where they are not UTF-8."""
         if first is not None and not self.is_byte[first] and self.bytes[first].startswith(b" ") and self._plain(first):
             raw = raw[1:]
         try:
             return raw.decode()
         except UnicodeDecodeError:
+            return None
+
+    def decode(self, ids) -> str:
+        """Text of any ids; the space put before the text is taken off."""
+        first = next((i for i in ids if not self.silent[i]), None)
+        if not self.controls.isdisjoint(ids):
             return self._repaired(ids, first)
+        decoded = self._decoded(b"".join(map(self.bytes.__getitem__, ids)), first)
+        return self._repaired(ids, first) if decoded is None else decoded
 
     def _plain(self, i: int) -> bool:
         return self.bytes[i].replace(b" ", SPACE.encode()).decode() in self.ids
@@ -228,10 +254,9 @@ def digester(path: str):
         for texts in batches:
             rows = []
             for text in texts:
-                ids = model.encode(text)
-                listed = ",".join(map(model.digits.__getitem__, ids)).encode()
-                decoded = model.decode(ids).encode("utf-8", "surrogatepass")
-                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(decoded).hexdigest()))
+                n, listed, decoded = model.encode_decode(text)
+                hashes = (hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in (listed, decoded))
+                rows.append((n, *hashes))
             yield pd.DataFrame(rows, columns=DIGEST.names)
 
     return digest

@@ -5,9 +5,11 @@ the pieces names the pieces that end at a character; of these only one is *compa
 the last token of the prefix before it: the pair is its own encoding. So the table of last
 tokens is filled from left to right, and the ids are recovered backwards from its end.
 
-No piece of a usual vocabulary has a space behind another character, or a line end beside one;
-where that holds, texts are cut there, and each distinct part (a word with the spaces before
-it) is encoded once per worker as long as a table of bounded size remembers it.
+No piece of a usual vocabulary has a space behind another character, a line end beside one, or
+a sign beside a letter; where that holds, texts are cut there, and each distinct part (a word
+or a run of signs with the spaces before it) is encoded once per worker as long as a table of
+bounded size remembers it. A pair of pieces is tested once as long as it is remembered, and
+only where the last token of the prefix is not known yet.
 
 NULL and empty texts have no ids and decode to the empty text. A character outside the
 vocabulary becomes the pieces of its UTF-8 bytes. Repeated rows are encoded each for itself;
@@ -34,10 +36,24 @@ from liftspark.llm.texts import struct, table
 
 SPACE = "▁"  # the pieces' sign for a space
 MAX_WORDS = 200_000  # encoded words in each of the two tables of a worker
-MAX_PAIRS = 1_000_000  # tested pairs of pieces a worker remembers
+MAX_PAIRS = 1_000_000  # tested pairs of pieces, and pieces with such pairs, a worker remembers
 LONG_WORD = 64  # longer words are encoded each time
 
 
+class Followers(dict):
+    """Pieces tested behind a piece, and whether they may follow it; others are tested when asked for."""
+
+    __slots__ = ("left", "model")
+
+    def __init__(self, model: Pieces, left: str):
+        super().__init__()
+        self.model, self.left = model, left
+
+    def __missing__(self, right: str) -> bool:
+        found = self[right] = self.model.tested(self.left, right)
+        return found
+
+
 class Pieces:
     """Vocabulary of a merge-type model, its automaton, encoder and decoder."""
 
@@ -71,7 +87,8 @@ class Pieces:
                 self.automaton.add_word(piece, (piece, len(piece)))
         self.automaton.make_automaton()
         self.words = self._cuts()
-        self.pairs: dict[tuple, bool] = {}
+        self.pairs: dict[str, Followers] = {}
+        self.n_pairs = 0
         self.known: dict[str, tuple] = {}
         self.older: dict[str, tuple] = {}
 
@@ -82,7 +99,17 @@ class Pieces:
         within = {c for piece in self.ids if len(piece) > 1 for c in piece}
         alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in within)
         lone = f"|[{alone}]" if alone else ""
-        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+{lone}")
+        signs = "".join(map(re.escape, sorted(self._signs(within))))
+        runs = f"{SPACE}*[{signs}]+|" if signs else ""
+        return re.compile(f"{SPACE}*[^{SPACE}{alone}{signs}]+|{runs}{SPACE}+{lone}")
+
+    def _signs(self, within: set) -> set:
+        """Characters that are no letters and, in all pieces, stand beside others of this set only."""
+        beside = {pair for piece in self.ids for pair in zip(piece.lstrip(SPACE), piece.lstrip(SPACE)[1:])}
+        signs = {c for c in within if not c.isalpha()} - {SPACE}
+        while mixed := {c for pair in beside if len(signs.intersection(pair)) < len(set(pair)) for c in pair} & signs:
+            signs -= mixed
+        return signs
 
     def merged(self, text: str) -> list:
         """Pieces left when the best-scored neighbours are merged, leftmost first, until none can be."""
@@ -96,23 +123,42 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether ``right`` may follow ``left``: their text is encoded as this very pair."""
-        found = self.pairs.get((left, right))
+    def _remember_one(self) -> None:
+        """Makes room for one more entry of the pairs; full tables are dropped."""
+        if self.n_pairs >= MAX_PAIRS:
+            self.pairs.clear()
+            self.n_pairs = 0
+        self.n_pairs += 1
+
+    def tested(self, left: str, right: str) -> bool:
+        """Whether the text of two pieces is encoded as this very pair."""
+        self._remember_one()
+        return self.merged(left + right) == [left, right]
+
+    def followers(self, left: str) -> Followers:
+        found = self.pairs.get(left)
         if found is None:
-            if len(self.pairs) >= MAX_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+            self._remember_one()
+            found = self.pairs[left] = Followers(self, left)
         return found
 
+    def compatible(self, left: str, right: str) -> bool:
+        """Whether ``right`` may follow ``left``."""
+        return self.followers(left)[right]
+
     def tokens(self, text: str) -> list:
         """Tokens of a text: last token of every prefix, then backwards from the end."""
         last = [None] * (len(text) + 1)
+        after = last.copy()  # what may follow the last token of each prefix
+        pairs, followers = self.pairs, self.followers
         for end, (piece, size) in self.automaton.iter(text):
-            at = end + 1 - size
-            # A prefix without a token ends in a character that is in no piece.
-            if at == 0 or last[at] is None or self.compatible(last[at], piece):
-                last[end + 1] = piece
+            end += 1
+            if last[end] is None:  # only one of the pieces that end here is compatible
+                allowed = after[end - size]
+                # A prefix without a token is empty or ends in a character that is in no piece.
+                if allowed is None or allowed[piece]:
+                    last[end] = piece
+                    after[end] = pairs.get(piece) or followers(piece)
         out, at = [], len(text)
         while at:
             token = last[at] or text[at - 1]
@@ -121,10 +167,14 @@ class Pieces:
         return out[::-1]
 
     def _word_ids(self, word: str) -> tuple:
+        tokens = self.tokens(word)
+        ids = tuple(map(self.ids.get, tokens))
+        if None not in ids:
+            return ids
         out = []
-        for token in self.tokens(word):
-            if token in self.ids:
-                out.append(self.ids[token])
+        for token, i in zip(tokens, ids):
+            if i is not None:
+                out.append(i)
             else:
                 out.extend(self.byte_ids[b] for b in token.encode("utf-8", "surrogatepass"))
         return tuple(out)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import public_tokenizers
 import pytest
@@ -63,6 +64,29 @@ def test_tables_of_words_and_pairs_stay_bounded(model, monkeypatch, library):
     assert len(small.known) <= 10 and len(small.pairs) <= 10
 
 
+def test_texts_are_cut_between_letters_and_signs(model, library):
+    text = "it ends, (so)...  !!wait\n#1, x_y é– “ü”"
+    words = model._words(text)
+    assert words[:6] == ["▁it", "▁ends", ",", "▁(", "so", ")..."] and "".join(words) == "▁" + text.replace(" ", "▁")
+    assert model.encode(text) == library.encode(text)
+
+
+@pytest.mark.parametrize("held, signs", [(["ab", "▁.", "..", "!?"], ".!?"), (["a.", "..", ".,", "!?"], "!?"), (["a."], "")])
+def test_signs_that_a_piece_holds_beside_a_letter_are_not_cut(held, signs):
+    assert pieces.Pieces._signs(SimpleNamespace(ids=dict.fromkeys(held)), set("".join(held))) == set(signs)
+
+
+def test_pairs_are_tested_only_where_the_last_token_is_unknown(monkeypatch):
+    fresh, asked = pieces.Pieces(MODEL), []
+    merged = fresh.merged
+    monkeypatch.setattr(fresh, "merged", lambda text: asked.append(text) or merged(text))
+    assert fresh.tokens("▁the") == ["▁the"] and not asked  # each prefix is a piece
+    tokens = fresh.tokens("▁thentionth")
+    assert "".join(tokens) == "▁thentionth" and asked
+    asked.clear()
+    assert fresh.tokens("▁thentionth") == tokens and not asked
+
+
 def test_sentencepiece_of_documents(spark, documents, library):
     texts = [None, "", "a b", "a b", " two  spaces ", "x" * 60_000, *some_texts(7, 40)]
     folder = documents([*enumerate(texts), (None, "no id")])
